@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, tokenfile
 from .bpe import decode, encode
-from .common import table
+from .common import scratch, table
 
 
 def vocabulary_path() -> str:
@@ -26,5 +27,55 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, vocabulary_path())
+    return tokenfile.read(spark, path)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(table(spark, sf_dir, "documents"))
+    return quality.apply_policy(found, quality.V2).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        quality.failed(quality.BASE).alias("base_failed"),
+        "kept",
+        "fail_bits",
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_tokenfile": op2_tokenfile, "op3_quality": op3_quality}
+
+# white space as in the contract; lines with a word are those that have anything else
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT doc_id, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w, t,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines
+  FROM d),
+windows AS (
+  SELECT doc_id, i, list_slice(w, i, i + 4) AS win FROM words, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(5)) AS r(k) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN repeats USING (doc_id)),
+b AS (
+  SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
+       fail_bits = 0 AS kept, fail_bits
+FROM b
+"""
+
+ORACLE_SQL = {"op3_quality": OP3_SQL}
