@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, tokenfile
+from . import decontaminate, quality, tokenfile
 from .bpe import decode, encode
 from .common import scratch, table
 
@@ -48,7 +48,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_tokenfile": op2_tokenfile, "op3_quality": op3_quality}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_tokenfile": op2_tokenfile, "op3_quality": op3_quality, "op10_decontaminate": op10_decontaminate}
 
 # white space as in the contract; lines with a word are those that have anything else
 OP3_SQL = r"""
@@ -78,4 +90,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM b
 """
 
-ORACLE_SQL = {"op3_quality": OP3_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win, least(10, len(w)) AS n
+      FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM p),
+dw AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+       FROM d, sizes, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS r(i)),
+hit AS (SELECT doc_id, i, n, item FROM dw JOIN p USING (win, n)),
+cover AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_hit FROM hit, unnest(range(n)) AS r(k) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS found FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(found), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(found, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_quality": OP3_SQL, "op10_decontaminate": OP10_SQL}
