@@ -15,6 +15,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # White space as that pattern understands it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-#: Pieces kept in a worker's cache before it is emptied, and the longest piece that is kept.
-CACHE_ENTRIES = 300_000
+#: Pieces that each of a worker's three caches keeps, the longest piece that is kept, and the documents of a
+#: batch that are held as ids at once.
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
+SLICE = 1000
 
 
 def byte_symbols() -> list[str]:
@@ -55,7 +58,7 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[left], ids[right]] = (rank, ids[left + right])
-        self.strings: list[bytes] = [b""] * (1 + max([*ids.values(), *self.special.values()]))
+        self.strings = np.full(1 + max([*ids.values(), *self.special.values()]), b"", object)
         for token, i in ids.items():
             self.strings[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
@@ -96,9 +99,9 @@ class Vocabulary:
         """The ids of one pre-token."""
         return self.merged([self.byte_ids[b] for b in text.encode()])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Concatenates the strings of the vocabulary."""
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(self.strings[ids].tolist()).decode("utf-8", "replace")
 
 
 class Pieces(dict):
@@ -110,8 +113,10 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.compute(piece)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= self.entries:
+            if len(self) >= self.entries:  # what came first is mostly what is frequent: the later half goes
+                first = list(islice(self.items(), self.entries // 2))
                 self.clear()
+                self.update(first)
             self[piece] = ids
         return ids
 
@@ -189,7 +194,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, splitter = _vocabulary(source.value)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             encoded = [splitter.ids(x or "") for x in batch.column(text).to_pylist()]
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
             column = list_array(np.frombuffer(b"".join(encoded), np.int32), lengths)
@@ -205,9 +210,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = _vocabulary(source.value)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             column = batch.column(ids)
-            values = column.flatten().to_numpy(zero_copy_only=False).tolist()
+            values = column.flatten().to_numpy(zero_copy_only=False)
             lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             ends = np.cumsum(lengths).tolist()
             decoded = [vocabulary.decode(values[a:b]) for a, b in zip([0, *ends], ends)]
