@@ -1,6 +1,6 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import queries_text
+from . import queries_corpus, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-ORACLE_SQL = {**queries_text.ORACLE_SQL}
+QUERIES = {**queries_text.QUERIES, **queries_corpus.QUERIES}
+ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_corpus.ORACLE_SQL}
