@@ -1,6 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import queries_corpus, queries_text
+from . import queries_corpus, queries_models, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_corpus.QUERIES}
-ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_corpus.ORACLE_SQL}
+MODULES = (queries_text, queries_corpus, queries_models)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
