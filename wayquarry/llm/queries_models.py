@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, sharding, toxicity
+from . import katz, language, sharding, toxicity
 from .common import table
 from .sampling import crc_mod
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
@@ -31,7 +35,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op7_sharding": op7_sharding, "op8_language": op8_language}
+QUERIES = {"op4_katz": op4_katz, "op5_toxicity": op5_toxicity, "op7_sharding": op7_sharding, "op8_language": op8_language}
 
 OP7_SQL = """
 WITH rows AS (
