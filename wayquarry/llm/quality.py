@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import texts
 
@@ -106,23 +107,33 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, the measurements, and fail_bits, one row for each row of docs."""
-    own = docs.select(docs[key].alias(key), docs[text].alias("text"))
-    kind = own.schema[0].dataType.simpleString()
+def _measured(own: DataFrame) -> DataFrame:
+    """own: columns row and text. Returns row, the measurements and fail_bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([measure(x) for x in texts(batch)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T.copy())], names=[key, *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found.T.copy())], names=["row", *MEASURES])
 
-    measured = own.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    measures = [T.StructField(m, T.LongType()) for m in MEASURES]
+    measured = own.mapInArrow(run, T.StructType([own.schema["row"], *measures]))
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(rule.mask)).otherwise(0).cast("long"))
     return measured.withColumn("fail_bits", bits)
 
 
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, the measurements, and fail_bits, one row for each row of docs."""
+    return _measured(docs.select(docs[key].alias("row"), docs[text].alias("text"))).withColumnRenamed("row", key)
+
+
+def keep(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of docs that no rule of the policy rejects."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    return _measured(rows).where(~failed(policy)).select("row.*")
+
+
 def failed(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask)) != 0
 
