@@ -362,7 +362,12 @@ def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> DataFrame:
         if n:
             s["tokens"] += n
             s["words"] += 1
-            s["w_large" if n > K else f"w{n}"] += 1
+            s["w_large"] += n > K
+            if n <= K + 1:
+                s[f"w{n}"] += 1
+    for n in hot_pairs.values():
+        if 0 < n <= K + 1:
+            s[f"p{n}"] += 1
     word = discounted([0.0, *(s[f"w{r}"] for r in range(1, K + 2))])
     pair = discounted([0.0, *(s[f"p{r}"] for r in range(1, K + 2))])
     left = sum(s[f"w{r}"] * (r - word[r]) for r in range(1, K + 1)) + s["w_large"] * LARGE
