@@ -5,9 +5,10 @@ white space between them. A line goes if an equal line, or one within one word e
 or left out), stands earlier in the corpus: in a document with a smaller key, or before it in its own. Lines
 of fewer than MIN_WORDS words always stay; lines of fewer than EDIT_WORDS words go for equal ones only.
 
-Equal lines are grouped first. Of those left, two lines within one edit agree on their first four words or on
-their last four, so only lines that share either with another one are taken further. Each emits all its
-variants with one word left out as hashed keys. Lines that become equal by leaving out the same place, or
+Equal lines are grouped first. Of those left, two lines within one edit agree on one half of the shorter one's
+words, the first or the last, so only lines that share a half with another one are taken further; a line has
+halves for its own number of words and for one word less. Each line that is left emits all its variants with
+one word left out as hashed keys. Lines that become equal by leaving out the same place, or
 where one is the other's variant, are within the bound; a group of any size is joined through its earliest
 lines and never in pairs. What a key claims is verified by edit distance on the words themselves.
 
@@ -29,7 +30,6 @@ from .common import stored, texts
 
 MIN_WORDS = 4
 EDIT_WORDS = 8
-ENDS = 4  # words at either end; two lines within one edit share one end where EDIT_WORDS >= 2 * ENDS
 
 
 def _hash(x: bytes) -> int:
@@ -37,10 +37,20 @@ def _hash(x: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def halves(words: list[bytes]) -> list[int]:
+    """Hashes of the first and the last half, for as many words and for one less, each with that number and its side."""
+    found = []
+    for n in (len(words), len(words) - 1):
+        half = n // 2
+        found += [_hash(b"%d<" % n + b" ".join(words[:half])), _hash(b"%d>" % n + b" ".join(words[-half:]))]
+    return found
+
+
 def line_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line of at least MIN_WORDS words: key, line, n_words, and hashes of all words, the first and the last four."""
+    """A row for each line of at least MIN_WORDS words: key, line, n_words, hash of all words, hashes of its halves (for lines that edits are looked for)."""
     own = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    names = ["key", "line", "n_words", "h", "head", "tail"]
+    names = ["key", "line", "n_words", "h", "halves"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,12 +59,10 @@ def line_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 for number, line in enumerate(x.encode().lower().split(b"\n")):
                     words = line.split()
                     if len(words) >= MIN_WORDS:
-                        found.append((k, number, len(words), _hash(b" ".join(words)), _hash(b" ".join(words[:ENDS])), _hash(b" ".join(words[-ENDS:]))))
-            columns = list(zip(*found)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                        found.append((k, number, len(words), _hash(b" ".join(words)), halves(words) if len(words) >= EDIT_WORDS else []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 5, kinds)], names=names)
 
-    return own.mapInArrow(run, "key long, line int, n_words int, h long, head long, tail long")
+    return own.mapInArrow(run, "key long, line int, n_words int, h long, halves array<long>")
 
 
 def variants(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -102,23 +110,25 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
+@F.pandas_udf("boolean")
+def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([within_one(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool)
+
+
 def _edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h and n_words of the distinct lines that have an earlier line within one edit."""
-    long = distinct.where(f"n_words >= {EDIT_WORDS}")
-    shared = None
-    for end in ("head", "tail"):
-        twice = long.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(end)
-        part = long.join(twice, end, "left_semi").select("first", "h")
-        shared = part if shared is None else shared.union(part)
-    wanted = shared.distinct().groupBy(F.col("first.key").alias("wanted_key")).agg(F.collect_list(F.struct("first.line", "h")).alias("lines"))
+    halved = distinct.where(f"n_words >= {EDIT_WORDS}").select(F.explode("halves").alias("half"), "first", "h")
+    twice = halved.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    shared = halved.join(twice, "half", "left_semi").select("first", "h").distinct()
+    wanted = shared.groupBy(F.col("first.key").alias("wanted_key")).agg(F.collect_list(F.struct("first.line", "h")).alias("lines"))
     made = variants(docs, wanted).select("h", F.struct("key", "line").alias("first"), "n", "place", "rest", "words")
     made = stored(made, "line-variants")
     groups = made.groupBy("rest", "n").agg(
-        F.count_distinct("h").alias("lines"),
+        (F.min("h") != F.max("h")).alias("several"),
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"),
         F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("short"),
     )
-    near = stored(made.join(groups.where("lines > 1"), ["rest", "n"]).drop("words"), "line-groups")
+    near = stored(made.join(groups.where("several").drop("several"), ["rest", "n"]).drop("words"), "line-groups")
     same_place = near.where("place >= 0").groupBy("rest", "n", "place").agg(F.min("first").alias("partner"))
     partners = (
         near.where("place >= 0").join(same_place, ["rest", "n", "place"]).select("h", "first", "partner")
@@ -128,17 +138,17 @@ def _edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .distinct()
     )
     lines = made.where("place < 0").select("first", "words").dropDuplicates(["first"])
-    verified = F.pandas_udf(lambda a, b: pd.Series([within_one(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool), "boolean", F.PandasUDFType.SCALAR)
     claimed = partners.join(lines, "first").join(lines.select(F.col("first").alias("partner"), F.col("words").alias("partner_words")), "partner")
-    return claimed.where(verified("words", "partner_words")).select("h", "first").distinct()
+    return claimed.where(_verified("words", "partner_words")).select("h", "first").distinct()
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all, kept): all lines of at least MIN_WORDS words as line_keys has them; (key, line, h) of those that stay."""
     own = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     rows = stored(line_keys(own, "key"), "lines")
-    # three hashes and a count together tell lines apart: 64 bits would meet by chance in a large corpus
-    distinct = rows.groupBy("h", "n_words", "head", "tail").agg(F.min(F.struct("key", "line")).alias("first"))
+    # hashes of the whole and of a half, and a count, tell lines apart: 64 bits would meet by chance in a large corpus
+    earliest = F.min(F.struct("key", "line", "halves"))
+    distinct = rows.groupBy("h", "n_words", F.try_element_at("halves", F.lit(1)).alias("half")).agg(earliest.alias("first")).select("h", "n_words", F.struct("first.key", "first.line").alias("first"), "first.halves")
     distinct = stored(distinct, "distinct-lines")
     kept = distinct.join(_edited(own, distinct), ["h", "first"], "left_anti")
     return rows, kept.select("first.key", "first.line", "h")
