@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, texts
 
@@ -110,7 +111,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool)
 
