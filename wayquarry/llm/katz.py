@@ -7,7 +7,7 @@ discounts; larger ones lose LARGE, so that every history keeps some mass back. A
 leaves all to the unigrams. Logarithms are to base 10.
 
 Texts are read twice. The first pass counts words and finds those too frequent for one task. In the second,
-each slice of up to SLICE documents deals what it holds of each word (in which documents, after which words,
+each slice (some SLICE_TOKENS tokens) deals what it holds of each word (in which documents, after which words,
 how often) to partitions by word, packed in columns; a partition thus knows the counts of its words and of
 all pairs that end with them. A hot word is dealt by pair instead and its count is sent along; a hot pair is
 dealt by slice as well, after an exact count. A score is a sum over tokens whose terms depend on counts
@@ -34,14 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pieces
-from .common import scratch, stored, texts
+from .common import list_array, scratch, stored, texts
 
 K = 5
 LARGE = 0.5
-SLICE = 10_000
+#: A slice ends with the document that brings it to so many tokens, or with so many documents (below 2^16).
+SLICE_TOKENS, SLICE_DOCS = 1_500_000, 20_000
+#: Documents whose texts a task holds as strings at once.
+READ = 500
 #: Postings that a partition should hold, the count from which a word or pair is hot, and how many of either are.
-PART_POSTINGS = 2_000_000
-HOT = PART_POSTINGS // 2
+PART_POSTINGS = 1_000_000
+HOT = 1_000_000
 MAX_HOT = 200_000
 #: Pairs that a slice reports as possibly hot: the most frequent ones.
 REPORTED = 256
@@ -74,18 +77,34 @@ _hashes = Pieces(xxhash.xxh64_intdigest, CACHE_ENTRIES)
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     """Batches with key, text, held_out, as tokens: hashes of words and of those before them."""
     get, number = _hashes.__getitem__, TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            own = [np.array([*map(get, x.encode().lower().split()), END], np.uint64) for x in texts(part)]
-            w = np.concatenate(own)
-            lengths = np.fromiter(map(len, own), np.int64, len(own))
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[np.cumsum(lengths) - lengths] = START
-            held = np.array(part.column("held_out").to_pylist(), bool)
-            yield Slice(number, part.column("key").to_pylist(), held, w, h, np.repeat(np.arange(len(own)), lengths))
-            number += 1
+    keys: list[int | None] = []
+    held: list[bool] = []
+    own: list[np.ndarray] = []
+    size = 0
+
+    def cut() -> Slice:
+        nonlocal number, size
+        w = np.concatenate(own)
+        lengths = np.fromiter(map(len, own), np.int64, len(own))
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[np.cumsum(lengths) - lengths] = START
+        found = Slice(number, list(keys), np.array(held, bool), w, h, np.repeat(np.arange(len(own), dtype=np.int32), lengths))
+        number, size = number + 1, 0
+        for x in (keys, held, own):
+            x.clear()
+        return found
+
+    for part in (b.slice(at, READ) for b in batches for at in range(0, b.num_rows, READ)):
+        for key, x, out in zip(part.column("key").to_pylist(), texts(part), part.column("held_out").to_pylist()):
+            keys.append(key)
+            held.append(out)
+            own.append(np.array([*map(get, x.encode().lower().split()), END], np.uint64))
+            size += len(own[-1])
+            if size >= SLICE_TOKENS or len(own) >= SLICE_DOCS:
+                yield cut()
+    if own:
+        yield cut()
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -177,7 +196,8 @@ DOC = 4 + K + 1 + K + 3
 HISTORY = [*(f"t{r}" for r in range(1, K + 1)), "t_large", *(f"u{r}" for r in range(1, K + 1)), "u_large"]
 # What a partition sums up: words and pairs of each count (1 to K + 1) and of larger ones; training tokens; distinct words.
 SUMS = [*(f"w{r}" for r in range(1, K + 2)), *(f"p{r}" for r in range(1, K + 2)), "w_large", "tokens", "words"]
-RESULT = "kind string, slice long, keys array<long>, n_docs int, held binary, n int, sums binary, h long, d int, c long, " + ", ".join(f"{x} double" for x in [*HISTORY, *SUMS])
+# numbers: what is named in HISTORY or SUMS, in that order
+RESULT = "kind string, slice long, keys array<long>, n_docs int, held binary, n int, sums binary, h long, d int, c long, numbers array<double>"
 
 
 def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int]) -> Iterator[tuple[str, dict]]:
@@ -187,7 +207,7 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
     for r in rows:
         w.append(np.repeat(_unpack(r["w"], np.uint64, r["nw"]), _unpack(r["per_w"], np.uint32, r["nw"])))
         h.append(_unpack(r["h"], np.uint64, r["nh"])[_unpack(r["h_at"], np.uint32, r["n"])])
-        own = _unpack(r["d"], np.uint16, r["n"]).astype(np.int64)
+        own = _unpack(r["d"], np.uint16, r["n"]).astype(np.int32)
         train.append(np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["n_docs"])[own] == 0)
         d.append(own + offset)
         c.append(_unpack(r["c"], np.uint32, r["n"]).astype(np.int64))
@@ -251,14 +271,18 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
         yield "histories", history_sums(h[pairs][seen], c_p[seen], word_count[pairs][seen])
     known, known_pairs = c_w[cold_w & (c_w > 0)], c_p[seen]
     counts = [*(int((known == r).sum()) for r in range(1, K + 2)), *(int((known_pairs == r).sum()) for r in range(1, K + 2)), int((known > K).sum()), int(known.sum()), len(known)]
-    yield "sums", {name: [float(x)] for name, x in zip(SUMS, counts)}
+    yield "sums", {"numbers": _lists(np.array([counts], float))}
 
 
 def history_sums(h: np.ndarray, pair: np.ndarray, word: np.ndarray) -> dict:
     found, of = np.unique(h, return_inverse=True)
     add = lambda where, weight=None: np.bincount(of[where], weights=None if weight is None else weight[where], minlength=len(found)).astype(float)
     columns = [add(pair == r) for r in range(1, K + 1)] + [add(pair > K)] + [add(word == r) for r in range(1, K + 1)] + [add(word > K, word - LARGE)]
-    return {"h": _signed(found), **dict(zip(HISTORY, columns))}
+    return {"h": _signed(found), "numbers": _lists(np.stack(columns, axis=1))}
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return list_array(np.ascontiguousarray(rows).ravel(), np.full(len(rows), rows.shape[1]))
 
 
 def discounted(n: list[float]) -> list[float]:
@@ -297,11 +321,12 @@ class Constants:
 def _result(kind: str, columns: dict) -> pa.Table:
     types = dict(zip(_RESULT.names, _RESULT.types))
     n = len(next(iter(columns.values())))
-    columns = {"kind": [kind] * n, **columns}
-    return pa.table([pa.array(columns[x], t) if x in columns else pa.nulls(n, t) for x, t in types.items()], schema=_RESULT)
+    columns = {"kind": pa.repeat(kind, n), **columns}
+    as_array = lambda x, t: x if isinstance(x, pa.Array) else pa.array(x, t)
+    return pa.table([as_array(columns[x], t) if x in columns else pa.nulls(n, t) for x, t in types.items()], schema=_RESULT)
 
 
-_ARROW = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 _RESULT = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in RESULT.split(", ")])
 
 
@@ -357,7 +382,7 @@ def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> DataFrame:
     postings.groupBy("part").applyInArrow(work, RESULT).write.partitionBy("kind").parquet(path)
     found = spark.read.schema(RESULT).parquet(path)
 
-    s = found.where("kind = 'sums'").agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in SUMS]).first().asDict()
+    s = found.where("kind = 'sums'").agg(*[F.coalesce(F.sum(F.col("numbers")[i]), F.lit(0.0)).alias(x) for i, x in enumerate(SUMS)]).first().asDict()
     for n in hot_words.values():  # partitions don't see all of these
         if n:
             s["tokens"] += n
@@ -373,15 +398,15 @@ def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> DataFrame:
     left = sum(s[f"w{r}"] * (r - word[r]) for r in range(1, K + 1)) + s["w_large"] * LARGE
     k = Constants(s["tokens"], s["words"], word, pair, left / s["tokens"] if s["tokens"] else 1.0, starts.learned if starts else 0)
 
-    histories = found.where("kind = 'histories'").select("h", *HISTORY)
+    histories = found.where("kind = 'histories'").select("h", "numbers")
     learned = [r for r in exact if r.learned]
     if learned:
         more = history_sums(np.array([r.h for r in learned]).view(np.uint64), np.array([r.learned for r in learned]), np.array([hot_words.get(r.w % (1 << 64), r.learned) for r in learned]))
-        histories = histories.union(spark.createDataFrame(list(zip(*[x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in more.values()])), histories.schema))
+        histories = histories.union(spark.createDataFrame(list(zip(*[x.to_pylist() for x in more.values()])), histories.schema))
     documents = found.where("kind = 'documents'").select("slice", "keys", "n_docs", "held", "n", "sums")
     whole = documents.groupBy("slice").applyInArrow(lambda g: _combine(g, key, k), f"slice long, d int, `{key}` long, held_out boolean, n_tokens long, n_known long, base_score double, partial double")
     if k.tokens:
-        alphas = histories.groupBy("h").agg(*[F.sum(x).alias(x) for x in HISTORY]).select("h", k.log_a().alias("log_a"))
+        alphas = histories.groupBy("h").agg(*[F.sum(F.col("numbers")[i]).alias(x) for i, x in enumerate(HISTORY)]).select("h", k.log_a().alias("log_a"))
         # a pair that is hot has been seen; an unseen history leaves all to the words
         backed_off = found.where("kind = 'unseen'").select("h", "slice", "d", "c").join(alphas, "h").groupBy("slice", "d").agg(F.sum(F.col("c") * F.col("log_a")).alias("backed_off"))
         whole = whole.join(backed_off, ["slice", "d"], "left")
