@@ -1 +1 @@
-"""Column-to-column functions."""
+"""Functions on columns: coercion, text, dates, money and geometry."""

@@ -1 +1 @@
-"""DataFrame-to-DataFrame operators."""
+"""Operators: DataFrame to DataFrame."""

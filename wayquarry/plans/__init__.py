@@ -1 +1 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Queries over the driver's tables, each with the SQL that gives the same rows where there is one."""

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import billing, content, network, records, tracks
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (billing, tracks, records, network, content)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

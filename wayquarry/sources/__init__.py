@@ -1 +1 @@
-"""Readers and sinks."""
+"""Readers: each gives a DataFrame."""

@@ -1 +1 @@
-"""Structured Streaming extensions."""
+"""Structured Streaming: extensions beyond what the batch operators do."""
