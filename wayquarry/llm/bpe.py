@@ -138,8 +138,8 @@ class Splitter:
     several pre-tokens, as "word," does; both kinds are cached.
     """
 
-    # Where a text isn't made of words with single spaces and newlines between them.
-    ODD = re.compile(f"[{SPACE.translate({32: None, 10: None})}]|[ \n][ \n]|^[ \n]|[ \n]\\Z")
+    # What a text made of words with single spaces and newlines between them doesn't hold.
+    ODD = ("  ", "\n\n", " \n", "\n ", *SPACE.translate({32: None, 10: None}))
     COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     FINE = regex.compile(PATTERN)
 
@@ -158,7 +158,7 @@ class Splitter:
     def plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.ODD.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.ODD):
             return b"".join(map(self.bare.__getitem__, self.COARSE.findall(text)))
         spaced, bare, out = self.spaced.__getitem__, self.bare, []
         for line in text.split("\n"):
