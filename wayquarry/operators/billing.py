@@ -19,10 +19,9 @@ OPEN = ("draft", "sent")
 
 def invoice_lines(invoices: DataFrame) -> DataFrame:
     """A row for each invoice and subscription that its header or a line names."""
-    named = F.array_compact(F.array_union(F.array("sub_id"), F.coalesce("line_subs", F.array().cast("array<string>"))))
-    return invoices.drop("sub_id").withColumn("sub_id", F.explode(named.cast("array<string>"))) if dict(invoices.dtypes)["sub_id"] == "string" else invoices.withColumn(
-        "sub_id", F.explode(F.array_compact(F.array_union(F.array("sub_id"), F.coalesce("line_subs", F.array().cast(f"array<{dict(invoices.dtypes)['sub_id']}>")))))
-    )
+    kind = dict(invoices.dtypes)["sub_id"]
+    named = F.array_compact(F.array_union(F.array("sub_id"), F.coalesce("line_subs", F.array().cast(f"array<{kind}>"))))
+    return invoices.withColumn("sub_id", F.explode(named))
 
 
 def overview(subs: DataFrame, invoices: DataFrame, as_of: Column, period_months: int = 12, remind_days: int = 30) -> DataFrame:

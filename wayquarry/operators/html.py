@@ -121,10 +121,7 @@ class Blocks(HTMLParser):
 
     def finish(self) -> list[dict]:
         self.close()
-        self.items = None if not self.items else self.items
-        self.close_block()
-        if self.items:
-            self.handle_endtag("ol" if self.ordered else "ul")
+        self.close_block() if self.items is None else self.handle_endtag("ul")
         return self.blocks
 
 
