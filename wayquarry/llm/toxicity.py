@@ -101,13 +101,10 @@ class KneserNey:
             found.append(max(counts.get(gram, 0) - DISCOUNT, 0) / n + DISCOUNT * kinds[gram[:-1]] / n * lower if n else lower)
         return found[0], found[1]
 
-    def ratio(self, word: str) -> float:
-        """log(toxic likelihood / ordinary likelihood) of a word."""
-        total = 0.0
-        for gram in grams(word, self.order):
-            ordinary, toxic = self.probabilities(gram)
-            total += math.log(toxic / ordinary)
-        return total
+    def ratio(self, gram: str) -> float:
+        """log(toxic likelihood / ordinary likelihood) of a gram's last character."""
+        ordinary, toxic = self.probabilities(gram)
+        return math.log(toxic / ordinary)
 
 
 def excess(words: list[str], ratios: Pieces) -> float:
@@ -116,7 +113,9 @@ def excess(words: list[str], ratios: Pieces) -> float:
 
 
 def _cache(model: KneserNey) -> Pieces:
-    return Pieces(lambda w: max(0.0, model.ratio(w) - FLOOR), CACHE_ENTRIES)
+    """What each word has beyond FLOOR; ratios of grams are kept as well, since new words are made of known grams."""
+    of_gram = Pieces(model.ratio, CACHE_ENTRIES).__getitem__
+    return Pieces(lambda w: max(0.0, sum(map(of_gram, grams(w, model.order))) - FLOOR), CACHE_ENTRIES)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
