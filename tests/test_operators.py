@@ -385,3 +385,35 @@ def test_network_sync(spark):
     assert listed(edges, "relation_id", "from_point", "to_point", "from_node", "to_node") == [(1, 10, 11, 5, None)]
     cover = frame(spark, [(2.0, [(0.0, 0.5, 1), (0.5, 1.0, -1)]), (2.0, [(0.0, 1.0, 0)])], "distance_km double, surface array<struct<from: double, to: double, code: int>>")
     assert tuple(network_sync.coverage(cover).first()) == pytest.approx((4.0, 75.0, 100 / 3))
+
+
+def test_reports_on_groups(spark):
+    df = frame(spark, [(1, "a", True, 5), (2, "a", False, 9), (3, "b", True, 1), (4, "c", True, 3), (5, "c", True, 2)], "id int, slug string, live boolean, blocks int")
+    assert listed(rows.overruled(df, ["slug"], [F.desc("live"), F.desc("blocks")], "blocks")) == [("a", 2, 5, True), ("c", 2, 3, False)]
+    assert listed(rows.inconsistent(df, "slug", ["live"])) == [("a", 2)]
+    stored = frame(spark, [("x.jpg", "f", 10.0004)], "name string, folder string, kb double")
+    new = frame(spark, [("x.jpg", "f", 10.0001), ("x.jpg", "g", 10.0), ("x.jpg", "g", 10.0)], "name string, folder string, kb double")
+    assert listed(rows.not_yet_stored(new, stored)) == [("x.jpg", "g", 10.0)]
+
+
+def test_letters(spark):
+    inv = frame(spark, [(1, "s", "Jo", 123, 12.5, d("2024-01-05")), (2, "t", None, 9, 1.0, None)], "invoice_id int, sub_id string, name string, number long, total_incl double, due_date date")
+    pages = frame(spark, [("s", "fr", True, "/fr"), ("s", "nl", True, "/nl"), ("s", "nl", False, "/a")], "sub_id string, locale string, published boolean, url string")
+    assert listed(billing.letters(inv, pages, "{name} {number} {amount} {due} {page} {other}"), "text") == [(" 9 € 1,00   {other}",), ("Jo 123 € 12,50 05/01/2024 /nl {other}",)]
+    routes = frame(spark, [(1, "g", 0.0), (2, "g", 5.0), (3, "h", None)], "route_id int, gpx_id string, surface_percent double")
+    shares = frame(spark, [(1, "g", 40.0), (2, "g", 40.0), (3, "other", 40.0)], "route_id int, gpx_id string, percent double")
+    assert listed(billing.measured_share(routes, shares), "route_id", "surface_percent") == [(1, 40.0), (2, 5.0), (3, None)]
+
+
+def test_jobs_write_only_when_told(spark, tmp_path):
+    from wayquarry import jobs
+
+    (tmp_path / "d.sql").write_text("INSERT INTO `users` VALUES (1,'a@b.c','an','','2020-01-01','1',NULL),(2,'x@y.z','an','','','0',NULL);")
+    args = ["users", "--source", str(tmp_path / "d.sql"), "--out", f"{tmp_path}/out"]
+    assert jobs.run(spark, args) == {"insert": 2}
+    assert not (tmp_path / "out").exists()
+    assert jobs.run(spark, [*args, "--limit", "1", "--offset", "1", "--apply"]) == {"insert": 1}
+    assert [r.username for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["an"]
+    (tmp_path / "n.json").write_text('{"type":"FeatureCollection","features":[{"id":"1","geometry":{"type":"Point","coordinates":[4,51]},"properties":{"nr":"5"}}]}')
+    assert jobs.run(spark, ["network", "--source", str(tmp_path / "n.json"), "--out", f"{tmp_path}/n", "--apply"]) == {"insert": 1}
+    assert jobs.run(spark, ["network", "--source", str(tmp_path / "n.json"), "--stored", f"{tmp_path}/n", "--prune"]) == {"keep": 1}

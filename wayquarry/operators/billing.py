@@ -166,3 +166,27 @@ def document_totals(lines: DataFrame, by: str) -> DataFrame:
 
 def remind_days(settings: Column) -> Column:
     return or_default(settings, 30)
+
+
+def letters(invoices: DataFrame, pages: DataFrame, template: str) -> DataFrame:
+    """Per invoice (invoice_id, sub_id, name, number, total_incl, due_date): the text of its letter.
+
+    pages: sub_id, locale, published, url; a published page in Dutch is linked, else any published one, else any in
+    Dutch, else any. The template's names: name, number, amount, due, reference, page.
+    """
+    from ..functions.money import euro, structured_reference
+    from ..functions.text import filled
+    from .rows import winners
+
+    order = [F.desc(F.col("published") & (F.col("locale") == "nl")), F.desc("published"), F.desc(F.col("locale") == "nl"), F.asc("url")]
+    link = winners(pages, ["sub_id"], order).select("sub_id", "url")
+    joined = invoices.join(link, "sub_id", "left")
+    values = {"name": F.col("name"), "number": F.col("number"), "amount": euro("total_incl"), "due": day_first("due_date"), "reference": structured_reference("number"), "page": F.col("url")}
+    return joined.select("invoice_id", filled(F.lit(template), values).alias("text"))
+
+
+def measured_share(routes: DataFrame, shares: DataFrame) -> DataFrame:
+    """routes with the surface share of their own file (route_id, gpx_id, percent), only where they have none or zero."""
+    joined = routes.join(shares.select("route_id", "gpx_id", "percent"), ["route_id", "gpx_id"], "left")
+    empty = F.col("surface_percent").isNull() | (F.col("surface_percent") == 0)
+    return joined.withColumn("surface_percent", F.when(empty & F.col("percent").isNotNull(), F.col("percent")).otherwise(F.col("surface_percent"))).drop("percent")

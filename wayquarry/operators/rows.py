@@ -156,3 +156,23 @@ def profile(df: DataFrame, samples: int = 2, chars: int = 400) -> DataFrame:
         F.struct(F.lit(c).alias("name"), F.lit(t).alias("type"), F.substring(F.col(f"`{c}`").cast("string"), 1, chars).alias("sample")) for c, t in df.dtypes
     ])).alias("position", "x"))
     return own.groupBy("position", "x.name", "x.type").agg(F.collect_list("x.sample").alias("samples"))
+
+
+def overruled(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str) -> DataFrame:
+    """Per key with several rows: how many, the size of the winner, and whether a row that goes is larger (review)."""
+    marked = winner(df, keys, order)
+    kept, gone = F.max(F.when(F.col("keeps"), F.col(size))), F.max(F.when(~F.col("keeps"), F.col(size)))
+    return marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), kept.alias("kept_size"), F.coalesce(gone > kept, F.lit(False)).alias("review")).where("n_rows > 1")
+
+
+def inconsistent(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Keys whose rows don't agree in each of the columns, with the number of values there are."""
+    found = df.groupBy(key).agg(*[F.count_distinct(c).alias(c) for c in columns])
+    return found.where(reduce(lambda a, b: a | b, [F.col(c) > 1 for c in columns]))
+
+
+def not_yet_stored(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files (name, folder, kb) that are to be uploaded: no stored one has the name, folder and size, to a thousandth."""
+    of = lambda df: df.withColumn("_kb", F.round("kb", 3))
+    once = of(files).dropDuplicates(["name", "folder", "_kb"])
+    return once.join(of(stored).select("name", "folder", "_kb"), ["name", "folder", "_kb"], "left_anti").select(*files.columns)
