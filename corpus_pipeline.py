@@ -42,8 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text, and digests of the ids and of what they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary_path()).drop("text")
-    return bpe.decode(coded, vocabulary_path()).select(
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary_path(), decoded="decoded").select(
         "doc_id",
         "lang",
         "source",

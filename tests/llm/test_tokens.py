@@ -80,6 +80,8 @@ def test_bpe_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, Decoded string")
     back = bpe.decode(bpe.encode(docs, PATH), PATH)
     assert sorted((str(r.doc_id), r.decoded, len(r.ids)) for r in back.collect()) == [("1", "", 0), ("2", "", 0), ("2", "", 0), ("None", "hello", 1)]
+    at_once = bpe.encode(docs, PATH, decoded="decoded")
+    assert sorted(map(str, at_once.select("doc_id", "text", "ids", "decoded").collect())) == sorted(map(str, back.select("doc_id", "text", "ids", "decoded").collect()))
     assert bpe.decode(bpe.encode(docs.where("false"), PATH), PATH).count() == 0
     nothing = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(nothing, PATH).collect()] == ["", ""]

@@ -32,7 +32,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x2
 
 #: Pieces that each of a worker's three caches keeps, the longest piece that is kept, and the documents of a
 #: batch that are held as ids at once.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
 SLICE = 1000
 
@@ -192,21 +192,27 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.Stru
     return kept, T.StructType([*kept.schema.fields, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with the array<int> column ``ids``: the ids of the whole text in column ``text``.
 
     path: the vocabulary file, read on the driver (a few MB) and sent to the workers once.
+    decoded: the name of a further column with what the ids stand for, decoded in the same pass.
     """
     source = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     kept, schema = _with(df, ids, T.ArrayType(T.IntegerType(), False))
+    if decoded:
+        kept, _ = _with(kept, decoded, T.StringType())
+        schema = T.StructType([*kept.schema.fields, schema.fields[-1], T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, splitter = _vocabulary(source.value)
+        vocabulary, splitter = _vocabulary(source.value)
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             encoded = [splitter.ids(x or "") for x in batch.column(text).to_pylist()]
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-            column = list_array(np.frombuffer(b"".join(encoded), np.int32), lengths)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
+            columns = [*batch.columns, list_array(np.frombuffer(b"".join(encoded), np.int32), lengths)]
+            if decoded:
+                columns.append(pa.array([vocabulary.decode(np.frombuffer(x, np.int32)) for x in encoded], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.mapInArrow(run, schema)
 

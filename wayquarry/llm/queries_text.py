@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, quality, tokenfile
-from .bpe import decode, encode
+from .bpe import encode
 from .common import scratch, table
 
 
@@ -18,8 +18,7 @@ def vocabulary_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, vocabulary_path()).select("doc_id", "ids")
-    return decode(coded, vocabulary_path()).select(
+    return encode(docs, vocabulary_path(), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -31,6 +31,8 @@ from .bpe import Splitter, byte_symbols, read_vocabulary
 MAGIC = b"WQT1"
 HEAD = struct.Struct("<4sB3xQQQq")  # magic, bytes an id, documents, documents without doc_id, ids, first doc_id
 SAMPLE = 256
+#: Pieces that each of a worker's caches keeps.
+CACHE_ENTRIES = 400_000
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
 
@@ -154,7 +156,7 @@ def _encoder(source: str, kind: np.dtype) -> Splitter:
 
         special = {t.content: np.array([i], kind).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
         _encoders.clear()
-        _encoders[key] = Splitter(piece, special)
+        _encoders[key] = Splitter(piece, special, CACHE_ENTRIES)
     return _encoders[key]
 
 
