@@ -103,6 +103,37 @@ def test_fuzzy_margin(spark):
     assert listed(match.fuzzy(subs, own), "sub_id", "customer_id", "status") == [("s1", "c1", "matched"), ("s2", "c2", "ambiguous"), ("s3", None, "unmatched"), ("s4", "c4", "matched")]
 
 
+def test_fuzzy_against_all_pairs(spark):
+    """With over 50 names that share a word on each side, against the rule over every pair."""
+    from wayquarry.functions.text import name_tokens, token_similarity
+
+    rng = random.Random(8)
+    words = ["zonne", "veld", "molen", "zicht", "koppen", "berg", "linde", "kruis"]
+    name = lambda: "Kouter " + " ".join(rng.sample(words, rng.randrange(0, 3)))
+    own = [(f"c{i:03}", name(), rng.choice(["", f"m{i}@x.be"]), [d("2020-01-01")] if i % 4 == 0 else []) for i in range(70)]
+    own += [("c900", "Zilverduin", "z@x.be", []), ("c901", "Kouter Rozen", "r@x.be", []), ("c902", "Overkoppenbergen", "o@x.be", [])]
+    subs = [(f"s{i:02}", name(), None, d("2020-01-01") if i % 3 == 0 else None) for i in range(60)]
+    subs += [("s90", "Silverduin", None, None), ("s91", "Kouter Tulpen", " R@x.be", None), ("s92", "Koppenbergen", None, None), ("s93", "Kouter", "m1@x.be", None)]
+    a = frame(spark, subs, "sub_id string, sub_name string, sub_email string, start_date date")
+    b = frame(spark, own, "customer_id string, label string, email string, dates array<date>")
+    every = a.select("sub_name", name_tokens("sub_name").alias("x")).distinct().crossJoin(b.select("label", name_tokens("label").alias("y")).distinct())
+    scores = {(r.sub_name, r.label): r.s for r in every.withColumn("s", token_similarity(F.col("x"), F.col("y"))).collect()}
+    expected = []
+    for sub, sub_name, sub_email, start in subs:
+        found = []
+        for customer, label, email, dates in own:
+            score, date, same = scores[sub_name, label], start in dates, bool(email) and (sub_email or "").strip().lower() == email
+            if (same and score >= 0.3) or score >= 0.6 or (score >= 0.3 and date):
+                found.append((-(score + 0.3 * date + same), customer, email))
+        found.sort()
+        rivals = [-t for t, _, email in found[1:] if email != found[0][2]]
+        status = "unmatched" if not found else "ambiguous" if rivals and -found[0][0] - rivals[0] < 0.2 else "matched"
+        expected.append((sub, found[0][1] if found else None, status))
+    got = listed(match.fuzzy(a, b), "sub_id", "customer_id", "status")
+    assert sorted(got) == sorted(expected)
+    assert {"s90": "c900", "s91": "c901"}.items() <= {s: c for s, c, _ in got}.items()
+
+
 def test_nearest_is_exact(spark):
     rng = random.Random(1)
     points = [(i, 51 + rng.random() / 20, 4 + rng.random() / 20) for i in range(300)]

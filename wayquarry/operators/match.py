@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_tokens, token_similarity
+from ..functions.text import bigram_dice, name_tokens, token_similarity
 
 
 def cascade(rows: DataFrame, key: str, candidates: Sequence[tuple[str, Column]], targets: DataFrame, name: str, target: str) -> DataFrame:
@@ -31,19 +31,19 @@ def first_of_list(rows: DataFrame, key: str, names: Column, targets: DataFrame,
     return hits.groupBy(key).agg(F.min_by(target, F.struct("place", "_rank", target)).alias(target))
 
 
-def pairs_by_block(left: DataFrame, right: DataFrame, left_name: str, right_name: str, prefix: int = 4) -> DataFrame:
-    """Pairs of rows that may be alike: a shared word, or the same start of their joined words.
+def name_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.3) -> DataFrame:
+    """left_name, right_name and score of all distinct names that are alike by at least ``least``: every pair is compared.
 
-    Words that more than a hundredth of the right side shares (and at least 50 rows) don't make a pair by
-    themselves; they still count in the similarity of pairs that others make.
+    The cheap parts of the similarity come first: a pair without a shared word whose lengths differ by half can
+    only be alike by its bigrams or by containment.
     """
-    keys = lambda t: F.array_distinct(F.concat(t, F.array(F.concat(F.lit("^"), F.substring(F.array_join(t, ""), 1, prefix)))))
-    a = left.withColumn("left_tokens", name_tokens(left_name)).withColumn("block", F.explode(keys(F.col("left_tokens"))))
-    b = right.withColumn("right_tokens", name_tokens(right_name)).withColumn("block", F.explode(keys(F.col("right_tokens"))))
-    total = right.agg(F.count(F.lit(1)).alias("rows"))
-    common = b.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).where("n > greatest(50, rows / 100)")  # one row
-    b = b.join(common.select("block"), "block", "left_anti")
-    return a.join(b, "block").drop("block").distinct()
+    a = left.select(left_name).distinct().withColumn("left_tokens", name_tokens(left_name)).where(F.size("left_tokens") > 0)
+    b = right.select(right_name).distinct().withColumn("right_tokens", name_tokens(right_name)).where(F.size("right_tokens") > 0)
+    a, b = a.withColumn("_a", F.array_join("left_tokens", "")), b.withColumn("_b", F.array_join("right_tokens", ""))
+    short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
+    possible = (3 * short >= 2 * long) | F.arrays_overlap("left_tokens", "right_tokens") | F.contains("_a", "_b") | F.contains("_b", "_a") | (bigram_dice(F.col("_a"), F.col("_b")) >= 0.8)
+    scored = a.crossJoin(b).where(possible).withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens")))
+    return scored.where(F.col("score") >= least).select(left_name, right_name, "score")
 
 
 def best_with_margin(candidates: DataFrame, key: str, total: str, rival_group: str, order: Sequence[Column] = (), margin: float = 0.2) -> DataFrame:
@@ -75,18 +75,31 @@ def fuzzy(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
 
     A pair counts by an equal address (similarity 0.3 at least), a similarity of 0.6, or 0.3 with an equal date;
     the best total wins unless another customer comes within 0.2.
+
+    Pairs with an equal address are found by it. Without one no total is over 1.3, so a subscription that has one
+    of more than 1.5 is settled, and only the names of the others are compared with every customer's.
     """
-    by_name = pairs_by_block(subscriptions, customers, "sub_name", "label")
-    score = token_similarity(F.col("left_tokens"), F.col("right_tokens"))
-    scored = by_name.withColumns({
-        "score": score,
+    address = F.lower(F.trim("sub_email"))
+    a, b = subscriptions.withColumn("left_tokens", name_tokens("sub_name")), customers.withColumn("right_tokens", name_tokens("label"))
+    mailed = a.join(b.where("email <> ''"), address == F.col("email"))
+    by_email = _totals(mailed.withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens"))))
+    settled = by_email.where("total > 1.5").select("sub_id").distinct()
+    left = subscriptions.join(settled, "sub_id", "left_anti")
+    by_name = left.join(name_pairs(left, customers, "sub_name", "label"), "sub_name").join(customers, "label")
+    good = _totals(by_name).union(by_email.join(settled, "sub_id", "left_semi"))
+    found = best_with_margin(good, "sub_id", "total", "email", [F.asc("customer_id")])
+    return subscriptions.select("sub_id").join(found.select("sub_id", "customer_id", "score", "total", "status"), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+
+
+def _totals(pairs: DataFrame) -> DataFrame:
+    """sub_id, customer_id, email, score and total of the pairs that count."""
+    scored = pairs.withColumns({
         "same_date": F.coalesce(F.array_contains("dates", F.col("start_date")), F.lit(False)),
         "same_email": F.coalesce((F.lower(F.trim("sub_email")) == F.col("email")) & (F.col("email") != ""), F.lit(False)),
     })
     good = scored.where("(same_email and score >= 0.3) or score >= 0.6 or (score >= 0.3 and same_date)")
     total = F.col("score") + F.when(F.col("same_date"), 0.3).otherwise(0) + F.when(F.col("same_email"), 1).otherwise(0)
-    found = best_with_margin(good.withColumn("total", total), "sub_id", "total", "email", [F.asc("customer_id")])
-    return subscriptions.select("sub_id").join(found.select("sub_id", "customer_id", "score", "total", "status"), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+    return good.select("sub_id", "customer_id", "email", "score", total.alias("total"))
 
 
 def through_links(points: DataFrame, links: DataFrame, routes: DataFrame) -> DataFrame:

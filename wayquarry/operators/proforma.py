@@ -6,9 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_similarity
 from ..storage import stored
-from .match import pairs_by_block
+from .match import name_pairs
 
 ASSIGNED = "proforma_id long, line_id long, sub_id string, how string, problem string"
 
@@ -19,7 +18,7 @@ def candidates(lines: DataFrame, subs: DataFrame, links: DataFrame) -> DataFrame
     links: (lodging_id, sub_id). A linked pair has the score 10; others need a similarity of 0.6, or 0.3 with an equal day of the year.
     """
     linked = lines.join(links, "lodging_id").select("proforma_id", "line_id", "sub_id", F.lit(10.0).alias("total"), F.lit("lodging").alias("how"))
-    pairs = pairs_by_block(lines, subs, "line_name", "sub_name").withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens")))
+    pairs = lines.join(name_pairs(lines, subs, "line_name", "sub_name"), "line_name").join(subs, "sub_name")
     day = F.coalesce(F.date_format("next_run", "MM-dd") == F.date_format("period_start", "MM-dd"), F.lit(False))
     named = pairs.withColumn("day", day).where("score >= 0.6 or (score >= 0.3 and day)")
     return linked.union(named.select("proforma_id", "line_id", "sub_id", F.col("score") + F.when(F.col("day"), 0.3).otherwise(0.0), F.lit("name")))
