@@ -90,8 +90,8 @@ def name_ratios(spark: SparkSession, sf: str) -> DataFrame:
 def name_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' orders to subscriptions by fuzzy names, addresses and dates."""
     c = table(spark, sf, "customer")
-    subs = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").cast("string").alias("sub_id"), F.concat(F.lit("Huis "), F.col("c_name")).alias("sub_name"), F.concat("c_name", F.lit("@example.com")).alias("sub_email"), F.lit("2000-01-01").cast("date").alias("start_date"))
-    own = c.where("c_custkey % 20 = 0").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("label"), F.lower(F.concat("c_name", F.lit("@example.com"))).alias("email"), F.array(F.lit("2000-01-01").cast("date")).alias("dates"))
+    subs = c.select(F.col("c_custkey").cast("string").alias("sub_id"), F.concat(F.lit("Huis "), F.col("c_name")).alias("sub_name"), F.concat("c_name", F.lit("@example.com")).alias("sub_email"), F.lit("2000-01-01").cast("date").alias("start_date"))
+    own = c.select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("label"), F.lower(F.concat("c_name", F.lit("@example.com"))).alias("email"), F.array(F.lit("2000-01-01").cast("date")).alias("dates"))
     return match.fuzzy(subs, own).select("sub_id", "customer_id", "status", F.round("total", 6).alias("total"))
 
 
