@@ -161,6 +161,23 @@ def test_sharding_write(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((i, f"text {i}") for i in range(200))
 
 
+def test_sharding_pages_fit(spark):
+    """One key with many texts: every page fits, unless it holds one text, and reports its own bytes and rows."""
+    rows = [(1, f"{i} " + "x" * (i % 90)) for i in range(900)] + [(1, "long" * 800)] * 2 + [(2, "same" * 300)] * 3 + [(i, "y" * 50) for i in range(3, 200)]
+    found = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), limit=2000, hashes=True).collect()
+    assert len(found) == len(rows)
+    shards = {}
+    for r in found:
+        shards.setdefault(r.shard, []).append(r)
+    assert sum("p" in s for s in shards) > 20
+    for own in shards.values():
+        size = sum(r.n_bytes for r in own)
+        assert size <= 2000 or len({(r.h, r.t) for r in own}) == 1
+        assert {(r.bucket_bytes, r.bucket_rows) for r in own} == {(size, len(own))}
+    names = sorted(shards)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+
+
 def test_quality_edges(spark):
     rows = [(1, None, 0), (None, "", 1), (2, "word " * 9, 2), (2, "word " * 9, 2), (3, "one two three four five six seven eight nine ten", 3), (4, "#" * 100_000, 4), (5, "héllo\x0b wörld\n" * 5, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")

@@ -6,8 +6,8 @@ bucket fits. Splitting needs bytes by hash prefix only: they are counted once fo
 the corpus is likely to need (2^MAX_BITS at most), and the levels above are sums of those. What is too large
 even there is counted again with further bits, for those prefixes alone.
 
-Equal keys can't be told apart by more bits. A bucket of one key that is over the limit is dealt to as many
-pages as its bytes need by a hash of its texts; a page can exceed the limit only where a single text (or one
+Equal keys can't be told apart by more bits. A bucket of one key that is over the limit splits in the same way
+on the bits of a hash of its texts, into pages; a page can exceed the limit only where a single text (or one
 that is repeated) does. Null keys hash as the empty text; null texts hold no bytes. Other columns are not read.
 """
 
@@ -33,52 +33,62 @@ def _bits_for(total: int, limit: int) -> int:
     return max(1, min(MAX_BITS, (64 * total // max(1, limit)).bit_length()))
 
 
-def _level(rows: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
-    """The directory of the rows' prefixes of base + bits bits: fine, depth (null: none fits yet), bytes and rows of the bucket, whether of one key."""
+def _level(rows: DataFrame, base: int, bits: int, limit: int, by: list[str], hashed: str) -> DataFrame:
+    """The directory, for each ``by``, of the rows' prefixes of base + bits bits: fine, depth (null: none fits yet), bytes and rows of the bucket, whether its hashes are equal."""
     deep = base + bits
-    fine = rows.groupBy(F.shiftright("h", HASH_BITS - deep).alias("fine")).agg(
-        F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("h").alias("low"), F.max("h").alias("high")
+    fine = rows.groupBy(*by, F.shiftright(hashed, HASH_BITS - deep).alias("fine")).agg(
+        F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min(hashed).alias("low"), F.max(hashed).alias("high")
     )
     levels = fine.select("*", F.explode(F.sequence(F.lit(base), F.lit(deep))).alias("depth"))
     prefix = F.expr(f"shiftright(fine, {deep} - depth)")
-    nodes = levels.groupBy("depth", prefix.alias("prefix")).agg(
+    nodes = levels.groupBy(*by, "depth", prefix.alias("prefix")).agg(
         F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     fits = nodes.where((F.col("bytes") <= limit) | (F.col("low") == F.col("high"))).withColumn("one_key", F.col("low") == F.col("high"))
-    found = levels.select("fine", "depth", prefix.alias("prefix")).join(fits, ["depth", "prefix"])
-    first = found.groupBy("fine").agg(F.min(F.struct("depth", "bytes", "rows", "one_key")).alias("bucket"))
-    return fine.select("fine").join(first, "fine", "left").select("fine", "bucket.*")
+    found = levels.select(*by, "fine", "depth", prefix.alias("prefix")).join(fits, [*by, "depth", "prefix"])
+    first = found.groupBy(*by, "fine").agg(F.min(F.struct("depth", "bytes", "rows", "one_key")).alias("bucket"))
+    return fine.select(*by, "fine").join(first, [*by, "fine"], "left").select(*by, "fine", "bucket.*")
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", hashes: bool = False) -> DataFrame:
-    """Per row of docs: key, shard (its bits, and p with the page where a key has several), depth, n_bytes, bucket_bytes, bucket_rows."""
-    own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    measured = own.select(
-        "key",
-        key_hash(F.col("key")).alias("h"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        key_hash(F.col("text")).alias("t"),
-    )
-    rows = stored(measured, "shard-keys")
+def _split(rows: DataFrame, limit: int, hashed: str, by: list[str]) -> DataFrame:
+    """rows (key, h, n_bytes, t) with depth, bytes, rows and one_key of the bucket of each by the hash's bits."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     base, out = 0, None
     while True:
         bits = min(_bits_for(total, limit), HASH_BITS - base)
-        # at most 2^MAX_BITS rows at the first level, and later those that one level left over
-        directory = stored(_level(rows, base, bits, limit), "shard-directory")
-        prefix = F.shiftright("h", HASH_BITS - base - bits)
-        placed = rows.withColumn("fine", prefix).join(F.broadcast(directory) if base == 0 else directory, "fine")
-        part = placed.where("depth is not null").drop("fine")
+        # without by, at most 2^MAX_BITS rows at the first level, and later those that one level left over
+        directory = stored(_level(rows, base, bits, limit, by, hashed), "shard-directory")
+        prefix = F.shiftright(hashed, HASH_BITS - base - bits)
+        placed = rows.withColumn("fine", prefix).join(F.broadcast(directory) if base == 0 and not by else directory, [*by, "fine"])
+        part = placed.where("depth is not null").select("key", "h", "n_bytes", "t", "depth", "bytes", "rows", "one_key")
         out = part if out is None else out.union(part)
         base += bits
         if base >= HASH_BITS or directory.where("depth is null").isEmpty():
-            break
+            return out
         rows = stored(placed.where("depth is null").select("key", "h", "n_bytes", "t"), "shard-keys")
-    name = F.expr(f"substring(lpad(bin(h), {HASH_BITS}, '0'), 1, depth)")
-    pages = F.when(F.col("one_key") & (F.col("rows") > 1), F.ceil(F.col("bytes") / F.lit(limit))).otherwise(1)
-    page = F.when(pages > 1, F.concat(F.lit("p"), F.pmod("t", pages).cast("string"))).otherwise("")
+
+
+def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", hashes: bool = False) -> DataFrame:
+    """Per row of docs: key, shard (its bits, and p with the bits of the page where a key has several), depth, n_bytes, bytes and rows of the bucket or page."""
+    own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    measured = own.select(
+        "key",
+        key_hash(F.col("key")).alias("h"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        key_hash(F.col("text")).alias("t"),
+    )
+    out = _split(stored(measured, "shard-keys"), limit, "h", []).withColumn("page", F.lit(""))
+    bits = lambda c, n: F.expr(f"substring(lpad(bin({c}), {HASH_BITS}, '0'), 1, {n})")
+    over = F.col("one_key") & (F.col("bytes") > limit) & (F.col("rows") > 1)
+    large = stored(out.where(over).select("key", "h", "n_bytes", "t", F.col("depth").alias("key_depth")), "shard-pages")
+    if not large.isEmpty():
+        depths = large.select("h", "key_depth").distinct()
+        paged = _split(large.drop("key_depth"), limit, "t", ["h"]).join(depths, "h")
+        page = F.when(F.col("depth") > 0, F.concat(F.lit("p"), bits("t", "depth"))).otherwise("")
+        paged = paged.withColumn("page", page).withColumn("depth", F.col("key_depth"))
+        out = out.where(~over).unionByName(paged.select(*out.columns))
     return out.select(
-        F.col("key").alias(key), F.concat(name, page).alias("shard"), F.col("depth").cast("int").alias("depth"), "n_bytes",
+        F.col("key").alias(key), F.concat(bits("h", "depth"), "page").alias("shard"), F.col("depth").cast("int").alias("depth"), "n_bytes",
         F.col("bytes").alias("bucket_bytes"), F.col("rows").alias("bucket_rows"), *(["h", "t"] if hashes else []),
     )
 
