@@ -255,6 +255,14 @@ def test_decontaminate_edges(spark):
     assert sorted(str(r.text) for r in decontaminate.remove(d, b).collect()) == sorted([" here", "None", "", "", ""])
 
 
+def test_decontaminate_null_item(spark):
+    b = spark.createDataFrame([(None, "planted without id"), (1, "known item")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "here planted without id stands"), (2, "a known item planted without id"), (3, "clean")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_hit, r.item_ids) for r in decontaminate.find(d, b).collect())
+    assert found == [(1, 3, []), (2, 5, ["1"]), (3, 0, [])]
+    assert sorted(r.text for r in decontaminate.remove(d, b).collect()) == ["a ", "clean", "here stands"]
+
+
 def test_suffix_array_and_wavelet():
     rng = np.random.default_rng(2)
     for n in (1, 2, 50, 400):

@@ -12,7 +12,8 @@ to every task, so their number is checked: more than MAX_PHRASE_WORDS words of b
 several passes over the documents, each with its own part of the items and written in between.
 
 Null and empty texts have no words and no hits; an item without words has no phrase. Repeated documents each
-get their own row, items that share an item_id count once. Other columns are not read.
+get their own row, items that share an item_id count once. An item without an id is searched like any other and
+only missing in item_ids. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -145,13 +146,13 @@ class Phrases:
 
     numbers: dict[bytes, int]
     by_length: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
+    items: dict[int, list[list[str | None]]]
     shortest: int
 
     @staticmethod
-    def of(items: list[tuple[str, str]]) -> Phrases:
+    def of(items: list[tuple[str | None, str]]) -> Phrases:
         numbers: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], list[str]]] = {}
+        found: dict[int, dict[tuple[int, ...], list[str | None]]] = {}
         for item_id, text in items:
             words = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
             size = min(WINDOW, len(words))
@@ -200,7 +201,7 @@ def hits(docs: list[str], phrases: Phrases) -> Iterator[tuple[int, list[tuple[in
             for phrase, place, r in zip(which.tolist(), places.tolist(), run.tolist()):
                 at = int(offset[r][0]) + place - int(run_starts[r])
                 spans.setdefault(owner[r], []).append((at, at + size))
-                items.setdefault(owner[r], set()).update(phrases.items[size][phrase])
+                items.setdefault(owner[r], set()).update(i for i in phrases.items[size][phrase] if i is not None)
     for d, n in enumerate(counts):
         yield n, merged(spans.get(d, ())), items.get(d, set())
 
@@ -215,12 +216,12 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_parts(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
+def item_parts(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark's items in parts of about ``most`` words at most, read part by part."""
-    part: list[tuple[str, str]] = []
+    part: list[tuple[str | None, str]] = []
     words = 0
     own = benchmark.select(benchmark[item].cast("string").alias("item"), benchmark[text].alias("text"))
-    for row in own.where("item is not null and text is not null").toLocalIterator():
+    for row in own.where("text is not null").toLocalIterator():
         part.append((row.item, row.text))
         words += len(words_of(row.text))
         if words >= most:
@@ -264,7 +265,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     return found
 
 
-def _pass(found: DataFrame, part: list[tuple[str, str]]) -> DataFrame:
+def _pass(found: DataFrame, part: list[tuple[str | None, str]]) -> DataFrame:
     """Adds what the documents hold of these items to their spans and item_ids."""
     shared = found.sparkSession.sparkContext.broadcast(part)
 
