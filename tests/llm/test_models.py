@@ -91,6 +91,17 @@ def test_toxicity_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_toxicity_keeps_the_balance(spark):
+    """Texts that say nothing about their class score the share of toxic ones, with a capped sample too."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(["some", "plain", "words", "here", "again"], k=20))) for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(4000)], "doc_id long, toxic int")
+    for sample in (4000, 200):
+        model = toxicity.fit(docs, labels, sample=sample)
+        mean = toxicity.score(docs, model).agg(F.avg("score")).first()[0]
+        assert 0.05 < mean < 0.2, sample
+
+
 def test_kneser_ney_sums_to_one():
     from collections import Counter
 

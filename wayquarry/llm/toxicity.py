@@ -6,7 +6,8 @@ count in how many contexts a gram was seen in either class. A rare expression th
 often is thus judged alike by both, and its log-likelihood ratio is near zero. A word's ratio is the sum over
 its characters; a document's is the sum of what its words have beyond FLOOR, divided by the number of its
 words. A logistic curve over the logarithm of that, fitted on labelled documents that the models have not
-seen, gives the score.
+seen, gives the score; those rows are weighted so that both classes count as among all labelled rows, however
+many of each the sample takes.
 
 The models are fitted on a bounded sample (SAMPLE documents of each class at most, by a hash of doc_id), so
 what is sent to the tasks is bounded by it; every document is scored over its whole text.
@@ -118,14 +119,15 @@ def _cache(model: KneserNey) -> Pieces:
     return Pieces(lambda w: max(0.0, sum(map(of_gram, grams(w, model.order))) - FLOOR), CACHE_ENTRIES)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
     """Slope and offset by Newton's method, with a little ridge so that separable classes stay finite."""
+    weights = np.ones(len(x)) if weights is None else weights
     design = np.stack([x, np.ones(len(x))], axis=1)
     w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (y - p) - 1e-3 * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        gradient = design.T @ (weights * (y - p)) - 1e-3 * w
+        hessian = (design * (weights * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         w = w + np.linalg.solve(hessian, gradient)
     return float(w[0]), float(w[1])
 
@@ -145,7 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """labels: (key, label 0 or 1) of the rows to learn from. The sample's grams are counted by Spark."""
     spark = docs.sparkSession
     own = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("key is not null and label in (0, 1)")
-    chosen = per_class(own, "label", "key", sample).distinct()
+    own = own.distinct()
+    chosen = per_class(own, "label", "key", sample)
+    sizes = lambda df: {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    labelled, sampled = sizes(own), sizes(chosen)
     fold = F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.lit(CALIBRATION)) == 0
     # at most about SAMPLE rows a class
     learned = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(chosen), "key").withColumn("calibrates", fold)
@@ -177,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = learned.where("calibrates").mapInArrow(value, "label int, value double").toPandas()
     x, y = np.log(rows["value"].to_numpy(float) + SMALLEST), rows["label"].to_numpy(float)
     # without both classes there is nothing to compare: every text is as likely as not
-    slope, offset = logistic(x, y) if len(set(y)) == 2 else (0.0, 0.0)
+    each = np.array([labelled[int(c)] / sampled[int(c)] for c in y])
+    slope, offset = logistic(x, y, each / each.mean()) if len(set(y)) == 2 else (0.0, 0.0)
     return Model(model, slope, offset)
 
 
