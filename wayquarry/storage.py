@@ -9,18 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (one machine) a temporary one is made and set."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster, whose executors would
+    each write to a disk of their own, that is an error.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wayquarry-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once and read back: ends the lineage, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for df, once nothing that reads it is to be computed any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
