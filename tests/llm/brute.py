@@ -60,23 +60,25 @@ def edit_distance_one(a: list[str], b: list[str]) -> bool:
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def removed_lines(docs: list[tuple[int, str | None]]) -> dict[int, list[int]]:
-    """Per key the numbers of lines that go; keys are distinct."""
-    seen: list[list[str]] = []
+def removed_lines(docs: list[tuple[int, str | None]], edit_words: int = 8, edit_chars: int = 16) -> dict[int, list[int]]:
+    """Per key the numbers of lines that go; keys are distinct. Edits are words in long lines, characters in shorter ones."""
+    seen: dict[str, list] = {"words": [], "chars": []}
     exact: set[tuple] = set()
     out: dict[int, list[int]] = {}
     for key, text in sorted(docs):
         out[key] = []
         for number, line in enumerate((text or "").split("\n")):
             w = words(line)
-            if len(w) < 4:
+            if not w:
                 continue
-            gone = tuple(w) in exact or (len(w) >= 8 and any(len(s) >= 8 and abs(len(s) - len(w)) <= 1 and edit_distance_one(s, w) for s in seen))
-            if gone:
+            kind, symbols = ("words", w) if len(w) >= edit_words else ("chars", list(" ".join(w)))
+            compared = kind == "words" or len(symbols) >= edit_chars
+            if tuple(w) in exact or (compared and any(edit_distance_one(s, symbols) for s in seen[kind])):
                 out[key].append(number)
             if tuple(w) not in exact:
                 exact.add(tuple(w))
-                seen.append(w)
+                if compared:
+                    seen[kind].append(symbols)
     return out
 
 
@@ -149,3 +151,81 @@ class Katz:
 
 def crc(key, modulus: int) -> int:
     return zlib.crc32(str(key).encode()) % modulus
+
+
+class Toxicity:
+    """Class-conditional Kneser-Ney over the characters of words: own counts of the longest grams, shared lower orders."""
+
+    def __init__(self, texts: list[tuple[str, int]], order: int = 5, discount: float = 0.75) -> None:
+        self.order, self.d = order, discount
+        self.own = {0: Counter(), 1: Counter()}
+        for text, label in texts:
+            for w in text.lower().split():
+                for context, x in self.places(w):
+                    self.own[label][context, x] += 1
+        longest = {g for c in self.own.values() for g in c}
+        # shared[k]: of grams of k characters, in how many contexts they stand (at the start of a word: how often)
+        self.shared = [Counter() for _ in range(order)]
+        for context, x in longest:
+            if len(context) == order - 1:
+                self.shared[order - 1][context[1:], x] += 1
+            else:
+                self.shared[len(context) + 1][context, x] += sum(c[context, x] for c in self.own.values())
+        for k in range(order - 1, 1, -1):
+            for context, x in self.shared[k]:
+                self.shared[k - 1][context[1:], x] += 1
+        self.characters = len(self.shared[1]) + 1
+
+    def places(self, word: str):
+        marked = "\x02" + word + "\x03"
+        for i in range(1, len(marked)):
+            yield marked[max(0, i - self.order + 1) : i], marked[i]
+
+    def discounted(self, counts: Counter, context: str, x: str, lower: float) -> float:
+        after = [n for (c, _), n in counts.items() if c == context]
+        if not after:
+            return lower
+        return (max(counts[context, x] - self.d, 0) + self.d * len(after) * lower) / sum(after)
+
+    def p(self, label: int, context: str, x: str) -> float:
+        p = 1 / self.characters
+        start = context[1:] if len(context) == self.order - 1 else context
+        for k in range(len(start) + 1):
+            p = self.discounted(self.shared[k + 1], start[len(start) - k :], x, p)
+        return self.discounted(self.own[label], context, x, p)
+
+    def values(self, text: str, floor: float = 3.0) -> tuple[float, float]:
+        words = text.lower().split()
+        of = [sum(math.log(self.p(1, c, x) / self.p(0, c, x)) for c, x in self.places(w)) for w in words]
+        characters = sum(len(w) + 1 for w in words)
+        return (sum(of) / characters, sum(r - floor for r in of if r > floor) / len(words)) if words else (0.0, 0.0)
+
+
+def language_features(text: str, bits: int = 13) -> dict[int, float]:
+    """Hashed grams of one to three bytes of the letters, scaled to length one."""
+    raw = text.lower().encode()
+    raw = b" " + b" ".join(bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in raw).split()) + b" "
+    counts = Counter()
+    for k in range(3):
+        for i in range(len(raw) - k):
+            code = int.from_bytes(raw[i : i + k + 1], "big") + (k << 24)
+            counts[(code * 2654435761 & 0xFFFFFFFF) >> (32 - bits)] += 1
+    length = math.sqrt(sum(n * n for n in counts.values()))
+    return {at: n / length for at, n in counts.items()}
+
+
+def language(text: str, families: dict[str, list[str]], of_family: dict[str, list[float]], of_pair: dict[tuple[str, str], list[float]]) -> str:
+    """The family with the largest margin, and in it the language with most duels won (then the largest sum of margins)."""
+    if not any(c.isalpha() for c in text):
+        return "und"
+    x = language_features(text)
+    margin = lambda w: sum(v * w[at] for at, v in x.items()) + w[-1]
+    family = max(families, key=lambda f: margin(of_family[f])) if len(families) > 1 else next(iter(families))
+    votes = {name: [0, 0.0] for name in families[family]}
+    for (a, b), w in of_pair.items():
+        if a in votes:
+            m = margin(w)
+            votes[a if m >= 0 else b][0] += 1
+            votes[a][1] += m
+            votes[b][1] -= m
+    return max(votes, key=votes.get)

@@ -78,6 +78,16 @@ def test_simhash_edges(spark):
     assert simhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_keep_one_judges_rows(spark):
+    """Other texts under a kept or dropped key are judged by themselves."""
+    a, b = "one text that stands here twice", "quite another text without any copy"
+    case = lambda *rows: sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert case(("2", a), ("5", a), ("5", b)) == [("2", a), ("5", b)]
+    assert case(("5", a), ("5", b)) == [("5", b), ("5", a)] or case(("5", a), ("5", b)) == [("5", a), ("5", b)]
+    assert case(("5", b), ("5", b), ("7", a), ("9", b)) == [("5", b), ("7", a)]
+    assert case(("5", a), ("5", a.upper())) in ([("5", a)], [("5", a.upper())])
+
+
 def line_docs():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
@@ -123,11 +133,35 @@ def test_lines_edges(spark):
     rows = [(None, line, "p"), (1, line, "q"), (1, line, "q"), (2, "", None), (2, None, "r"), (3, "one two\n" * 3, "s"), (4, line.replace("four", "FOUR") + " nine", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, line string")
     found = sorted(((r.doc_id, r.text, r.line) for r in lines.dedup(docs).collect()), key=repr)
-    assert found == sorted([(None, line, "p"), (1, "", "q"), (1, "", "q"), (2, "", None), (2, None, "r"), (3, "one two\n" * 3, "s"), (4, "", "t")], key=repr)
+    assert found == sorted([(None, line, "p"), (1, "", "q"), (1, "", "q"), (2, "", None), (2, None, "r"), (3, "one two\n", "s"), (4, "", "t")], key=repr)
     assert lines.dedup(docs.where("false")).count() == 0
     assert lines.report(docs.where("false")).count() == 0
 
 
+def test_lines_without_key(spark):
+    """Rows without a key are documents of their own; those of one text keep the same lines."""
+    rows = [(None, f"line number {i} of this corpus stands here for the first time {i * i}\nshared line of them all, with some words") for i in range(60)] + [(None, "x\ny\nx")] * 2
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = [r.text for r in lines.dedup(docs).collect()]
+    assert len(found) == len(rows)
+    assert sum("shared line" in x for x in found) == 1
+    assert found.count("x\ny") == 2
+
+
+def test_short_lines(spark):
+    rows = [(1, "Page 1\nPage 2\nYes\nyes\nContents of this page\nContents of that page"), (2, "contents of thin page\nPage  1\n東京の天気は今日とても良いですねはい\n東京の天気は今日とても良いですね、はい")]
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert found == {1: "Page 1\nPage 2\nYes\nContents of this page\nContents of that page", 2: "東京の天気は今日とても良いですねはい"}
+
+
+def test_deletions_are_those_of_the_rests():
+    rng = random.Random(1)
+    for symbols in (["a", "b", "a", "c"], [rng.choice("xyz") for _ in range(50)]):
+        for own, cut in ((("".join(symbols)), lambda s, i: s[:i] + s[i + 1 :]), ([s.encode() for s in symbols], lambda s, i: s[:i] + s[i + 1 :])):
+            rests, _ = lines.deletions(own)
+            assert rests.tolist() == [lines.deletions(cut(own, i))[1] for i in range(len(own))]
+
+
 def test_sharding_edges(spark):
     rows = [(i % 50, "x" * (i % 700), i) for i in range(1000)] + [(None, None, 1), (None, "y" * 5000, 2), (7, "big" * 5000, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, depth int")
@@ -161,6 +195,14 @@ def test_sharding_write(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((i, f"text {i}") for i in range(200))
 
 
+def test_sharding_write_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "mine")], "doc_id long, text string, Shard string")
+    with pytest.raises(ValueError):
+        sharding.write(docs, f"file://{tmp_path}/s")
+    sharding.write(docs, f"file://{tmp_path}/s", column="bucket")
+    assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/s").collect()] == [(1, "a", "mine", "all")]
+
+
 def test_sharding_pages_fit(spark):
     """One key with many texts: every page fits, unless it holds one text, and reports its own bytes and rows."""
     rows = [(1, f"{i} " + "x" * (i % 90)) for i in range(900)] + [(1, "long" * 800)] * 2 + [(2, "same" * 300)] * 3 + [(i, "y" * 50) for i in range(3, 200)]

@@ -131,6 +131,60 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_against_plain_version(spark):
+    """Values of texts as the plain model gives them; the curve lies where the weighted likelihood is greatest."""
+    rng = random.Random(9)
+    plain_words, rude = "some plain words stand here again and others there".split(), "rude ruder vile".split()
+    rows = [(k, " ".join(rng.choices(plain_words + (rude if k % 3 == 0 else []), k=rng.randrange(0, 25))), int(k % 3 == 0)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    calibrates = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(toxicity.CALIBRATION)) == 0).collect()}
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", F.col("label").alias("toxic")))
+    plain = brute.Toxicity([(t, c) for k, t, c in rows if k not in calibrates])
+    cache = toxicity._cache(model.kneser_ney)
+    values = {k: plain.values(t) for k, t, _ in rows}
+    for k, t, _ in rows[:60]:
+        assert toxicity.values(toxicity.words_of(t), cache) == pytest.approx(values[k], rel=1e-9, abs=1e-12)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for k, (a, b) in values.items():
+        z = float(np.array([a, math.log(b + toxicity.SMALLEST), 1]) @ model.weights)
+        assert found[k] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    slope = np.zeros(3)
+    own = [(k, c) for k, _, c in rows if k in calibrates]
+    for k, c in own:
+        slope += (c - found[k]) * np.array([values[k][0], math.log(values[k][1] + toxicity.SMALLEST), 1])
+    assert slope == pytest.approx(1e-3 * model.weights, abs=1e-3)
+
+
+def test_language_against_plain_version(spark):
+    rng = random.Random(4)
+    words = {"en": "the house and of with this", "de": "das haus und von mit diesem", "nl": "het huis en van met dit", "fr": "la maison et de avec cette", "es": "la casa y de con esta"}
+    rows = [(k, " ".join(rng.choices(words[c].split(), k=rng.randrange(1, 12))), c) for k, c in enumerate(sorted(words) * 30)]
+    docs = spark.createDataFrame([*rows, (998, "123", None), (999, None, None)], "doc_id long, text string, lang string")
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    for x in (t for _, t, _ in rows[:20]):
+        at, values = language.features(x)
+        assert dict(zip(at.tolist(), values.tolist())) == pytest.approx(brute.language_features(x))
+    of_family = {f: model.family_weights[:, i] for i, f in enumerate(model.families)}
+    of_pair = {(names[a], names[b]): model.pairs[f][1][:, i] for f, names in model.languages.items() if f in model.pairs for i, (a, b) in enumerate(model.pairs[f][0])}
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert found == {k: brute.language(t or "", model.languages, of_family, of_pair) for k, t, _ in [*rows, (998, "123", None), (999, None, None)]}
+    assert np.mean([found[k] == c for k, _, c in rows]) > 0.9
+
+
+def test_machine_is_the_optimum():
+    """Of the squared hinge loss: w = 2 C sum of y x (1 - y w x) over the rows within the margin."""
+    rng = np.random.default_rng(3)
+    x = [(np.sort(rng.choice(30, 6, replace=False)), rng.random(6)) for _ in range(80)]
+    y = np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    w = language.machine(x, y, cost=0.5, rounds=500, dimensions=30)
+    total = np.zeros(31)
+    for (at, v), s in zip(x, y):
+        dense = np.zeros(31)
+        dense[at], dense[-1] = v, 1
+        total += 2 * 0.5 * s * max(0.0, 1 - s * (dense @ w)) * dense
+    assert total == pytest.approx(w, abs=0.1)  # rounds end when no row moves by more than a thousandth
+
+
 def test_language_on_held_out(spark):
     found = op8_language(spark, str(DATA / "sf0.01"))
     truth = spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).select("doc_id", "lang", "text")
@@ -158,6 +212,6 @@ def test_machine_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
     y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0.1, 1.0, -1.0)
-    w = language.machine(x, y)
+    w = language.machine([(np.arange(5), row) for row in x], y, dimensions=5)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
     assert math.isfinite(w.sum())

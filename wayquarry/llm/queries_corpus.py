@@ -11,8 +11,9 @@ from .common import table
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = lines.report(docs)
-    return docs.select("doc_id").distinct().join(found, "doc_id", "left").select(
+    found = lines.report(docs).withColumnRenamed("doc_id", "of_doc")
+    own = docs.select("doc_id", lines.text_hash(F.col("text")).alias("own_t"))
+    return own.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("own_t") == F.col("t")), "left").select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
