@@ -3,7 +3,8 @@
 ``fingerprint`` reads each text once. ``components`` works on distinct fingerprints: those that differ in at
 most two bits agree on one of three blocks of bits at least, so a shard is all fingerprints with the same
 value of one block. Each shard's BK-tree (children keyed by their integer Hamming distance to the parent) is
-built and searched within one task, following only edges within the radius.
+built and searched within one task, following only edges within the radius. The trees are not broadcast: all
+of them together grow with the corpus, so they have no proven bound, and a shard's queries are its own members.
 
 No shard grows beyond a bound: one of more than MAX_SHARD fingerprints is dealt anew by the values of three
 parts of its remaining bits, which must agree in one part again, down to LEVELS levels, where so many bits
@@ -25,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, texts
+from .common import numbered, pieces, stored, texts
 
 RADIUS = 2
 SHINGLE = 3
@@ -60,15 +62,16 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ``fp`` (long; the 64 bits as a signed number)."""
-    own = docs.select(docs[key].cast("long").alias(key), docs[text].alias("text"))
+    """Per row of docs: key, t (a hash of the text) and ``fp`` (long; the 64 bits as a signed number)."""
+    own = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"))
+    schema = T.StructType([*own.schema.fields[:2], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             found = [simhash(shingle_hashes(x)) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["key", "t", "fp"])
 
-    return own.mapInArrow(run, f"`{key}` long, fp long")
+    return own.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 class BKTree:
@@ -199,31 +202,41 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("links did not settle")
 
 
+def _rooted(rows: DataFrame, max_shard: int, least: Column) -> DataFrame:
+    """fp and first: the least of what ``least`` gives among the rows of all fingerprints that links reach."""
+    distinct = rows.groupBy("fp").agg(least.alias("least"))
+    roots = connected(links(distinct.select("fp"), max_shard))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", max_shard: int = MAX_SHARD) -> DataFrame:
     """Per row of docs: key, fp, component_id (the least key among the fingerprints that links reach)."""
     rows = stored(fingerprint(docs, key, text), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = connected(links(distinct.select("fp"), max_shard))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    return rows.join(_rooted(rows, max_shard, F.min(key)), "fp").select(key, "fp", F.col("first").alias("component_id"))
 
 
 def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the least key.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_shard: int = MAX_SHARD) -> DataFrame:
+    """docs with one document of each component: the one with the least key (and, among those, the least hash of its text).
 
-    Rows that repeat a kept key are reduced to one of them. Rows without a key can't be named and stay.
+    A document is a key and a text: of rows that repeat both one stays, and other texts under the same key are
+    judged by their own components. Rows without a key can't be named and stay.
     """
-    found = stored(components(docs, key, text).where(f"`{key}` is not null"), "components")
-    dropped = found.where(f"`{key}` <> component_id").select(key).distinct()
-    repeated = found.where(f"`{key}` = component_id").groupBy(key).count().where("count > 1").select(key)
-    kept = docs.join(dropped, key, "left_anti").select(docs.columns)
+    rows = stored(fingerprint(docs, key, text).where(f"`{key}` is not null"), "fingerprints")
+    first = _rooted(rows, max_shard, F.min(F.struct(key, "t")))
+    named = rows.join(first, "fp").select(F.col(key).alias("k"), "t", (F.struct(F.col(key).alias("k"), "t") == F.col("first")).alias("stays"))
+    state = stored(named.groupBy("k", "t").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "components")
+    own, (of_key, at) = numbered(docs, key, text)
+    names = own.columns
+    same = lambda some: (own[f"c{of_key}"] == some["k"]) & (F.xxhash64(own[f"c{at}"]) == some["t"])
+    dropped = state.where("not stays").select("k", "t")
+    own = own.join(dropped, same(dropped), "left_anti")
+    repeated = state.where("stays").select("k", "t")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").union(once).select(docs.columns)
+        return own.select(*names).toDF(*docs.columns)
+    once = own.join(repeated, same(repeated)).dropDuplicates(["k", "t"]).select(*names)
+    return own.join(repeated, same(repeated), "left_anti").select(*names).union(once).toDF(*docs.columns)
