@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 #: Bits of the hash (15 hexadecimal digits of an MD5 sum), and of a directory that is sent to every task (some 50 MB).
 HASH_BITS = 60
@@ -93,11 +93,15 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     )
 
 
-def write(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
-    """Writes docs to path, a folder for each shard."""
-    of_row = [key_hash(docs[key]).alias("of_key"), key_hash(docs[text]).alias("of_text")]
-    shards = assign(docs, limit, key, text, hashes=True).select("h", "t", "shard").distinct()
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *of_row)
-    named = rows.join(shards, (F.col("of_key") == F.col("h")) & (F.col("of_text") == F.col("t")))
-    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "shard"]
-    named.select(*columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text", column: str = "shard") -> None:
+    """Writes docs to path, a folder for each shard, named by ``column``; a corpus that fits in one shard is its shard ``all``.
+
+    docs must have no column of that name, which the folders' would replace.
+    """
+    if column.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the rows have a column {column}; give the folders another one")
+    own, (of_key, at) = numbered(docs, key, text)
+    of_row = [key_hash(own[f"c{of_key}"]).alias("of_key"), key_hash(own[f"c{at}"]).alias("of_text")]
+    shards = assign(docs, limit, key, text, hashes=True).select("h", "t", F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias("shard")).distinct()
+    named = own.select(*own.columns, *of_row).join(shards, (F.col("of_key") == F.col("h")) & (F.col("of_text") == F.col("t")))
+    named.select(*own.columns, "shard").toDF(*docs.columns, column).repartition(column).write.partitionBy(column).parquet(path)
