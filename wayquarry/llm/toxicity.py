@@ -3,11 +3,14 @@
 Two models of the characters of a word, one learned from toxic and one from ordinary documents, discount
 their own counts of n characters (ORDER) and fall back to one shared Kneser-Ney model, whose lower orders
 count in how many contexts a gram was seen in either class. A rare expression that neither class has seen
-often is thus judged alike by both, and its log-likelihood ratio is near zero. A word's ratio is the sum over
-its characters; a document's is the sum of what its words have beyond FLOOR, divided by the number of its
-words. A logistic curve over the logarithm of that, fitted on labelled documents that the models have not
-seen, gives the score; those rows are weighted so that both classes count as among all labelled rows, however
-many of each the sample takes.
+often is thus judged alike by both, and its log-likelihood ratio is near zero.
+
+A document is compared in two ways. Its plain value is the difference of its log-likelihoods under the two
+models, divided by the number of its characters. A few hostile words in a long text hardly move that, so its
+local value says what single words add: the sum of what their differences have beyond FLOOR, divided by the
+number of words. A logistic curve over both, fitted on labelled documents that the models have not seen, gives
+the score; those rows are weighted so that both classes count as among all labelled rows, however many of each
+the sample takes.
 
 The models are fitted on a bounded sample (SAMPLE documents of each class at most, by a hash of doc_id), so
 what is sent to the tasks is bounded by it; every document is scored over its whole text.
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pieces
-from .common import texts
+from .common import pieces, texts
 from .sampling import per_class
 
 ORDER = 5
@@ -108,39 +111,45 @@ class KneserNey:
         return math.log(toxic / ordinary)
 
 
-def excess(words: list[str], ratios: Pieces) -> float:
-    """Length-normalised ratio: what words have beyond FLOOR, for each word of the text."""
-    return sum(map(ratios.__getitem__, words)) / len(words) if words else 0.0
+def values(words: list[str], ratios: Pieces) -> tuple[float, float]:
+    """The plain value (mean ratio of all characters, ends of words included) and the local one."""
+    if not words:
+        return 0.0, 0.0
+    own = list(map(ratios.__getitem__, words))
+    return sum(own) / (sum(map(len, words)) + len(words)), sum(r - FLOOR for r in own if r > FLOOR) / len(words)
 
 
 def _cache(model: KneserNey) -> Pieces:
-    """What each word has beyond FLOOR; ratios of grams are kept as well, since new words are made of known grams."""
+    """The ratio of each word; ratios of grams are kept as well, since new words are made of known grams."""
     of_gram = Pieces(model.ratio, CACHE_ENTRIES).__getitem__
-    return Pieces(lambda w: max(0.0, sum(map(of_gram, grams(w, model.order))) - FLOOR), CACHE_ENTRIES)
+    return Pieces(lambda w: sum(map(of_gram, grams(w, model.order))), CACHE_ENTRIES)
+
 
+def design(plain: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """What the curve is linear in."""
+    return np.stack([plain, np.log(local + SMALLEST), np.ones(len(plain))], axis=1)
 
-def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a little ridge so that separable classes stay finite."""
+
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = 50) -> np.ndarray:
+    """A weight for each column of x by Newton's method, with a little ridge so that separable classes stay finite."""
     weights = np.ones(len(x)) if weights is None else weights
-    design = np.stack([x, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (weights * (y - p)) - 1e-3 * w
-        hessian = (design * (weights * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weights * (y - p)) - 1e-3 * w
+        hessian = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         w = w + np.linalg.solve(hessian, gradient)
-    return float(w[0]), float(w[1])
+    return w
 
 
 @dataclass
 class Model:
     kneser_ney: KneserNey
-    slope: float
-    offset: float
+    weights: np.ndarray
 
-    def score(self, value: float) -> float:
-        z = self.slope * math.log(value + SMALLEST) + self.offset
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+    def scores(self, found: list[tuple[float, float]]) -> np.ndarray:
+        plain, local = np.array(found, float).reshape(-1, 2).T
+        return 1 / (1 + np.exp(-np.clip(design(plain, local) @ self.weights, -700, 700)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -177,14 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = _cache(KneserNey(shared.value))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([excess(words_of(x), ratios) for x in texts(batch)], pa.float64())], names=["label", "value"])
+            plain, local = np.array([values(words_of(x), ratios) for x in texts(batch)], float).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(plain.copy()), pa.array(local.copy())], names=["label", "plain", "local"])
 
-    rows = learned.where("calibrates").mapInArrow(value, "label int, value double").toPandas()
-    x, y = np.log(rows["value"].to_numpy(float) + SMALLEST), rows["label"].to_numpy(float)
+    rows = learned.where("calibrates").mapInArrow(value, "label int, plain double, local double").toPandas()
+    x, y = design(rows["plain"].to_numpy(float), rows["local"].to_numpy(float)), rows["label"].to_numpy(float)
     # without both classes there is nothing to compare: every text is as likely as not
     each = np.array([labelled[int(c)] / sampled[int(c)] for c in y])
-    slope, offset = logistic(x, y, each / each.mean()) if len(set(y)) == 2 else (0.0, 0.0)
-    return Model(model, slope, offset)
+    return Model(model, logistic(x, y, each / each.mean()) if len(set(y)) == 2 else np.zeros(3))
 
 
 _models: dict[str, tuple[Model, Pieces]] = {}
@@ -193,20 +202,20 @@ _models: dict[str, tuple[Model, Pieces]] = {}
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of every row of docs."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.kneser_ney.counts, model.kneser_ney.order, model.slope, model.offset))
+    shared = spark.sparkContext.broadcast((model.kneser_ney.counts, model.kneser_ney.order, model.weights))
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = own.schema[0].dataType.simpleString()
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _models:  # once in each worker
-            counts, order, slope, offset = shared.value
-            own_model = Model(KneserNey(counts, order), slope, offset)
+            counts, order, weights = shared.value
+            own_model = Model(KneserNey(counts, order), weights)
             _models.clear()
             _models[name] = own_model, _cache(own_model.kneser_ney)
         own_model, ratios = _models[name]
-        for batch in batches:
-            found = [own_model.score(excess(words_of(x), ratios)) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=[key, "score"])
+        for batch in pieces(batches, 1):
+            found = own_model.scores([values(words_of(x), ratios) for x in texts(batch)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[key, "score"])
 
     return own.mapInArrow(run, f"`{key}` {kind}, score double")
