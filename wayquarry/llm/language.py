@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import pieces, texts
 from .sampling import per_class
 
 BITS = 13
@@ -49,35 +49,41 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 
 
-def features(text: str) -> np.ndarray | None:
-    """The scaled gram counts, or None for a text without letters."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The scaled gram counts as (dimensions, values), or None for a text without letters."""
     letters = b" ".join(text.lower().encode().translate(_LETTERS).split())
-    if not letters or (not letters.isascii() or letters == b"") and not any(map(str.isalpha, text)):
+    if not letters or not letters.isascii() and not any(map(str.isalpha, text)):
         return None
     a = np.frombuffer(b" " + letters + b" ", np.uint8).astype(np.uint32)
     two = a[:-1] << 8 | a[1:]
     three = two[:-1] << 8 | a[2:]
-    counts = np.zeros(DIMENSIONS)
+    counts = np.zeros(DIMENSIONS, np.int64)
     for k, codes in enumerate((a, two, three)):
         mixed = (codes + np.uint32(k << 24)) * np.uint32(2654435761) >> np.uint32(32 - BITS)
         counts += np.bincount(mixed, minlength=DIMENSIONS)
-    return counts / np.sqrt(counts @ counts)
+    at = np.flatnonzero(counts)
+    values = counts[at].astype(np.float64)
+    return at, values / np.sqrt(values @ values)
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """A linear support vector machine (squared hinge loss) by dual coordinate descent; y is 1 or -1. The last weight is the offset."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def machine(x: Rows, y: np.ndarray, cost: float = 10.0, rounds: int = 30, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """A linear support vector machine (squared hinge loss) by dual coordinate descent over sparse rows; y is 1 or -1. The last weight is the offset."""
+    w, alpha = np.zeros(dimensions + 1), np.zeros(len(x))
     diagonal = 1 / (2 * cost)
-    norms = np.einsum("ij,ij->i", x, x) + diagonal
+    norms = [v @ v + 1 + diagonal for _, v in x]
     order = np.random.default_rng(0)
     for _ in range(rounds):
         change = 0.0
         for i in order.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + diagonal * alpha[i]
+            at, values = x[i]
+            gradient = y[i] * (values @ w[at] + w[-1]) - 1 + diagonal * alpha[i]
             new = max(alpha[i] - gradient / norms[i], 0.0)
             if step := new - alpha[i]:
-                w += step * y[i] * x[i]
+                w[at] += step * y[i] * values
+                w[-1] += step * y[i]
                 alpha[i] = new
                 change = max(change, abs(step))
         if change < 1e-3:
@@ -96,18 +102,19 @@ class Model:
         x = features(text) if self.families else None
         if x is None:
             return UNDETERMINED, 0.0
-        x = np.append(x, 1.0)
+        at, values = x
+        margin = lambda weights: values @ weights[at] + weights[-1]
         sure = 1.0
         family = self.families[0]
         if len(self.families) > 1:
-            margins = x @ self.family_weights
+            margins = margin(self.family_weights)
             best = int(np.argmax(margins))
             family, sure = self.families[best], _squash(margins[best])
         names = self.languages[family]
         if len(names) == 1:
             return names[0], sure
         pairs, weights = self.pairs[family]
-        margins = x @ weights
+        margins = margin(weights)
         votes, sums = np.zeros(len(names)), np.zeros(len(names))
         for (a, b), m in zip(pairs, margins):
             votes[a if m >= 0 else b] += 1
@@ -129,15 +136,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].cast("string").alias("lang")).where("lang is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(c, x.astype(np.float32).tobytes()) for c, t in zip(batch.column("lang").to_pylist(), texts(batch)) if (x := features(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary())], names=["lang", "x"])
+        for batch in pieces(batches, "text"):
+            found = [(c, x[0].astype(np.uint16).tobytes(), x[1].astype(np.float32).tobytes()) for c, t in zip(batch.column("lang").to_pylist(), texts(batch)) if (x := features(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["lang", "at", "x"])
 
-    # about SAMPLE keys, so their size is bounded, and so is what comes back
-    rows = own.join(F.broadcast(chosen), "key", "left_semi").mapInArrow(run, "lang string, x binary").toPandas()
+    # about SAMPLE keys of at most DIMENSIONS values each, so their size is bounded, and so is what comes back
+    rows = own.join(F.broadcast(chosen), "key", "left_semi").mapInArrow(run, "lang string, at binary, x binary").toPandas()
     if rows.empty:
         return Model([], np.zeros((DIMENSIONS + 1, 0)), {}, {})
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(np.float64)
+    x = [(np.frombuffer(at, np.uint16), np.frombuffer(b, np.float32)) for at, b in zip(rows["at"], rows["x"])]
     y = rows["lang"].to_numpy()
     family = np.array([FAMILY_OF.get(c, c) for c in y])
     families = sorted(set(family))
@@ -148,9 +155,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         some, own_weights = [], []
         for a in range(len(names)):
             for b in range(a + 1, len(names)):
-                rows_of = (y == names[a]) | (y == names[b])
+                rows_of = np.flatnonzero((y == names[a]) | (y == names[b]))
                 some.append((a, b))
-                own_weights.append(machine(x[rows_of], np.where(y[rows_of] == names[a], 1.0, -1.0)))
+                own_weights.append(machine([x[i] for i in rows_of], np.where(y[rows_of] == names[a], 1.0, -1.0)))
         if some:
             pairs[f] = some, np.stack(own_weights, axis=1)
     return Model(families, np.stack(weights, axis=1) if weights else np.zeros((DIMENSIONS + 1, 0)), by_family, pairs)
@@ -163,7 +170,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     kind = own.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = [shared.value.predict(x) for x in texts(batch)]
             columns = [batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "lang_pred", "score"])
