@@ -1,13 +1,13 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is one Arrow batch of documents. Its words are mapped to the numbers of the benchmark's own words; a
+A shard is a run of documents of INDEX_BYTES together. Its words are mapped to the numbers of the benchmark's own words; a
 word that no benchmark item holds can't lie in any occurrence, and neither can a run of benchmark words that
 is shorter than the shortest phrase, so only longer runs enter the index, each closed by a separator. The
 benchmark's phrases (windows of ten words, or the whole item where it has fewer) are searched backward through
 the ranks of a wavelet matrix over the Burrows-Wheeler transform; occurrences are located by stepping back to
 sampled suffix positions; their spans are merged for each document.
 
-Shards are independent: nothing is shuffled, and a shard's index holds at most one batch. The phrases are sent
+Shards are independent: nothing is shuffled, and a worker holds one shard's index at a time. The phrases are sent
 to every task, so their number is checked: more than MAX_PHRASE_WORDS words of benchmark are searched in
 several passes over the documents, each with its own part of the items and written in between.
 
@@ -19,21 +19,24 @@ only missing in item_ids. Other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, texts
+from .common import numbered, pieces, stored, texts
 
 WINDOW = 10
 SAMPLE = 16
 #: Words of benchmark that one pass may send to every task (some 100 MB there).
 MAX_PHRASE_WORDS = 1_000_000
+#: Bytes of text in one index; a longer document has one of its own.
+INDEX_BYTES = 2 << 20
 
 # Words of the contract, over lower-cased UTF-8: every byte of a character beyond ASCII belongs to a word.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -245,60 +248,69 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-SPANS = "array<struct<start: bigint, end: bigint>>"
+FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("item_ids", T.ArrayType(T.StringType())),
+    ]
+)
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+_phrases: dict[str, Phrases] = {}
 
-def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", most: int = MAX_PHRASE_WORDS) -> DataFrame:
-    """Per row of docs: ``row`` (its columns), text, n_words, spans (merged, in words), item_ids (sorted strings)."""
-    found = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-        docs[text].alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(SPANS).alias("spans"),
-        F.array().cast("array<string>").alias("item_ids"),
-    )
+
+def search(own: DataFrame, at: int, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", most: int = MAX_PHRASE_WORDS, cut_text: bool = False) -> DataFrame:
+    """own (columns c0, c1, ..., the text at one place) with n_words, spans (merged, in words) and item_ids (sorted strings).
+
+    cut_text: the words of the spans are gone from the text that is returned.
+    """
+    found = own.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in FOUND])
     parts = item_parts(benchmark, item, item_text, most)
-    found = _pass(found, next(parts, []))
-    for part in parts:
-        found = _pass(stored(found, "decontaminate"), part)
-    return found
+    part, rest = next(parts, []), next(parts, None)
+    while rest is not None:
+        found = stored(_pass(found, at, part, False), "decontaminate")
+        part, rest = rest, next(parts, None)
+    return _pass(found, at, part, cut_text)
 
 
-def _pass(found: DataFrame, part: list[tuple[str | None, str]]) -> DataFrame:
+def _pass(found: DataFrame, at: int, part: list[tuple[str | None, str]], cut_text: bool) -> DataFrame:
     """Adds what the documents hold of these items to their spans and item_ids."""
-    shared = found.sparkSession.sparkContext.broadcast(part)
+    shared, name, schema = found.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex, found.schema
+    kept = len(schema) - len(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases.of(shared.value)
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())
-            for (n, own, names), (old, old_names) in zip(hits(texts(batch), phrases), before):
+        if name not in _phrases:  # once in each worker
+            _phrases.clear()
+            _phrases[name] = Phrases.of(shared.value)
+        phrases = _phrases[name]
+        for batch in pieces(batches, at, INDEX_BYTES):
+            n_words, spans, items, left = [], [], [], []
+            before = zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())
+            for (n, own, names), (text, old, old_names) in zip(hits(texts(batch, at), phrases), before):
+                own = merged([*own, *((x["start"], x["end"]) for x in old or ())])
                 n_words.append(n)
-                spans.append([{"start": a, "end": b} for a, b in merged([*own, *((x["start"], x["end"]) for x in old)])])
-                items.append(sorted({*names, *old_names}))
-            columns = [batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, SPANS_ARROW), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_words", "spans", "item_ids"])
+                spans.append([{"start": a, "end": b} for a, b in own])
+                items.append(sorted({*names, *(old_names or ())}))
+                if cut_text:
+                    left.append(cut(text, own) if own else text)
+            columns = batch.columns[:kept]
+            if cut_text:
+                columns[at] = pa.array(left, pa.string())
+            columns += pa.array(n_words, pa.int64()), pa.array(spans, SPANS_ARROW), pa.array(items, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """Per document: key, n_words, n_hit, spans (merged, in words), item_ids (those found, sorted as strings)."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    text = names.get("text", "text")
-    own = docs.select(docs[key].alias("key"), docs[text].alias(text))
-    return search(own, benchmark, **names).select(F.col("row.key").alias(key), "n_words", n_hit.alias("n_hit"), "spans", "item_ids")
+    own, _ = numbered(docs.select(docs[key], docs[text]))
+    return search(own, 1, benchmark, **names).select(F.col("c0").alias(key), "n_words", n_hit.alias("n_hit"), "spans", "item_ids")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names: str) -> DataFrame:
     """docs with the hit words gone from the text; a document without hits keeps its text as it is."""
-
-    @F.pandas_udf("string")
-    def without(x: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, [(s["start"], s["end"]) for s in found]) if len(found) else t for t, found in zip(x, spans)], dtype=object)
-
-    found = search(docs, benchmark, text=text, **names)
-    clean = F.when(F.size("spans") > 0, without("text", "spans")).otherwise(F.col("text"))
-    return found.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+    own, (at,) = numbered(docs, text)
+    return search(own, at, benchmark, cut_text=True, **names).select(*own.columns).toDF(*docs.columns)

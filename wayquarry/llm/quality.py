@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import numbered, pieces, texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -107,31 +107,31 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-def _measured(own: DataFrame) -> DataFrame:
-    """own: columns row and text. Returns row, the measurements and fail_bits."""
+def _measured(own: DataFrame, at: int, out: list[int]) -> DataFrame:
+    """own: columns c0, c1, ... with the text at one place. Returns those named in out, the measurements and fail_bits."""
+    schema = T.StructType([*(own.schema[i] for i in out), *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([measure(x) for x in texts(batch)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found.T.copy())], names=["row", *MEASURES])
+        for batch in pieces(batches, at):
+            found = np.array([measure(x) for x in texts(batch, at)], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), *map(pa.array, found.T.copy())], names=schema.names)
 
-    measures = [T.StructField(m, T.LongType()) for m in MEASURES]
-    measured = own.mapInArrow(run, T.StructType([own.schema["row"], *measures]))
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(rule.mask)).otherwise(0).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return own.mapInArrow(run, schema).withColumn("fail_bits", bits)
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the measurements, and fail_bits, one row for each row of docs."""
-    return _measured(docs.select(docs[key].alias("row"), docs[text].alias("text"))).withColumnRenamed("row", key)
+    own, _ = numbered(docs.select(docs[key], docs[text]))
+    return _measured(own, 1, [0]).withColumnRenamed("c0", key)
 
 
 def keep(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows of docs that no rule of the policy rejects."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text].alias("text"))
-    return _measured(rows).where(~failed(policy)).select("row.*")
+    own, (at,) = numbered(docs, text)
+    return _measured(own, at, list(range(len(own.columns)))).where(~failed(policy)).select(*own.columns).toDF(*docs.columns)
 
 
 def failed(policy: Policy, bits: str = "fail_bits") -> Column:
