@@ -153,6 +153,45 @@ def crc(key, modulus: int) -> int:
     return zlib.crc32(str(key).encode()) % modulus
 
 
+class KatzN:
+    """Katz back-off of any order, by recursion over dictionaries."""
+
+    def __init__(self, texts: list[str], n: int, k: int = 5, large: float = 0.5) -> None:
+        self.n, self.k, self.large = n, k, large
+        self.counts = [Counter() for _ in range(n + 1)]
+        for t in texts:
+            tokens = [*["<s>"] * (n - 1), *words(t), "</s>"]
+            for i in range(n - 1, len(tokens)):
+                for order in range(1, n + 1):
+                    self.counts[order][tuple(tokens[i - order + 1 : i + 1])] += 1
+        self.stars = [None, *(Katz.discounts(self, c) for c in self.counts[1:])]
+        self.totals, self.followers = Counter(), defaultdict(set)
+        for order in range(1, n + 1):
+            for gram, c in self.counts[order].items():
+                self.totals[gram[:-1]] += c
+                self.followers[gram[:-1]].add(gram[-1])
+        self.unknown = 1 - sum(self.star((w,)) for w in self.followers[()])
+
+    def star(self, gram: tuple) -> float:
+        return self.stars[len(gram)](self.counts[len(gram)][gram]) / self.totals[gram[:-1]]
+
+    def p(self, history: tuple, w: str) -> float:
+        gram = (*history, w)
+        if self.counts[len(gram)][gram]:
+            return self.star(gram)
+        if not history:
+            return self.unknown
+        lower = self.p(history[1:], w)
+        if history not in self.totals:
+            return lower
+        left = 1 - sum(self.p(history[1:], x) for x in self.followers[history])
+        return (1 - sum(self.star((*history, x)) for x in self.followers[history])) / left * lower
+
+    def score(self, text: str) -> float:
+        tokens = [*["<s>"] * (self.n - 1), *words(text), "</s>"]
+        return sum(math.log10(self.p(tuple(tokens[i - self.n + 1 : i]), tokens[i])) for i in range(self.n - 1, len(tokens)))
+
+
 class Toxicity:
     """Class-conditional Kneser-Ney over the characters of words: own counts of the longest grams, shared lower orders."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.llm import brute
 
-from wayquarry.llm import katz, language, toxicity
+from wayquarry.llm import backoff, katz, language, toxicity
 from wayquarry.llm.queries_models import op4_katz, op5_toxicity, op8_language
 from wayquarry.llm.sampling import crc_mod
 
@@ -29,7 +29,7 @@ def test_katz_against_brute_force(spark, hot, part):
     """With hot words and pairs dealt apart, and many small partitions, the scores stay those of the plain model."""
     docs = zipf_docs()
     own = spark.createDataFrame(docs, "key long, text string").withColumn("held_out", crc_mod("key", 10) == 0)
-    found = {r.doc_id: r for r in katz._score(own, "doc_id", hot, part).collect()}
+    found = {r.doc_id: r for r in katz._score(own, "doc_id", hot, part)[0].collect()}
     model = brute.Katz([t for k, t in docs if brute.crc(k, 10)])
     assert len(found) == len(docs)
     for key, text in docs:
@@ -40,6 +40,42 @@ def test_katz_against_brute_force(spark, hot, part):
         assert r.score == pytest.approx(model.score(text), rel=1e-9)
 
 
+@pytest.mark.parametrize("hot", [10**9, 40])
+def test_katz_tables_score_other_texts(spark, hot):
+    """The stored tables hold every n-gram with its discounted count, and alphas that make each history sum to one."""
+    docs = zipf_docs()
+    own = spark.createDataFrame(docs, "key long, text string").withColumn("held_out", F.lit(False))
+    _, tables = katz._score(own, "doc_id", hot, 500)
+    model = brute.Katz([t for _, t in docs])
+    assert sorted(r["count"] for r in tables.words().collect()) == sorted(model.unigrams.values())
+    assert sorted(r["count"] for r in tables.pairs().collect()) == sorted(model.pairs.values())
+    assert tables.words().agg(F.sum("p")).first()[0] == pytest.approx(1 - model.unknown)
+    new = [(1, "w1 w2 nowhere w3"), (None, "w0 w199"), (2, None), (2, None), (3, "w5 w5 w5 W5")]
+    found = sorted(((r.doc_id, r.n_tokens, r.score) for r in katz.evaluate(spark.createDataFrame(new, "doc_id long, text string"), tables).collect()), key=repr)
+    expected = sorted(((k, len(brute.words(t)) + 1, model.score(t)) for k, t in new), key=repr)
+    assert [x[:2] for x in found] == [x[:2] for x in expected]
+    assert [x[2] for x in found] == pytest.approx([x[2] for x in expected], rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_backoff_against_brute_force(spark, n):
+    docs = zipf_docs(60)
+    rows = spark.createDataFrame(docs, "doc_id string, text string")
+    model, plain = backoff.fit(rows.where("doc_id <> '7'"), n), brute.KatzN([t for k, t in docs if k != 7], n)
+    found = {r.doc_id: r for r in backoff.evaluate(rows, model).collect()}
+    assert len(found) == len(docs)
+    for k, t in docs:
+        assert found[str(k)].n_tokens == len(brute.words(t)) + 1
+        assert found[str(k)].score == pytest.approx(plain.score(t), rel=1e-9)
+    if n == 2:
+        pairs = brute.Katz([t for k, t in docs if k != 7])
+        assert found["7"].score == pytest.approx(pairs.score(docs[7][1]), rel=1e-9)
+    for history in plain.totals if n > 1 else ():
+        total = sum(plain.p(history, w) for w in plain.followers[()]) + plain.p(history, "one unknown word")
+        assert total == pytest.approx(1, abs=1e-9)
+    assert [r.score for r in backoff.evaluate(rows.limit(3), backoff.fit(rows.where("false"), n)).collect()] == [0.0] * 3
+
+
 def test_katz_is_normalised():
     model = brute.Katz([t for _, t in zipf_docs()])
     for h in ["<s>", "w0", "w7", "w150", "nowhere"]:

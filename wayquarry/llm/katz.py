@@ -8,12 +8,17 @@ leaves all to the unigrams. Logarithms are to base 10.
 
 Texts are read twice. The first pass counts words and finds those too frequent for one task. In the second,
 each slice (some SLICE_TOKENS tokens) deals what it holds of each word (in which documents, after which words,
-how often) to partitions by word, packed in columns; a partition thus knows the counts of its words and of
-all pairs that end with them. A hot word is dealt by pair instead and its count is sent along; a hot pair is
-dealt by slice as well, after an exact count. A score is a sum over tokens whose terms depend on counts
-through few classes, so a partition returns sums for each document and for each history, and terms that need
-what another partition knows (alpha) are joined by history for unseen pairs only. What partitions return is
-stored as tables, partitioned by kind, in the shared folder.
+how often) to partitions by word, packed in columns; a partition thus builds the n-gram table of its words and of
+all pairs that end with them, and joins the dealt tokens to it. A hot word is dealt by pair instead and its count
+is sent along; a hot pair is dealt by slice as well, after an exact count. A partition stores its part of the
+table (kind ngrams: words and pairs with their counts) and returns to each slice the counts of its words and pairs,
+token by token. Where a pair was not seen, the token recurs to the word's probability and to alpha of the history,
+which is kept by history: a second table (alphas), built from what all partitions know of a history. Both tables
+and the constants of the discounts are the model (``Model``): ``words``, ``pairs`` and ``alphas`` give it as rows
+with probabilities, and ``evaluate`` scores texts that it has not learned from by joins with them. ``backoff`` has
+the same model for any order of n-grams, in plain tables.
+
+Words are told apart by 64 bits of a hash.
 
 Null and empty texts are one end token. Null doc_ids stay null; repeated rows are counted and scored each by
 itself. Without any row to learn from, N and V are zero and every score but the base's is that of one unknown
@@ -23,7 +28,7 @@ word a token. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +37,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import Pieces
-from .common import list_array, scratch, stored, texts
+from .common import list_array, pieces, scratch, stored, texts
 
 K = 5
 LARGE = 0.5
@@ -152,6 +158,7 @@ def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
+# c: how often, negative in a document that is held out. keys and held (bits) come once for each slice.
 POSTINGS = "part int, slice long, keys array<long>, held binary, n_docs int, nw int, nh int, n int, w binary, per_w binary, h binary, h_at binary, d binary, c binary"
 
 
@@ -178,44 +185,45 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, hot_words: np.ndarray,
         first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (part[1:] != part[:-1])]))
         c = np.diff(np.append(first, len(w)))
         w, h, d, part = w[first], h[first], d[first], part[first]
+        c = np.where(s.held[d], -c, c)
         held = np.packbits(s.held).tobytes()
         cuts = _starts(part)
         for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(part)])):
             own_w = _starts(w[a:b])
             histories, h_at = np.unique(h[a:b], return_inverse=True)
-            row = [int(part[a]), s.number, s.keys if k == 0 else None, held, len(s.keys), len(own_w), len(histories), int(b - a),
+            row = [int(part[a]), s.number, s.keys if k == 0 else None, held if k == 0 else None, len(s.keys), len(own_w), len(histories), int(b - a),
                    _pack(w[a:b][own_w]), _pack(np.diff(np.append(own_w, b - a)).astype(np.uint32)), _pack(histories),
-                   _pack(h_at.astype(np.uint32)), _pack(d[a:b].astype(np.uint16)), _pack(c[a:b].astype(np.uint32))]
+                   _pack(h_at.astype(np.uint32)), _pack(d[a:b].astype(np.uint16)), _pack(c[a:b].astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
 
-# What a document sums up: tokens, known tokens, log(c + 0.1) of words, log c of words that precede another,
-# seen pairs by class (1 to K) and log of larger ones, words of unseen pairs by class (0 to K), larger ones and their log.
-DOC = 4 + K + 1 + K + 3
 # What a history sums up: kinds of pairs by class, larger ones; their words by class, counts of larger ones.
 HISTORY = [*(f"t{r}" for r in range(1, K + 1)), "t_large", *(f"u{r}" for r in range(1, K + 1)), "u_large"]
 # What a partition sums up: words and pairs of each count (1 to K + 1) and of larger ones; training tokens; distinct words.
 SUMS = [*(f"w{r}" for r in range(1, K + 2)), *(f"p{r}" for r in range(1, K + 2)), "w_large", "tokens", "words"]
-# numbers: what is named in HISTORY or SUMS, in that order
-RESULT = "kind string, slice long, keys array<long>, n_docs int, held binary, n int, sums binary, h long, d int, c long, numbers array<double>"
+# numbers: what is named in HISTORY or SUMS, in that order.
+# Kind tokens, for a slice: of n words in documents (docs, times) the number of the word (at, of those in counts; ending is that of
+# the end) and the count of the pair (pairs). Kind ngrams: nw words with their counts, how many histories each has (at), and those with the pairs' counts.
+RESULT = (
+    "kind string, slice long, keys array<long>, n_docs int, held binary, n int, nw int, ending int, words binary, counts binary, at binary, "
+    "docs binary, times binary, pairs binary, histories binary, h long, d int, c long, numbers array<double>"
+)
 
 
 def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int]) -> Iterator[tuple[str, dict]]:
     """Works on all postings of a partition: yields (kind, columns) of what it returns."""
     rows = group.to_pylist()
-    w, h, d, c, train, offset = [], [], [], [], [], 0
+    w, h, d, c = [], [], [], []
     for r in rows:
         w.append(np.repeat(_unpack(r["w"], np.uint64, r["nw"]), _unpack(r["per_w"], np.uint32, r["nw"])))
         h.append(_unpack(r["h"], np.uint64, r["nh"])[_unpack(r["h_at"], np.uint32, r["n"])])
-        own = _unpack(r["d"], np.uint16, r["n"]).astype(np.int32)
-        train.append(np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["n_docs"])[own] == 0)
-        d.append(own + offset)
-        c.append(_unpack(r["c"], np.uint32, r["n"]).astype(np.int64))
-        offset += r["n_docs"]
-    w, h, d, c, train = map(np.concatenate, (w, h, d, c, train))
+        d.append(_unpack(r["d"], np.uint16, r["n"]))
+        c.append(_unpack(r["c"], np.int32, r["n"]))
+    ends = np.cumsum([len(x) for x in w])
+    w, h, d, c = map(np.concatenate, (w, h, d, c))
     order = np.lexsort((h, w))
-    w, h, d, c, train = w[order], h[order], d[order], c[order], train[order]
-    learned = np.where(train, c, 0)
+    w, h = w[order], h[order]
+    learned = np.maximum(c[order], 0).astype(np.int64)
 
     words = _starts(w)
     of_word = np.repeat(np.arange(len(words)), np.diff(np.append(words, len(w))))
@@ -224,56 +232,54 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
     if hot_words:
         c_w = np.where(cold_w, c_w, [hot_words.get(x, 0) for x in w[words].tolist()])
     pairs = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
-    of_pair = np.repeat(np.arange(len(pairs)), np.diff(np.append(pairs, len(w))))
     c_p = np.add.reduceat(learned, pairs)
     cold_p = np.ones(len(pairs), bool)
     if hot_pairs:
         names = pair_hash(h[pairs], w[pairs]).tolist()
         cold_p = np.array([x not in hot_pairs for x in names], bool)
         c_p = np.where(cold_p, c_p, [hot_pairs.get(x, 0) for x in names])
-    word_count, pair_count = c_w[of_word], c_p[of_pair]
 
-    # documents that occur here
-    present, of_doc = np.unique(d, return_inverse=True)
-    sums = np.zeros((DOC, len(present)))
-
-    def add(row: int, weight: np.ndarray, where: np.ndarray | None = None) -> None:
-        some = slice(None) if where is None else where
-        sums[row] = np.bincount(of_doc[some], weights=weight[some], minlength=len(present))
-
-    logs = lambda x: np.log10(np.maximum(x, 1e-300))
-    add(0, c)
-    add(1, c, word_count > 0)
-    add(2, c * np.log10(word_count + 0.1))
-    add(3, c * logs(word_count), (word_count > 0) & (w != END))
-    for r in range(1, K + 1):
-        add(3 + r, c, pair_count == r)
-    add(4 + K, c * logs(pair_count - LARGE), pair_count > K)
+    # back to the order in which the slices sent them
+    word_count, pair_count = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+    word_count[order] = c_w[of_word]
+    pair_count[order] = np.repeat(c_p, np.diff(np.append(pairs, len(w))))
     unseen = pair_count == 0
-    for r in range(K + 1):
-        add(5 + K + r, c, unseen & (word_count == r))
-    add(6 + 2 * K, c, unseen & (word_count > K))
-    add(7 + 2 * K, c * logs(word_count - LARGE), unseen & (word_count > K))
-    ends = np.cumsum([r["n_docs"] for r in rows])
-    cuts = np.searchsorted(present, np.concatenate([[0], ends]))
-    for k, r in enumerate(rows):
-        a, b = cuts[k], cuts[k + 1]
-        own = (present[a:b] - (ends[k] - r["n_docs"])).astype(np.uint16)
-        yield "documents", {"slice": [r["slice"]], "keys": [r["keys"]], "n_docs": [r["n_docs"]], "held": [r["held"]], "n": [int(b - a)], "sums": [own.tobytes() + _pack(sums[:, a:b])]}
-    if unseen.any():
-        at = np.searchsorted(ends, d[unseen], side="right")
-        first = ends - np.array([r["n_docs"] for r in rows])
-        yield "unseen", {"h": _signed(h[unseen]), "slice": np.array([r["slice"] for r in rows])[at], "d": (d[unseen] - first[at]).astype(np.int32), "c": c[unseen]}
-
-    # histories: each seen pair is one kind
+    for r, b in zip(rows, ends.tolist()):
+        a, per_w = b - r["n"], _unpack(r["per_w"], np.uint32, r["nw"])
+        own_w = _unpack(r["w"], np.uint64, r["nw"])
+        at = np.repeat(np.arange(r["nw"], dtype=np.uint32), per_w)
+        by_doc = np.argsort(d[a:b], kind="stable")
+        ending = np.flatnonzero(own_w == END)
+        row = {
+            "slice": r["slice"], "keys": r["keys"], "n_docs": r["n_docs"], "held": r["held"], "n": r["n"], "nw": r["nw"], "ending": int(ending[0]) if len(ending) else -1,
+            "counts": _pack(word_count[a:b][np.cumsum(per_w) - per_w]), "at": _pack(at[by_doc]), "docs": _pack(d[a:b][by_doc]), "times": _pack(np.abs(c[a:b])[by_doc]), "pairs": _pack(pair_count[a:b][by_doc]),
+        }
+        yield "tokens", {name: [value] for name, value in row.items()}
+        own = unseen[a:b]
+        if own.any():
+            sent = h_of(r)[own]
+            yield "unseen", {"h": _signed(sent), "slice": np.full(len(sent), r["slice"]), "d": d[a:b][own].astype(np.int32), "c": np.abs(c[a:b][own]).astype(np.int64)}
+
+    # the table: each seen pair and each word is one kind, in one partition unless it is hot
     seen = (c_p > 0) & cold_p
+    per_word = np.bincount(of_word[pairs][seen], minlength=len(words))
+    listed = cold_w & (c_w > 0) | (per_word > 0)
+    if listed.any():
+        yield "ngrams", {
+            "n": [int(seen.sum())], "nw": [int(listed.sum())], "words": [_pack(w[words][listed])], "counts": [_pack(np.where(cold_w, c_w, 0)[listed])], "at": [_pack(per_word[listed].astype(np.uint32))],
+            "histories": [_pack(h[pairs][seen])], "pairs": [_pack(c_p[seen])],
+        }
     if seen.any():
-        yield "histories", history_sums(h[pairs][seen], c_p[seen], word_count[pairs][seen])
+        yield "histories", history_sums(h[pairs][seen], c_p[seen], c_w[of_word[pairs]][seen])
     known, known_pairs = c_w[cold_w & (c_w > 0)], c_p[seen]
     counts = [*(int((known == r).sum()) for r in range(1, K + 2)), *(int((known_pairs == r).sum()) for r in range(1, K + 2)), int((known > K).sum()), int(known.sum()), len(known)]
     yield "sums", {"numbers": _lists(np.array([counts], float))}
 
 
+def h_of(r: dict) -> np.ndarray:
+    return _unpack(r["h"], np.uint64, r["nh"])[_unpack(r["h_at"], np.uint32, r["n"])]
+
+
 def history_sums(h: np.ndarray, pair: np.ndarray, word: np.ndarray) -> dict:
     found, of = np.unique(h, return_inverse=True)
     add = lambda where, weight=None: np.bincount(of[where], weights=None if weight is None else weight[where], minlength=len(found)).astype(float)
@@ -311,11 +317,69 @@ class Constants:
     unknown: float  # probability of a word that was never seen
     starts: float  # training documents
 
-    def log_a(self) -> Column:
-        """log10 of alpha(h) c(h), from a history's sums."""
+    def left_over(self) -> Column:
+        """alpha(h) c(h), from a history's sums."""
         kept_back = sum((F.col(f"t{r}") * (r - self.pair[r]) for r in range(1, K + 1)), F.col("t_large") * LARGE)
         followed = sum((F.col(f"u{r}") * self.word[r] for r in range(1, K + 1)), F.col("u_large"))
-        return F.log10(kept_back) - F.log10(F.greatest(1 - followed / self.tokens, F.lit(self.unknown)))
+        return kept_back / F.greatest(1 - followed / self.tokens, F.lit(self.unknown))
+
+    def discounted_words(self, counts: np.ndarray) -> np.ndarray:
+        """p of words that were counted so often."""
+        small = np.array([self.unknown * max(self.tokens, 1.0), *self.word[1:]])
+        return np.where(counts > K, counts - LARGE, small[np.minimum(counts, K)]) / max(self.tokens, 1.0)
+
+    def discounted_pairs(self, counts: np.ndarray) -> np.ndarray:
+        """r* of pairs that were counted so often, once at least."""
+        return np.where(counts > K, counts - LARGE, np.array(self.pair)[np.minimum(counts, K)])
+
+
+@dataclass
+class Model:
+    """The stored tables: ngrams in ``path`` (packed by partition), alphas (h, count, alpha), hot words and pairs, and the constants.
+
+    Histories and words are 64-bit hashes (``token_hash``).
+    """
+
+    path: str
+    alphas: DataFrame
+    hot_words: dict[int, int]
+    hot_pairs: list[tuple[int, int, int]]  # h, w, count
+    constants: Constants
+
+    def _ngrams(self, run: Callable, schema: str) -> DataFrame:
+        spark = self.alphas.sparkSession
+        return spark.read.schema(RESULT).parquet(self.path).where("kind = 'ngrams'").select("n", "nw", "words", "counts", "at", "histories", "pairs").mapInArrow(run, schema)
+
+    def words(self) -> DataFrame:
+        """w, count, p: the probability of each word that was seen."""
+        k, schema = self.constants, "w long, count long, p double"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in (r for b in batches for r in b.to_pylist()):
+                counts = _unpack(r["counts"], np.int64, r["nw"])
+                w = _unpack(r["words"], np.uint64, r["nw"])[counts > 0]
+                counts = counts[counts > 0]
+                yield pa.RecordBatch.from_arrays([_signed(w), pa.array(counts), pa.array(k.discounted_words(counts))], names=["w", "count", "p"])
+
+        hot = [(x - (1 << 64) if x >> 63 else x, n, float(k.discounted_words(np.array([n]))[0])) for x, n in self.hot_words.items() if n]
+        return self._ngrams(run, schema).union(self.alphas.sparkSession.createDataFrame(hot, schema))
+
+    def pairs(self) -> DataFrame:
+        """h, w, count, stars: the discounted count of each pair that was seen; its probability is stars / count of h."""
+        k, schema = self.constants, "h long, w long, count long, stars double"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in (r for b in batches for r in b.to_pylist()):
+                w = np.repeat(_unpack(r["words"], np.uint64, r["nw"]), _unpack(r["at"], np.uint32, r["nw"]))
+                counts = _unpack(r["pairs"], np.int64, r["n"])
+                yield pa.RecordBatch.from_arrays([_signed(_unpack(r["histories"], np.uint64, r["n"])), _signed(w), pa.array(counts), pa.array(k.discounted_pairs(counts))], names=schema_names(schema))
+
+        hot = [(h, w, n, float(k.discounted_pairs(np.array([n]))[0])) for h, w, n in self.hot_pairs if n]
+        return self._ngrams(run, schema).union(self.alphas.sparkSession.createDataFrame(hot, schema))
+
+
+def schema_names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _result(kind: str, columns: dict) -> pa.Table:
@@ -331,32 +395,47 @@ _RESULT = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in RESULT.split(
 
 
 def _combine(group: pa.Table, key: str, k: Constants) -> pa.Table:
-    """The documents of a slice: sums over all partitions, and what they come to without alpha."""
-    rows = group.to_pylist()
-    n_docs = rows[0]["n_docs"]
-    sums = np.zeros((DOC, n_docs))
-    for r in rows:
-        at = np.frombuffer(r["sums"], np.uint16, r["n"])
-        sums[:, at] += _unpack(r["sums"][2 * r["n"] :], np.float64, DOC * r["n"]).reshape(DOC, -1)
-    keys = next(r["keys"] for r in rows if r["keys"] is not None)
-    held = np.unpackbits(np.frombuffer(rows[0]["held"], np.uint8), count=n_docs).astype(bool)
-    base = sums[2] - sums[0] * math.log10(k.tokens + 0.1 * (k.words + 1))
-    total = sums[4 + K] - sums[3] + sums[5 + K] * math.log10(k.unknown) + sums[7 + 2 * K]
+    """The documents of a slice: what their tokens come to, but for alpha of the histories whose pairs were not seen."""
+    n_docs = group.column("n_docs")[0].as_py()
+    tokens, known, base, total = np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs)
+    keys = held = None
+    log_n = math.log10(k.tokens + 0.1 * (k.words + 1))
+    for r in (r for batch in group.to_batches(max_chunksize=64) for r in batch.to_pylist()):
+        if r["keys"] is not None:
+            keys, held = r["keys"], np.unpackbits(np.frombuffer(r["held"], np.uint8), count=n_docs).astype(bool)
+        counts, at = _unpack(r["counts"], np.int64, r["nw"]), _unpack(r["at"], np.uint32, r["n"])
+        docs, times, pairs = _unpack(r["docs"], np.uint16, r["n"]), _unpack(r["times"], np.int32, r["n"]), _unpack(r["pairs"], np.int64, r["n"])
+        own = counts > 0
+        add = lambda weight: np.bincount(docs, weights=times * weight, minlength=n_docs)
+        tokens += add(np.ones(len(docs)))
+        known += add(own[at])
+        base += add((np.log10(counts + 0.1) - log_n)[at])
+        # every token is divided by the count of its history, and every word but the end is the history of one token
+        history = np.where(own, np.log10(np.maximum(counts, 1)), 0.0)
+        if r["ending"] >= 0:
+            history[r["ending"]] = 0.0
+        seen = np.log10(k.discounted_pairs(np.maximum(pairs, 1)))
+        total += add(np.where(pairs > 0, seen, np.log10(k.discounted_words(counts))[at]) - history[at])
     if k.tokens:
-        total = total - math.log10(k.starts) - sums[6 + 2 * K] * math.log10(k.tokens)
-        for r in range(1, K + 1):
-            total = total + sums[3 + r] * math.log10(k.pair[r]) + sums[5 + K + r] * math.log10(k.word[r] / k.tokens)
-    columns = [np.full(n_docs, rows[0]["slice"]), np.arange(n_docs, dtype=np.int32), pa.array(keys, pa.int64()), held, sums[0].astype(np.int64), sums[1].astype(np.int64), base, total]
+        total -= math.log10(k.starts)
+    slice_number = group.column("slice")[0].as_py()
+    columns = [np.full(n_docs, slice_number), np.arange(n_docs, dtype=np.int32), pa.array(keys, pa.int64()), held, tokens.astype(np.int64), known.astype(np.int64), base, total]
     return pa.table([pa.array(x) for x in columns], names=["slice", "d", key, "held_out", "n_tokens", "n_known", "base_score", "partial"])
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows held out are not learned from."""
     own = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return _score(own, key, HOT, PART_POSTINGS)
+    return _score(own, key, HOT, PART_POSTINGS)[0]
 
 
-def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> DataFrame:
+def fit(docs: DataFrame, text: str = "text") -> Model:
+    """The model of all rows of docs, in tables in the shared folder."""
+    own = docs.select(F.lit(0).cast("long").alias("key"), docs[text].alias("text"), F.lit(False).alias("held_out"))
+    return _score(own, "key", HOT, PART_POSTINGS)[1]
+
+
+def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> tuple[DataFrame, Model]:
     spark = own.sparkSession
     counted = own.mapInArrow(_count, "kind int, x long, n long, learned long").groupBy("kind", "x").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned"))
     end = int(END.view(np.int64))
@@ -403,14 +482,46 @@ def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> DataFrame:
     if learned:
         more = history_sums(np.array([r.h for r in learned]).view(np.uint64), np.array([r.learned for r in learned]), np.array([hot_words.get(r.w % (1 << 64), r.learned) for r in learned]))
         histories = histories.union(spark.createDataFrame(list(zip(*[x.to_pylist() for x in more.values()])), histories.schema))
-    documents = found.where("kind = 'documents'").select("slice", "keys", "n_docs", "held", "n", "sums")
-    whole = documents.groupBy("slice").applyInArrow(lambda g: _combine(g, key, k), f"slice long, d int, `{key}` long, held_out boolean, n_tokens long, n_known long, base_score double, partial double")
-    if k.tokens:
-        alphas = histories.groupBy("h").agg(*[F.sum(F.col("numbers")[i]).alias(x) for i, x in enumerate(HISTORY)]).select("h", k.log_a().alias("log_a"))
-        # a pair that is hot has been seen; an unseen history leaves all to the words
-        backed_off = found.where("kind = 'unseen'").select("h", "slice", "d", "c").join(alphas, "h").groupBy("slice", "d").agg(F.sum(F.col("c") * F.col("log_a")).alias("backed_off"))
-        whole = whole.join(backed_off, ["slice", "d"], "left")
-    else:
-        whole = whole.withColumn("backed_off", F.lit(0.0))
+    summed = histories.groupBy("h").agg(*[F.sum(F.col("numbers")[i]).alias(x) for i, x in enumerate(HISTORY)])
+    alphas = stored(summed.select("h", (k.left_over() if k.tokens else F.lit(0.0)).alias("left_over")), "katz-alphas")
+    model = Model(path, alphas, hot_words, [(r.h, r.w, r.learned) for r in exact], k)
+
+    tokens = found.where("kind = 'tokens'").select("slice", "keys", "n_docs", "held", "n", "nw", "ending", "counts", "at", "docs", "times", "pairs")
+    whole = tokens.groupBy("slice").applyInArrow(lambda g: _combine(g, key, k), f"slice long, d int, `{key}` long, held_out boolean, n_tokens long, n_known long, base_score double, partial double")
+    # a pair that is hot has been seen; an unseen history leaves all to the words; a history with many rows is split by the skew join
+    backed_off = found.where("kind = 'unseen'").select("h", "slice", "d", "c").join(alphas, "h").groupBy("slice", "d").agg(F.sum(F.col("c") * F.log10("left_over")).alias("backed_off"))
+    whole = whole.join(backed_off, ["slice", "d"], "left")
     score = F.col("partial") + F.coalesce("backed_off", F.lit(0.0))
-    return whole.select(key, "held_out", "n_tokens", "n_known", F.lit(int(k.tokens)).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
+    return whole.select(key, "held_out", "n_tokens", "n_known", F.lit(int(k.tokens)).cast("long").alias("train_tokens"), "base_score", score.alias("score")), model
+
+
+def evaluate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: key, n_tokens, score, by the model's tables. Each token is joined to its pair, its word and its history.
+
+    A token's probability is its pair's if that was seen, else the word's (or the unknown word's) times alpha of
+    the history; a history that was never seen leaves all to the words.
+    """
+    own = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"))
+    schema = T.StructType([*own.schema.fields[:2], *(T.StructField(n, T.LongType()) for n in ("h", "w", "n"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = _hashes.__getitem__
+        for batch in pieces(batches, "text"):
+            words = [np.array([*map(get, x.encode().lower().split()), END], np.uint64) for x in texts(batch)]
+            w = np.concatenate([np.zeros(0, np.uint64), *words])
+            h = np.concatenate([np.zeros(0, np.uint64), *(np.concatenate([[START], x[:-1]]) for x in words)])
+            lengths = np.array([len(x) for x in words], np.int64)
+            of_row = pa.array(np.repeat(np.arange(len(words)), lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of_row), batch.column(1).take(of_row), _signed(h), _signed(w), pa.array(np.ones(len(w), np.int64))], names=schema.names)
+
+    # texts that repeat under a key are one
+    tokens = own.dropDuplicates(["key", "t"]).mapInArrow(run, schema).groupBy("key", "t", "h", "w").agg(F.sum("n").alias("n"))
+    pairs, words = model.pairs().select("h", "w", "stars"), model.words().select("w", "p")
+    counts = model.words().select(F.col("w").alias("h"), F.col("count").alias("c_h")).where(F.col("h") != int(END.view(np.int64)))
+    starts = docs.sparkSession.createDataFrame([(int(START.view(np.int64)), int(model.constants.starts))], "h long, c_h long")
+    joined = tokens.join(pairs, ["h", "w"], "left").join(words, "w", "left").join(counts.union(starts.where("c_h > 0")), "h", "left").join(model.alphas, "h", "left")
+    lower = F.coalesce("p", F.lit(model.constants.unknown))
+    p = F.when(F.col("stars").isNotNull(), F.col("stars") / F.col("c_h")).otherwise(F.coalesce(F.col("left_over") / F.col("c_h"), F.lit(1.0)) * lower)
+    sums = joined.groupBy("key", "t").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.log10(p)).alias("score"))
+    rows = own.select("key", "t")
+    return rows.join(sums, rows["key"].eqNullSafe(sums["key"]) & (rows["t"] == sums["t"])).select(rows["key"].alias(key), "n_tokens", "score")
