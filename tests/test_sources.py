@@ -24,6 +24,7 @@ def test_sql_dump(spark, tmp_path):
     (tmp_path / "d.sql").write_text(DUMP)
     found = sqldump.read(spark, str(tmp_path / "d.sql"), "t", ["id", "name", "x"])
     assert sorted(map(tuple, found.collect())) == [("1", "it's; (fine)", "a'b\n\\"), ("2", None, "-1.5"), ("4", "three", ""), ("5", "four", "NULL")]
+    assert [r.n for r in sqldump.malformed(spark, str(tmp_path / "d.sql"), "t", ["id", "name", "x"]).collect()] == [1]
     assert [r.x for r in sqldump.without_placeholders(found).where("id = 4").collect()] == [None]
 
 
@@ -80,6 +81,9 @@ def test_paged_source(spark, tmp_path):
     found = spark.read.format("paged_json").schema("id long, tags string").options(url=f"file://{tmp_path}/page-{{page}}.json", total=6, limit=2, records="d.rows").load()
     assert sorted(r.id for r in found.collect()) == [0, 1, 2, 3, 4, 5]
     assert found.first().tags in ('{"a": 0}', '{"a": 1}')
+    (tmp_path / "page-0.json").write_text(json.dumps({"n": 5, "d": {"rows": [{"id": 9, "tags": None}]}}))
+    counted = spark.read.format("paged_json").schema("id long").options(url=f"file:///nowhere/{{page}}.json|file://{tmp_path}/page-{{page}}.json", total="n", limit=2, records="d.rows", wait="0").load()
+    assert sorted(r.id for r in counted.collect()) == [2, 3, 4, 5, 9]
 
 
 def test_html_blocks():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,19 @@ def anniversary(anchor: Column | str, invoiced: Column | str, ahead: int = 60, y
     return F.when(invoiced.isNotNull(), F.coalesce(found, invoiced))
 
 
-def cleaned(x: Column | str) -> Column:
-    """A date written yyyy-mm-dd; placeholders, zero dates and years before 1900 are null."""
-    text = F.substring(blank_to_null(x), 1, 10)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & ~text.rlike("^0000|-00"), F.try_to_date(text)).cast("date")
+def cleaned(x: Column | str, *placeholders: str) -> Column:
+    """A written date (yyyy-mm-dd and whatever follows) as it stands; placeholders, zero dates and years before 1900 are null.
+
+    Days up to 31 are taken in every month, so that a wrong day is still seen; ``cleaned_date`` has dates only.
+    """
+    part = lambda k: F.regexp_extract(col(x), r"^(\d{4})-(\d{2})-(\d{2})", k).try_cast("int")
+    good = (part(1) >= 1900) & part(2).between(1, 12) & part(3).between(1, 31)
+    return F.when(good & ~col(x).isin(*placeholders) if placeholders else good, col(x))
+
+
+def cleaned_date(x: Column | str, *placeholders: str) -> Column:
+    """The same as a date; null for days that the month doesn't have."""
+    return F.try_to_date(F.substring(cleaned(x, *placeholders), 1, 10))
 
 
 def plausible(x: Column | str, least: str = "1900-01-01") -> Column:
@@ -65,18 +76,29 @@ def year_month(year: Column, month: Column) -> Column:
     return F.format_string("%d-%02d", year.cast("int"), month.cast("int"))
 
 
+# Units of time, in minutes.
+UNITS = {"u": 60, "uur": 60, "uren": 60, "h": 60, "min": 1, "mins": 1, "minuten": 1, "minute": 1, "m": 1}
+#: Bare numbers up to this are hours.
+MOST_HOURS = 12
+
+
 def duration_minutes(x: Column | str) -> Column:
-    """Minutes from "1:30", "1,5 uur", "20 min", "2u30" or a bare number, which is hours up to 12."""
-    raw = blank_to_null(x)
-    part = lambda pattern, k: F.regexp_replace(F.regexp_extract(raw, pattern, k), ",", ".").try_cast("double")
-    colon, hours, minutes, short = r"^(\d{1,2}):(\d{1,2})$", r"(?i)(\d+(?:[.,]\d+)?)\s*(?:u|uur|uren|h)\b", r"(?i)(\d+)\s*(?:min|mins|minuten|minute|m)\b", r"(?i)^(\d{1,2})u(\d{1,2})$"
+    """Minutes of a written duration: a clock ("1:30", "2u30"), numbers with units ("1,5 uur 20 min"; the first of hours and of minutes count), or a bare number."""
+    raw = F.lower(blank_to_null(x))
+    clock = F.transform(F.split(F.regexp_extract(raw, r"^(\d{1,2}[:u]\d{1,2})$", 1), "[:u]"), lambda n: n.try_cast("double"))
+    written = rf"(\d+(?:[.,]\d+)?)\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})\b"
+    pairs = F.arrays_zip(F.regexp_extract_all(raw, F.lit(written), F.lit(1)).alias("n"), F.regexp_extract_all(raw, F.lit(written), F.lit(2)).alias("unit"))
+
+    def first(minutes: int, number: Callable[[Column], Column]) -> Column:
+        own = F.filter(pairs, lambda p: p["unit"].isin(*[u for u, m in UNITS.items() if m == minutes]))
+        return F.get(F.transform(own, lambda p: number(p["n"]).cast("double") * minutes), F.lit(0))
+
+    hours = first(60, lambda n: F.translate(n, ",", "."))
+    minutes = first(1, lambda n: F.regexp_extract(n, r"(\d+)$", 1))  # minutes are whole: of "2,5" only the 5
     bare = source_number(raw)
     zero = F.lit(0.0)
-    return (
-        F.when(raw.rlike(colon), part(colon, 1) * 60 + part(colon, 2))
-        .when(raw.rlike(hours) | raw.rlike(minutes), js_round(F.coalesce(part(hours, 1), zero) * 60 + F.coalesce(part(minutes, 1), zero)))
-        .when(raw.rlike(short), part(short, 1) * 60 + part(short, 2))
-        .when(bare <= 12, js_round(bare * 60))
-        .when(bare > 12, js_round(bare))
-        .cast("long")
-    )
+    return F.coalesce(
+        F.when(F.size(clock) == 2, clock[0] * 60 + F.get(clock, F.lit(1))),
+        F.when(F.size(pairs) > 0, js_round(F.coalesce(hours, zero) + F.coalesce(minutes, zero))),
+        js_round(F.when(bare <= MOST_HOURS, bare * 60).otherwise(bare)),
+    ).cast("long")

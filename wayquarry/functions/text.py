@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coerce import blank_to_null, col, keyed
@@ -64,12 +64,14 @@ ENTITIES = {"&quot;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&lt;": "
 
 def entities(x: Column | str, passes: int = 3) -> Column:
     """Decodes named and numeric entities, nested ones up to a few times; white space as single spaces."""
-    text = F.coalesce(col(x).cast("string"), F.lit(""))
-    for _ in range(passes):
-        text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-        for name, sign in ENTITIES.items():
+
+    def decoded(text: Column) -> Column:
+        for name, sign in {"&amp;": "&", **ENTITIES}.items():
             text = F.replace(text, F.lit(name), F.lit(sign))
-        text = _numeric_entities(text)
+        return text
+
+    # a fold, so that the expression doesn't grow with the passes
+    text = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.coalesce(col(x).cast("string"), F.lit("")), lambda t, _: F.transform(F.array(decoded(t)), _numeric_entities)[0])
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -93,12 +95,22 @@ def strip_tags(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(html_entities(F.regexp_replace(col(x), "<[^>]+>", " ")), r"\s+", " "))
 
 
+# What is no content of a description. Elements that go with what they hold, as (tag, what its attributes match), ...
+CHROME_ELEMENTS = (("script", ""), ("style", ""), ("i", r'class="[^"]*\bicn-'), ("a", r'class="[^"]*\bbtn\b'))
+# ... elements whose contents stay, and tags that vanish wherever they stand.
+CHROME_WRAPPERS = (("a", "data-glightbox"),)
+CHROME_TAGS = ("figure", "div", "section")
+
+
 def without_page_chrome(x: Column | str) -> Column:
-    """HTML without scripts, styles, comments, navigation and forms."""
-    text = F.regexp_replace(col(x), "(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "noscript", "nav", "header", "footer", "form", "iframe"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    return text
+    """HTML without PHP, scripts, styles, comments, icons and buttons; layout elements leave what they hold."""
+    text = F.regexp_replace(F.regexp_replace(col(x), r"(?is)<\?php.*?\?>", ""), "(?s)<!--.*?-->", "")
+    element = lambda tag, attributes: rf"(?is)<{tag}\b" + (f"[^>]*{attributes}[^>]*>" if attributes else "[^>]*>") + f"(.*?)</{tag}>"
+    for tag, attributes in CHROME_ELEMENTS:
+        text = F.regexp_replace(text, element(tag, attributes), "")
+    for tag, attributes in CHROME_WRAPPERS:
+        text = F.regexp_replace(text, element(tag, attributes), "$1")
+    return F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(CHROME_TAGS)})\b[^>]*>", "")
 
 
 def escape_html(x: Column | str) -> Column:
@@ -182,11 +194,19 @@ def top_names(x: Column | str, n: int = 2, sep: str = ";", joint: str = " en ")
     return F.nullif(F.array_join(F.slice(parts, 1, n), joint), F.lit(""))
 
 
+# Words before a network's own name.
+NETWORK_EXTENSION = "uitbreiding"
+NETWORK_KINDS = "wandelnetwerk fietsnetwerk fietsroutenetwerk wnw fnw".split()
+NETWORK_ARTICLES = "de het t".split()
+
+
 def network_key(x: Column | str) -> Column:
-    """A network's name without what kind of network it is, as a slug."""
-    text = F.regexp_replace(F.trim(fold(x)), r"\([^)]*\)", " ")
-    text = F.regexp_replace(text, r"^(uitbreiding\s+)?(wandelnetwerk|fietsnetwerk|fietsroutenetwerk|wnw|fnw)\b[\s:-]*", "")
-    return dashed(F.regexp_replace(text, r"^(de|het|t)\s+", ""))
+    """A network's name without remarks in brackets, what kind of network it is, and an article, as a slug."""
+    words = F.regexp_replace(F.trim(fold(x)), r"\([^)]*\)", " ")
+    any_of = lambda names: "(?:" + "|".join(names) + ")"
+    for before in (rf"(?:{NETWORK_EXTENSION}\s+)?{any_of(NETWORK_KINDS)}\b[\s:-]*", rf"{any_of(NETWORK_ARTICLES)}\s+"):
+        words = F.regexp_replace(words, "^" + before, "")
+    return dashed(words)
 
 
 def repaired(x: Column | str) -> Column:
@@ -247,15 +267,16 @@ def difficulty(x: Column) -> Column:
     return F.when(x <= 2, "easy").when(x <= 4, "moderate").when(x > 4, "hard")
 
 
+# What hashes look like.
+PASSWORD_HASHES = {"md5": "^[A-Fa-f0-9]{32}$", "bcrypt": r"^\$2[aby]\$\d{2}\$[./A-Za-z0-9]{53}$"}
+
+
 def password_kind(x: Column | str) -> Column:
     """Which kind of hash a stored password has; the value itself never leaves this expression."""
-    return (
-        F.when(F.coalesce(F.trim(col(x)), F.lit("")) == "", "empty")
-        .when(col(x).rlike(r"^\$2[aby]?\$\d{2}\$"), "bcrypt")
-        .when(col(x).rlike("^[A-Fa-f0-9]{32}$"), "md5")
-        .when(col(x).rlike("^[A-Fa-f0-9]{40}$"), "sha1")
-        .otherwise("unknown")
-    )
+    found = F.lit("unknown")
+    for kind, pattern in PASSWORD_HASHES.items():
+        found = F.when(col(x).rlike(pattern), kind).otherwise(found)
+    return found
 
 
 def sorted_identity(email: Column, user: Column) -> Column:
@@ -303,5 +324,7 @@ def token_similarity(ta: Column, tb: Column) -> Column:
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(found)
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
-    return token_similarity(name_tokens(a), name_tokens(b))
+def with_similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
+    """df with how alike the names in two columns are. The words are columns of a step of their own, since they are used many times."""
+    words = df.withColumns({"_a": name_tokens(a), "_b": name_tokens(b)})
+    return words.withColumn(out, token_similarity(F.col("_a"), F.col("_b"))).drop("_a", "_b")

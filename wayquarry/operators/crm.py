@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import first_reason, js_round
 from ..functions.dates import fresh, visited_on
-from .rows import running_quota
 
 #: Stages of prospects who get no mail.
 CLOSED = ("do_not_contact", "not_interested", "partner")
 PER_DAY, PER_BATCH, PAUSE_SECONDS = 25, 25, 20
+#: Images of a partner's gallery.
+MOST_IMAGES = 30
 
 
 def skip_reason(kind: str) -> Column:
@@ -31,14 +32,15 @@ def mail_queue(prospects: DataFrame, kind: str, as_of: Column, per_day: int = PE
     Those mailed since midnight take from the day's room; order is by prospect_id.
     """
     chosen = prospects.join(batch.select("prospect_id").distinct().orderBy("prospect_id").limit(PER_BATCH), "prospect_id", "left_semi") if batch is not None else prospects
-    sent = prospects.where(F.col("last_mailed_at") >= F.date_trunc("day", as_of)).count()
+    most = per_day or PER_DAY
+    sent = prospects.agg(F.count_if(F.col("last_mailed_at") >= F.date_trunc("day", as_of)).alias("sent"))
     judged = chosen.withColumn("reason", skip_reason(kind))
-    decided = running_quota(judged, F.col("reason").isNull(), [F.asc("prospect_id")], max(0, (per_day or PER_DAY) - sent))
+    # a day's room at most, so these few rows are numbered in one task and sent to all
+    first = judged.where("reason is null").select("prospect_id").orderBy("prospect_id").limit(most)
+    numbered = first.withColumn("place", F.row_number().over(Window.orderBy("prospect_id"))).join(F.broadcast(sent)).where(F.col("place") <= most - F.col("sent"))
+    decided = judged.join(F.broadcast(numbered.select("prospect_id", "place")), "prospect_id", "left").withColumn("accepted", F.col("place").isNotNull() & F.col("reason").isNull())
     reason = F.when(F.col("reason").isNull() & ~F.col("accepted"), "day's limit reached").otherwise(F.col("reason"))
-    from pyspark.sql import Window
-
-    place = F.sum(F.col("accepted").cast("int")).over(Window.orderBy("prospect_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    wait = F.when(F.col("accepted"), (place - 1) * PAUSE_SECONDS)
+    wait = F.when(F.col("accepted"), ((F.col("place") - 1) * PAUSE_SECONDS).cast("long"))
     return decided.select("prospect_id", "accepted", reason.alias("reason"), wait.alias("wait_seconds"))
 
 
@@ -71,8 +73,6 @@ def stage_history(prospects: DataFrame, at: Column) -> DataFrame:
 
 def rating_summary(reviews: DataFrame, by: str, newest: int = 200) -> DataFrame:
     """Per target: count and mean (one decimal) of the newest approved reviews."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("review_id")))
     kept = reviews.where("review_status = 'approved'").withColumn("_n", place).where(F.col("_n") <= newest)
     return kept.groupBy(by).agg(F.count("rating").alias("n"), js_round(F.avg("rating"), 1).alias("average"))
@@ -126,6 +126,31 @@ def without_users(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return left.join(gone.where("email is not null").select("email").distinct(), "email", "left_anti") if "email" in rows.columns else left
 
 
+def partner_edits(before: DataFrame, edits: DataFrame, files: DataFrame, published: DataFrame, key: str, fields: list[str], media: list[str], gallery: str = "gallery", most: int = MOST_IMAGES, auto_publish: bool = True) -> DataFrame:
+    """Per edit (key, fields, media: ids of files, gallery: array of ids): error, changed, publish, and the values after it.
+
+    A file may be used if the partner has it already, or if it was uploaded for the partner (files: file_id and the
+    key). A gallery holds each file once and ``most`` at most. An edit with an error changes nothing; one that
+    changes something is published only where the partner is published already (published: key).
+    """
+    names = [*fields, *media]
+    own = before.select(key, *[F.col(c).alias(f"_{c}") for c in [*names, gallery]])
+    joined = own.join(edits.withColumn(gallery, F.array_distinct(F.array_compact(F.col(gallery)))), key)
+    empty = F.array().cast(edits.schema[gallery].dataType)
+    asked = F.array_compact(F.concat(F.array(*[F.col(c) for c in media]), F.coalesce(gallery, empty)))
+    held = F.array_compact(F.concat(F.array(*[F.col(f"_{c}") for c in media]), F.coalesce(f"_{gallery}", empty)))
+    new = joined.withColumn("_new", F.array_except(asked, held))
+    allowed = files.select(F.col("file_id").alias("_file"), F.col(key).alias("_owner"))
+    lacking = new.select(key, F.explode("_new").alias("_file")).join(allowed.withColumnRenamed("_owner", key), [key, "_file"], "left_anti").select(key).distinct().withColumn("_foreign", F.lit(True))
+    judged = new.join(lacking, key, "left").join(published.select(key).distinct().withColumn("_live", F.lit(True)), key, "left")
+    error = first_reason((F.size(gallery) > most, "too many images"), (F.col("_foreign"), "images of others"))
+    differs = [F.when(~F.col(f"_{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in [*names, gallery]]
+    done = judged.withColumn("error", error).withColumn("changed", F.when(F.col("error").isNull(), F.array_compact(F.array(*differs))).otherwise(F.array().cast("array<string>")))
+    publish = (F.size("changed") > 0) & F.coalesce("_live", F.lit(False)) & F.lit(auto_publish)
+    after = [F.when(F.col("error").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in [*names, gallery]]
+    return done.select(key, "error", "changed", publish.alias("publish"), *after)
+
+
 def changed_fields(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Per key: the names of the fields that an edit changed."""
     joined = before.alias("b").join(after.alias("a"), key)

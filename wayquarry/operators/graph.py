@@ -7,14 +7,19 @@ nodes (id, number, lat, lng, is_virtual, modes) and edges (id, a, b, km, mode, i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..functions.coerce import js_round, loose_number, node_number
-from ..storage import stored
+from ..storage import discard, stored
 from .nearest import nearest
 from .rows import reduced
 
@@ -124,6 +129,13 @@ def edges_in_box(edges: DataFrame, south: float, west: float, north: float, east
     return found, counted
 
 
+def compact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each edge and each node at its ends, as positional arrays of text: kind, values."""
+    n = ends_of(edges, nodes).select(F.lit("node").alias("kind"), F.array(*[F.col(c).cast("string") for c in ("id", "number", "lat", "lng")]).alias("row"))
+    e = edges.select(F.lit("edge"), F.array(*[F.col(c).cast("string") for c in ("id", "a", "b", "km")]))
+    return n.union(e)
+
+
 def checked_box(south: float, west: float, north: float, east: float, max_lng: float = 0.6, max_lat: float = 0.4) -> tuple[float, float, float, float]:
     """A request's box, if its numbers are finite, ordered and not too far apart."""
     box = (south, west, north, east)
@@ -137,39 +149,102 @@ def ends_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, requests: DataFrame, direct_only: bool = False, rounds: int = 10_000) -> DataFrame:
+#: Steps (an edge has two) of a graph that is sent to every task whole, some 100 MB there.
+MAX_SENT_STEPS = 2_000_000
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, requests: DataFrame, direct_only: bool = False, most: int = MAX_SENT_STEPS) -> DataFrame:
     """Per request (request, from_id, to_id, mode): km and node_ids of the shortest path; requests without one have no row.
 
-    All requests advance together, an edge a round: a label is the least distance of a node so far, and only
-    labels that got better go on, and only while they are shorter than the best way to the target. A round is a
-    join on nodes and an aggregate, so neither the graph nor the labels must fit one machine. Equal lengths go
-    by the lesser list of nodes. direct_only: no numbered node may lie between the ends.
+    Equal lengths go by fewer edges, then by the lesser list of nodes. direct_only: no numbered node may lie
+    between the ends. A network of up to ``most`` steps is sent to the tasks, which search it for each of their
+    requests; a larger one is searched for all requests at once, an edge a round.
     """
     known = nodes.select("id")
     asked = requests.join(known, requests["from_id"] == known["id"], "left_semi").join(known, requests["to_id"] == known["id"], "left_semi").select("request", "from_id", "to_id", "mode")
     steps = edges.select("mode", F.col("a").alias("node"), F.col("b").alias("next"), "km").union(edges.select("mode", "b", "a", "km"))
     steps = steps.groupBy("mode", "node", "next").agg(F.min("km").alias("step_km"))
     if direct_only:
-        steps = steps.join(nodes.select(F.col("id").alias("next"), "number"), "next")
-    steps = stored(steps, "path-steps")
+        steps = steps.join(nodes.select(F.col("id").alias("next"), (F.col("number") == "").alias("passes")), "next")
+    else:
+        steps = steps.withColumn("passes", F.lit(True))
+    steps = stored(steps.select("mode", "node", "next", "step_km", "passes"), "path-steps")
+    found = searched(steps, asked) if steps.limit(most + 1).count() <= most else by_rounds(steps, asked)
+    return found.select("request", js_round("dist", 3).alias("km"), "node_ids")
+
+
+def search(steps: dict[int, list[tuple[int, float, bool]]], start: int, end: int) -> tuple[float, tuple[int, ...]] | None:
+    """The least (length, number of edges, list of nodes) from start to end, by a heap of labels."""
+    done: set[int] = set()
+    heap = [(0.0, 0, (start,))]
+    while heap:
+        length, hops, path = heappop(heap)
+        at = path[-1]
+        if at == end:
+            return length, path
+        if at in done:
+            continue
+        done.add(at)
+        for there, km, passes in steps.get(at, ()):
+            if there not in done and (passes or there == end):
+                heappush(heap, (length + km, hops + 1, (*path, there)))
+    return None
+
+
+def searched(steps: DataFrame, asked: DataFrame) -> DataFrame:
+    """Paths over a network that every task holds whole."""
+    network: dict[str, dict[int, list[tuple[int, float, bool]]]] = {}
+    for r in steps.toLocalIterator():  # its size was checked
+        network.setdefault(r.mode, {}).setdefault(r.node, []).append((r.next, r.step_km, r.passes))
+    shared = asked.sparkSession.sparkContext.broadcast(network)
+    schema = T.StructType([asked.schema["request"], T.StructField("dist", T.DoubleType()), T.StructField("node_ids", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if (hit := search(shared.value.get(r.mode, {}), r.from_id, r.to_id)) is not None:
+                    rows.append((r.request, hit[0], list(hit[1])))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return asked.repartition("request").mapInPandas(run, schema)
+
+
+def by_rounds(steps: DataFrame, asked: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """Paths by labels that advance an edge a round, for all requests together.
+
+    Only labels that got better in the last round, and are no longer than the best way to their target, go on and
+    carry their list of nodes; of older ones the distance is kept, in a table for each round. Rounds that are
+    spent are deleted.
+    """
     start = F.col("from_id")
-    labels = stored(asked.select("request", "mode", "to_id", start.alias("node"), F.lit(0.0).alias("dist"), F.array(start).alias("node_ids"), F.lit(True).alias("new")), "path-labels")
+    front = stored(asked.select("request", "mode", "to_id", start.alias("node"), F.lit(0.0).alias("dist"), F.array(start).alias("node_ids")), "path-front")
+    settled = [stored(front.select("request", "node", "dist"), "path-labels")]
+    ends = [stored(front.where("node = to_id").select("request", "dist", "node_ids"), "path-ends")]
     for _ in range(rounds):
-        at_target = labels.where("node = to_id").groupBy("request").agg(F.min("dist").alias("best"))
-        front = labels.where("new and node <> to_id").join(at_target, "request", "left").where("best is null or dist < best")
-        onward = front.join(steps, ["mode", "node"]).where(~F.array_contains("node_ids", F.col("next")))
-        onward = onward.where("best is null or dist + step_km <= best")
-        if direct_only:
-            onward = onward.where("next = to_id or number = ''")
-        moved = onward.select("request", "mode", "to_id", F.col("next").alias("node"), (F.col("dist") + F.col("step_km")).alias("dist"), F.concat("node_ids", F.array("next")).alias("node_ids"), F.lit(True).alias("new"))
-        both = labels.withColumn("new", F.lit(False)).union(moved)
-        better = F.struct("dist", "node_ids", "new")  # of equal labels the old one, so that it doesn't go on again
-        labels = stored(both.groupBy("request", "mode", "to_id", "node").agg(F.min(better).alias("x")).select("request", "mode", "to_id", "node", "x.*"), "path-labels")
-        if labels.where("new").isEmpty():
+        best = reduce(DataFrame.union, ends).groupBy("request").agg(F.min("dist").alias("best"))
+        onward = front.where("node <> to_id").join(steps, ["mode", "node"]).join(best, "request", "left").withColumn("new", F.col("dist") + F.col("step_km"))
+        onward = onward.where("(best is null or new <= best) and (passes or next = to_id)").where(~F.array_contains("node_ids", F.col("next")))
+        label = F.struct(F.col("new").alias("dist"), F.concat("node_ids", F.array("next")).alias("node_ids"))
+        moved = onward.groupBy("request", "mode", "to_id", F.col("next").alias("node")).agg(F.min(label).alias("x"))
+        before = reduce(DataFrame.union, settled).groupBy("request", "node").agg(F.min("dist").alias("was"))
+        better = moved.join(before, ["request", "node"], "left").where("was is null or x.dist < was")
+        spent, front = front, stored(better.select("request", "mode", "to_id", "node", "x.*"), "path-front")
+        discard(spent)
+        if front.isEmpty():
             break
+        settled.append(stored(front.select("request", "node", "dist"), "path-labels"))
+        ends.append(stored(front.where("node = to_id").select("request", "dist", "node_ids"), "path-ends"))
+        if len(settled) > 16:
+            joint = stored(reduce(DataFrame.union, settled).groupBy("request", "node").agg(F.min("dist").alias("dist")), "path-labels")
+            for old in settled:
+                discard(old)
+            settled = [joint]
     else:
         raise RuntimeError("paths did not settle")
-    return labels.where("node = to_id").select("request", js_round("dist", 3).alias("km"), "node_ids")
+    for old in settled:
+        discard(old)
+    return reduce(DataFrame.union, ends).groupBy("request").agg(F.min(F.struct("dist", F.size("node_ids").alias("n"), "node_ids")).alias("x")).select("request", "x.dist", "x.node_ids")
 
 
 def planner_paths(nodes: DataFrame, edges: DataFrame, requests: DataFrame, detour: float = 4.0) -> DataFrame:

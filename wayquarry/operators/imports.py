@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.coerce import blank_to_null, first_filled, flag, js_round, source_number
-from ..functions.dates import anniversary, cleaned, duration_minutes, period_start, year_month
+from ..functions.dates import anniversary, cleaned, cleaned_date, duration_minutes, period_start, year_month
 from .html import to_blocks
 from .match import cascade, customers, fuzzy, subsequence_at, through_links
 from .rows import filled_first, reduced, relaxed, unique_names
@@ -134,7 +134,7 @@ def order_backfill(orders: DataFrame, subs: DataFrame, overwrite: bool = False)
     orders: name, email, type, status, date, number, reference; subs: sub_id, sub_name, sub_email, start_date, first_run, last_run, run_count.
     """
     real = orders.where(~F.lower(F.coalesce("type", F.lit(""))).isin(*NOT_LODGINGS) & (F.lower(F.coalesce("status", F.lit(""))) != "credit"))
-    clean = real.withColumns({"name": t.entities("name"), "email": F.lower(F.trim(F.coalesce("email", F.lit("")))), "date": cleaned("date")})
+    clean = real.withColumns({"name": t.entities("name"), "email": F.lower(F.trim(F.coalesce("email", F.lit("")))), "date": cleaned_date("date")})
     own = customers(clean).withColumn("customer_id", F.sha2(F.concat_ws("|", "email", "norm_name"), 256))
     hits = fuzzy(subs, own).where("status = 'matched'").select("sub_id", "customer_id")
     joined = subs.join(hits, "sub_id").join(own.select("customer_id", F.col("email").alias("c_email"), F.col("norm_name").alias("c_name")), "customer_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigram_dice, name_tokens, token_similarity
+from ..functions.text import name_tokens, token_similarity
+from ..storage import stored
 
 
 def cascade(rows: DataFrame, key: str, candidates: Sequence[tuple[str, Column]], targets: DataFrame, name: str, target: str) -> DataFrame:
@@ -31,19 +33,87 @@ def first_of_list(rows: DataFrame, key: str, names: Column, targets: DataFrame,
     return hits.groupBy(key).agg(F.min_by(target, F.struct("place", "_rank", target)).alias(target))
 
 
-def name_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.3) -> DataFrame:
-    """left_name, right_name and score of all distinct names that are alike by at least ``least``: every pair is compared.
+def nearest_tier(rows: DataFrame, targets: DataFrame, tiers: Sequence[Sequence[str]], target: str, tier: str = "tier") -> DataFrame:
+    """rows with the least target of the first tier that has one, and that tier (from 1 on); rows without any keep nulls.
 
-    The cheap parts of the similarity come first: a pair without a shared word whose lengths differ by half can
-    only be alike by its bigrams or by containment.
+    A tier is the columns in which a row and a target must agree; each is reduced to one target before it is joined.
     """
-    a = left.select(left_name).distinct().withColumn("left_tokens", name_tokens(left_name)).where(F.size("left_tokens") > 0)
-    b = right.select(right_name).distinct().withColumn("right_tokens", name_tokens(right_name)).where(F.size("right_tokens") > 0)
-    a, b = a.withColumn("_a", F.array_join("left_tokens", "")), b.withColumn("_b", F.array_join("right_tokens", ""))
-    short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
-    possible = (3 * short >= 2 * long) | F.arrays_overlap("left_tokens", "right_tokens") | F.contains("_a", "_b") | F.contains("_b", "_a") | (bigram_dice(F.col("_a"), F.col("_b")) >= 0.8)
-    scored = a.crossJoin(b).where(possible).withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens")))
-    return scored.where(F.col("score") >= least).select(left_name, right_name, "score")
+    found, names = rows, []
+    for k, keys in enumerate(tiers, 1):
+        side = targets.groupBy(*keys).agg(F.min(target).alias(f"_{k}"))
+        found = found.join(side, list(keys), "left")
+        names.append(f"_{k}")
+    which = reduce(lambda w, x: w.when(F.col(x[1]).isNotNull(), x[0]), list(enumerate(names, 1))[1:], F.when(F.col(names[0]).isNotNull(), 1))
+    return found.withColumns({target: F.coalesce(*names), tier: which}).drop(*names)
+
+
+#: Similarity that counts without anything else, and with an equal day.
+STRONG, WEAK = 0.6, 0.3
+
+
+def _named(rows: DataFrame, name: str, side: str) -> DataFrame:
+    """The distinct names (``side``) with their words (``side``_words) and the words as one (``side``_one)."""
+    words = rows.select(F.col(name).alias(side)).distinct().withColumn(f"{side}_words", name_tokens(side)).where(F.size(f"{side}_words") > 0)
+    # written, since all that follows asks for the words, and they are costly
+    return stored(words.withColumn(f"{side}_one", F.array_join(f"{side}_words", "")), "names")
+
+
+def _first(names: DataFrame, side: str, items: Column, frequency: DataFrame, length: Column) -> DataFrame:
+    """Of each name's items the rarest, as many as length says: (item, side)."""
+    exploded = names.select(side, length.cast("int").alias("_keep"), F.explode(items).alias("item")).join(frequency, "item")
+    ranked = exploded.groupBy(side, "_keep").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
+    return ranked.select(side, F.explode(F.slice("items", F.lit(1), F.col("_keep"))).alias("x")).select(side, F.col("x.item").alias("item"))
+
+
+def _sharing(a: DataFrame, b: DataFrame, items: Callable[[Column, Column], Column], length: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of names that share one of the rarest items of each."""
+    all_items = a.select(F.explode(items(F.col("a_words"), F.col("a_one"))).alias("item")).union(b.select(F.explode(items(F.col("b_words"), F.col("b_one")))))
+    frequency = all_items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    sides = [_first(df, x, items(F.col(f"{x}_words"), F.col(f"{x}_one")), frequency, length(F.col(f"{x}_words"), F.col(f"{x}_one"))) for x, df in (("a", a), ("b", b))]
+    return sides[0].join(sides[1], "item").select("a", "b")
+
+
+def bigrams(x: Column) -> Column:
+    """Pairs of neighbouring characters, numbered where they repeat; for three characters also the first with the last."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))
+    counted = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == g)).cast("string")))
+    return F.when(F.length(x) < 2, F.array().cast("array<string>")).when(F.length(x) == 3, F.concat(counted, F.array(F.concat(F.substr(x, F.lit(1), F.lit(1)), F.substr(x, F.lit(3), F.lit(1)), F.lit("1"))))).otherwise(counted)
+
+
+def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """left_name, right_name and score of the distinct names that are alike by STRONG or more.
+
+    Exact, without comparing every pair. Names whose words agree by 0.6 share one of the rarest words of each, of
+    which n - ceil(0.6 n) + 1 are taken. Names that are alike as one word by 0.8 (by edits, bigrams or common
+    subsequence) differ in length by half at most and share 0.2 (a + b) - 1 bigrams at least, so one of the rarest
+    a - ceil(a / 3 - 1) of each; two and three characters, which may share none, have one more.
+    """
+    a, b = _named(left, left_name, "a"), _named(right, right_name, "b")
+    by_words = _sharing(a, b, lambda words, one: words, lambda words, one: F.size(words) - F.ceil(F.size(words) * STRONG - 1e-9) + 1)
+    by_bigrams = _sharing(a, b, lambda words, one: bigrams(one), lambda words, one: (F.length(one) - F.greatest(F.ceil(F.length(one) / 3 - 1 - 1e-9), F.lit(1)) + 1))
+    return _scored(a, b, by_words.union(by_bigrams), least=STRONG).withColumnsRenamed({"a": left_name, "b": right_name})
+
+
+def _scored(a: DataFrame, b: DataFrame, pairs: DataFrame, *by: str, least: float) -> DataFrame:
+    words = pairs.distinct().join(a.select("a", "a_words"), "a").join(b.select("b", "b_words"), "b")
+    return stored(words.select("a", "b", *by, token_similarity(F.col("a_words"), F.col("b_words")).alias("score")), "name-pairs").where(F.col("score") >= least)
+
+
+def weak_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, day: str) -> DataFrame:
+    """left_name, right_name, day and score of the names of an equal day (not null) that are alike by WEAK or more, but not by STRONG.
+
+    They share a word, or one holds the other (from four characters on), hence its first four characters.
+    """
+    a, b = _named(left, left_name, "a"), _named(right, right_name, "b")
+    of = lambda df, name, side: df.select(F.col(name).alias(side), F.col(day).alias("day")).where("day is not null").distinct()
+    days_a, days_b = of(left, left_name, "a").join(a, "a"), of(right, right_name, "b").join(b, "b")
+    word = lambda df, side: df.select(side, "day", F.explode(f"{side}_words").alias("item"))
+    inside = lambda df, side: df.where(F.length(f"{side}_one") >= 4).select(side, "day", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(f"{side}_one") - 3), lambda i: F.substr(F.col(f"{side}_one"), i, F.lit(4))))).alias("item"))
+    start = lambda df, side: df.where(F.length(f"{side}_one") >= 4).select(side, "day", F.substring(f"{side}_one", 1, 4).alias("item"))
+    joins = [(word(days_a, "a"), word(days_b, "b")), (inside(days_a, "a"), start(days_b, "b")), (start(days_a, "a"), inside(days_b, "b"))]
+    pairs = reduce(DataFrame.union, [x.join(y, ["day", "item"]).select("a", "b", "day") for x, y in joins])
+    found = _scored(a, b, pairs, "day", least=WEAK).where(F.col("score") < STRONG)
+    return found.withColumnsRenamed({"a": left_name, "b": right_name, "day": day})
 
 
 def best_with_margin(candidates: DataFrame, key: str, total: str, rival_group: str, order: Sequence[Column] = (), margin: float = 0.2) -> DataFrame:
@@ -77,16 +147,19 @@ def fuzzy(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     the best total wins unless another customer comes within 0.2.
 
     Pairs with an equal address are found by it. Without one no total is over 1.3, so a subscription that has one
-    of more than 1.5 is settled, and only the names of the others are compared with every customer's.
+    of more than 1.5 is settled, and only the names of the others are looked for among all customers' names.
     """
     address = F.lower(F.trim("sub_email"))
     a, b = subscriptions.withColumn("left_tokens", name_tokens("sub_name")), customers.withColumn("right_tokens", name_tokens("label"))
     mailed = a.join(b.where("email <> ''"), address == F.col("email"))
-    by_email = _totals(mailed.withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens"))))
+    by_email = stored(_totals(mailed.withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens")))), "mailed")
     settled = by_email.where("total > 1.5").select("sub_id").distinct()
     left = subscriptions.join(settled, "sub_id", "left_anti")
-    by_name = left.join(name_pairs(left, customers, "sub_name", "label"), "sub_name").join(customers, "label")
-    good = _totals(by_name).union(by_email.join(settled, "sub_id", "left_semi"))
+    dated = customers.select("label", F.explode("dates").alias("start_date"))
+    strong = left.join(strong_pairs(left, customers, "sub_name", "label"), "sub_name").join(customers, "label")
+    weak = left.join(weak_pairs(left, dated, "sub_name", "label", "start_date"), ["sub_name", "start_date"]).join(customers, "label")
+    others = by_email.join(settled, "sub_id", "left_anti")
+    good = _totals(strong.unionByName(weak)).union(others).distinct().union(by_email.join(settled, "sub_id", "left_semi"))
     found = best_with_margin(good, "sub_id", "total", "email", [F.asc("customer_id")])
     return subscriptions.select("sub_id").join(found.select("sub_id", "customer_id", "score", "total", "status"), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
 

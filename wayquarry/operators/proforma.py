@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .match import name_pairs
+from .match import strong_pairs, weak_pairs
 
 ASSIGNED = "proforma_id long, line_id long, sub_id string, how string, problem string"
 
@@ -18,9 +18,10 @@ def candidates(lines: DataFrame, subs: DataFrame, links: DataFrame) -> DataFrame
     links: (lodging_id, sub_id). A linked pair has the score 10; others need a similarity of 0.6, or 0.3 with an equal day of the year.
     """
     linked = lines.join(links, "lodging_id").select("proforma_id", "line_id", "sub_id", F.lit(10.0).alias("total"), F.lit("lodging").alias("how"))
-    pairs = lines.join(name_pairs(lines, subs, "line_name", "sub_name"), "line_name").join(subs, "sub_name")
-    day = F.coalesce(F.date_format("next_run", "MM-dd") == F.date_format("period_start", "MM-dd"), F.lit(False))
-    named = pairs.withColumn("day", day).where("score >= 0.6 or (score >= 0.3 and day)")
+    lines, subs = lines.withColumn("day", F.date_format("period_start", "MM-dd")), subs.withColumn("sub_day", F.date_format("next_run", "MM-dd"))
+    strong = lines.join(strong_pairs(lines, subs, "line_name", "sub_name"), "line_name").join(subs, "sub_name")
+    weak = lines.join(weak_pairs(lines, subs.withColumn("day", F.col("sub_day")), "line_name", "sub_name", "day"), ["line_name", "day"]).join(subs, "sub_name")
+    named = strong.unionByName(weak).withColumn("day", F.coalesce(F.col("day") == F.col("sub_day"), F.lit(False))).where("score >= 0.6 or day")
     return linked.union(named.select("proforma_id", "line_id", "sub_id", F.col("score") + F.when(F.col("day"), 0.3).otherwise(0.0), F.lit("name")))
 
 
@@ -49,7 +50,7 @@ def choose(rows: pd.DataFrame) -> pd.DataFrame:
 
 def assign(lines: DataFrame, subs: DataFrame, links: DataFrame) -> DataFrame:
     """Per line its subscription, or the problem. Equal lines (lodging, name, price) of a proforma count once, the first."""
-    once = lines.groupBy("proforma_id", "lodging_id", "line_name", "price").agg(F.min("line_id").alias("line_id"), F.first("period_start").alias("period_start"))
+    once = lines.groupBy("proforma_id", "lodging_id", "line_name", "price").agg(F.min("line_id").alias("line_id"), F.min_by("period_start", "line_id").alias("period_start"))
     once = stored(once, "proforma-lines")
     pairs = candidates(once, subs, links)
     every = once.select("proforma_id", "line_id", "lodging_id").join(pairs, ["proforma_id", "line_id"], "left")

@@ -63,6 +63,8 @@ def unique_names(df: DataFrame, name: str, order: Sequence[Column], out: str = "
         if found.where("_nth > 1").isEmpty():
             break
         found = found.withColumn(out, F.when(F.col("_nth") > 1, F.concat(F.col(out), F.col("_nth").cast("string"))).otherwise(F.col(out)))
+    else:
+        raise RuntimeError(f"names still meet after {rounds} rounds")
     return found.drop("_nth")
 
 
@@ -107,13 +109,20 @@ def condition(where: Mapping[str, object]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def scan(df: DataFrame, where: Mapping[str, object] | None = None, select: Sequence[str] | None = None, order: Sequence[Column] = ()) -> DataFrame:
-    """Filtered, projected rows; the optimizer takes both to the files."""
+def scan(df: DataFrame, where: Mapping[str, object] | None = None, select: Sequence[str] | None = None, order: Sequence[Column] = (), offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Filtered, projected rows, in order where one is asked for; the optimizer takes filters and columns to the files."""
     found = df.where(condition(where)) if where else df
     found = found.orderBy(*order) if order else found
+    found = found.offset(offset) if offset else found
+    found = found.limit(limit) if limit is not None else found
     return found.select(*select) if select else found
 
 
+def positional(df: DataFrame, columns: Sequence[str], out: str = "row") -> DataFrame:
+    """Compact rows: the columns' values as strings in one array, in order."""
+    return df.select(F.array(*[F.col(c).cast("string") for c in columns]).alias(out))
+
+
 def search(df: DataFrame, columns: Sequence[str], words: str) -> DataFrame:
     """Rows whose columns together hold the words, in any case; all rows for no words."""
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))

@@ -69,10 +69,10 @@ def graph_box(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Ways from every fourth supplier to one three rows on and two aside, and to the supplier itself."""
+    """Ways from every supplier to one three rows on and two aside, and to the supplier itself."""
     k = F.col("s_suppkey")
     to = F.explode(F.array(k, k + 3 * SIDE + 2)).alias("to_id")
-    return table(spark, sf, "supplier").where("s_suppkey % 4 = 0").select(k.alias("from_id"), to).select((F.col("from_id") * 100_000 + F.col("to_id")).alias("request"), "from_id", "to_id", F.lit("fietsen").alias("mode"))
+    return table(spark, sf, "supplier").select(k.alias("from_id"), to).select((F.col("from_id") * 100_000 + F.col("to_id")).alias("request"), "from_id", "to_id", F.lit("fietsen").alias("mode"))
 
 
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +102,7 @@ def surface_runs(spark: SparkSession, sf: str) -> DataFrame:
     _, edges = built(spark, sf)
     lines = edges.select(F.col("id").alias("line_id"), "path")
     half = lambda p: F.struct(((p[0]["lat"] + p[1]["lat"]) / 2).alias("lat"), ((p[0]["lng"] + p[1]["lng"]) / 2).alias("lng"))
-    ways = edges.where("id % 3 = 0").select(F.col("id").alias("way_id"), F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.array(F.col("path")[0], half(F.col("path")))).alias("path"), (F.col("id") % 2).cast("int").alias("code"))
+    ways = edges.select(F.col("id").alias("way_id"), F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.array(F.col("path")[0], half(F.col("path")))).alias("path"), (F.col("id") % 2).cast("int").alias("code"))
     return surface.classified(lines, [ways]).select("line_id", F.to_json("runs").alias("runs"))
 
 
@@ -120,12 +120,24 @@ ORACLE_SQL = {
 WHERE greatest(p.lat, q.lat) >= 50.0 AND least(p.lat, q.lat) <= 50.055 AND greatest(p.lng, q.lng) >= 4.02 AND least(p.lng, q.lng) <= 4.07)
 SELECT id, km, (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM x) >= 8000 AS truncated FROM x""",
     "shortest_paths": f"""WITH RECURSIVE {NET_SQL}, s AS (SELECT a, b, min(km) AS km FROM (SELECT a, b, km FROM e UNION ALL SELECT b, a, km FROM e) GROUP BY ALL),
-r AS (SELECT s_suppkey AS f, t FROM supplier, unnest([s_suppkey, s_suppkey + {3 * SIDE + 2}]) u(t) WHERE s_suppkey % 4 = 0 AND t IN (SELECT id FROM n) AND s_suppkey IN (SELECT a FROM s) AND t IN (SELECT a FROM s)),
-w AS (SELECT f, f AS at, 0.0::DOUBLE AS km, 0 AS hops FROM (SELECT DISTINCT f FROM r) UNION SELECT w.f, s.b, min(w.km + s.km), min(hops) + 1 FROM w JOIN s ON s.a = w.at WHERE hops < 12 GROUP BY w.f, s.b)
+r AS (SELECT s_suppkey AS f, t FROM supplier, unnest([s_suppkey, s_suppkey + {3 * SIDE + 2}]) u(t) WHERE t IN (SELECT id FROM n) AND s_suppkey IN (SELECT a FROM s) AND t IN (SELECT a FROM s)),
+w AS (SELECT f, f AS at, 0.0::DOUBLE AS km, 0 AS hops FROM (SELECT DISTINCT f FROM r) UNION SELECT w.f, s.b, min(w.km + s.km), min(hops) + 1 FROM w JOIN s ON s.a = w.at WHERE hops < 16 GROUP BY w.f, s.b)
 SELECT f * 100000 + t AS request, floor(min(km) * 1000 + 0.5) / 1000 AS km FROM r JOIN w USING (f) WHERE w.at = t GROUP BY ALL""",
+    "planner_paths": f"""WITH RECURSIVE {NET_SQL}, s AS (SELECT a, b, min(km) AS km FROM (SELECT a, b, km FROM e UNION ALL SELECT b, a, km FROM e) GROUP BY ALL),
+r AS (SELECT s_suppkey AS f, t FROM supplier, unnest([s_suppkey, s_suppkey + {3 * SIDE + 2}]) u(t) WHERE s_suppkey IN (SELECT a FROM s) AND t IN (SELECT a FROM s)),
+w AS (SELECT f, f AS at, {{'km': 0.0::DOUBLE, 'hops': 0, 'path': [f]}} AS l FROM (SELECT DISTINCT f FROM r)
+  UNION ALL SELECT w.f, s.b, min({{'km': l.km + s.km, 'hops': l.hops + 1, 'path': list_append(l.path, s.b)}}) FROM w JOIN s ON s.a = w.at WHERE l.hops < 14 AND NOT list_contains(l.path, s.b) GROUP BY w.f, s.b),
+v AS (SELECT f, f AS at, {{'km': 0.0::DOUBLE, 'hops': 0, 'path': [f]}} AS l FROM (SELECT DISTINCT f FROM r)
+  UNION ALL SELECT v.f, s.b, min({{'km': l.km + s.km, 'hops': l.hops + 1, 'path': list_append(l.path, s.b)}}) FROM v JOIN s ON s.a = v.at JOIN n ON n.id = v.at
+  WHERE l.hops < 14 AND (v.at = v.f OR n.number = '') AND NOT list_contains(l.path, s.b) GROUP BY v.f, s.b),
+shortest AS (SELECT f, t, min(l) AS l FROM r JOIN w USING (f) WHERE w.at = t GROUP BY ALL), direct AS (SELECT f, t, min(l) AS d FROM r JOIN v USING (f) WHERE v.at = t GROUP BY ALL),
+j AS (SELECT f, t, l, d, coalesce(list_has_any(l.path[2:-2], (SELECT list(id) FROM n WHERE number <> '')), false) AS numbered FROM shortest LEFT JOIN direct USING (f, t)),
+x AS (SELECT *, floor(l.km * 1000 + 0.5) / 1000 AS a_km, floor(d.km * 1000 + 0.5) / 1000 AS b_km FROM j)
+SELECT f * 100000 + t AS request, CASE WHEN numbered AND coalesce(b_km <= a_km * 4, false) THEN b_km ELSE a_km END AS km, numbered AND coalesce(b_km <= a_km * 4, false) AS direct,
+  len(CASE WHEN numbered AND coalesce(b_km <= a_km * 4, false) THEN d.path ELSE l.path END)::INTEGER AS n_nodes FROM x""",
     "nearest_supplier": f"""WITH c AS ({PLACE_SQL.format(k='c_custkey', t='customer')}), s AS ({PLACE_SQL.format(k='s_suppkey', t='supplier')}),
 p AS (SELECT c.id AS c_custkey, s.id AS s_suppkey, pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - c.lng) / 2), 2) AS h FROM c, s),
 d AS (SELECT c_custkey, s_suppkey, 6371.0 * 2 * atan2(sqrt(h), sqrt(1 - h)) AS km FROM p)
 SELECT c_custkey, s_suppkey, round(km, 6) AS km FROM d WHERE km <= 0.4 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) = 1""",
-    "customers_in_box": f"SELECT id FROM ({PLACE_SQL.format(k='c_custkey', t='customer')}) WHERE lat BETWEEN 50.02 - 0.01 AND 50.05 + 0.01 AND lng BETWEEN 4.01 - 0.01 AND 4.06 + 0.01",
+    "customers_in_box": f"SELECT id FROM ({PLACE_SQL.format(k='c_custkey', t='customer')}) WHERE lat BETWEEN 50.02::DOUBLE - 0.01::DOUBLE AND 50.05::DOUBLE + 0.01::DOUBLE AND lng BETWEEN 4.01::DOUBLE - 0.01::DOUBLE AND 4.06::DOUBLE + 0.01::DOUBLE",
 }

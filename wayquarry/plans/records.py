@@ -68,11 +68,10 @@ def cascade_match(spark: SparkSession, sf: str) -> DataFrame:
 def area_match(spark: SparkSession, sf: str) -> DataFrame:
     """Customers to the least supplier of their nation, else of their region, else of all with an equal balance class."""
     n = table(spark, sf, "nation")
-    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), (F.col("c_custkey") % 7).alias("class"))
-    p = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_nationkey").alias("s_nation"), F.col("n_regionkey").alias("s_region"), (F.col("s_suppkey") % 7).alias("class"))
-    pairs = c.join(p, "class")
-    found = r.relaxed(pairs, ["c_custkey"], [F.col("nation") == F.col("s_nation"), F.col("region") == F.col("s_region"), F.lit(True)])
-    return found.groupBy("c_custkey").agg(F.min("tier").alias("tier"), F.min("s_suppkey").alias("s_suppkey"))
+    places = lambda name, key, nation: table(spark, sf, name).join(n, F.col(nation) == F.col("n_nationkey")).select(key, F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), (F.col(key) % 7).alias("class"))
+    c, s = places("customer", "c_custkey", "c_nationkey"), places("supplier", "s_suppkey", "s_nationkey")
+    found = match.nearest_tier(c, s, [["class", "nation"], ["class", "region"], ["class"]], "s_suppkey")
+    return found.where("tier is not null").select("c_custkey", "tier", "s_suppkey")
 
 
 def brand_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,17 +80,24 @@ def brand_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    """How alike the names of parts of one brand and type are, by edits."""
-    names = table(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()
-    a, b = names.select("p_brand", "p_type", F.col("p_name").alias("a")), names.select("p_brand", "p_type", F.col("p_name").alias("b"))
-    return a.join(b, ["p_brand", "p_type"]).where("a < b").select("p_brand", "p_type", "a", "b", F.round(t.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """How alike the name of each part is to the first name of its brand and type: by edits, by bigrams and by words."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.col("p_name").alias("a"))
+    first = p.groupBy("p_brand", "p_type").agg(F.min("a").alias("b"))
+    x, y = F.col("a"), F.col("b")
+    alike = p.join(first, ["p_brand", "p_type"]).withColumns({"wa": F.split("a", " "), "wb": F.split("b", " ")})
+    jaccard = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return alike.select("p_partkey", F.round(t.edit_ratio(x, y), 6).alias("edits"), F.round(t.bigram_dice(x, y), 6).alias("bigrams"), F.round(jaccard, 6).alias("words"))
 
 
 def name_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' orders to subscriptions by fuzzy names, addresses and dates."""
     c = table(spark, sf, "customer")
-    subs = c.select(F.col("c_custkey").cast("string").alias("sub_id"), F.concat(F.lit("Huis "), F.col("c_name")).alias("sub_name"), F.concat("c_name", F.lit("@example.com")).alias("sub_email"), F.lit("2000-01-01").cast("date").alias("start_date"))
-    own = c.select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("label"), F.lower(F.concat("c_name", F.lit("@example.com"))).alias("email"), F.array(F.lit("2000-01-01").cast("date")).alias("dates"))
+    k = F.col("c_custkey")
+    number = F.regexp_extract("c_name", r"(\d+)$", 1)
+    day = F.date_add(F.lit("2000-01-01").cast("date"), k.cast("int"))
+    address = F.concat(number, F.lit("@example.com"))
+    subs = c.select(k.cast("string").alias("sub_id"), F.concat(F.lit("Huis "), F.when(k % 3 == 0, F.concat(F.lit("nr"), number)).otherwise(number)).alias("sub_name"), F.when(k % 2 == 0, address).alias("sub_email"), F.when(k % 5 > 0, day).alias("start_date"))
+    own = c.select(k.cast("string").alias("customer_id"), number.alias("label"), address.alias("email"), F.array(day).alias("dates"))
     return match.fuzzy(subs, own).select("sub_id", "customer_id", "status", F.round("total", 6).alias("total"))
 
 
@@ -108,8 +114,8 @@ def monthly_stats(spark: SparkSession, sf: str) -> DataFrame:
         (F.sum("l_quantity") - 200).cast("long").alias("views"), F.count(F.lit(1)).alias("page_views"), F.lit(None).cast("long").alias("website")
     )
     own = table(spark, sf, "supplier")
-    lodgings = own.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s-"), (F.col("s_suppkey") % 8).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "-routes").otherwise("")).alias("url"), F.col("s_name").alias("title"))
-    partners = own.where("s_suppkey < 10").select(F.col("s_suppkey").alias("partner_id"), F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_name").alias("name"))
+    lodgings = own.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s-"), F.floor(F.col("s_suppkey") / 2).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "-routes").otherwise("")).alias("url"), F.col("s_name").alias("title"))
+    partners = own.select(F.col("s_suppkey").alias("partner_id"), F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_name").alias("name"))
     rows, _ = imports.partner_stats(stats, lodgings, partners)
     return rows
 
@@ -158,16 +164,18 @@ p AS (SELECT c_custkey, s_suppkey, CASE WHEN c.n = s.n THEN 1 WHEN c.g = s.g THE
 b AS (SELECT c_custkey, min(tier) AS tier FROM p GROUP BY 1) SELECT c_custkey, tier, min(s_suppkey) AS s_suppkey FROM p JOIN b USING (c_custkey, tier) GROUP BY ALL""",
     "brand_names": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 25",
     "name_ratios": """
-WITH n AS (SELECT DISTINCT p_brand, p_type, p_name FROM part)
-SELECT x.p_brand, x.p_type, x.p_name AS a, y.p_name AS b, round(1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name)), 6) AS ratio
-FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_name < y.p_name""",
+WITH n AS (SELECT p_partkey, p_name AS a, min(p_name) OVER (PARTITION BY p_brand, p_type) AS b FROM part),
+g AS (SELECT *, [a[i:i + 1] FOR i IN range(1, length(a))] AS ga, [b[i:i + 1] FOR i IN range(1, length(b))] AS gb, string_split(a, ' ') AS wa, string_split(b, ' ') AS wb FROM n)
+SELECT p_partkey, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edits,
+  round(2 * list_sum([least(len(list_filter(ga, lambda y: y = x)), len(list_filter(gb, lambda y: y = x))) FOR x IN list_distinct(ga)]) / (length(a) + length(b) - 2), 6) AS bigrams,
+  round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 6) AS words FROM g""",
     "customer_orders": """
 WITH o AS (SELECT o_custkey AS customer, 'name ' || (o_orderkey % 2) AS norm_name, o_orderdate::DATE AS d, o_orderkey AS k FROM orders)
 SELECT customer, norm_name, count(*) AS n_orders, count(DISTINCT d) AS n_dates, arg_max(k, (d, k)) AS last_order FROM o GROUP BY ALL""",
     "monthly_stats": """
 WITH s AS (SELECT l_suppkey AS lid, year(l_shipdate) AS y, month(l_shipdate) + CASE WHEN l_linenumber = 7 THEN 12 ELSE 0 END AS m, (sum(l_quantity) - 200)::BIGINT AS views, count(*) AS page_views FROM lineitem GROUP BY ALL)
-SELECT lid % 8 AS partner_id, lid, y || '-' || lpad(m::VARCHAR, 2, '0') AS month, greatest(views, 0) AS views, page_views, 0::BIGINT AS website FROM s JOIN supplier ON s_suppkey = lid
-WHERE y > 2000 AND m <= 12 AND lid % 8 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 10)""",
+SELECT lid // 2 AS partner_id, lid, y || '-' || lpad(m::VARCHAR, 2, '0') AS month, greatest(views, 0) AS views, page_views, 0::BIGINT AS website FROM s JOIN supplier ON s_suppkey = lid
+WHERE y > 2000 AND m <= 12 AND lid // 2 IN (SELECT s_suppkey FROM supplier)""",
     "written_values": """
 WITH e AS (SELECT event_id AS i, value FROM events), a AS (SELECT *, DATE '2020-01-31' + (i % 400)::INTEGER AS anchor, DATE '2024-01-15' + 60 AS lim FROM e),
 y AS (SELECT *, [make_date(year(lim) - k, month(anchor), 1) FOR k IN [0, 1, 2]] AS firsts FROM a),

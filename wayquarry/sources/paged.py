@@ -3,7 +3,8 @@
     spark.dataSource.register(PagedJson)
     spark.read.format("paged_json").schema(...).options(url="https://host/items?limit={limit}&offset={offset}", total=5000).load()
 
-url may be a local pattern (file:///folder/page-{page}.json) where pages were saved. A page is a JSON array, or an
+url may name several servers, parted by |, which are tried in turn, or be a local pattern
+(file:///folder/page-{page}.json) where pages were saved. total is a number, or where the first answer has it. A page is a JSON array, or an
 object with the array under ``records`` (dots lead further in). Values are converted to the schema's types.
 """
 
@@ -26,15 +27,16 @@ class Page(InputPartition):
     limit: int
 
 
-def fetch(url: str, attempts: int, wait: float) -> object:
+def fetch(urls: list[str], attempts: int, wait: float) -> object:
+    """The answer of the first server that gives one; attempts go round the servers."""
     for k in range(attempts):
         try:
-            with urllib.request.urlopen(url, timeout=60) as answer:
+            with urllib.request.urlopen(urls[k % len(urls)], timeout=60) as answer:
                 return json.load(answer)
         except (OSError, ValueError):
             if k + 1 == attempts:
                 raise
-            time.sleep(wait * 2**k)
+            time.sleep(wait * 2 ** (k // len(urls)))
     raise ValueError("no attempt was allowed")
 
 
@@ -54,21 +56,28 @@ def value_as(kind: T.DataType, x: object) -> object:
     return x
 
 
+def _inside(found: object, path: str) -> object:
+    for part in filter(None, path.split(".")):
+        found = found[part]
+    return found
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.kind, self.options = schema, dict(options)
 
+    def answer(self, page: Page) -> object:
+        urls = [u.strip().format(limit=page.limit, offset=page.offset, page=page.number) for u in self.options["url"].split("|")]
+        return fetch(urls, int(self.options.get("attempts", 4)), float(self.options.get("wait", 1.0)))
+
     def partitions(self) -> list[InputPartition]:
-        limit, total = int(self.options.get("limit", 1000)), int(self.options["total"])
-        return [Page(k, at, limit) for k, at in enumerate(range(0, total, limit))]
+        limit, total = int(self.options.get("limit", 1000)), self.options.get("total", "1")
+        if not total.isdigit():  # the first answer says how many there are
+            total = _inside(self.answer(Page(0, 0, limit)), total)
+        return [Page(k, at, limit) for k, at in enumerate(range(0, int(total), limit))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        url = self.options["url"].format(limit=partition.limit, offset=partition.offset, page=partition.number)
-        found = fetch(url, int(self.options.get("attempts", 4)), float(self.options.get("wait", 1.0)))
-        if path := self.options.get("records"):
-            for part in path.split("."):
-                found = found[part]
-        for x in found:
+        for x in _inside(self.answer(partition), self.options.get("records", "")):
             yield tuple(value_as(f.dataType, x.get(f.name)) for f in self.kind.fields)
 
 

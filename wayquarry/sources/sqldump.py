@@ -45,8 +45,20 @@ def inserts(dump: str, table: str) -> Iterator[tuple[list[str], list[str | None]
             return
 
 
+def malformed(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
+    """What ``read`` leaves out: file and the number of the table's rows that have another number of values than names."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            odd = [sum(len(names or columns) != len(values) for names, values in inserts(dump, table)) for dump in batch["value"]]
+            yield pd.DataFrame({"file": batch["file"], "n": odd})
+
+    return files.mapInPandas(run, "file string, n long").where("n > 0")
+
+
 def read(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """The table's rows as strings. Dumps are read a file a task; rows with another number of values are dropped.
+    """The table's rows as strings. Dumps are read a file a task; rows with another number of values are left out (see ``malformed``).
 
     Names in a statement take precedence over ``columns``, which must name those wanted.
     """
