@@ -11,8 +11,8 @@ from ..functions import text as t
 from ..functions.coerce import blank_to_null, first_filled, flag, js_round, source_number
 from ..functions.dates import anniversary, cleaned, cleaned_date, duration_minutes, period_start, year_month
 from .html import to_blocks
-from .match import cascade, customers, fuzzy, subsequence_at, through_links
-from .rows import filled_first, reduced, relaxed, unique_names
+from .match import cascade, customers, fuzzy, nearest_tier, subsequence_at, through_links
+from .rows import filled_first, reduced, unique_names
 from .sync import inserted_if_absent, upserted
 from .tracks import normalised_distances
 
@@ -49,12 +49,9 @@ def with_country(rows: DataFrame, provinces: DataFrame, countries: DataFrame, de
 
 def area_candidates(wanted: DataFrame, places: DataFrame) -> DataFrame:
     """Places (place_id, name, province, country) for wanted names (request, name, province, country): in the same province, else the country, else anywhere."""
-    p = places.select("place_id", t.slug("name").alias("slug"), t.slug("province").alias("p_province"), t.country_slug("country").alias("p_country"))
-    pairs = wanted.withColumn("slug", t.slug("name")).join(p, "slug")
-    same_country = F.col("p_country") == t.country_slug("country")
-    tiers = [same_country & (F.col("p_province") == t.slug("province")), same_country, F.lit(True)]
-    found = relaxed(pairs, ["request"], tiers)
-    return found.groupBy("request").agg(F.min("place_id").alias("place_id"), F.first("tier").alias("tier"))
+    keys = [t.slug("name").alias("_slug"), t.slug("province").alias("_province"), t.country_slug("country").alias("_country")]
+    found = nearest_tier(wanted.select("request", *keys), places.select("place_id", *keys), [["_slug", "_country", "_province"], ["_slug", "_country"], ["_slug"]], "place_id")
+    return found.where("tier is not null").select("request", "place_id", "tier")
 
 
 ROUTE_NAMES = {"title": ["Titel", "Title", "title"], "slug": ["URL", "Slug", "slug"], "start": ["Start_gemeente", "Start"], "duration": ["Duur", "Tijd"], "distance": ["Afstand", "KM"], "nodes": ["Knooppunten", "Nodes"], "gaps": ["Afstanden", "Distances"], "type": ["Type"], "level": ["Moeilijkheid", "Niveau"], "text": ["Description", "Beschrijving"], "status": ["Status"]}

@@ -154,6 +154,14 @@ def without_zeros(df: DataFrame, array: str, field: str) -> DataFrame:
     return df.withColumns({"n_fixed": F.size(F.filter(F.col(array), zero)), array: fixed})
 
 
+def attached(df: DataFrame, parts: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], out: str = "parts") -> DataFrame:
+    """df with the parts of each key as an array of structs, in order; an empty one where there are none."""
+    own = parts.select(key, F.struct(*order, *[c for c in columns if c not in order]).alias("_part"))
+    grouped = own.groupBy(key).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    wanted = F.transform("_parts", lambda p: F.struct(*[p[c].alias(c) for c in columns]))
+    return df.join(grouped.select(key, wanted.alias(out)), key, "left").withColumn(out, F.coalesce(out, F.array()))
+
+
 def histogram(df: DataFrame, name: str, most: int = 25) -> DataFrame:
     """The most frequent values, ties by value."""
     return df.groupBy(name).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), name).limit(most)
