@@ -49,12 +49,12 @@ SLICE_TOKENS, SLICE_DOCS = 1_500_000, 20_000
 #: Documents whose texts a task holds as strings at once.
 READ = 500
 #: Postings that a partition should hold, the count from which a word or pair is hot, and how many of either are.
-PART_POSTINGS = 2_000_000
+PART_POSTINGS = 1_200_000
 HOT = 1_000_000
 MAX_HOT = 200_000
 #: Pairs that a slice reports as possibly hot: the most frequent ones.
 REPORTED = 256
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 # No word holds white space, so these can't be words' hashes by design.
 START, END = np.uint64(xxhash.xxh64_intdigest(b" start")), np.uint64(xxhash.xxh64_intdigest(b" end"))
@@ -123,17 +123,24 @@ def _unique(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, n, np.bincount(inverse, weights=train, minlength=len(found)).astype(np.int64)
 
 
+def _frequent(values: np.ndarray, train: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _unique, for the most frequent values only."""
+    found, n = np.unique(values, return_counts=True)
+    top = np.sort(np.argsort(n)[-most:])
+    found, n = found[top], n[top]
+    own = values[train & np.isin(values, found)]
+    return found, n, np.bincount(np.searchsorted(found, own), minlength=len(found)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words (kind 0), the most frequent pairs (kind 1) and all tokens (kind 2) of each slice."""
     for s in slices(batches):
         train = ~s.held[s.d]
-        for kind, values in ((0, s.w), (1, pair_hash(s.h, s.w))):
-            found, n, learned = _unique(values, train)
-            if kind:
-                top = np.argsort(n)[-REPORTED:]
-                found, n, learned = found[top], n[top], learned[top]
-            yield _counts(kind, found, n, learned)
+        yield _counts(0, *_unique(s.w, train))
+        yield _counts(1, *_frequent(pair_hash(s.h, s.w), train, REPORTED))
         yield _counts(2, np.zeros(1, np.uint64), np.array([len(train)]), np.array([train.sum()]))
+        del s, train
+        pa.default_memory_pool().release_unused()
 
 
 def _counts(kind: int, x: np.ndarray, n: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
@@ -150,12 +157,20 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Itera
         yield pa.RecordBatch.from_arrays([_signed(found), _signed(s.h[some][first]), _signed(s.w[some][first]), pa.array(learned)], names=["x", "h", "w", "learned"])
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+def _pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Compressed byte by byte of the numbers; of rising ones (in runs at least) the steps between them."""
+    x = np.ascontiguousarray(x)
+    if rising and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd"), kind)
+def _unpack(data: bytes, kind: type, n: int, rising: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    return np.cumsum(x, dtype=kind) if rising else x
 
 
 # c: how often, negative in a document that is held out. keys and held (bits) come once for each slice.
@@ -172,16 +187,16 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, hot_words: np.ndarray,
     names = [f.split()[0] for f in POSTINGS.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.int32()] * 4, *[pa.binary()] * 6]
     for s in slices(batches):
-        pair = pair_hash(s.h, s.w)
-        part = (s.w % np.uint64(parts)).astype(np.int64)
+        part = (s.w % np.uint64(parts)).astype(np.int32)
         if len(hot_words):
             hot = np.isin(s.w, hot_words)
-            part[hot] = (pair[hot] % np.uint64(parts)).astype(np.int64)
+            part[hot] = (pair_hash(s.h[hot], s.w[hot]) % np.uint64(parts)).astype(np.int32)
         if len(hot_pairs):
-            hot = np.isin(pair, hot_pairs)
+            hot = np.isin(pair_hash(s.h, s.w), hot_pairs)
             part[hot] = (part[hot] + s.number % parts + (s.number >> 32) * 7) % parts
-        order = np.lexsort((s.d, s.h, s.w, part))
+        order = np.lexsort((s.d, s.h, s.w, part)).astype(np.int32)
         w, h, d, part = s.w[order], s.h[order], s.d[order], part[order]
+        s.w = s.h = s.d = order = None
         first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (part[1:] != part[:-1])]))
         c = np.diff(np.append(first, len(w)))
         w, h, d, part = w[first], h[first], d[first], part[first]
@@ -192,9 +207,11 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, hot_words: np.ndarray,
             own_w = _starts(w[a:b])
             histories, h_at = np.unique(h[a:b], return_inverse=True)
             row = [int(part[a]), s.number, s.keys if k == 0 else None, held if k == 0 else None, len(s.keys), len(own_w), len(histories), int(b - a),
-                   _pack(w[a:b][own_w]), _pack(np.diff(np.append(own_w, b - a)).astype(np.uint32)), _pack(histories),
-                   _pack(h_at.astype(np.uint32)), _pack(d[a:b].astype(np.uint16)), _pack(c[a:b].astype(np.int32))]
+                   _pack(w[a:b][own_w], True), _pack(np.diff(np.append(own_w, b - a)).astype(np.uint32)), _pack(histories, True),
+                   _pack(h_at.astype(np.uint32), True), _pack(d[a:b].astype(np.uint16)), _pack(c[a:b].astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+        del w, h, d, part, first, c
+        pa.default_memory_pool().release_unused()
 
 
 # What a history sums up: kinds of pairs by class, larger ones; their words by class, counts of larger ones.
@@ -202,8 +219,8 @@ HISTORY = [*(f"t{r}" for r in range(1, K + 1)), "t_large", *(f"u{r}" for r in ra
 # What a partition sums up: words and pairs of each count (1 to K + 1) and of larger ones; training tokens; distinct words.
 SUMS = [*(f"w{r}" for r in range(1, K + 2)), *(f"p{r}" for r in range(1, K + 2)), "w_large", "tokens", "words"]
 # numbers: what is named in HISTORY or SUMS, in that order.
-# Kind tokens, for a slice: of n words in documents (docs, times) the number of the word (at, of those in counts; ending is that of
-# the end) and the count of the pair (pairs). Kind ngrams: nw words with their counts, how many histories each has (at), and those with the pairs' counts.
+# Kind tokens, for a slice: of nw words the counts and in how many documents each stands (at), those documents, how often it does
+# there (times), and the count of the pair (pairs); ending: which of the words is the end. Kind ngrams: nw words with their counts, how many histories each has (at), and those with the pairs' counts.
 RESULT = (
     "kind string, slice long, keys array<long>, n_docs int, held binary, n int, nw int, ending int, words binary, counts binary, at binary, "
     "docs binary, times binary, pairs binary, histories binary, h long, d int, c long, numbers array<double>"
@@ -215,13 +232,13 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
     rows = group.to_pylist()
     w, h, d, c = [], [], [], []
     for r in rows:
-        w.append(np.repeat(_unpack(r["w"], np.uint64, r["nw"]), _unpack(r["per_w"], np.uint32, r["nw"])))
-        h.append(_unpack(r["h"], np.uint64, r["nh"])[_unpack(r["h_at"], np.uint32, r["n"])])
+        w.append(np.repeat(_unpack(r["w"], np.uint64, r["nw"], True), _unpack(r["per_w"], np.uint32, r["nw"])))
+        h.append(h_of(r))
         d.append(_unpack(r["d"], np.uint16, r["n"]))
         c.append(_unpack(r["c"], np.int32, r["n"]))
     ends = np.cumsum([len(x) for x in w])
-    w, h, d, c = map(np.concatenate, (w, h, d, c))
-    order = np.lexsort((h, w))
+    w, h, d, c = map(np.concatenate, (w, h, d, c))  # the lists go
+    order = np.lexsort((h, w)).astype(np.int32)
     w, h = w[order], h[order]
     learned = np.maximum(c[order], 0).astype(np.int64)
 
@@ -243,16 +260,16 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
     word_count, pair_count = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
     word_count[order] = c_w[of_word]
     pair_count[order] = np.repeat(c_p, np.diff(np.append(pairs, len(w))))
+    del order, learned
     unseen = pair_count == 0
     for r, b in zip(rows, ends.tolist()):
         a, per_w = b - r["n"], _unpack(r["per_w"], np.uint32, r["nw"])
-        own_w = _unpack(r["w"], np.uint64, r["nw"])
-        at = np.repeat(np.arange(r["nw"], dtype=np.uint32), per_w)
-        by_doc = np.argsort(d[a:b], kind="stable")
+        own_w = _unpack(r["w"], np.uint64, r["nw"], True)
+        by_doc = np.argsort(np.repeat(np.arange(r["nw"], dtype=np.int64) << 16, per_w) | d[a:b])  # within each word
         ending = np.flatnonzero(own_w == END)
         row = {
             "slice": r["slice"], "keys": r["keys"], "n_docs": r["n_docs"], "held": r["held"], "n": r["n"], "nw": r["nw"], "ending": int(ending[0]) if len(ending) else -1,
-            "counts": _pack(word_count[a:b][np.cumsum(per_w) - per_w]), "at": _pack(at[by_doc]), "docs": _pack(d[a:b][by_doc]), "times": _pack(np.abs(c[a:b])[by_doc]), "pairs": _pack(pair_count[a:b][by_doc]),
+            "counts": _pack(word_count[a:b][np.cumsum(per_w) - per_w]), "at": _pack(per_w), "docs": _pack(d[a:b][by_doc], True), "times": _pack(np.abs(c[a:b])[by_doc]), "pairs": _pack(pair_count[a:b][by_doc]),
         }
         yield "tokens", {name: [value] for name, value in row.items()}
         own = unseen[a:b]
@@ -266,8 +283,8 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
     listed = cold_w & (c_w > 0) | (per_word > 0)
     if listed.any():
         yield "ngrams", {
-            "n": [int(seen.sum())], "nw": [int(listed.sum())], "words": [_pack(w[words][listed])], "counts": [_pack(np.where(cold_w, c_w, 0)[listed])], "at": [_pack(per_word[listed].astype(np.uint32))],
-            "histories": [_pack(h[pairs][seen])], "pairs": [_pack(c_p[seen])],
+            "n": [int(seen.sum())], "nw": [int(listed.sum())], "words": [_pack(w[words][listed], True)], "counts": [_pack(np.where(cold_w, c_w, 0)[listed])], "at": [_pack(per_word[listed].astype(np.uint32))],
+            "histories": [_pack(h[pairs][seen], True)], "pairs": [_pack(c_p[seen])],
         }
     if seen.any():
         yield "histories", history_sums(h[pairs][seen], c_p[seen], c_w[of_word[pairs]][seen])
@@ -277,7 +294,7 @@ def _part(group: pa.Table, hot_words: dict[int, int], hot_pairs: dict[int, int])
 
 
 def h_of(r: dict) -> np.ndarray:
-    return _unpack(r["h"], np.uint64, r["nh"])[_unpack(r["h_at"], np.uint32, r["n"])]
+    return _unpack(r["h"], np.uint64, r["nh"], True)[_unpack(r["h_at"], np.uint32, r["n"], True)]
 
 
 def history_sums(h: np.ndarray, pair: np.ndarray, word: np.ndarray) -> dict:
@@ -357,7 +374,7 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in (r for b in batches for r in b.to_pylist()):
                 counts = _unpack(r["counts"], np.int64, r["nw"])
-                w = _unpack(r["words"], np.uint64, r["nw"])[counts > 0]
+                w = _unpack(r["words"], np.uint64, r["nw"], True)[counts > 0]
                 counts = counts[counts > 0]
                 yield pa.RecordBatch.from_arrays([_signed(w), pa.array(counts), pa.array(k.discounted_words(counts))], names=["w", "count", "p"])
 
@@ -370,9 +387,9 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in (r for b in batches for r in b.to_pylist()):
-                w = np.repeat(_unpack(r["words"], np.uint64, r["nw"]), _unpack(r["at"], np.uint32, r["nw"]))
+                w = np.repeat(_unpack(r["words"], np.uint64, r["nw"], True), _unpack(r["at"], np.uint32, r["nw"]))
                 counts = _unpack(r["pairs"], np.int64, r["n"])
-                yield pa.RecordBatch.from_arrays([_signed(_unpack(r["histories"], np.uint64, r["n"])), _signed(w), pa.array(counts), pa.array(k.discounted_pairs(counts))], names=schema_names(schema))
+                yield pa.RecordBatch.from_arrays([_signed(_unpack(r["histories"], np.uint64, r["n"], True)), _signed(w), pa.array(counts), pa.array(k.discounted_pairs(counts))], names=schema_names(schema))
 
         hot = [(h, w, n, float(k.discounted_pairs(np.array([n]))[0])) for h, w, n in self.hot_pairs if n]
         return self._ngrams(run, schema).union(self.alphas.sparkSession.createDataFrame(hot, schema))
@@ -403,8 +420,8 @@ def _combine(group: pa.Table, key: str, k: Constants) -> pa.Table:
     for r in (r for batch in group.to_batches(max_chunksize=64) for r in batch.to_pylist()):
         if r["keys"] is not None:
             keys, held = r["keys"], np.unpackbits(np.frombuffer(r["held"], np.uint8), count=n_docs).astype(bool)
-        counts, at = _unpack(r["counts"], np.int64, r["nw"]), _unpack(r["at"], np.uint32, r["n"])
-        docs, times, pairs = _unpack(r["docs"], np.uint16, r["n"]), _unpack(r["times"], np.int32, r["n"]), _unpack(r["pairs"], np.int64, r["n"])
+        counts, at = _unpack(r["counts"], np.int64, r["nw"]), np.repeat(np.arange(r["nw"]), _unpack(r["at"], np.uint32, r["nw"]))
+        docs, times, pairs = _unpack(r["docs"], np.uint16, r["n"], True), _unpack(r["times"], np.int32, r["n"]), _unpack(r["pairs"], np.int64, r["n"])
         own = counts > 0
         add = lambda weight: np.bincount(docs, weights=times * weight, minlength=n_docs)
         tokens += add(np.ones(len(docs)))
@@ -455,7 +472,9 @@ def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> tuple[Data
     postings = own.mapInArrow(lambda b: _deal(b, parts, some_words, some_pairs), POSTINGS)
 
     def work(group: pa.Table) -> pa.Table:
-        return pa.concat_tables([_result(kind, columns) for kind, columns in _part(group, *sent.value)])
+        found = pa.concat_tables([_result(kind, columns) for kind, columns in _part(group, *sent.value)])
+        pa.default_memory_pool().release_unused()
+        return found
 
     path = scratch(spark, "katz")
     postings.groupBy("part").applyInArrow(work, RESULT).write.partitionBy("kind").parquet(path)
