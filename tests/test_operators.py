@@ -446,8 +446,57 @@ def test_jobs_write_only_when_told(spark, tmp_path):
     args = ["users", "--source", str(tmp_path / "d.sql"), "--out", f"{tmp_path}/out"]
     assert jobs.run(spark, args) == {"insert": 2}
     assert not (tmp_path / "out").exists()
-    assert jobs.run(spark, [*args, "--limit", "1", "--offset", "1", "--apply"]) == {"insert": 1}
+    assert jobs.run(spark, [*args, "--limit", "1", "--offset", "1", "--apply", "--confirm"]) == {"insert": 1}
     assert [r.username for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["an"]
+    with pytest.raises(SystemExit):
+        jobs.run(spark, [*args, "--apply"])
     (tmp_path / "n.json").write_text('{"type":"FeatureCollection","features":[{"id":"1","geometry":{"type":"Point","coordinates":[4,51]},"properties":{"nr":"5"}}]}')
     assert jobs.run(spark, ["network", "--source", str(tmp_path / "n.json"), "--out", f"{tmp_path}/n", "--apply"]) == {"insert": 1}
     assert jobs.run(spark, ["network", "--source", str(tmp_path / "n.json"), "--stored", f"{tmp_path}/n", "--prune"]) == {"keep": 1}
+
+
+def test_other_jobs(spark, tmp_path):
+    from wayquarry import jobs
+
+    def put(name, data, schema):
+        frame(spark, data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return f"{tmp_path}/{name}"
+
+    towns = put("towns", [("Gent", "9000", "Oost", "V", 51.0, 3.7, 1), ("GENT", None, None, None, None, None, 2)], "municipality string, postcode string, province string, region string, lat double, lng double, ordinal int")
+    assert jobs.run(spark, ["cities", "--source", towns, "--out", f"{tmp_path}/cities", "--apply"]) == {"insert": 3}
+    assert jobs.run(spark, ["cities", "--source", towns, "--stored", f"{tmp_path}/cities"]) == {"keep": 3}
+    blogs = put("blogs", [("a", True, 3, 1, 1), ("a", True, 5, 1, 2), ("b", False, 1, 1, 3)], "slug string, published boolean, n_blocks int, updated int, id int")
+    assert jobs.run(spark, ["duplicates", "--source", blogs]) == {"keep": 2, "delete": 1}
+    nodes = put("nodes", [(1, "n1", "1"), (2, "n2", "2")], "id int, external_id string, number string")
+    (tmp_path / "c.json").write_text('{"type":"FeatureCollection","features":[{"id":"c1","geometry":null,"properties":{"from":"n1","to":"2","distance":"1500"}}]}')
+    assert jobs.run(spark, ["network", "--step", "2", "--unit", "m", "--source", f"{tmp_path}/c.json", "--with", f"nodes={nodes}"]) == {"insert": 1}
+    edges = put("edges", [("p", 1, "a", "b", "x", "0", 1234.4, None)], "pid string, objectid int, begin_geoid string, end_geoid string, naam string, virtual string, shape_length double, geometry string")
+    spots = put("spots", [("tv:a", "1", 51.0, 4.0, False)], "external_id string, number string, lat double, lng double, is_virtual boolean")
+    assert jobs.run(spark, ["layer", "--source", edges, "--origin", "tv:", "--with", f"nodes={spots}"]) == {"insert": 2}
+    starts = put("starts", [(1, 0.0, None), (2, 5.0, 0.0)], "id int, paved double, unpaved double")
+    assert jobs.run(spark, ["surfaces", "--source", starts]) == {"update": 1, "keep": 1}
+
+
+def test_proformas_are_judged_once(spark):
+    day = d("2024-01-01")
+    pro = frame(spark, [(1, 100, day), (2, 200, day), (3, 300, day), (4, 400, None), (5, 500, day), (6, 600, day)], "proforma_id long, number long, period_start date")
+    lines = frame(spark, [(k, k * 10, None if k == 6 else 5.0) for k in range(1, 7)], "proforma_id long, line_id long, price double")
+    done = frame(spark, [(1, 10, "a", "name", None), (2, 20, "b", "name", None), (3, 30, None, None, "ambiguous"), (4, 40, "c", "name", None), (5, 50, "d", "name", None), (6, 60, "d", "name", None)], "proforma_id long, line_id long, sub_id string, how string, problem string")
+    subs = frame(spark, [("a", None, None), ("b", None, day), ("c", None, None), ("d", None, d("2023-01-01"))], "sub_id string, next_run date, last_run date")
+    inv = frame(spark, [(100, "x", day, "sent"), (7, "d", day, "sent"), (8, "a", day, "cancelled")], "number long, sub_id string, period_start date, status string")
+    assert listed(proforma.judged(pro, lines, done, subs, inv), "proforma_id", "outcome") == [(1, "exists"), (2, "paid"), (3, "unmatched"), (4, "no period"), (5, "duplicate"), (6, "unmatched")]
+    assert listed(proforma.judged(pro.where("proforma_id = 1"), lines, done, subs, inv.where("number = 8")), "proforma_id", "outcome") == [(1, "create")]
+
+
+def test_routes_as_a_whole(spark):
+    rows_ = frame(spark, [("1", "Route A", "a b", "12,5", "1 - 2", "5,0")], "Status string, Titel string, URL string, Afstand string, Knooppunten string, Afstanden string")
+    starts = frame(spark, [("a-b", "Kerk", 51.0, 4.0, "Gent", "Oost", "BE", None, 1), ("a-b", "KERK", 51.0, 4.0, "Gent", None, None, 2.0, 2)], "slug string, name string, latitude double, longitude double, city string, province string, country string, distance_km double, ordinal int")
+    places = frame(spark, [(5, "Gent", "West", "Belgium"), (6, "Gent", "Oost", "Belgium")], "place_id int, name string, province string, country string")
+    recorded = frame(spark, [("a-b", [("9", 1.0, 1.0), ("1", 51.0, 4.0), ("2", 51.1, 4.0)])], "slug string, nodes array<struct<number: string, lat: double, lng: double>>")
+    r = imports.placed_routes(rows_, starts, places, recorded).collect()
+    assert [(x.name, x.place_id, x.distance_km) for x in r[0].starts] == [("Kerk", 6, 2.0)]
+    assert [n.number for n in r[0].nodes] == ["1", "2"]
+    pages = imports.place_pages(frame(spark, [("u", "T", "Gent x", "<h2>a</h2><p>b</p>"), ("v", "T", "y", "")], "Universe string, Titel string, URL string, Description string"), "u").collect()
+    assert [(p.slug, p.sections[0].title) for p in pages] == [("gent-x", "a")]
+    points = frame(spark, [("A", 1, None), ("B", 2, "x"), ("C", None, None)], "title string, image int, image_alt string")
+    assert listed(imports.repaired_alt_texts(points), "title", "outcome", "image_alt") == [("A", "fixed", "A"), ("B", "already", "x"), ("C", "no image", None)]

@@ -15,7 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import imports, network_sync, sync
+from .operators import imports, network_sync, proforma, sync
+from .operators.rows import winner
 from .sources import files, sqldump
 
 USER_COLUMNS = ["id", "email", "username", "password", "created", "newsletter", "unsubscribed"]
@@ -45,12 +46,109 @@ def prospects(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     return after.join(known, "source_id", "left").withColumn("action", F.coalesce("action", F.lit("insert")))
 
 
+def given(spark: SparkSession, options: argparse.Namespace, name: str) -> DataFrame | None:
+    """A further table of --with name=path: a folder or file of Parquet, JSON or CSV."""
+    path = dict(x.split("=", 1) for x in options.more).get(name)
+    return _read(spark, path) if path else None
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith(".json"):
+        return spark.read.option("multiLine", True).json(path)
+    return files.csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
+
+
+def needed(spark: SparkSession, options: argparse.Namespace, name: str) -> DataFrame:
+    found = given(spark, options, name)
+    if found is None:
+        raise SystemExit(f"this job needs --with {name}=...")
+    return found
+
+
+def rows_of(actions: DataFrame) -> DataFrame:
+    """The rows of a frame of actions, new or as they are stored."""
+    return actions.select("action", F.when(F.col("action").isin("insert", "update"), F.col("source")).otherwise(F.col("stored")).alias("row")).select("action", "row.*")
+
+
 def network(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    source = network_sync.feature_nodes(files.features(spark, options.source))
+    """Step 1: nodes. Step 2: connections, whose ends are looked up among the stored nodes (--with nodes=)."""
+    features = files.features(spark, options.source)
+    if options.step == 2:
+        ready = network_sync.with_ends(network_sync.feature_connections(features, options.unit), needed(spark, options, "nodes"))
+        stored = spark.read.parquet(options.stored) if options.stored else ready.where("false")
+        return rows_of(network_sync.sync_connections(ready, stored.select("external_id", "from_id", "to_id", "distance_km", "geometry")))
+    source = network_sync.feature_nodes(features)
     stored = spark.read.parquet(options.stored) if options.stored else source.where("false")
     found = sync.diff(source, stored.select(*source.columns), ["external_id"], {"number": None, "name": None, "lat": network_sync.SAME_DEGREES, "lng": network_sync.SAME_DEGREES})
-    judged = sync.guarded(found, network_sync.LEAST_NODES, network_sync.LEAST_SHARE, options.prune)
-    return judged.select("action", F.when(F.col("action").isin("insert", "update"), F.col("source")).otherwise(F.col("stored")).alias("row")).select("action", "row.*")
+    return rows_of(sync.guarded(found, network_sync.LEAST_NODES, network_sync.LEAST_SHARE, options.prune))
+
+
+def layer(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """A regional layer's connections (--source) with its nodes (--with nodes=) against the stored ones (--stored, --with stored_nodes=)."""
+    nodes = needed(spark, options, "nodes")
+    edges = network_sync.layer_connections(_read(spark, options.source), options.origin).select("external_id", "from_key", "to_key", "distance_km", "is_virtual")
+    stored = spark.read.parquet(options.stored) if options.stored else edges.where("false")
+    stored_nodes = given(spark, options, "stored_nodes")
+    n, e = network_sync.sync_layer(nodes, edges, nodes.where("false") if stored_nodes is None else stored_nodes, stored.select(*edges.columns), options.prune and not options.mode, options.origin)
+    return rows_of(e).withColumn("kind", F.lit("edge")).unionByName(rows_of(n).withColumn("kind", F.lit("node")), allowMissingColumns=True)
+
+
+def relations(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Map relations (--source) between network points (--with points=), some of which are nodes already (--with nodes=)."""
+    edges = network_sync.relation_edges(network_sync.relation_lines(_read(spark, options.source)), needed(spark, options, "points"), needed(spark, options, "nodes"))
+    edges = edges.select("relation_id", "from_point", "to_point", "km")
+    stored = spark.read.parquet(options.stored) if options.stored else edges.where("false")
+    return rows_of(network_sync.sync_relations(edges, stored.select(*edges.columns), options.prune))
+
+
+def cities(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Cities with the provinces and regions they need; --with extra= fills what the source lacks."""
+    new = imports.city_tables(_read(spark, options.source), given(spark, options, "extra"))
+    if not options.stored:
+        return new.withColumn("action", F.lit("insert"))
+    compare = {c: None for c in ("name", "parent", "postcode")} | {"lat": network_sync.SAME_DEGREES, "lng": network_sync.SAME_DEGREES}
+    found = sync.diff(new, spark.read.parquet(options.stored).select(*new.columns), ["kind", "slug"], compare)
+    return rows_of(found.withColumn("action", F.when(F.col("action") == "stale", "keep").otherwise(F.col("action"))))
+
+
+def networks(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    return network_sync.described(_read(spark, options.source)).withColumn("action", F.lit("insert"))
+
+
+def orders(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Runs of subscriptions (--stored) from older orders."""
+    return imports.order_backfill(_read(spark, options.source), spark.read.parquet(options.stored), options.overwrite).withColumn("action", F.lit("update"))
+
+
+def proformas(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Lines of open proformas (--source) to subscriptions (--stored), with --with proformas=, links= and invoices=."""
+    lines, subs = _read(spark, options.source), spark.read.parquet(options.stored)
+    done = proforma.judged(needed(spark, options, "proformas"), lines, proforma.assign(lines, subs, needed(spark, options, "links")), subs, needed(spark, options, "invoices"))
+    return done.withColumn("action", F.when(F.col("outcome") == "create", "insert").otherwise(F.col("outcome")))
+
+
+def statistics(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Partners' statistics (--source: rows of lodgings and months), with --with lodgings=, partners= and, if need be, manual=."""
+    rows, _ = imports.partner_stats(_read(spark, options.source), needed(spark, options, "lodgings"), needed(spark, options, "partners"), given(spark, options, "manual"))
+    return rows.withColumn("action", F.lit("insert"))
+
+
+def duplicates(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Articles with one slug (slug, published, n_blocks, updated, id): all but the winner go."""
+    order = [F.desc("published"), F.desc("n_blocks"), F.desc("updated"), F.asc("id")]
+    return winner(_read(spark, options.source), ["slug"], order).withColumn("action", F.when(F.col("keeps"), "keep").otherwise("delete")).drop("keeps")
+
+
+def drafts(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    found = imports.missing_drafts(_read(spark, options.source))
+    return (found.where(F.col("locale") == options.locale) if options.locale else found).withColumn("action", F.lit("insert"))
+
+
+def surfaces(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Start places whose shares were never measured."""
+    rows = _read(spark, options.source)
+    unmeasured = (F.coalesce("paved", F.lit(0.0)) == 0) & (F.coalesce("unpaved", F.lit(0.0)) == 0)
+    return imports.repaired_surface(rows.withColumn("action", F.when(unmeasured, "update").otherwise("keep")))
 
 
 JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame]] = {
@@ -60,7 +158,19 @@ JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame]] = {
     "points": dump("points", POINT_COLUMNS, imports.points_of_interest, "ID"),
     "prospects": prospects,
     "network": network,
+    "layer": layer,
+    "relations": relations,
+    "cities": cities,
+    "networks": networks,
+    "orders": orders,
+    "proformas": proformas,
+    "statistics": statistics,
+    "duplicates": duplicates,
+    "drafts": drafts,
+    "surfaces": surfaces,
 }
+#: Jobs over people, which write only with --confirm as well.
+CONFIRMED = ("users",)
 
 
 def run(spark: SparkSession, arguments: Sequence[str]) -> dict[str, int]:
@@ -75,9 +185,19 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> dict[str, int]:
     parser.add_argument("--limit", type=int)
     parser.add_argument("--apply", action="store_true")
     parser.add_argument("--prune", action="store_true")
+    parser.add_argument("--confirm", action="store_true")
+    parser.add_argument("--overwrite", action="store_true")
+    parser.add_argument("--step", type=int, choices=(1, 2), default=1)
+    parser.add_argument("--unit", choices=("km", "m"), default="km")
+    parser.add_argument("--mode", help="only one mode; nothing is removed then")
+    parser.add_argument("--origin", default="")
+    parser.add_argument("--locale")
+    parser.add_argument("--with", dest="more", action="append", default=[], metavar="NAME=PATH", help="a further table that the job needs")
     options = parser.parse_args(arguments)
     if options.apply and not options.out:
         parser.error("--apply needs --out")
+    if options.apply and options.job in CONFIRMED and not options.confirm:
+        parser.error(f"{options.job}: --apply needs --confirm as well")
     done = JOBS[options.job](spark, options)
     counts = {r.action: r.n for r in sync.counters(done).collect()}
     if options.apply:

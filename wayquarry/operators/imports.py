@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.coerce import blank_to_null, first_filled, flag, js_round, source_number
 from ..functions.dates import anniversary, cleaned, cleaned_date, duration_minutes, period_start, year_month
-from .html import to_blocks
+from .html import place_page, to_blocks
 from .match import cascade, customers, fuzzy, nearest_tier, subsequence_at, through_links
 from .rows import filled_first, reduced, unique_names
 from .sync import inserted_if_absent, upserted
-from .tracks import normalised_distances
+from .tracks import merged_starts, normalised_distances
 
 
 def cities(rows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -33,6 +33,15 @@ def cities(rows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return both.select("slug", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in columns])
 
 
+def city_tables(rows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Cities with the provinces and regions they need: kind, slug, name, parent (a slug), postcode, lat, lng."""
+    own = cities(rows, extra).withColumns({"province": blank_to_null("province"), "region": blank_to_null("region")})
+    nothing = [F.lit(None).cast(k).alias(c) for c, k in (("postcode", "string"), ("lat", "double"), ("lng", "double"))]
+    above = lambda kind, name, parent: reduced(own.where(F.col(name).isNotNull()).select(F.lit(kind).alias("kind"), t.slug(name).alias("slug"), F.col(name).alias("name"), parent.alias("parent"), *nothing), ["slug"], F.struct("name", "parent"))
+    city = own.select(F.lit("city").alias("kind"), "slug", "name", t.slug("province").alias("parent"), "postcode", "lat", "lng")
+    return city.unionByName(above("province", "province", t.slug("region"))).unionByName(above("region", "region", F.lit(None).cast("string")))
+
+
 def least_postcodes(rows: DataFrame) -> DataFrame:
     """The least postcode of each municipality (municipality, postcode)."""
     return rows.groupBy(t.slug("municipality").alias("slug")).agg(F.min("postcode").alias("postcode"))
@@ -81,6 +90,20 @@ def known_sequences(routes: DataFrame, recorded: DataFrame) -> DataFrame:
     return joined.select("slug", F.when(at.isNotNull(), F.slice("nodes", at + 1, F.size("node_numbers"))).alias("nodes"))
 
 
+def placed_routes(rows: DataFrame, starts: DataFrame, places: DataFrame, recorded: DataFrame, flags: Mapping[str, str] | None = None) -> DataFrame:
+    """Routes of older tables as a whole: ``routes`` with their start places merged and looked up, and their nodes' coordinates.
+
+    starts: slug, name, latitude, longitude, city, province, country, distance_km, ordinal; places: place_id, name,
+    province, country; recorded: slug, nodes. A start's city is looked up in its province, its country, anywhere.
+    """
+    own = routes(rows, flags)
+    merged = merged_starts(starts.withColumnRenamed("slug", "route_id"))
+    asked = merged.select(F.concat_ws("#", "route_id", "ordinal").alias("request"), F.col("city").alias("name"), "province", "country")
+    found = merged.withColumn("request", F.concat_ws("#", "route_id", "ordinal")).join(area_candidates(asked, places), "request", "left")
+    lists = found.groupBy(F.col("route_id").alias("slug")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "latitude", "longitude", "place_id", "distance_km"))).alias("starts"))
+    return own.join(lists, "slug", "left").join(known_sequences(own, recorded), "slug", "left")
+
+
 def users(rows: DataFrame) -> DataFrame:
     """Users (id, email, username, password, created, newsletter, unsubscribed): no password leaves but its kind."""
     who = t.sorted_identity(F.lower(blank_to_null("email")), blank_to_null("username"))
@@ -116,6 +139,21 @@ def points_of_interest(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("ID").cast("long").alias("old_point_id"), blank_to_null("Title").alias("title"), t.poi_type(F.col("Type"), F.col("Title"), F.col("Title2")).alias("kind"), to_blocks(F.coalesce("Description", F.lit(""))).alias("blocks"), blank_to_null("Title").alias("image_alt"))
 
 
+def repaired_alt_texts(points: DataFrame) -> DataFrame:
+    """Points (title, image, image_alt) whose image has no alternative text get their title; outcome: fixed, already, no image."""
+    blank = F.trim(F.coalesce("image_alt", F.lit(""))) == ""
+    outcome = F.when(F.col("image").isNull(), "no image").when(blank, "fixed").otherwise("already")
+    return points.withColumn("outcome", outcome).withColumn("image_alt", F.when(F.col("outcome") == "fixed", F.col("title")).otherwise(F.col("image_alt")))
+
+
+def place_pages(rows: DataFrame, universe: str, most: int | None = None) -> DataFrame:
+    """Place pages of a universe (Universe, Titel, URL, Description): slug, title and the page's parts; ``most`` is what was asked for."""
+    own = rows.where(F.col("Universe") == universe).orderBy("URL")
+    own = own.limit(most) if most is not None else own
+    parts = own.select(blank_to_null("Titel").alias("title"), t.slug("URL").alias("slug"), place_page()(F.coalesce("Description", F.lit(""))).alias("parts"))
+    return parts.select("slug", "title", "parts.*").where("slug <> ''")
+
+
 def point_links(points: DataFrame, links: DataFrame, old_routes: DataFrame, routes: DataFrame) -> DataFrame:
     """(point_id, route_id): points (old_point_id, point_id), links (old_point_id, old_route_id), old routes (old_route_id, slug), routes (route_id, slug)."""
     return through_links(points, links.join(old_routes, "old_route_id"), routes)

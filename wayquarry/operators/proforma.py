@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import first_reason
 from ..storage import stored
 from .match import strong_pairs, weak_pairs
 
@@ -55,3 +56,27 @@ def assign(lines: DataFrame, subs: DataFrame, links: DataFrame) -> DataFrame:
     pairs = candidates(once, subs, links)
     every = once.select("proforma_id", "line_id", "lodging_id").join(pairs, ["proforma_id", "line_id"], "left")
     return every.groupBy("proforma_id").applyInPandas(choose, ASSIGNED)
+
+
+def judged(proformas: DataFrame, lines: DataFrame, assigned: DataFrame, subs: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Per proforma: what becomes of it (outcome) and its period's start.
+
+    proformas: proforma_id, number, period_start; lines: proforma_id, line_id, price; assigned: as from ``assign``;
+    subs: sub_id, next_run, last_run; invoices: number, sub_id, period_start, status. Outcomes, the first that
+    holds: exists (its number), unmatched (a line without a clear subscription, none at all, or one without a price), no
+    period, paid (every subscription ran for this period or a later one), duplicate (an invoice that isn't cancelled is for
+    one of them and this period), create.
+    """
+    own = assigned.join(lines.select("proforma_id", "line_id", "price"), ["proforma_id", "line_id"], "left").join(subs.select("sub_id", "next_run", "last_run"), "sub_id", "left")
+    found = own.groupBy("proforma_id").agg(
+        F.bool_or(F.col("problem").isNotNull() | F.col("price").isNull()).alias("unclear"), F.min_by("next_run", "line_id").alias("next"), F.min(F.coalesce("last_run", F.lit("0001-01-01").cast("date"))).alias("least_run")
+    )
+    dated = proformas.join(found, "proforma_id", "left").withColumn("starts", F.coalesce("period_start", "next"))
+    numbers = invoices.select("number").distinct().withColumn("_exists", F.lit(True))
+    live = invoices.where("status <> 'cancelled'").select("sub_id", F.col("period_start").alias("starts")).distinct()
+    twice = own.select("proforma_id", "sub_id").join(dated.select("proforma_id", "starts"), "proforma_id").join(live, ["sub_id", "starts"]).select("proforma_id").distinct().withColumn("_twice", F.lit(True))
+    joined = dated.join(numbers, "number", "left").join(twice, "proforma_id", "left")
+    outcome = first_reason(
+        (F.col("_exists"), "exists"), (F.coalesce("unclear", F.lit(True)), "unmatched"), (F.col("starts").isNull(), "no period"), (F.col("least_run") >= F.col("starts"), "paid"), (F.col("_twice"), "duplicate"),
+    )
+    return joined.select("proforma_id", F.coalesce(outcome, F.lit("create")).alias("outcome"), F.col("starts").alias("period_start"))
