@@ -97,6 +97,37 @@ def decontaminated(text: str, items: list[tuple[str, str]]) -> tuple[int, set[in
     return len(w), hit, found
 
 
+def rejected(text: str | None) -> bool:
+    """By the rules of the pipeline's policy."""
+    text = text or ""
+    own = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+    repeated = {i + k for i in range(len(own) - 4) if windows[tuple(own[i : i + 5])] > 1 for k in range(5)}
+    symbols, length = len(re.findall(r"[#*$%&|<>]", text)), sum(map(len, own))
+    return len(own) < 10 or 100 * len(repeated) > 20 * len(own) or 10 * symbols > len(own) or 2 * (len(lines) - len(set(lines))) > len(lines) or length < 2 * len(own) or length > 20 * len(own)
+
+
+def without_hits(text: str | None, hit: set[int]) -> str | None:
+    """The text without the hit words: runs of neighbouring ones go with what lies between them, and one of two spaces around them."""
+    if not hit:
+        return text
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))]
+    out, at, i = "", 0, 0
+    while i < len(places):
+        if i not in hit:
+            i += 1
+            continue
+        j = i
+        while j + 1 in hit:
+            j += 1
+        start, end = places[i][0], places[j][1]
+        out += text[at:start]
+        at = end + (text[:start].endswith(" ") and text[end : end + 1] == " ")
+        i = j + 1
+    return out + text[at:]
+
+
 class Katz:
     """Bigram Katz back-off with Good-Turing discounts up to k; larger counts lose ``large``."""
 

@@ -14,7 +14,7 @@ from wayquarry.llm.queries import ORACLE_SQL, QUERIES
 from wayquarry.llm.queries_corpus import op6_lines, op9_simhash
 
 
-@pytest.mark.parametrize("name", ["op3_quality", "op7_sharding", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op3_quality", "quality_ablation", "op7_sharding", "op10_decontaminate"])
 def test_sql(spark, oracle, name):
     same_as_sql(spark, QUERIES[name], ORACLE_SQL[name], oracle("sf0.01"), "sf0.01")
 

@@ -11,34 +11,17 @@ from tests.conftest import DATA
 from tests.llm import brute
 from tokenizers import Tokenizer
 
-from wayquarry.llm import decontaminate, quality
 from wayquarry.llm.common import stored
 from wayquarry.llm.queries import QUERIES
 
 
 def plain_pipeline(docs: dict, items: list) -> dict:
     """key -> text after the first four stages."""
-    kept = {k: t for k, t in docs.items() if not any(f for f in plain_fails(t))}
+    kept = {k: t for k, t in docs.items() if not brute.rejected(t)}
     removed = brute.removed_lines(list(kept.items()))
     kept = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in removed[k]) if t is not None else None for k, t in kept.items()}
     root = brute.components({k: brute.fingerprint(t) for k, t in kept.items()})
-    kept = {k: t for k, t in kept.items() if root[k] == k}
-    out = {}
-    for k, t in kept.items():
-        _, hit, _ = brute.decontaminated(t, items)
-        spans = decontaminate.merged([(i, i + 1) for i in hit])
-        out[k] = decontaminate.cut(t, spans) if spans else t
-    return out
-
-
-def plain_fails(text):
-    n_words, word_chars, n_symbols, n_lines, n_dup, n_repeat = quality.measure(text or "")
-    yield n_words < 10
-    yield 100 * n_repeat > 20 * n_words
-    yield 10 * n_symbols > n_words
-    yield 2 * n_dup > n_lines
-    yield word_chars < 2 * n_words
-    yield word_chars > 20 * n_words
+    return {k: brute.without_hits(t, brute.decontaminated(t, items)[1]) for k, t in kept.items() if root[k] == k}
 
 
 def test_pipeline_against_plain_version(spark):

@@ -477,7 +477,7 @@ def _score(own: DataFrame, key: str, hot: int, part_postings: int) -> tuple[Data
         return found
 
     path = scratch(spark, "katz")
-    postings.groupBy("part").applyInArrow(work, RESULT).write.partitionBy("kind").parquet(path)
+    postings.groupBy("part").applyInArrow(work, RESULT).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     found = spark.read.schema(RESULT).parquet(path)
 
     s = found.where("kind = 'sums'").agg(*[F.coalesce(F.sum(F.col("numbers")[i]), F.lit(0.0)).alias(x) for i, x in enumerate(SUMS)]).first().asDict()

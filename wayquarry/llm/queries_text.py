@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, quality, tokenfile
 from .bpe import encode
-from .common import scratch, table
+from .common import scratch, stored, table
 
 
 def vocabulary_path() -> str:
@@ -47,6 +47,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and with others, from the stored ledger."""
+    return quality.ablation(stored(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,7 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_tokenfile": op2_tokenfile, "op3_quality": op3_quality, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_bpe": op1_bpe, "op2_tokenfile": op2_tokenfile, "op3_quality": op3_quality, "quality_ablation": quality_ablation, "op10_decontaminate": op10_decontaminate}
 
 # white space as in the contract; lines with a word are those that have anything else
 OP3_SQL = r"""
@@ -107,4 +112,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_quality": OP3_SQL, "op10_decontaminate": OP10_SQL}
+ABLATION_SQL = f"""
+WITH ledger AS ({OP3_SQL}),
+p AS (SELECT unnest(['base', 'v1', 'v2']) AS version, unnest([3, 15, 63]) AS mask), r AS (SELECT unnest(['too_few_words', 'repeated_words', 'symbols', 'repeated_lines', 'short_words', 'long_words']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT version, rule, count(*) AS n_docs, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & mask = bit) AS n_failed_only_here, count(*) FILTER (WHERE fail_bits & mask <> 0) AS n_rejected
+FROM ledger, p, r WHERE mask & bit <> 0 GROUP BY ALL"""
+
+ORACLE_SQL = {"op3_quality": OP3_SQL, "quality_ablation": ABLATION_SQL, "op10_decontaminate": OP10_SQL}
