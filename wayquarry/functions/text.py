@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Mapping
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -285,14 +287,16 @@ def sorted_identity(email: Column, user: Column) -> Column:
     return F.struct(F.when(swapped, user).otherwise(email).alias("email"), F.when(swapped, email).otherwise(user).alias("user"))
 
 
-def bigram_dice(a: Column, b: Column) -> Column:
-    """Shared pairs of characters (with repeats) of all pairs."""
-    grams = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
-    count = lambda g, x: F.size(F.filter(g, lambda y: y == x))
-    ga, gb = grams(a), grams(b)
-    overlap = F.aggregate(F.array_distinct(ga), F.lit(0), lambda n, x: n + F.least(count(ga, x), count(gb, x)))
-    short = (F.length(a) < 2) | (F.length(b) < 2)
-    return F.when(short, (a == b).cast("double")).otherwise(2 * overlap / (F.length(a) + F.length(b) - 2))
+@vectorised("double")
+def bigram_dice(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shared pairs of characters (with repeats) of all pairs; null where one is null."""
+
+    def dice(x: str, y: str) -> float:
+        if len(x) < 2 or len(y) < 2:
+            return float(x == y)
+        return 2 * (Counter(map("".join, pairwise(x))) & Counter(map("".join, pairwise(y)))).total() / (len(x) + len(y) - 2)
+
+    return pd.Series([dice(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype=float)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -300,18 +304,23 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def subsequence_ratio(a: Column, b: Column) -> Column:
-    """Twice the longest common subsequence by all characters: one fold over a, a row of the table as state."""
-    zero = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+def _common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a bit for each character of a, cleared where the length grows."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
-    def next_row(row: Column, ch: Column) -> Column:
-        step = lambda out, j: F.concat(out, F.array(
-            F.when(F.substr(b, j, F.lit(1)) == ch, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(row, j + 1), F.element_at(out, -1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), step)
 
-    chars = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substr(a, i, F.lit(1)))
-    some = (F.length(a) > 0) & (F.length(b) > 0)
-    return F.when(some, 2 * F.element_at(F.aggregate(chars, zero, next_row), -1) / (F.length(a) + F.length(b))).otherwise(0.0)
+@vectorised("double")
+def subsequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the longest common subsequence by all characters; 0 where one is empty or null."""
+    return pd.Series([2 * _common_subsequence(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
 def token_similarity(ta: Column, tb: Column) -> Column:

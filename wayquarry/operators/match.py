@@ -73,10 +73,14 @@ def _sharing(a: DataFrame, b: DataFrame, items: Callable[[Column, Column], Colum
     return sides[0].join(sides[1], "item").select("a", "b")
 
 
+def _counted(items: Column) -> Column:
+    """Items with how often each was there before, so that a set of them counts repeats."""
+    return F.transform(items, lambda g, i: F.concat(g, F.size(F.filter(F.slice(items, F.lit(1), i), lambda y: y == g)).cast("string")))
+
+
 def bigrams(x: Column) -> Column:
     """Pairs of neighbouring characters, numbered where they repeat; for three characters also the first with the last."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))
-    counted = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == g)).cast("string")))
+    counted = _counted(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2))))
     return F.when(F.length(x) < 2, F.array().cast("array<string>")).when(F.length(x) == 3, F.concat(counted, F.array(F.concat(F.substr(x, F.lit(1), F.lit(1)), F.substr(x, F.lit(3), F.lit(1)), F.lit("1"))))).otherwise(counted)
 
 
@@ -86,12 +90,20 @@ def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name:
     Exact, without comparing every pair. Names whose words agree by 0.6 share one of the rarest words of each, of
     which n - ceil(0.6 n) + 1 are taken. Names that are alike as one word by 0.8 (by edits, bigrams or common
     subsequence) differ in length by half at most and share 0.2 (a + b) - 1 bigrams at least, so one of the rarest
-    a - ceil(a / 3 - 1) of each; two and three characters, which may share none, have one more.
+    a - ceil(a / 3 - 1) of each; two and three characters, which may share none, have one more. Names alike
+    by edits or common subsequence also share 0.4 (a + b) characters and are within 0.2 (a + b) edits, those alike by
+    bigrams share 0.4 (a + b - 2) of them, which is looked at before a pair is scored.
     """
     a, b = _named(left, left_name, "a"), _named(right, right_name, "b")
     by_words = _sharing(a, b, lambda words, one: words, lambda words, one: F.size(words) - F.ceil(F.size(words) * STRONG - 1e-9) + 1)
     by_bigrams = _sharing(a, b, lambda words, one: bigrams(one), lambda words, one: (F.length(one) - F.greatest(F.ceil(F.length(one) / 3 - 1 - 1e-9), F.lit(1)) + 1))
-    return _scored(a, b, by_words.union(by_bigrams), least=STRONG).withColumnsRenamed({"a": left_name, "b": right_name})
+    # written, since these too are asked for by every pair
+    parts = lambda df, x: stored(df.select(x, f"{x}_one", _counted(F.split(f"{x}_one", "")).alias(f"{x}_characters"), bigrams(F.col(f"{x}_one")).alias(f"{x}_bigrams")), "names")
+    pairs = by_bigrams.distinct().join(parts(a, "a"), "a").join(parts(b, "b"), "b")
+    both, shared = F.length("a_one") + F.length("b_one"), lambda x: F.size(F.array_intersect(f"a_{x}", f"b_{x}")) + 1e-9
+    in_order = (F.levenshtein("a_one", "b_one") <= 0.2 * both + 1e-9) & (shared("characters") >= 0.4 * both)
+    close = pairs.where(in_order | (shared("bigrams") >= 0.4 * (both - 2))).select("a", "b")
+    return _scored(a, b, by_words.union(close), least=STRONG).withColumnsRenamed({"a": left_name, "b": right_name})
 
 
 def _scored(a: DataFrame, b: DataFrame, pairs: DataFrame, *by: str, least: float) -> DataFrame:
