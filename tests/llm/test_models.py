@@ -251,3 +251,25 @@ def test_machine_separates():
     w = language.machine([(np.arange(5), row) for row in x], y, dimensions=5)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
     assert math.isfinite(w.sum())
+
+
+@pytest.mark.parametrize("kind", ["toxicity", "language"])
+def test_fits_are_bounded_where_a_key_repeats(spark, monkeypatch, kind):
+    """20,000 rows of one labelled key: what reaches the driver stays at the sample."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id").cast("string"), F.lit("rude")).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(400).select((F.col("id") + 1000).alias("doc_id"), F.concat_ws(" ", F.lit("andere woerter"), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    docs = rows.union(rows).union(others)
+    labels = docs.select("doc_id").distinct().select("doc_id", (F.col("doc_id") == 7).cast("int").alias("toxic"))
+    seen = []
+    real = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: seen.append(real(self)) or seen[-1])
+    if kind == "toxicity":
+        model = toxicity.fit(docs, labels, sample=500)
+        assert all(len(x) < 650 for x in seen if "plain" in x.columns)
+        assert len(model.weights) == 3
+    else:
+        model = language.fit(docs, sample=1000)
+        assert sorted(model.families) == ["germanic"]
+        assert all(len(x) < 1200 for x in seen)
+    assert seen

@@ -4,7 +4,7 @@ A text's letters (anything but ASCII signs and digits, lower-cased, words parted
 of hashed grams of one to three bytes, scaled to length one. One-versus-rest linear support vector machines
 choose the family; within it one-versus-one machines vote between its languages, the sum of their margins
 deciding ties. Machines are trained by dual coordinate descent on a bounded sample (SAMPLE documents in all,
-shared by the languages, by a hash of doc_id), so they are small and are sent to every task; every document
+shared by the languages, by a hash of doc_id, and of doc_id and text where doc_ids repeat), so they are small and are sent to every task; every document
 is judged over its whole text.
 
 Texts that are null or hold no letter get ``und`` and score 0. Rows with a null language are not learned from;
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, texts
-from .sampling import per_class
+from .sampling import bounded, per_class
 
 BITS = 13
 DIMENSIONS = 1 << BITS
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """docs: the rows to learn from."""
     keys = docs.select(docs[key].alias("key"), docs[lang].cast("string").alias("lang")).where("lang is not null")
     languages = max(1, keys.select("lang").distinct().count())
-    chosen = per_class(keys, "lang", "key", max(1, sample // languages)).select("key").distinct()
+    most = max(1, sample // languages)
+    chosen = per_class(keys, "lang", "key", most).select("key").distinct()
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].cast("string").alias("lang")).where("lang is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +141,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             found = [(c, x[0].astype(np.uint16).tobytes(), x[1].astype(np.float32).tobytes()) for c, t in zip(batch.column("lang").to_pylist(), texts(batch)) if (x := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["lang", "at", "x"])
 
-    # about SAMPLE keys of at most DIMENSIONS values each, so their size is bounded, and so is what comes back
-    rows = own.join(F.broadcast(chosen), "key", "left_semi").mapInArrow(run, "lang string, at binary, x binary").toPandas()
+    # about SAMPLE rows of at most DIMENSIONS values each, so their size is bounded, and so is what comes back
+    learned, _, _ = bounded(own.join(F.broadcast(chosen), "key", "left_semi"), "lang", most)
+    rows = learned.mapInArrow(run, "lang string, at binary, x binary").toPandas()
     if rows.empty:
         return Model([], np.zeros((DIMENSIONS + 1, 0)), {}, {})
     x = [(np.frombuffer(at, np.uint16), np.frombuffer(b, np.float32)) for at, b in zip(rows["at"], rows["x"])]

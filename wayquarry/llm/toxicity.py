@@ -12,8 +12,9 @@ number of words. A logistic curve over both, fitted on labelled documents that t
 the score; those rows are weighted so that both classes count as among all labelled rows, however many of each
 the sample takes.
 
-The models are fitted on a bounded sample (SAMPLE documents of each class at most, by a hash of doc_id), so
-what is sent to the tasks is bounded by it; every document is scored over its whole text.
+The models are fitted on a bounded sample (about SAMPLE documents of each class at most: keys by a hash of doc_id, and where
+keys repeat, their different texts by a hash of both), so what reaches the driver and is sent to the tasks is bounded by it; every
+document is scored over its whole text.
 
 Null and empty texts score as documents without toxic words. Labels without a document or with a null are not
 used; a document with several labels counts with each. Only the text enters a score.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Pieces
 from .common import pieces, texts
-from .sampling import per_class
+from .sampling import bounded, per_class
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -161,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sizes = lambda df: {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
     labelled, sampled = sizes(own), sizes(chosen)
     fold = F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.lit(CALIBRATION)) == 0
-    # at most about SAMPLE rows a class
-    learned = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(chosen), "key").withColumn("calibrates", fold)
+    matched = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(chosen), "key")
+    learned, there, taken = bounded(matched, "label", sample)  # at most about SAMPLE rows a class, whatever a key repeats
+    learned = learned.withColumn("calibrates", fold)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [Counter(), Counter()]
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = learned.where("calibrates").mapInArrow(value, "label int, plain double, local double").toPandas()
     x, y = design(rows["plain"].to_numpy(float), rows["local"].to_numpy(float)), rows["label"].to_numpy(float)
     # without both classes there is nothing to compare: every text is as likely as not
-    each = np.array([labelled[int(c)] / sampled[int(c)] for c in y])
+    each = np.array([labelled[int(c)] / sampled[int(c)] * there[int(c)] / taken[int(c)] for c in y])
     return Model(model, logistic(x, y, each / each.mean()) if len(set(y)) == 2 else np.zeros(3))
 
 
