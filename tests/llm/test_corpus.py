@@ -303,6 +303,27 @@ def test_decontaminate_null_item(spark):
     found = sorted((r.doc_id, r.n_hit, r.item_ids) for r in decontaminate.find(d, b).collect())
     assert found == [(1, 3, []), (2, 5, ["1"]), (3, 0, [])]
     assert sorted(r.text for r in decontaminate.remove(d, b).collect()) == ["a ", "clean", "here stands"]
+    # one pass for each item
+    many = sorted((r.doc_id, r.item_ids, r.unnamed) for r in decontaminate.find(d, b, most=1).collect())
+    assert many == [(1, [], True), (2, ["1"], True), (3, [], False)]
+
+
+def test_null_items_count_as_in_sql(spark, tmp_path):
+    """An item without an id is one item more, and has no part in the digest."""
+    import duckdb
+
+    from wayquarry.llm.queries_text import OP10_SQL, op10_decontaminate
+
+    b = spark.createDataFrame([(None, "planted without id"), (None, "another without id"), (1, "known item"), (None, None)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "here planted without id stands another without id"), (2, "a known item planted without id"), (3, "clean"), (4, None)], "doc_id long, text string")
+    b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = db.execute(OP10_SQL)
+    names = [c[0] for c in found.description]
+    assert sorted(op10_decontaminate(spark, str(tmp_path)).select(names).collect()) == sorted(found.fetchall())
 
 
 def test_suffix_array_and_wavelet():

@@ -174,7 +174,7 @@ def runs(numbered: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[long], ends[long]
 
 
-def hits(docs: list[str], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+def hits(docs: list[str], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
     """For each text of a shard: number of words, starts and ends of merged spans (in words), items found."""
     get = phrases.numbers.get
     counts, kept, owner, offset = [], [], [], []
@@ -189,7 +189,7 @@ def hits(docs: list[str], phrases: Phrases) -> Iterator[tuple[int, list[tuple[in
             owner.append(d)
             offset.append((a, b - a + 1))
     spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[str]] = {}
+    found: dict[int, set[tuple[int, int]]] = {}
     if kept:
         text = np.concatenate(kept)
         index = FMIndex(text, len(phrases.numbers) + 1)
@@ -204,9 +204,9 @@ def hits(docs: list[str], phrases: Phrases) -> Iterator[tuple[int, list[tuple[in
             for phrase, place, r in zip(which.tolist(), places.tolist(), run.tolist()):
                 at = int(offset[r][0]) + place - int(run_starts[r])
                 spans.setdefault(owner[r], []).append((at, at + size))
-                items.setdefault(owner[r], set()).update(i for i in phrases.items[size][phrase] if i is not None)
+                found.setdefault(owner[r], set()).add((size, phrase))
     for d, n in enumerate(counts):
-        yield n, merged(spans.get(d, ())), items.get(d, set())
+        yield n, merged(spans.get(d, ())), {i for size, phrase in found.get(d, ()) for i in phrases.items[size][phrase]}
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,6 +253,7 @@ FOUND = T.StructType(
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
         T.StructField("item_ids", T.ArrayType(T.StringType())),
+        T.StructField("unnamed", T.BooleanType()),
     ]
 )
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -261,7 +262,7 @@ _phrases: dict[str, Phrases] = {}
 
 
 def search(own: DataFrame, at: int, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", most: int = MAX_PHRASE_WORDS, cut_text: bool = False) -> DataFrame:
-    """own (columns c0, c1, ..., the text at one place) with n_words, spans (merged, in words) and item_ids (sorted strings).
+    """own (columns c0, c1, ..., the text at one place) with n_words, spans (merged, in words), item_ids (sorted strings) and unnamed.
 
     cut_text: the words of the spans are gone from the text that is returned.
     """
@@ -285,29 +286,30 @@ def _pass(found: DataFrame, at: int, part: list[tuple[str | None, str]], cut_tex
             _phrases[name] = Phrases.of(shared.value)
         phrases = _phrases[name]
         for batch in pieces(batches, at, INDEX_BYTES):
-            n_words, spans, items, left = [], [], [], []
-            before = zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())
-            for (n, own, names), (text, old, old_names) in zip(hits(texts(batch, at), phrases), before):
+            n_words, spans, items, unnamed, left = [], [], [], [], []
+            before = zip(*(batch.column(c).to_pylist() for c in (at, "spans", "item_ids", "unnamed")))
+            for (n, own, names), (text, old, old_names, was_unnamed) in zip(hits(texts(batch, at), phrases), before):
                 own = merged([*own, *((x["start"], x["end"]) for x in old or ())])
                 n_words.append(n)
                 spans.append([{"start": a, "end": b} for a, b in own])
-                items.append(sorted({*names, *(old_names or ())}))
+                unnamed.append(bool(was_unnamed) or None in names)
+                items.append(sorted({*names, *(old_names or ())} - {None}))
                 if cut_text:
                     left.append(cut(text, own) if own else text)
             columns = batch.columns[:kept]
             if cut_text:
                 columns[at] = pa.array(left, pa.string())
-            columns += pa.array(n_words, pa.int64()), pa.array(spans, SPANS_ARROW), pa.array(items, pa.list_(pa.string()))
+            columns += pa.array(n_words, pa.int64()), pa.array(spans, SPANS_ARROW), pa.array(items, pa.list_(pa.string())), pa.array(unnamed, pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return found.mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
-    """Per document: key, n_words, n_hit, spans (merged, in words), item_ids (those found, sorted as strings)."""
+    """Per document: key, n_words, n_hit, spans (merged, in words), item_ids (those found, sorted as strings), unnamed (an item without an id was found)."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     own, _ = numbered(docs.select(docs[key], docs[text]))
-    return search(own, 1, benchmark, **names).select(F.col("c0").alias(key), "n_words", n_hit.alias("n_hit"), "spans", "item_ids")
+    return search(own, 1, benchmark, **names).select(F.col("c0").alias(key), "n_words", n_hit.alias("n_hit"), "spans", "item_ids", "unnamed")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names: str) -> DataFrame:
