@@ -126,3 +126,17 @@ def test_token_file_edges(spark, library, tmp_path):
     assert ordered(tokenfile.read(spark, f"file://{tmp_path}/t").collect()) == expected_file(library, [r[:2] for r in rows])
     tokenfile.write(docs.where("false"), f"file://{tmp_path}/e", PATH)
     assert tokenfile.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_a_hot_key_is_shared(spark, library, tmp_path):
+    """Rows of one doc_id, of different texts or all equal, come out as several parts, in order and complete."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes make one part
+    for name, text in (("different", "text {} of one key"), ("equal", "one text")):
+        rows = [(3, text.format(k)) for k in range(3000)] + [(1, "first"), (9, "last")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        tokenfile.write(docs, f"file://{tmp_path}/{name}", PATH)
+        found = ordered(tokenfile.read(spark, f"file://{tmp_path}/{name}").collect())
+        assert found == expected_file(library, rows)
+        parts = spark.read.parquet(f"file://{tmp_path}/{name}").groupBy("part").sum("n_ids").collect()
+        assert len(parts) > 2
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -42,9 +42,9 @@ class Format:
     units: str = LINES
 
     def __post_init__(self) -> None:
-        for a in self.marks:
-            for b in self.marks:
-                if not a or (a is not b and a in b) or any(b.startswith(a[k:]) for k in range(1, len(a))):
+        for i, a in enumerate(self.marks):
+            for j, b in enumerate(self.marks):
+                if not a or (i != j and a in b) or any(b.startswith(a[k:]) for k in range(1, len(a))):
                     raise ValueError(f"the marks {a!r} and {b!r} can't be told apart")
 
     @property

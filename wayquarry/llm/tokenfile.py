@@ -10,8 +10,9 @@ without decoding those before it.
 and no task holds more than one batch and one block. Blocks are stored through Spark as binary rows, so the
 folder may be in any store that Spark can write.
 
-Null texts are written as empty ones (the end id alone). Documents with a null doc_id come first, in the
-order of their texts; equal doc_ids follow each other in the order of their texts. Other columns are not read.
+Null texts are written as empty ones (the end id alone). Documents with a null doc_id come first; equal
+doc_ids follow each other in the order of what their texts begin with (ORDER_CHARS characters), then of a hash,
+so that a doc_id of any number of rows is shared by several tasks. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ HEAD = struct.Struct("<4sB3xQQQq")  # magic, bytes an id, documents, documents w
 SAMPLE = 256
 #: Pieces that each of a worker's caches keeps.
 CACHE_ENTRIES = 400_000
+#: Characters by which texts of one doc_id are ordered.
+ORDER_CHARS = 64
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
 
@@ -57,8 +60,10 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits((values[:, None] >> shifts & np.uint64(1)).astype(np.uint8), axis=None, bitorder="little")
+        bits = np.empty((n, low_bits), np.uint8)
+        for b in range(low_bits):  # bit by bit: a byte a bit is held, not a 64-bit integer
+            bits[:, b] = values >> np.uint64(b) & np.uint64(1)
+        low = np.packbits(bits, axis=None, bitorder="little")
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
@@ -169,7 +174,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
     shared = docs.sparkSession.sparkContext.broadcast(source)
     end = np.array([end_id], kind).tobytes()
     own = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a repeated doc_id is cut by what its texts begin with and their hash, a repeated row by its place: equal rows may stand in any order
+    order = ["doc_id", F.substring("text", 1, ORDER_CHARS), F.xxhash64("text")]
+    dealt = own.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, kind)
