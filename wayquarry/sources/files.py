@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import geojson
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
@@ -29,13 +31,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-FEATURES = "type string, features array<struct<id: string, geometry: string, properties: map<string, string>>>"
+FEATURE = "id string, geometry string, properties map<string, string>"
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
     """A row for each feature of the GeoJSON collections at path: path, id, geometry (GeoJSON text), properties. Other files give none."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", FEATURES).alias("c"))
-    return files.where("c.type = 'FeatureCollection'").select("path", F.explode("c.features").alias("f")).select("path", "f.*")
+    found = geojson.texts(spark, path)
+    return found.select("path", F.from_json("feature", FEATURE).alias("f")).select("path", "f.*")
 
 
 def records(texts: DataFrame, column: str, schema: str) -> DataFrame:

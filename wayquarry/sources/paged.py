@@ -4,7 +4,8 @@
     spark.read.format("paged_json").schema(...).options(url="https://host/items?limit={limit}&offset={offset}", total=5000).load()
 
 url may name several servers, parted by |, which are tried in turn, or be a local pattern
-(file:///folder/page-{page}.json) where pages were saved. total is a number, or where the first answer has it. A page is a JSON array, or an
+(file:///folder/page-{page}.json) where pages were saved. ``parameters`` (JSON: column to the service's name for it) says which columns it can filter by itself: equalities with
+them are put where url has {filters}, so that pages without wanted rows aren't fetched; Spark looks at them again, in case the service compares otherwise. total is a number, or where the first answer has it. A page is a JSON array, or an
 object with the array under ``records`` (dots lead further in). Values are converted to the schema's types.
 """
 
@@ -12,12 +13,13 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 
 @dataclass
@@ -65,9 +67,16 @@ def _inside(found: object, path: str) -> object:
 class PagedReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.kind, self.options = schema, dict(options)
+        self.filters = ""
+
+    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
+        known = json.loads(self.options.get("parameters", "{}"))
+        own = {known[f.attribute[0]]: f.value for f in filters if isinstance(f, EqualTo) and f.attribute[0] in known}
+        self.filters = "".join("&" + urllib.parse.urlencode({name: value}) for name, value in own.items())
+        return filters
 
     def answer(self, page: Page) -> object:
-        urls = [u.strip().format(limit=page.limit, offset=page.offset, page=page.number) for u in self.options["url"].split("|")]
+        urls = [u.strip().format(limit=page.limit, offset=page.offset, page=page.number, filters=self.filters) for u in self.options["url"].split("|")]
         return fetch(urls, int(self.options.get("attempts", 4)), float(self.options.get("wait", 1.0)))
 
     def partitions(self) -> list[InputPartition]:
