@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayquarry.functions import geo
-from wayquarry.operators import billing, crm, graph, imports, match, nearest, network_sync, proforma, rows, surface, sync, tracks
+from wayquarry.operators import billing, crm, graph, imports, match, nearest, network_sync, proforma, rows, stitching, surface, sync, tracks
 
 
 def d(text):
@@ -141,7 +141,7 @@ def test_nearest_is_exact(spark):
     found = nearest.nearest(frame(spark, probe, "k int, p_lat double, p_lng double"), frame(spark, points, "id int, lat double, lng double"), "k", "id", 0.3)
     expected = {}
     for k, a, b in probe:
-        best = min((surface._km((a, b), (x, y)), i) for i, x, y in points)
+        best = min((stitching.km((a, b), (x, y)), i) for i, x, y in points)
         if best[0] <= 0.3:
             expected[k] = best[1]
     assert {r.k: r.id for r in found.collect()} == expected
@@ -254,12 +254,12 @@ def test_classified_lines(spark):
 
 def test_stitching():
     a, b, c = [(51.0, 4.0), (51.0, 4.01)], [(51.0, 4.02), (51.0, 4.01)], [(51.0, 4.0), (51.0, 3.99)]
-    line, whole = surface.stitch([a, b, c, [(1.0, 1.0)]])
+    line, whole = stitching.stitch([a, b, c, [(1.0, 1.0)]])
     assert whole
     assert line == [(51.0, 3.99), (51.0, 4.0), (51.0, 4.01), (51.0, 4.02)]
-    line, whole = surface.stitch([a, [(52.0, 4.0), (52.0, 4.5)]])
+    line, whole = stitching.stitch([a, [(52.0, 4.0), (52.0, 4.5)]])
     assert (line[0], whole) == ((52.0, 4.0), False)
-    assert surface.stitch([]) == ([], False)
+    assert stitching.stitch([]) == ([], False)
 
 
 def test_tracks(spark):
@@ -376,7 +376,7 @@ def test_imports(spark):
     assert listed(cities, "slug", "name", "postcode", "lat") == [("liege", "Liège", "4000", 50.6)]
     users = imports.users(frame(spark, [(1, "A@b.c", "jan", "$2y$10$" + "x" * 53, "2020-01-01", "1", None), (2, "jan", "x@y.z", "", "0000-00-00", "0", None), (3, "a@b.c", "dup", "", None, "1", None), (4, "bad", "bad2", "", None, None, None)], "id int, email string, username string, password string, created string, newsletter string, unsubscribed string"))
     assert "password" not in users.columns
-    assert listed(users, "id", "email", "username", "password_kind", "newsletter") == [(1, "a@b.c", "jan", "bcrypt", "subscribed"), (2, "x@y.z", "jan2", "unknown", "unsubscribed")]
+    assert listed(users, "id", "email", "username", "password_kind", "newsletter") == [(1, "a@b.c", "jan", "bcrypt", "subscribed"), (2, "x@y.z", "jan-2", "unknown", "unsubscribed")]
     routes = imports.routes(frame(spark, [("1", "Route A", "a b", "12,5", "1 - 2 - 3", "5,0 7,5", "1u30", "3", "City Bike", "ja"), ("0", "x", "y", "1", "", "", "", "", "", "")], "Status string, Titel string, URL string, Afstand string, Knooppunten string, Afstanden string, Duur string, Niveau string, Type string, Hond string"), {"dogs": "Hond"})
     assert listed(routes, "slug", "distance_km", "minutes", "difficulty", "node_numbers", "node_km", "tags", "dogs") == [("a-b", 12.5, 90, "moderate", ["1", "2", "3"], [0.0, 5.0, 12.5], ["Stadsfietsroute"], True)]
     points = imports.points_of_interest(frame(spark, [("5", "Oude Molen", None, "", "<p>x</p>")], "ID string, Title string, Title2 string, Type string, Description string"))

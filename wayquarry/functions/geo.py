@@ -52,6 +52,26 @@ def cells_of_box(south: Column, west: Column, north: Column, east: Column, size:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def cells_along(a: Column, b: Column, size: float, metres: float) -> Column:
+    """The cells in which a point within ``metres`` of the segment from a to b may lie: array of struct(x, y)."""
+    d_lat = metres / METRES_A_DEGREE * 1.001
+    farthest = F.least(F.greatest(F.abs(a["lat"]), F.abs(b["lat"])) + d_lat, F.lit(89.9))
+    d_lng = d_lat / F.cos(F.radians(farthest))
+    wide = b["lng"] - a["lng"]
+    steep = F.abs(wide) < 1e-12  # in one column from end to end
+
+    def rows(x: Column) -> Column:
+        # where along the segment this column begins and ends, a margin on both sides included
+        ends = [(edge - a["lng"]) / wide for edge in (x * size - d_lng, (x + 1) * size + d_lng)]
+        inside = lambda t: a["lat"] + (b["lat"] - a["lat"]) * F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        one, other = (F.when(steep, p["lat"]).otherwise(inside(t)) for p, t in zip((a, b), ends))
+        found = F.sequence(cell(F.least(one, other) - d_lat, size), cell(F.greatest(one, other) + d_lat, size))
+        return F.transform(found, lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    columns = F.sequence(cell(F.least(a["lng"], b["lng"]) - d_lng, size), cell(F.greatest(a["lng"], b["lng"]) + d_lng, size))
+    return F.flatten(F.transform(columns, rows))
+
+
 def box(path: Column) -> Column:
     of = lambda name, f: f(F.transform(path, lambda p: p[name]))
     return F.struct(of("lat", F.array_min).alias("south"), of("lng", F.array_min).alias("west"), of("lat", F.array_max).alias("north"), of("lng", F.array_max).alias("east"))

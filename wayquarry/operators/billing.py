@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import or_default
 from ..functions.dates import day_first, period_end
 from ..functions.money import next_number, totals
+from .rows import places
 
 OPEN = ("draft", "sent")
 
@@ -74,8 +75,6 @@ def new_invoices(overview: DataFrame, invoices: DataFrame, requests: DataFrame,
 
     Invoices of one run are numbered on from the last one, in order of sub_id.
     """
-    from pyspark.sql import Window
-
     there = F.broadcast(invoices.agg(F.max("number").alias("last")))  # one row
     asked = requests.withColumnsRenamed({"price": "r_price", "discount": "r_discount", "period_start": "r_start"}).join(overview, "sub_id", "left")
     start = F.coalesce("r_start", "next_run", as_of)
@@ -83,14 +82,13 @@ def new_invoices(overview: DataFrame, invoices: DataFrame, requests: DataFrame,
     own = asked.withColumns({"period_start": start, "price": F.coalesce("r_price", "price"), "discount": F.coalesce("r_discount", "discount", F.lit(0.0))})
     own = own.join(taken, ["sub_id", "period_start"], "left")
     error = F.when(F.col("name").isNull(), "unknown subscription").when(F.col("price").isNull(), "no price").when(F.col("taken_by").isNotNull(), F.concat(F.lit("invoice "), F.col("taken_by").cast("string"), F.lit(" is for this period")))
-    good = own.withColumn("error", error)
-    place = F.row_number().over(Window.partitionBy(F.col("error").isNull()).orderBy("sub_id")) - 1
+    placed = places(own.withColumn("error", error).withColumn("_good", F.col("error").isNull()), ["_good"], ["sub_id", "period_start"])
     money = totals("price", "discount", F.lit(vat), vat_included)
     end = period_end("period_start", months)
     text = F.concat(F.lit("Package "), F.coalesce("package", F.lit("")), F.lit(" ("), day_first("period_start"), F.lit(" - "), day_first(end), F.lit(")"))
     ok = lambda c: F.when(F.col("error").isNull(), c)
-    return good.join(there).withColumn("place", place).select(
-        "sub_id", "error", ok(next_number(F.col("last"), F.lit(first_number), as_of) + F.col("place")).alias("number"), ok(F.lit("draft")).alias("status"),
+    return placed.join(there).select(
+        "sub_id", "error", ok(next_number(F.col("last"), F.lit(first_number), as_of) + F.col("place") - 1).alias("number"), ok(F.lit("draft")).alias("status"),
         ok(as_of).alias("invoice_date"), ok(F.date_add(as_of, term_days or 30)).alias("due_date"), ok(F.col("period_start")).alias("period_start"), ok(end).alias("period_end"),
         ok(text).alias("description"), ok(money["excl"]).alias("total_excl"), ok(money["vat"]).alias("total_vat"), ok(money["incl"]).alias("total_incl"),
     )

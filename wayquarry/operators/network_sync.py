@@ -12,7 +12,8 @@ from ..sources.files import CONNECTION_NAMES, NODE_NAMES, named, property_of
 from .match import first_of_list
 from .nearest import nearest
 from .rows import ordinals, reduced
-from .surface import classified, stitched
+from .stitching import stitched
+from .surface import classified
 from .sync import diff, guarded
 
 #: Guards of the removal of stale rows: nodes, edges, and the share of what is kept; edges for map relations.

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import stored
 
 
 def winner(df: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: str = "keeps") -> DataFrame:
@@ -51,21 +56,82 @@ def ordinals(df: DataFrame, key: str, order: Sequence[Column], name: str = "uniq
     return df.withColumn(name, F.when(F.count(F.lit(1)).over(same) > 1, numbered).otherwise(F.col(key)))
 
 
-def unique_names(df: DataFrame, name: str, order: Sequence[Column], out: str = "unique_name", rounds: int = 20) -> DataFrame:
-    """Names that differ without regard to case: later ones of a name get a number from 2 on.
+def places(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "place", parts: int | None = None) -> DataFrame:
+    """Each row's place (from 1) among those with the same values of ``by``, in order of some columns, without a task for a whole group.
 
-    A numbered name that meets another one is numbered again; each round works on those that still meet.
+    Rows are dealt by ranges and stored, so that both uses see the same ranges; they are numbered within their range, and what the
+    ranges before it hold, a row for each range and value, is added. Equal rows stand in any order.
+    """
+    dealt = (df.repartitionByRange(parts, *by, *order) if parts else df.repartitionByRange(*by, *order)) if by or order else df
+    found = stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_range", *by).orderBy(*order)
+    counts = found.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each range: as many as the table has partitions
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_range").alias("_of"), *[F.col(b).alias(f"_by_{b}") for b in by], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda c, b: c & F.col(b).eqNullSafe(F.col(f"_by_{b}")), by, F.col("_range") == F.col("_of"))
+    return found.withColumn(out, F.row_number().over(own)).join(offsets, same).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
+
+
+def unique_names(df: DataFrame, name: str, order: Sequence[Column | str], out: str = "unique_name", sep: str = "-") -> DataFrame:
+    """Names that differ without regard to case, given in order: a name that is taken gets sep and the first number from 2 on that makes it free.
+
+    A number meets another name only where that name is the same but for numbers at its end. Names without such relatives are numbered by
+    their places; families of several names are gone through in order, with one number to remember for each name.
     """
-    place = Window.partitionBy(F.lower(out)).orderBy(*order)
-    found = df.withColumn(out, F.col(name))
-    for _ in range(rounds):
-        found = found.withColumn("_nth", F.row_number().over(place))
-        if found.where("_nth > 1").isEmpty():
-            break
-        found = found.withColumn(out, F.when(F.col("_nth") > 1, F.concat(F.col(out), F.col("_nth").cast("string"))).otherwise(F.col(out)))
-    else:
-        raise RuntimeError(f"names still meet after {rounds} rounds")
-    return found.drop("_nth")
+    lower = F.lower(F.coalesce(F.col(name), F.lit("")))
+    own = df.withColumns({"_base": lower, "_root": F.regexp_replace(lower, f"({_quoted(sep)}[0-9]+)+$", "")})
+    kinds = own.groupBy("_root").agg((F.min("_base") != F.max("_base")).alias("_several"))
+    marked = stored(own.join(kinds, "_root"), "names")
+    numbered = places(marked.where("not _several"), ["_base"], order, "_nth")
+    alone = numbered.withColumn(out, F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat(F.coalesce(name, F.lit("")), F.lit(sep), F.col("_nth").cast("string"))))
+    schema, kept = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]), df.columns
+    families = marked.where("_several").repartition("_root").sortWithinPartitions("_root", *order)
+
+    def go_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, taken = None, Taken(sep)
+        for batch in batches:
+            found = []
+            for of, base, given in zip(*(batch.column(c).to_pylist() for c in ("_root", "_base", name))):
+                if of != root:
+                    root, taken = of, Taken(sep)
+                number = taken.take(base)
+                found.append(given if number == 1 else f"{given or ''}{sep}{number}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], names=schema.names)
+
+    return alone.select(*schema.names).union(families.mapInArrow(go_through, schema))
+
+
+class Taken:
+    """The names that a family has given: of each base name the next number; all numbers below it are taken."""
+
+    def __init__(self, sep: str) -> None:
+        self.sep, self.next = sep, {}
+
+    def has(self, name: str) -> bool:
+        if name in self.next:
+            return True
+        digits = len(name) - len(name.rstrip("0123456789"))
+        for n in range(1, min(digits, 18) + 1):  # without sep a name may be a base and its number in several ways
+            base, number = name[:-n].removesuffix(self.sep), int(name[-n:])
+            if name == f"{base}{self.sep}{number}" and 2 <= number < self.next.get(base, 0):
+                return True
+        return False
+
+    def take(self, base: str) -> int:
+        """The number that base gets, 1 for none."""
+        if not self.has(base):
+            self.next[base] = 2
+            return 1
+        number = self.next.get(base, 2)
+        while self.has(f"{base}{self.sep}{number}"):
+            number += 1
+        self.next[base] = number + 1
+        return number
+
+
+def _quoted(text: str) -> str:
+    return re.sub(r"[^\w\s]", lambda m: "\\" + m[0], text)
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 25, most: int = 100) -> DataFrame:
