@@ -142,14 +142,21 @@ class Splitter:
     ODD = ("  ", "\n\n", " \n", "\n ", *SPACE.translate({32: None, 10: None}))
     COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     FINE = regex.compile(PATTERN)
+    #: A word of such letters is one pre-token with the space before it.
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
     def __init__(self, piece: Callable[[str], bytes], special: dict[str, bytes], entries: int = CACHE_ENTRIES) -> None:
         self.fine = Pieces(piece, entries)
         self.bare = Pieces(lambda x: b"".join(map(self.fine.__getitem__, self.FINE.findall(x))), entries)
-        self.spaced = Pieces(lambda x: b"".join(map(self.fine.__getitem__, self.FINE.findall(" " + x))), entries)
+        self.spaced = Pieces(self._spaced, entries)
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    def _spaced(self, x: str) -> bytes:
+        if self.LETTERS(x):
+            return self.fine[" " + x]
+        return b"".join(map(self.fine.__getitem__, self.FINE.findall(" " + x)))
+
     def ids(self, text: str) -> bytes:
         if self.cut is not None and any(x in text for x in self.special):
             return b"".join(self.special[x] if k % 2 else self.plain(x) for k, x in enumerate(self.cut.split(text)))

@@ -18,7 +18,9 @@ so that a doc_id of any number of rows is shared by several tasks. Other columns
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,8 +158,14 @@ def _encoder(source: str, kind: np.dtype) -> Splitter:
         symbols = dict(enumerate(byte_symbols()))
         tokenize = tokenizer.model.tokenize
 
+        space, code = symbols[32], "H" if kind.itemsize == 2 else "I"
+        little = sys.byteorder == "little"
+
         def piece(x: str) -> bytes:
-            return np.array([t.id for t in tokenize(x.encode().decode("latin-1").translate(symbols))], kind).tobytes()
+            # letters of ASCII stand for themselves
+            word = space + x[1:] if x[0] == " " and x[1:].isalpha() and x.isascii() else x.encode().decode("latin-1").translate(symbols)
+            ids = [t.id for t in tokenize(word)]
+            return array(code, ids).tobytes() if little else np.array(ids, kind).tobytes()
 
         special = {t.content: np.array([i], kind).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
         _encoders.clear()
