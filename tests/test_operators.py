@@ -134,6 +134,38 @@ def test_fuzzy_against_all_pairs(spark):
     assert {"s90": "c900", "s91": "c901"}.items() <= {s: c for s, c, _ in got}.items()
 
 
+def test_names_that_are_alike_are_candidates(spark):
+    """Random names of few characters, short and long: no pair that is alike by 0.6 is missed."""
+    from wayquarry.functions.text import name_tokens, token_similarity
+
+    rng = random.Random(21)
+    make = lambda n: "".join(rng.choice("0012") for _ in range(n))
+
+    def changed(x):
+        x = list(x)
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(x))
+            rng.choice([lambda: x.insert(at, rng.choice("012")), lambda: x.__setitem__(at, "2"), lambda: x.pop(at) if len(x) > 1 else None, lambda: x.reverse()])()  # noqa: B023
+        return "".join(x)
+
+    base = [make(n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18, 22) for _ in range(5)]
+    names = sorted({*base, *(changed(x) for x in base for _ in range(2))})
+    a = frame(spark, [(x,) for x in names], "x string")
+    b = frame(spark, [(changed(x),) for x in names], "y string").distinct()
+    every = a.withColumn("s", name_tokens("x")).crossJoin(b.withColumn("t", name_tokens("y"))).where(token_similarity(F.col("s"), F.col("t")) >= 0.6)
+    expected = {(r.x, r.y) for r in every.select("x", "y").collect()}
+    found = {(r.x, r.y) for r in match.strong_pairs(a, b, "x", "y").collect()}
+    assert found == expected and len(expected) > 200
+
+
+def test_few_pairs_of_numbers_are_scored(spark):
+    """Zero-padded numbers share most characters; still few pairs beyond those that are alike are looked at."""
+    numbers = spark.range(1500).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("n"))
+    left = numbers.select(F.when(F.col("n").endswith("3"), F.concat(F.lit("nr"), "n")).otherwise(F.col("n")).alias("x"))
+    a, b = match._named(left, "x", "a"), match._named(numbers.withColumnRenamed("n", "y"), "y", "b")
+    assert match.candidates(a, b).distinct().count() < 0.05 * 1500 * 1500
+
+
 def test_nearest_is_exact(spark):
     rng = random.Random(1)
     points = [(i, 51 + rng.random() / 20, 4 + rng.random() / 20) for i in range(300)]
@@ -500,3 +532,89 @@ def test_routes_as_a_whole(spark):
     assert [(p.slug, p.sections[0].title) for p in pages] == [("gent-x", "a")]
     points = frame(spark, [("A", 1, None), ("B", 2, "x"), ("C", None, None)], "title string, image int, image_alt string")
     assert listed(imports.repaired_alt_texts(points), "title", "outcome", "image_alt") == [("A", "fixed", "A"), ("B", "already", "x"), ("C", "no image", None)]
+
+
+def test_names_of_areas(spark):
+    rows_ = frame(spark, [("Antwerpen", "2000", "Anvers", None, 51.2, 4.4, 1), ("Mechelen", "2800", "Antwerpen", "Flanders", 51.0, 4.5, 2), ("Luik", "4000", "Luik", "Waals Gewest", None, None, 3), ("Elders", None, "Nergens", None, None, None, 4), ("LiÃ¨ge", "4000", None, None, None, None, 5)], "municipality string, postcode string, province string, region string, lat double, lng double, ordinal int")
+    found = imports.city_tables(rows_)
+    assert listed(found.where("kind = 'province'"), "slug", "name", "parent") == [("antwerpen", "Antwerpen", "vlaanderen"), ("liege", "Liege", "waals-gewest"), ("nergens", "Nergens", None)]
+    assert listed(found.where("kind = 'region'"), "slug", "name") == [("vlaanderen", "Vlaanderen"), ("waals-gewest", "Waals Gewest")]
+    assert listed(found.where("kind = 'city'"), "slug", "parent") == [("antwerpen", "antwerpen"), ("elders", "nergens"), ("liege", None), ("luik", "liege"), ("mechelen", "antwerpen")]
+
+
+def test_cities_of_a_register(spark):
+    square = '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[5,52],[5.2,52],[5.2,52.2],[5,52.2],[5,52]]]}}'
+    many = '{"geometry":{"type":"MultiPolygon","coordinates":[[[[4,51],[4.2,51],[4.1,51.3],[4,51]]]]}}'
+    records = frame(spark, [(["Dokkum"], ["Fryslân"], None, square), (["Breda"], ["North Brabant"], (4.7, 51.6), many), (["Goes"], ["Zeeland"], None, many), ([], ["Utrecht"], None, None)], "gem_name array<string>, prov_name array<string>, geo_point_2d struct<lon: double, lat: double>, geo_shape string")
+    codes = frame(spark, [("Dokkum", "9102"), ("DOKKUM", "9101"), ("Breda", " ")], "gem_name string, pc4_code string")
+    found = imports.city_tables(imports.registered_cities(records, codes), None, "nederland")
+    assert [(a, b, c, round(d, 6), round(e, 6)) for a, b, c, d, e in listed(found.where("kind = 'city'"), "slug", "parent", "postcode", "lat", "lng")] == [("breda", "noord-brabant", None, 51.6, 4.7), ("dokkum", "friesland", "9101", 52.1, 5.1), ("goes", "zeeland", None, 51.1, 4.1)]
+    assert listed(found.where("kind = 'province'"), "slug", "name") == [("friesland", "Friesland"), ("noord-brabant", "Noord-Brabant"), ("zeeland", "Zeeland")]
+
+
+def test_texts_in_a_wrong_encoding(spark):
+    given = {"LiÃ¨ge": "Liège", "Li\ufffdge": "Liège", "LI\ufffdGE": "Liège", "Liége": "Liège", "Genève": "Genève", "Ath": "Ath", "CafÃ© Ã\u0089t": "Café Ét", "Ä\u008c": "Č", "x\ufffdy": "xéy", "â\u0082¬": "€", "": ""}
+    from wayquarry.functions import text
+
+    df = frame(spark, [(k,) for k in given] + [(None,)], "x string")
+    assert {r.x: r.y for r in df.select("x", text.repaired("x").alias("y")).collect()} == given | {None: None}
+
+
+def test_network_jobs_in_a_row(spark, tmp_path):
+    """Step 1 feeds step 2; a rerun keeps ids and columns of its own; a layer and relations keep lines, networks and surfaces; filters filter."""
+    import json
+
+    from wayquarry import jobs
+
+    def put(name, data, schema):
+        frame(spark, data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return f"{tmp_path}/{name}"
+
+    def collection(name, features):
+        (tmp_path / name).write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+        return f"{tmp_path}/{name}"
+
+    point = lambda i, n, lng: {"type": "Feature", "id": i, "geometry": {"type": "Point", "coordinates": [lng, 51.0]}, "properties": {"nr": n}}
+    nodes = collection("n.json", [point("a", "1", 4.0), point("b", "2", 4.1)])
+    line = {"type": "LineString", "coordinates": [[4.0, 51.0], [4.1, 51.0]]}
+    lines = collection("c.json", [{"type": "Feature", "id": "c1", "geometry": line, "properties": {"from": "a", "to": "2", "distance": "1500"}}])
+    assert jobs.run(spark, ["network", "--source", nodes, "--out", f"{tmp_path}/n1", "--apply"]) == {"insert": 2}
+    assert jobs.run(spark, ["network", "--step", "2", "--unit", "m", "--source", lines, "--with", f"nodes={tmp_path}/n1", "--out", f"{tmp_path}/c1", "--apply"]) == {"insert": 1}
+    ids = dict(listed(spark.read.parquet(f"{tmp_path}/n1"), "external_id", "id"))
+    c = spark.read.parquet(f"{tmp_path}/c1").first()
+    assert sorted(ids.values()) == [1, 2] and (c.from_id, c.to_id, c.distance_km, json.loads(c.geometry)) == (ids["a"], ids["b"], 1.5, line)
+    own = spark.read.parquet(f"{tmp_path}/n1").withColumn("note", F.concat(F.lit("of "), "external_id"))
+    own.write.parquet(f"{tmp_path}/n2")
+    more = collection("m.json", [point("a", "9", 4.0), point("b", "2", 4.1), point("z", "3", 4.2)])
+    assert jobs.run(spark, ["network", "--source", more, "--stored", f"{tmp_path}/n2", "--out", f"{tmp_path}/n3", "--apply"]) == {"insert": 1, "keep": 1, "update": 1}
+    assert listed(spark.read.parquet(f"{tmp_path}/n3"), "external_id", "id", "number", "note") == [("a", ids["a"], "9", "of a"), ("b", ids["b"], "2", "of b"), ("z", 3, "3", None)]
+
+    edge = lambda pid, a, b, mode, lat: (pid, 1, a, b, "WNW Bronbossen|x", "0", 7000.0, json.dumps({"type": "LineString", "coordinates": [[4.0, lat], [4.1, lat]]}), mode)
+    edges = put("edges", [edge("p", "a", "b", "walk", 51.0), edge("q", "b", "a", "bike", 51.2)], "pid string, objectid int, begin_geoid string, end_geoid string, naam string, virtual string, shape_length double, geometry string, mode string")
+    spots = put("spots", [("tv:a", "1", 51.0, 4.0, False), ("tv:b", "2", 51.0, 4.1, False)], "external_id string, number string, lat double, lng double, is_virtual boolean")
+    nets = put("nets", [(7, "Bronbossen", True)], "network_id int, title string, published boolean")
+    path = lambda lat: [{"lat": lat, "lng": 4.0}, {"lat": lat, "lng": 4.1}]
+    official = put("official", [(1, path(51.0), 1, "walk")], f"way_id int, path {geo.PATH}, code int, mode string")
+    ways = put("ways", [(5, path(51.2), "gravel", None, None), (5, path(51.2), "gravel", None, None), (6, path(51.0), "sand", None, None)], f"way_id int, path {geo.PATH}, surface string, highway string, tracktype string")
+    base = ["layer", "--source", edges, "--origin", "tv:", "--with", f"nodes={spots}", "--with", f"networks={nets}", "--with", f"surface={official}", "--with", f"ways={ways}"]
+    assert jobs.run(spark, [*base, "--out", f"{tmp_path}/layer", "--apply"]) == {"insert": 4}
+    stored = {r.external_id: r for r in spark.read.parquet(f"{tmp_path}/layer").where("kind = 'edge'").collect()}
+    assert {k: (r.network_id, r.mode, r.naam, [x.code for x in r.surface]) for k, r in stored.items()} == {"tv:p": (7, "walk", "WNW Bronbossen|x", [1]), "tv:q": (7, "bike", "WNW Bronbossen|x", [0])}
+    assert json.loads(stored["tv:q"].geometry)["coordinates"] == [[4.0, 51.2], [4.1, 51.2]]
+    assert jobs.run(spark, [*base, "--stored", f"{tmp_path}/layer", "--with", f"stored_nodes={tmp_path}/layer"]) == {"keep": 4}
+    assert jobs.run(spark, [*base, "--mode", "walk"]) == {"insert": 3}
+    assert jobs.run(spark, [*base, "--stored", f"{tmp_path}/layer", "--no-osm"]) == {"insert": 2, "keep": 1, "update": 1}
+    with pytest.raises(SystemExit):
+        jobs.run(spark, ["layer", "--source", put("modeless", [("p", 1, "a", "b", "x", "0", 1.0, None)], "pid string, objectid int, begin_geoid string, end_geoid string, naam string, virtual string, shape_length double, geometry string"), "--origin", "tv:", "--with", f"nodes={spots}", "--mode", "walk"])
+
+    routes_ = put("relations", [(1, "NL-A", "walk", [path(52.0)]), (2, "NL-B", "bike", [path(52.1)])], f"relation_id int, province string, mode string, ways array<{geo.PATH}>")
+    points = put("points", [(10, 52.0, 4.0), (11, 52.0, 4.1), (12, 52.1, 4.0), (13, 52.1, 4.1)], "point_id int, lat double, lng double")
+    known = put("known", [(5, 40.0, 1.0)], "node_id int, lat double, lng double")
+    more_ways = put("more_ways", [(1, path(52.0), "asphalt", None, None)], f"way_id int, path {geo.PATH}, surface string, highway string, tracktype string")
+    base = ["relations", "--source", routes_, "--with", f"points={points}", "--with", f"nodes={known}", "--with", f"ways={more_ways}"]
+    assert jobs.run(spark, [*base, "--out", f"{tmp_path}/rel", "--apply"]) == {"insert": 2}
+    stored = {r.relation_id: r for r in spark.read.parquet(f"{tmp_path}/rel").collect()}
+    assert [(p.lat, p.lng) for p in stored[1].path] == [(52.0, 4.0), (52.0, 4.1)]
+    assert {k: (r.mode, [x.code for x in r.surface]) for k, r in stored.items()} == {1: ("walk", [1]), 2: ("bike", [-1])}
+    assert jobs.run(spark, [*base, "--province", "NL-B"]) == {"insert": 1}
+    assert jobs.run(spark, [*base, "--mode", "walk", "--stored", f"{tmp_path}/rel"]) == {"keep": 2}

@@ -210,11 +210,26 @@ def network_key(x: Column | str) -> Column:
     return dashed(own)
 
 
-def repaired(x: Column | str) -> Column:
-    """Text that was read as Latin-1 although it was UTF-8, put right where that gives valid text."""
-    back = F.decode(F.encode(col(x), "ISO-8859-1"), "UTF-8")
-    broken = col(x).rlike("[ÂÃ][\u0080-¿]")
-    return F.when(broken & F.is_valid_utf8(F.encode(col(x), "ISO-8859-1").cast("string")), back).otherwise(col(x))
+# Whole texts that are put right as they stand, in any case, and the characters that betray a wrong encoding.
+WHOLE_TEXTS = {"Li\ufffdge": "Liège", "Liége": "Liège", "Bl\ufffdgny": "Blégny"}
+BETRAYING = "ÃÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ\ufffd"
+LOST = "\ufffd"
+
+
+def _repaired(x: str) -> str:
+    known = {k.lower(): v for k, v in WHOLE_TEXTS.items()}
+    if x.lower() in known or not any(c in BETRAYING for c in x):
+        return known.get(x.lower(), x)
+    # each character's low byte was one of the text's bytes
+    back = x.encode("utf-16-le", "surrogatepass")[::2].decode("utf-8", "replace")
+    found = x.replace(LOST, "é") if LOST in back and back.lower() not in known else back
+    return known.get(found.lower(), found)
+
+
+@vectorised("string")
+def repaired(x: pd.Series) -> pd.Series:
+    """Text that was read as Latin-1 although it was UTF-8, put right where that gives whole text; else characters that were lost become é."""
+    return x.map(_repaired, na_action="ignore")
 
 
 # Aliases of countries, by slug.
@@ -226,6 +241,57 @@ def country_slug(x: Column | str) -> Column:
     return F.coalesce(keyed(COUNTRIES, own), own)
 
 
+# Provinces of two countries, and of one its regions: name, slug and the region's slug.
+REGIONS = [("Vlaanderen", "vlaanderen"), ("Wallonië", "wallonie"), ("Brussels Hoofdstedelijk Gewest", "brussels-hoofdstedelijk-gewest")]
+PROVINCES = [
+    ("Antwerpen", "antwerpen", "vlaanderen"), ("Limburg", "limburg", "vlaanderen"), ("Oost-Vlaanderen", "oost-vlaanderen", "vlaanderen"), ("Vlaams-Brabant", "vlaams-brabant", "vlaanderen"), ("West-Vlaanderen", "west-vlaanderen", "vlaanderen"),
+    ("Brabant wallon", "brabant-wallon", "wallonie"), ("Hainaut", "hainaut", "wallonie"), ("Liege", "liege", "wallonie"), ("Luxembourg", "luxembourg", "wallonie"), ("Namur", "namur", "wallonie"),
+]
+DUTCH_PROVINCES = "Drenthe Flevoland Friesland Gelderland Groningen Limburg Noord-Brabant Noord-Holland Overijssel Utrecht Zeeland Zuid-Holland".split()
+# Other names, by slug. They are looked up by slug, so names with spaces are never found; results are to equal what is computed elsewhere.
+REGION_ALIASES = {
+    "vlaanderen": "vlaanderen", "vlaams gewest": "vlaanderen", "flemish region": "vlaanderen", "flanders": "vlaanderen",
+    "wallonie": "wallonie", "waals gewest": "wallonie", "region wallonne": "wallonie", "walloon region": "wallonie",
+    "brussels hoofdstedelijk gewest": "brussels-hoofdstedelijk-gewest", "brussels-capital region": "brussels-hoofdstedelijk-gewest", "region de bruxelles-capitale": "brussels-hoofdstedelijk-gewest", "bruxelles-capitale": "brussels-hoofdstedelijk-gewest",
+}
+PROVINCE_ALIASES = {
+    "antwerpen": "antwerpen", "anvers": "antwerpen", "province of antwerp": "antwerpen", "limburg": "limburg", "limbourg": "limburg",
+    "oost-vlaanderen": "oost-vlaanderen", "east flanders": "oost-vlaanderen", "flandre orientale": "oost-vlaanderen",
+    "vlaams-brabant": "vlaams-brabant", "flemish brabant": "vlaams-brabant", "brabant flamand": "vlaams-brabant",
+    "west-vlaanderen": "west-vlaanderen", "west flanders": "west-vlaanderen", "flandre occidentale": "west-vlaanderen",
+    "waals-brabant": "brabant-wallon", "brabant wallon": "brabant-wallon", "walloon brabant": "brabant-wallon", "hainaut": "hainaut", "henegouwen": "hainaut",
+    "liege": "liege", "liege province": "liege", "luik": "liege", "luxembourg": "luxembourg", "belgian luxembourg": "luxembourg", "luxemburg": "luxembourg", "namur": "namur", "namen": "namur",
+}
+DUTCH_ALIASES = {
+    "drenthe": "drenthe", "flevoland": "flevoland", "friesland": "friesland", "fryslan": "friesland", "gelderland": "gelderland", "groningen": "groningen", "limburg": "limburg",
+    "noord-brabant": "noord-brabant", "north-brabant": "noord-brabant", "brabant": "noord-brabant", "noord-holland": "noord-holland", "north-holland": "noord-holland",
+    "overijssel": "overijssel", "utrecht": "utrecht", "zeeland": "zeeland", "zuid-holland": "zuid-holland", "south-holland": "zuid-holland",
+}
+
+
+def province_slug(x: Column | str, country: str = "belgie") -> Column:
+    own = F.nullif(slug(x), F.lit(""))
+    return F.coalesce(keyed(PROVINCE_ALIASES if country == "belgie" else DUTCH_ALIASES, own), own)
+
+
+def region_slug(x: Column | str) -> Column:
+    own = F.nullif(slug(x), F.lit(""))
+    return F.coalesce(keyed(REGION_ALIASES, own), own)
+
+
+def areas(province: Column, region: Column, country: str = "belgie") -> Column:
+    """struct(province, region): their own names; a region that isn't given is the province's. Unknown names stay; a country without regions has none."""
+    own = province_slug(province, country)
+    if country != "belgie":
+        named = keyed({dashed_name: name for name, dashed_name in ((n, n.lower()) for n in DUTCH_PROVINCES)}, own)
+        return F.struct(F.coalesce(named, province).alias("province"), F.lit(None).cast("string").alias("region"))
+    above = F.coalesce(region_slug(region), keyed({s: r for _, s, r in PROVINCES}, own))
+    return F.struct(
+        F.when(own.isNotNull(), F.coalesce(keyed({s: n for n, s, _ in PROVINCES}, own), province)).alias("province"),
+        F.when(above.isNotNull(), F.coalesce(keyed({s: n for n, s in REGIONS}, above), region)).alias("region"),
+    )
+
+
 def province_name(province: Column | str, country: Column | str) -> Column:
     """Limburg is the name of two provinces; the Belgian one gets its own."""
     belgian = (slug(province) == "limburg") & (country_slug(country) == "belgie")

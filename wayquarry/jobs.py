@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .operators import imports, network_sync, proforma, sync
 from .operators.rows import winner
 from .sources import files, sqldump
+from .storage import discard
+from .storage import stored as store
 
 USER_COLUMNS = ["id", "email", "username", "password", "created", "newsletter", "unsubscribed"]
 ARTICLE_COLUMNS = ["id", "title", "url", "intro", "body", "author", "category", "visible"]
@@ -65,54 +67,95 @@ def needed(spark: SparkSession, options: argparse.Namespace, name: str) -> DataF
     return found
 
 
-def rows_of(actions: DataFrame) -> DataFrame:
-    """The rows of a frame of actions, new or as they are stored."""
-    return actions.select("action", F.when(F.col("action").isin("insert", "update"), F.col("source")).otherwise(F.col("stored")).alias("row")).select("action", "row.*")
-
-
 def network(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Step 1: nodes. Step 2: connections, whose ends are looked up among the stored nodes (--with nodes=)."""
+    """Step 1: nodes. Step 2: connections, whose ends are looked up among the stored nodes (--with nodes=, what step 1 wrote)."""
     features = files.features(spark, options.source)
     if options.step == 2:
         ready = network_sync.with_ends(network_sync.feature_connections(features, options.unit), needed(spark, options, "nodes"))
-        stored = spark.read.parquet(options.stored) if options.stored else ready.where("false")
-        return rows_of(network_sync.sync_connections(ready, stored.select("external_id", "from_id", "to_id", "distance_km", "geometry")))
+        source = ready.select("external_id", "from_id", "to_id", "distance_km", "geometry")
+        old = spark.read.parquet(options.stored) if options.stored else source.where("false")
+        return sync.after(network_sync.sync_connections(source, old), old)
     source = network_sync.feature_nodes(features)
-    stored = spark.read.parquet(options.stored) if options.stored else source.where("false")
-    found = sync.diff(source, stored.select(*source.columns), ["external_id"], {"number": None, "name": None, "lat": network_sync.SAME_DEGREES, "lng": network_sync.SAME_DEGREES})
-    return rows_of(sync.guarded(found, network_sync.LEAST_NODES, network_sync.LEAST_SHARE, options.prune))
+    old = spark.read.parquet(options.stored) if options.stored else source.where("false")
+    found = sync.diff(source, old, ["external_id"], {"number": None, "name": None, "lat": network_sync.SAME_DEGREES, "lng": network_sync.SAME_DEGREES})
+    return sync.after(sync.guarded(found, network_sync.LEAST_NODES, network_sync.LEAST_SHARE, options.prune), old)
+
+
+def _of_mode(rows: DataFrame, options: argparse.Namespace) -> DataFrame:
+    """The rows of --mode; without that option all."""
+    if not options.mode:
+        return rows
+    if "mode" not in rows.columns:
+        raise SystemExit("--mode needs rows with a column mode")
+    return rows.where(F.col("mode") == options.mode)
 
 
 def layer(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """A regional layer's connections (--source) with its nodes (--with nodes=) against the stored ones (--stored, --with stored_nodes=)."""
-    nodes = needed(spark, options, "nodes")
-    edges = network_sync.layer_connections(_read(spark, options.source), options.origin).select("external_id", "from_key", "to_key", "distance_km", "is_virtual")
-    stored = spark.read.parquet(options.stored) if options.stored else edges.where("false")
-    stored_nodes = given(spark, options, "stored_nodes")
-    n, e = network_sync.sync_layer(nodes, edges, nodes.where("false") if stored_nodes is None else stored_nodes, stored.select(*edges.columns), options.prune and not options.mode, options.origin)
-    return rows_of(e).withColumn("kind", F.lit("edge")).unionByName(rows_of(n).withColumn("kind", F.lit("node")), allowMissingColumns=True)
+    """A regional layer's connections (--source) with its nodes (--with nodes=) against the stored ones (--stored, --with stored_nodes=).
+
+    --with networks= gives connections their networks, --with surface= (classified ways with their layer's mode) and --with ways= (map ways
+    with tags, left out by --no-osm) their surfaces. Lines, names, modes and networks are written with the rest.
+    """
+    nodes, networks, official, ways = needed(spark, options, "nodes"), given(spark, options, "networks"), given(spark, options, "surface"), given(spark, options, "ways")
+    edges = _of_mode(network_sync.layer_connections(_read(spark, options.source), options.origin), options)
+    if networks is not None:
+        edges = network_sync.with_network(edges, networks)
+    if official is not None or (ways is not None and not options.no_osm):
+        edges = edges if "mode" in edges.columns else edges.withColumn("mode", F.lit(None).cast("string"))
+        edges = network_sync.surfaced(edges, official, None if options.no_osm or ways is None else network_sync.classified_ways(ways))
+    edges = store(edges, "layer")
+    old = spark.read.parquet(options.stored) if options.stored else edges.where("false")
+    old = old.where("kind = 'edge'") if "kind" in old.columns else old
+    old_nodes = given(spark, options, "stored_nodes")
+    old_nodes = nodes.where("false") if old_nodes is None else old_nodes.where("kind = 'node'") if "kind" in old_nodes.columns else old_nodes
+    n, e = network_sync.sync_layer(nodes, edges, old_nodes, old, options.prune and not options.mode, options.origin)
+    return sync.after(e, old, None).withColumn("kind", F.lit("edge")).unionByName(sync.after(n, old_nodes, None).withColumn("kind", F.lit("node")), allowMissingColumns=True)
 
 
 def relations(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Map relations (--source) between network points (--with points=), some of which are nodes already (--with nodes=)."""
-    edges = network_sync.relation_edges(network_sync.relation_lines(_read(spark, options.source)), needed(spark, options, "points"), needed(spark, options, "nodes"))
-    edges = edges.select("relation_id", "from_point", "to_point", "km")
-    stored = spark.read.parquet(options.stored) if options.stored else edges.where("false")
-    return rows_of(network_sync.sync_relations(edges, stored.select(*edges.columns), options.prune))
+    """Map relations (--source) between network points (--with points=), some of which are nodes already (--with nodes=).
+
+    --province and --mode take those rows only; --with ways= (map ways with tags) gives surfaces. Lines are kept.
+    """
+    rows = _of_mode(_read(spark, options.source), options)
+    if options.province:
+        rows = rows.where(F.col("province") == options.province)
+    points = needed(spark, options, "points")
+    points = points.where(F.array_contains("modes", options.mode)) if options.mode and "modes" in points.columns else points
+    edges = network_sync.relation_edges(network_sync.relation_lines(rows), points, needed(spark, options, "nodes"))
+    if "mode" in rows.columns:
+        edges = edges.join(rows.groupBy("relation_id").agg(F.min("mode").alias("mode")), "relation_id")
+    ways = given(spark, options, "ways")
+    if ways is not None:
+        edges = network_sync.with_relation_surface(edges, network_sync.classified_ways(ways))
+    edges = store(edges, "relations")
+    old = spark.read.parquet(options.stored) if options.stored else edges.where("false")
+    return sync.after(network_sync.sync_relations(edges, old, options.prune and not options.mode and not options.province), old, None)
 
 
 def cities(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Cities with the provinces and regions they need; --with extra= fills what the source lacks."""
-    new = imports.city_tables(_read(spark, options.source), given(spark, options, "extra"))
+    """Cities of --country with the provinces and regions they need; --with extra= fills what the source lacks.
+
+    A register of the second country (records with gem_name) gets its postcodes of --with postcodes=.
+    """
+    rows = _read(spark, options.source)
+    if "gem_name" in rows.columns:
+        rows = imports.registered_cities(rows, given(spark, options, "postcodes"))
+    new = imports.city_tables(rows, given(spark, options, "extra"), options.country)
     if not options.stored:
         return new.withColumn("action", F.lit("insert"))
     compare = {c: None for c in ("name", "parent", "postcode")} | {"lat": network_sync.SAME_DEGREES, "lng": network_sync.SAME_DEGREES}
-    found = sync.diff(new, spark.read.parquet(options.stored).select(*new.columns), ["kind", "slug"], compare)
-    return rows_of(found.withColumn("action", F.when(F.col("action") == "stale", "keep").otherwise(F.col("action"))))
+    old = spark.read.parquet(options.stored)
+    found = sync.diff(new, old, ["kind", "slug"], compare)
+    return sync.after(found.withColumn("action", F.when(F.col("action") == "stale", "keep").otherwise(F.col("action"))), old, None)
 
 
 def networks(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    return network_sync.described(_read(spark, options.source)).withColumn("action", F.lit("insert"))
+    """Networks of an older site; stored ones (--stored, by network_id) are updated and keep their other columns."""
+    new = network_sync.described(_read(spark, options.source))
+    old = spark.read.parquet(options.stored) if options.stored else new.where("false")
+    found = sync.diff(new, old, ["network_id"], {c: None for c in new.columns if c in old.columns and c != "network_id"})
+    return sync.after(found.withColumn("action", F.when(F.col("action") == "stale", "keep").otherwise(F.col("action"))), old, None)
 
 
 def orders(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
@@ -129,8 +172,8 @@ def proformas(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
 
 def statistics(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     """Partners' statistics (--source: rows of lodgings and months), with --with lodgings=, partners= and, if need be, manual=."""
-    rows, _ = imports.partner_stats(_read(spark, options.source), needed(spark, options, "lodgings"), needed(spark, options, "partners"), given(spark, options, "manual"))
-    return rows.withColumn("action", F.lit("insert"))
+    rows, unmatched = imports.partner_stats(_read(spark, options.source), needed(spark, options, "lodgings"), needed(spark, options, "partners"), given(spark, options, "manual"))
+    return rows.withColumn("action", F.lit("insert")).unionByName(unmatched.withColumn("action", F.lit("unmatched")), allowMissingColumns=True)
 
 
 def duplicates(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
@@ -169,6 +212,8 @@ JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame]] = {
     "drafts": drafts,
     "surfaces": surfaces,
 }
+#: Actions whose rows are counted only.
+UNWRITTEN = ("delete", "unmatched")
 #: Jobs over people, which write only with --confirm as well.
 CONFIRMED = ("users",)
 
@@ -189,19 +234,23 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> dict[str, int]:
     parser.add_argument("--overwrite", action="store_true")
     parser.add_argument("--step", type=int, choices=(1, 2), default=1)
     parser.add_argument("--unit", choices=("km", "m"), default="km")
-    parser.add_argument("--mode", help="only one mode; nothing is removed then")
+    parser.add_argument("--mode", help="only rows of one mode; nothing is removed then")
+    parser.add_argument("--province", help="only rows of one province; nothing is removed then")
+    parser.add_argument("--no-osm", action="store_true", help="surfaces without map ways")
     parser.add_argument("--origin", default="")
     parser.add_argument("--locale")
+    parser.add_argument("--country", choices=("belgie", "nederland"), default="belgie")
     parser.add_argument("--with", dest="more", action="append", default=[], metavar="NAME=PATH", help="a further table that the job needs")
     options = parser.parse_args(arguments)
     if options.apply and not options.out:
         parser.error("--apply needs --out")
     if options.apply and options.job in CONFIRMED and not options.confirm:
         parser.error(f"{options.job}: --apply needs --confirm as well")
-    done = JOBS[options.job](spark, options)
+    done = store(JOBS[options.job](spark, options), "job")  # computed once: what is counted is what is written
     counts = {r.action: r.n for r in sync.counters(done).collect()}
     if options.apply:
-        done.where("action <> 'delete'").drop("action").write.parquet(options.out)
+        done.where(~F.col("action").isin(*UNWRITTEN)).drop("action").write.parquet(options.out)
+    discard(done)
     return counts
 
 

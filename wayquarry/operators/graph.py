@@ -7,19 +7,17 @@ nodes (id, number, lat, lng, is_virtual, modes) and edges (id, a, b, km, mode, i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geo
 from ..functions.coerce import js_round, loose_number, node_number
 from ..storage import discard, stored
+from . import paths
 from .nearest import nearest
 from .rows import reduced
 
@@ -149,7 +147,7 @@ def ends_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
 
 
-#: Steps (an edge has two) of a graph that is sent to every task whole, some 100 MB there.
+#: Steps (an edge has two) of a graph that is sent to every task whole: some 25 MB as arrays, and 8 MB for each landmark of a million nodes.
 MAX_SENT_STEPS = 2_000_000
 
 
@@ -158,7 +156,8 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, requests: DataFrame, dire
 
     Equal lengths go by fewer edges, then by the lesser list of nodes. direct_only: no numbered node may lie
     between the ends. A network of up to ``most`` steps is sent to the tasks, which search it for each of their
-    requests; a larger one is searched for all requests at once, an edge a round.
+    requests; a larger one by its border nodes (see ``paths``), or, where nodes have no place or cells no size that fits, for all
+    requests at once, an edge a round.
     """
     known = nodes.select("id")
     asked = requests.join(known, requests["from_id"] == known["id"], "left_semi").join(known, requests["to_id"] == known["id"], "left_semi").select("request", "from_id", "to_id", "mode")
@@ -169,45 +168,24 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, requests: DataFrame, dire
     else:
         steps = steps.withColumn("passes", F.lit(True))
     steps = stored(steps.select("mode", "node", "next", "step_km", "passes"), "path-steps")
-    found = searched(steps, asked) if steps.limit(most + 1).count() <= most else by_rounds(steps, asked)
+    if steps.count() <= most:
+        found = paths.searched(steps, asked).where(F.col("outcome") == paths.FOUND)
+    else:
+        found = paths.by_cells(steps, asked, nodes, most) if {"lat", "lng"} <= set(nodes.columns) else None
+        found = by_rounds(steps, asked) if found is None else found
     return found.select("request", js_round("dist", 3).alias("km"), "node_ids")
 
 
-def search(steps: dict[int, list[tuple[int, float, bool]]], start: int, end: int) -> tuple[float, tuple[int, ...]] | None:
-    """The least (length, number of edges, list of nodes) from start to end, by a heap of labels."""
-    done: set[int] = set()
-    heap = [(0.0, 0, (start,))]
-    while heap:
-        length, hops, path = heappop(heap)
-        at = path[-1]
-        if at == end:
-            return length, path
-        if at in done:
-            continue
-        done.add(at)
-        for there, km, passes in steps.get(at, ()):
-            if there not in done and (passes or there == end):
-                heappush(heap, (length + km, hops + 1, (*path, there)))
-    return None
-
-
-def searched(steps: DataFrame, asked: DataFrame) -> DataFrame:
-    """Paths over a network that every task holds whole."""
-    network: dict[str, dict[int, list[tuple[int, float, bool]]]] = {}
-    for r in steps.toLocalIterator():  # its size was checked
-        network.setdefault(r.mode, {}).setdefault(r.node, []).append((r.next, r.step_km, r.passes))
-    shared = asked.sparkSession.sparkContext.broadcast(network)
-    schema = T.StructType([asked.schema["request"], T.StructField("dist", T.DoubleType()), T.StructField("node_ids", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if (hit := search(shared.value.get(r.mode, {}), r.from_id, r.to_id)) is not None:
-                    rows.append((r.request, hit[0], list(hit[1])))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return asked.repartition("request").mapInPandas(run, schema)
+def path_outcomes(nodes: DataFrame, edges: DataFrame, requests: DataFrame, most_looked: int = 400_000) -> DataFrame:
+    """Per request: outcome (found, no way, given up after so many nodes), km, and how many nodes were looked at. For networks that are sent whole."""
+    known = nodes.select("id")
+    asked = requests.join(known, requests["from_id"] == known["id"], "left_semi").join(known, requests["to_id"] == known["id"], "left_semi").select("request", "from_id", "to_id", "mode")
+    steps = edges.select("mode", F.col("a").alias("node"), F.col("b").alias("next"), "km").union(edges.select("mode", "b", "a", "km"))
+    steps = stored(steps.groupBy("mode", "node", "next").agg(F.min("km").alias("step_km")).withColumn("passes", F.lit(True)), "path-steps")
+    if steps.count() > MAX_SENT_STEPS:
+        raise ValueError("this network is too large to be sent whole")
+    found = paths.searched(steps, asked, most_looked)
+    return requests.select("request").join(found, "request", "left").select("request", F.coalesce("outcome", F.lit(paths.NONE)).alias("outcome"), js_round("dist", 3).alias("km"), F.coalesce("looked", F.lit(0)).cast("long").alias("looked"))
 
 
 def by_rounds(steps: DataFrame, asked: DataFrame, rounds: int = 10_000) -> DataFrame:

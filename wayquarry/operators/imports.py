@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions import text as t
 from ..functions.coerce import blank_to_null, first_filled, flag, js_round, source_number
 from ..functions.dates import anniversary, cleaned, cleaned_date, duration_minutes, period_start, year_month
@@ -33,15 +34,40 @@ def cities(rows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return both.select("slug", *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in columns])
 
 
-def city_tables(rows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Cities with the provinces and regions they need: kind, slug, name, parent (a slug), postcode, lat, lng."""
-    own = cities(rows, extra).withColumns({"province": blank_to_null("province"), "region": blank_to_null("region")})
+def city_tables(rows: DataFrame, extra: DataFrame | None = None, country: str = "belgie") -> DataFrame:
+    """Cities with the provinces and regions they need: kind, slug, name, parent (a slug), postcode, lat, lng.
+
+    Provinces and regions have one name whatever language a row has them in.
+    """
+    found = cities(rows, extra).withColumn("area", t.areas(blank_to_null(t.repaired("province")), blank_to_null(t.repaired("region")), country))
+    own = found.withColumns({"province": F.col("area.province"), "region": F.col("area.region")}).drop("area")
     nothing = [F.lit(None).cast(k).alias(c) for c, k in (("postcode", "string"), ("lat", "double"), ("lng", "double"))]
     above = lambda kind, name, parent: reduced(own.where(F.col(name).isNotNull()).select(F.lit(kind).alias("kind"), t.slug(name).alias("slug"), F.col(name).alias("name"), parent.alias("parent"), *nothing), ["slug"], F.struct("name", "parent"))
     city = own.select(F.lit("city").alias("kind"), "slug", "name", t.slug("province").alias("parent"), "postcode", "lat", "lng")
     return city.unionByName(above("province", "province", t.slug("region"))).unionByName(above("region", "region", F.lit(None).cast("string")))
 
 
+def registered_cities(records: DataFrame, postcodes: DataFrame | None = None) -> DataFrame:
+    """Municipality rows, as ``cities`` takes them, of a register (gem_name, prov_name: arrays; geo_point_2d; geo_shape: GeoJSON text or struct).
+
+    A place is the record's point, else the middle of its shape's distinct vertices; the postcode is the least of the municipality's (gem_name, pc4_code).
+    """
+    shape = F.col("geo_shape").cast("string") if dict(records.dtypes)["geo_shape"] == "string" else F.to_json("geo_shape")
+    inner = F.coalesce(F.get_json_object(shape, "$.geometry"), shape)
+    lists = F.get_json_object(inner, "$.coordinates")
+    rings = F.when(F.get_json_object(inner, "$.type") == "Polygon", F.from_json(lists, "array<array<array<double>>>")).when(F.get_json_object(inner, "$.type") == "MultiPolygon", F.flatten(F.from_json(lists, "array<array<array<array<double>>>>")))
+    points = F.transform(F.flatten(rings), lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng")))
+    middle = F.when(F.size(points) > 0, geo.centroid(points))
+    own = records.select(
+        F.get("gem_name", F.lit(0)).alias("municipality"), F.get("prov_name", F.lit(0)).alias("province"), F.lit(None).cast("string").alias("region"),
+        F.coalesce("geo_point_2d.lat", middle["lat"]).alias("lat"), F.coalesce("geo_point_2d.lon", middle["lng"]).alias("lng"),
+    ).withColumns({"slug": t.slug(t.repaired("municipality")), "ordinal": F.xxhash64("municipality", "lat", "lng")})
+    if postcodes is None:
+        return own.withColumn("postcode", F.lit(None).cast("string")).drop("slug")
+    named = postcodes.select(F.col("gem_name").alias("municipality"), blank_to_null(F.col("pc4_code").cast("string")).alias("postcode")).where("postcode is not null")
+    return own.join(least_postcodes(named), "slug", "left").drop("slug")
+
+
 def least_postcodes(rows: DataFrame) -> DataFrame:
     """The least postcode of each municipality (municipality, postcode)."""
     return rows.groupBy(t.slug("municipality").alias("slug")).agg(F.min("postcode").alias("postcode"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import combinations, pairwise
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,26 +87,85 @@ def bigrams(x: Column) -> Column:
     return F.when(F.length(x) < 2, F.array().cast("array<string>")).when(F.length(x) == 3, F.concat(counted, F.array(F.concat(F.substr(x, F.lit(1), F.lit(1)), F.substr(x, F.lit(3), F.lit(1)), F.lit("1"))))).otherwise(counted)
 
 
-def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """left_name, right_name and score of the distinct names that are alike by STRONG or more.
-
-    Exact, without comparing every pair. Names whose words agree by 0.6 share one of the rarest words of each, of
-    which n - ceil(0.6 n) + 1 are taken. Names that are alike as one word by 0.8 (by edits, bigrams or common
-    subsequence) differ in length by half at most and share 0.2 (a + b) - 1 bigrams at least, so one of the rarest
-    a - ceil(a / 3 - 1) of each; two and three characters, which may share none, have one more. Names alike
-    by edits or common subsequence also share 0.4 (a + b) characters and are within 0.2 (a + b) edits, those alike by
-    bigrams share 0.4 (a + b - 2) of them, which is looked at before a pair is scored.
-    """
-    a, b = _named(left, left_name, "a"), _named(right, right_name, "b")
-    by_words = _sharing(a, b, lambda words, one: words, lambda words, one: F.size(words) - F.ceil(F.size(words) * STRONG - 1e-9) + 1)
-    by_bigrams = _sharing(a, b, lambda words, one: bigrams(one), lambda words, one: (F.length(one) - F.greatest(F.ceil(F.length(one) / 3 - 1 - 1e-9), F.lit(1)) + 1))
-    # written, since these too are asked for by every pair
+#: Variants that both names of a pair may have together; beyond that pairs are found by their rarest bigrams.
+REACH = 1000
+
+
+def least_common(a: int, b: int) -> int:
+    """How many of their characters two names of these lengths must have in common, in order, to be alike by 0.8."""
+    return math.ceil(0.4 * (a + b) - 1e-9)
+
+
+def within_reach(a: int, b: int) -> bool:
+    """Whether names of these lengths meet by equal variants; they can't be alike at all where one is too short."""
+    n, m = least_common(a, b), least_common(a - 1, b - 1)
+    return n <= min(a, b) and math.comb(a, n) + math.comb(b, n) + math.comb(a - 1, m) + math.comb(b - 1, m) <= REACH
+
+
+def too_far(a: int, b: int) -> bool:
+    return least_common(a, b) > min(a, b) and least_common(a - 1, b - 1) > min(a, b) - 1
+
+
+def variants(one: str, lengths: Sequence[int], first: bool) -> set[str]:
+    """What a name and one of each of these lengths have in common if they are alike: all choices of that many characters or bigrams."""
+    n, found = len(one), set()
+    pairs = sorted(map("".join, pairwise(one)))
+    for m in lengths:
+        if within_reach(n, m):
+            of = f"{n},{m}" if first else f"{m},{n}"
+            found.update(f"c{of}|{''.join(x)}" for x in combinations(one, least_common(n, m)))
+            if n > 1 and m > 1 and (k := least_common(n - 1, m - 1)) <= min(n, m) - 1:
+                found.update(f"g{of}|{''.join(x)}" for x in combinations(pairs, k))
+    return found
+
+
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of names that are alike as one word by 0.8, and some more."""
+    lengths = {x: sorted(r["n"] for r in df.select(F.length(f"{x}_one").alias("n")).distinct().collect()) for x, df in (("a", a), ("b", b))}  # as many as there are lengths
+
+    def of(df: DataFrame, x: str, others: list[int]) -> DataFrame:
+        @F.pandas_udf("array<string>")
+        def made(one: pd.Series) -> pd.Series:
+            return one.map(lambda y: list(variants(y, others, x == "a")))
+
+        return df.select(x, F.explode(made(f"{x}_one")).alias("variant")).select(x, F.xxhash64("variant").alias("variant"))
+
+    return of(a, "a", lengths["b"]).join(of(b, "b", lengths["a"]), "variant").select("a", "b")
+
+
+def _farther(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of the lengths that variants don't reach, by one of the rarest bigrams of each."""
+    lengths = {x: [r["n"] for r in df.select(F.length(f"{x}_one").alias("n")).distinct().collect()] for x, df in (("a", a), ("b", b))}
+    beyond = [(n, m) for n in lengths["a"] for m in lengths["b"] if not within_reach(n, m) and not too_far(n, m)]
+    if not beyond:
+        return a.select("a").where("false").join(b.select("b"), F.lit(False))
+    some = lambda df, x, k: df.where(F.length(f"{x}_one").isin(sorted({p[k] for p in beyond})))
+    pairs = _sharing(some(a, "a", 0), some(b, "b", 1), lambda words, one: bigrams(one), lambda words, one: (F.length(one) - F.greatest(F.ceil(F.length(one) / 3 - 1 - 1e-9), F.lit(1)) + 1))
+    # written, since these are asked for by every pair
     parts = lambda df, x: stored(df.select(x, f"{x}_one", _counted(F.split(f"{x}_one", "")).alias(f"{x}_characters"), bigrams(F.col(f"{x}_one")).alias(f"{x}_bigrams")), "names")
-    pairs = by_bigrams.distinct().join(parts(a, "a"), "a").join(parts(b, "b"), "b")
+    own = pairs.distinct().join(parts(a, "a"), "a").join(parts(b, "b"), "b")
     both, shared = F.length("a_one") + F.length("b_one"), lambda x: F.size(F.array_intersect(f"a_{x}", f"b_{x}")) + 1e-9
     in_order = (F.levenshtein("a_one", "b_one") <= 0.2 * both + 1e-9) & (shared("characters") >= 0.4 * both)
-    close = pairs.where(in_order | (shared("bigrams") >= 0.4 * (both - 2))).select("a", "b")
-    return _scored(a, b, by_words.union(close), least=STRONG).withColumnsRenamed({"a": left_name, "b": right_name})
+    return own.where(in_order | (shared("bigrams") >= 0.4 * (both - 2))).select("a", "b")
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of names that are scored: all that are alike by STRONG are among them.
+
+    Names whose words agree by 0.6 share one of the rarest words of each, of which n - ceil(0.6 n) + 1 are taken. Names that are
+    alike as one word by 0.8, by edits or common subsequence, have 0.4 (a + b) characters in common, in order; those alike by bigrams 0.4 (a + b - 2) bigrams.
+    So they meet in an equal choice of that many: a few for short names, however many characters all names share. For longer
+    names choices are too many, but bigrams tell more: there names share 0.2 (a + b) - 1 bigrams at least, so one of the rarest
+    a - ceil(a / 3 - 1) of each; common characters, edits and bigrams are counted before such a pair is scored.
+    """
+    by_words = _sharing(a, b, lambda words, one: words, lambda words, one: F.size(words) - F.ceil(F.size(words) * STRONG - 1e-9) + 1)
+    return by_words.union(_meeting(a, b)).union(_farther(a, b))
+
+
+def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """left_name, right_name and score of the distinct names that are alike by STRONG or more. Exact, without comparing every pair."""
+    a, b = _named(left, left_name, "a"), _named(right, right_name, "b")
+    return _scored(a, b, candidates(a, b), least=STRONG).withColumnsRenamed({"a": left_name, "b": right_name})
 
 
 def _scored(a: DataFrame, b: DataFrame, pairs: DataFrame, *by: str, least: float) -> DataFrame:

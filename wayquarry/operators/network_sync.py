@@ -13,7 +13,7 @@ from .match import first_of_list
 from .nearest import nearest
 from .rows import ordinals, reduced
 from .stitching import stitched
-from .surface import classified
+from .surface import classified, tag_code
 from .sync import diff, guarded
 
 #: Guards of the removal of stale rows: nodes, edges, and the share of what is kept; edges for map relations.
@@ -68,7 +68,7 @@ def layer_connections(rows: DataFrame, prefix: str) -> DataFrame:
     """Connections of a regional layer (pid, objectid, begin_geoid, end_geoid, naam, virtual, shape_length, geometry) with unique keys."""
     keyed = ordinals(rows.withColumn("base_key", F.concat(F.lit(prefix), F.col("pid"))), "base_key", [F.asc("objectid")], "external_id")
     return keyed.select("external_id", F.concat(F.lit(prefix), "begin_geoid").alias("from_key"), F.concat(F.lit(prefix), "end_geoid").alias("to_key"), js_round(F.col("shape_length") / 1000, 3).alias("distance_km"), "naam",
-                        F.coalesce(F.col("virtual").cast("string").isin("1", "true", "True"), F.lit(False)).alias("is_virtual"), "geometry")
+                        F.coalesce(F.col("virtual").cast("string").isin("1", "true", "True"), F.lit(False)).alias("is_virtual"), "geometry", *[c for c in ("mode",) if c in rows.columns])
 
 
 def with_network(connections: DataFrame, networks: DataFrame) -> DataFrame:
@@ -99,11 +99,37 @@ def coverage(connections: DataFrame) -> DataFrame:
     return runs.agg(F.sum("km").alias("km"), (100 * F.coalesce(known, F.lit(0.0)) / F.sum("km")).alias("known_percent"), (100 * F.coalesce(paved, F.lit(0.0)) / known).alias("paved_percent"))
 
 
+def surfaced(connections: DataFrame, official: DataFrame | None, ways: DataFrame | None) -> DataFrame:
+    """Connections (external_id, mode, geometry) with the surface along their lines.
+
+    official: classified ways with the mode of the layer that they are of; those of a connection's own mode come first, then those of other
+    modes, then ways (of a map). All are optional.
+    """
+    found = None
+    modes = [r["mode"] for r in connections.select("mode").distinct().orderBy("mode").collect()]  # few: walking, cycling
+    for mode in modes:
+        same = F.col("mode").eqNullSafe(F.lit(mode))
+        sources = [official.where(same), official.where(~same)] if official is not None else []
+        own = with_surface(connections.where(same), [x.select("way_id", "path", "code") for x in (*sources, ways) if x is not None])
+        found = own if found is None else found.unionByName(own)
+    return found if found is not None else connections.withColumn("surface", F.lit(None).cast(geo.RUNS))
+
+
+def classified_ways(ways: DataFrame) -> DataFrame:
+    """way_id, path and code of map ways (way_id, path, surface, highway, tracktype) whose tags tell a surface; each way once."""
+    code = tag_code(F.col("surface"), F.col("highway"), F.col("tracktype"))
+    return reduced(ways.select("way_id", "path", code.alias("code")).where("code is not null"), ["way_id"], F.col("code"))
+
+
 def sync_layer(nodes: DataFrame, edges: DataFrame, stored_nodes: DataFrame, stored_edges: DataFrame, both_modes: bool, origin: str) -> tuple[DataFrame, DataFrame]:
-    """Actions for nodes and edges of a regional layer; stale ones of this origin go only after a full, large enough run."""
+    """Actions for nodes and edges of a regional layer; stale ones of this origin go only after a full, large enough run.
+
+    Columns that both sides have are compared: of edges their ends, length, kind, mode, network and surface.
+    """
     own = F.col("stored.external_id").startswith(origin)
-    n = diff(nodes, stored_nodes, ["external_id"], {"number": None, "lat": SAME_DEGREES, "lng": SAME_DEGREES, "is_virtual": None})
-    e = diff(edges, stored_edges, ["external_id"], {"from_key": None, "to_key": None, "distance_km": SAME_KM, "is_virtual": None})
+    both = lambda a, b, of: {c: tol for c, tol in of.items() if c in a.columns and c in b.columns}
+    n = diff(nodes, stored_nodes, ["external_id"], both(nodes, stored_nodes, {"number": None, "name": None, "lat": SAME_DEGREES, "lng": SAME_DEGREES, "is_virtual": None}))
+    e = diff(edges, stored_edges, ["external_id"], both(edges, stored_edges, {"from_key": None, "to_key": None, "distance_km": SAME_KM, "is_virtual": None, "mode": None, "network_id": None, "surface": None}))
     return guarded(n, LEAST_NODES, LEAST_SHARE, both_modes, own), guarded(e, LEAST_EDGES, LEAST_SHARE, both_modes, own)
 
 
@@ -130,10 +156,18 @@ def relation_edges(lines: DataFrame, points: DataFrame, existing: DataFrame) ->
 
 
 def sync_relations(edges: DataFrame, stored: DataFrame, whole_run: bool) -> DataFrame:
-    found = diff(edges, stored, ["relation_id"], {"from_point": None, "to_point": None, "km": SAME_RELATION_KM})
+    """Actions by relation; lines aren't compared, since a line that changed has another length."""
+    compare = {"from_point": None, "to_point": None, "km": SAME_RELATION_KM, "mode": None, "surface": None}
+    found = diff(edges, stored, ["relation_id"], {c: tol for c, tol in compare.items() if c in edges.columns and c in stored.columns})
     return guarded(found, LEAST_RELATIONS, 0.0, whole_run)
 
 
+def with_relation_surface(edges: DataFrame, ways: DataFrame) -> DataFrame:
+    """Edges (relation_id, path) with the surface that map ways (as classified_ways gives them) tell."""
+    lines = edges.select(F.col("relation_id").alias("line_id"), "path")
+    return edges.join(classified(lines, [ways]).select(F.col("line_id").alias("relation_id"), F.col("runs").alias("surface")), "relation_id", "left")
+
+
 def described(networks: DataFrame) -> DataFrame:
     """Networks (network_id, parent_id, title, province, country) with parents that exist and provinces by their full names."""
     from ..functions.text import province_name

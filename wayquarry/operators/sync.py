@@ -10,6 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .rows import places
 
 INSERT, UPDATE, KEEP, STALE = "insert", "update", "keep", "stale"
 
@@ -64,6 +67,36 @@ def applied(actions: DataFrame) -> DataFrame:
     return actions.where("action <> 'delete'").select(F.when(new, F.col("source")).otherwise(F.col("stored")).alias("row")).select("row.*")
 
 
+def after(actions: DataFrame, stored: DataFrame, id_name: str | None = "id") -> DataFrame:
+    """action and the table's rows after the actions: new values over the stored row, whose other columns stay.
+
+    id_name: a column that the stored table numbers its rows by; inserted rows are numbered on from its greatest, in order of their source rows.
+    """
+    kinds = {f.name: f.dataType for f in actions.schema["stored"].dataType.fields} | {f.name: f.dataType for f in actions.schema["source"].dataType.fields}
+    own = {f.name for f in actions.schema["source"].dataType.fields}
+    old = {f.name for f in actions.schema["stored"].dataType.fields}
+    new = F.col("action").isin(INSERT, UPDATE)
+
+    def value(name: str) -> Column:
+        if name not in own:
+            return F.col(f"stored.`{name}`")
+        theirs = F.col(f"stored.`{name}`").cast(kinds[name]) if name in old else F.lit(None).cast(kinds[name])
+        return F.when(new, F.col(f"source.`{name}`")).otherwise(theirs)
+
+    rows = actions.select("action", *[value(n).alias(n) for n in kinds])
+    if id_name is None or id_name in own:
+        return rows
+    last = stored.agg(F.max(id_name).alias("last")).first()["last"] or 0 if id_name in old else 0
+    names = [n for n in kinds if n != id_name]
+    given = places(rows.where(F.col("action") == INSERT).drop(id_name), [], sorted(n for n in names if n in own and _ordered(kinds[n])), "_nth").withColumn(id_name, F.col("_nth") + last)
+    kind = kinds.get(id_name, T.LongType())
+    return rows.where(F.col("action") != INSERT).withColumn(id_name, F.col(id_name).cast(kind) if id_name in old else F.lit(None).cast(kind)).select("action", id_name, *names).union(given.select("action", F.col(id_name).cast(kind), *names))
+
+
+def _ordered(kind: T.DataType) -> bool:
+    return isinstance(kind, T.AtomicType)
+
+
 def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """stored with the rows of new in place of those with the same keys; of several new ones the greatest by order."""
     from .rows import reduced
