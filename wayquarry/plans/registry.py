@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts, billing, content, links, network, records, shapes, tracks
+from . import accounts, billing, content, documents, links, network, records, shapes, tracks
 
-MODULES = (billing, tracks, records, network, content, links, accounts, shapes)
+MODULES = (billing, tracks, records, network, content, links, accounts, shapes, documents)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
