@@ -234,3 +234,46 @@ def test_unique_names_without_rows_and_nulls(spark):
     found = rows.unique_names(df, "name", ["id"]).orderBy("id").collect()
     assert [(r.unique_name, r.n) for r in found] == [(None, 5), ("-2", None), ("-3", 7)]
     assert rows.unique_names(df.where("false"), "name", ["id"]).count() == 0
+
+
+def test_hot_keys_are_split(spark):
+    """Winners, quotas and ordinals of a key that holds most rows are those of plain sorting, and no window gathers that key."""
+    rng = random.Random(9)
+    data = [(k, "hot" if rng.random() < 0.9 else rng.choice(["a", None]), rng.randrange(30), rng.random() < 0.5) for k in range(4000)]
+    df = spark.createDataFrame(data, "id int, g string, x int, yes boolean").repartition(5)
+    by = {}
+    for k, g, x, yes in data:
+        by.setdefault(g, []).append((x, k, yes))
+    best = {min(v)[1] for v in by.values()}
+    order = [F.asc("x"), F.asc("id")]
+    assert {r.id for r in rows.winner(df, ["g"], order).where("keeps").collect()} == best
+    assert {r.id for r in rows.winners(df, ["g"], order).collect()} == best
+    assert rows.winner(df, ["g"], order).count() == 4000
+    taken = {k for v in by.values() for _, k, _ in [y for y in sorted(v) if y[2]][:7]}
+    found = rows.running_quota(df, F.col("yes"), order, 7, ["g"])
+    assert {r.id for r in found.where("accepted").collect()} == taken and found.count() == 4000
+    names = {r.id: r.unique_key for r in rows.ordinals(df, "g", order).collect()}
+    for g, v in by.items():
+        assert [names[k] for _, k, _ in sorted(v)] == [g if len(v) == 1 or g is None else f"{g}_{i}" for i in range(1, len(v) + 1)]
+
+
+def test_nodes_along_tracks(spark):
+    """Of each track's points the nearest node within 50 m, without repetitions and without returns within ten points."""
+    from wayquarry.operators import tracks
+
+    rng = random.Random(31)
+    nodes = [(k, 51 + k % 5 * 0.001, 4 + k // 5 * 0.001) for k in range(25)]
+    points = [(t, s, 51 + rng.random() * 0.004, 4 + rng.random() * 0.004) for t in range(6) for s in range(60)]
+    df = spark.createDataFrame(points, "track_id int, seq int, lat double, lng double")
+    found = sorted((r.track_id, r.seq, r.node_id) for r in tracks.nodes_along(df, spark.createDataFrame(nodes, "id int, lat double, lng double")).collect())
+    expected = []
+    for track in range(6):
+        last, at = None, {}
+        for t, s, lat, lng in points:
+            if t != track:
+                continue
+            km, node = min((stitching.km((lat, lng), (a, b)), k) for k, a, b in nodes)
+            if km <= 0.05 and node != last and s - at.get(node, -10) >= 10:
+                expected.append((t, s, node))
+                last, at[node] = node, s
+    assert found == expected and len(found) > 20

@@ -618,3 +618,39 @@ def test_network_jobs_in_a_row(spark, tmp_path):
     assert {k: (r.mode, [x.code for x in r.surface]) for k, r in stored.items()} == {1: ("walk", [1]), 2: ("bike", [-1])}
     assert jobs.run(spark, [*base, "--province", "NL-B"]) == {"insert": 1}
     assert jobs.run(spark, [*base, "--mode", "walk", "--stored", f"{tmp_path}/rel"]) == {"keep": 2}
+
+
+def test_jobs_over_older_dumps(spark, tmp_path):
+    from wayquarry import jobs
+
+    def put(name, data, schema):
+        frame(spark, data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return f"{tmp_path}/{name}"
+
+    (tmp_path / "n.sql").write_text("INSERT INTO `Nieuwsbrief_voorkeuren` VALUES (1,'A@b.c','','','2020-01-01','','','','1','','u1'),(2,'a@b.c','','','2020-01-01','','2021-01-01','','1','','u1'),(3,'x@y.z','','','0000-00-00','','','','0','',''),(4,'no mail','','','','','','','1','',''),(5,'o@p.q','','','2020-05-05','',NULL,'','1','','u2');")
+    people = put("people", [(7, "u1"), (8, "u2")], "id long, control_number string")
+    args = ["newsletter", "--source", f"{tmp_path}/n.sql", "--with", f"users={people}"]
+    assert jobs.run(spark, [*args, "--out", f"{tmp_path}/news", "--apply", "--confirm"]) == {"insert": 3, "invalid": 1}
+    assert listed(spark.read.parquet(f"{tmp_path}/news"), "email", "status", "user_id") == [("a@b.c", "unsubscribed", 7), ("o@p.q", "subscribed", 8), ("x@y.z", "unsubscribed", None)]
+    (tmp_path / "p.sql").write_text("INSERT INTO places VALUES ('u','Gent','','gent x','','<h2>a</h2><p>b</p>','','','',''),('v','B','','b','','','','','','');")
+    assert jobs.run(spark, ["places", "--source", f"{tmp_path}/p.sql", "--universe", "u"]) == {"insert": 1}
+
+    orders = put("orders", [("Molenzicht", "m@x.be", "logies", "ok", "2024-03-01", 1, None), ("Zonneveld", "k@x.be", "logies", "ok", "2024-04-01", 2, None)], "name string, email string, type string, status string, date string, number int, reference string")
+    subs = put("subs", [("s1", "Molenzicht", None, d("2024-03-01"), None, None, None), ("s2", "Iets anders", None, d("2024-04-01"), None, None, None), ("s3", "Zonneveld", None, d("2024-04-01"), None, None, None)], "sub_id string, sub_name string, sub_email string, start_date date, first_run date, last_run date, run_count long")
+    base = ["orders", "--source", orders, "--stored", subs]
+    assert jobs.run(spark, base) == {"update": 2}
+    assert jobs.run(spark, [*base, "--map", "s2=K@x.be", "--skip", "s3"]) == {"update": 2}
+    assert jobs.run(spark, [*base, "--map", "s2=zonneveld"]) == {"update": 3}
+
+
+def test_routes_with_candidates_and_tracks(spark):
+    rows_ = frame(spark, [("1", "Route A", "a", "12,5", "1 - 2", "5,0"), ("1", " ", "b", "3", "7 - 8", "1"), ("1", "C", "c", "3", "5 - 6", "1")], "Status string, Titel string, URL string, Afstand string, Knooppunten string, Afstanden string")
+    starts = frame(spark, [("a", "Kerk", 51.0, 4.0, "Gent", "Oost", "BE", None, 1)], "slug string, name string, latitude double, longitude double, city string, province string, country string, distance_km double, ordinal int")
+    places = frame(spark, [(6, "Gent", "Oost", "Belgium")], "place_id int, name string, province string, country string")
+    recorded = frame(spark, [("a", [("1", 51.0, 4.0), ("2", 51.1, 4.0)])], "slug string, nodes array<struct<number: string, lat: double, lng: double>>")
+    candidates = frame(spark, [("b", 0, 1, 50.0, 4.0, 0, 5.0, 0.1), ("b", 0, 2, 52.0, 4.0, 0, 900.0, 0.1), ("b", 1, 3, 50.5, 4.0, 9, 5.0, 0.1), ("c", 0, 4, 50.0, 4.0, 0, 5.0, 0.1), ("a", 0, 9, 0.0, 0.0, 0, 0.0, 0.0)], "route_id string, place int, candidate_id int, lat double, lng double, route_index int, route_metres double, expected_gap_km double")
+    tracks_ = frame(spark, [("b", "From a track", "text", 9.5, 60.0, 10.0, 11.0)], "route_id string, title string, description string, distance_km double, minutes double, gain double, loss double")
+    found = {r.slug: r for r in imports.imported_routes(rows_, starts, places, recorded, candidates, tracks_).collect()}
+    assert (found["a"].nodes_from, [n.number for n in found["a"].nodes], found["a"].title, found["a"].distance_km) == ("recorded", ["1", "2"], "Route A", 12.5)
+    assert (found["b"].nodes_from, [(n.number, n.lat) for n in found["b"].nodes], found["b"].title, found["b"].distance_km, found["b"].gain) == ("chosen", [("7", 50.0), ("8", 50.5)], "From a track", 9.5, 10.0)
+    assert (found["c"].nodes_from, found["c"].nodes) == (None, None)

@@ -24,6 +24,8 @@ from .storage import stored as store
 USER_COLUMNS = ["id", "email", "username", "password", "created", "newsletter", "unsubscribed"]
 ARTICLE_COLUMNS = ["id", "title", "url", "intro", "body", "author", "category", "visible"]
 ROUTE_COLUMNS = sorted({name for names in imports.ROUTE_NAMES.values() for name in names[:1]})
+NEWSLETTER_COLUMNS = ["ID", "Email", "Name", "Lastname", "Inschrijvingsdatum", "Inschrijvingsmanier", "Uitschrijvingsdatum", "Uitschrijvingsmanier", "Optin", "Status", "user_controlnumber"]
+PLACE_COLUMNS = ["Universe", "Titel", "Titel2", "URL", "Provincie", "Description", "Meta_title", "Meta_description", "Image_top", "Copy_top"]
 POINT_COLUMNS = ["ID", "Title", "Title2", "Type", "Description"]
 
 
@@ -159,8 +161,33 @@ def networks(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
 
 
 def orders(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Runs of subscriptions (--stored) from older orders."""
-    return imports.order_backfill(_read(spark, options.source), spark.read.parquet(options.stored), options.overwrite).withColumn("action", F.lit("update"))
+    """Runs of subscriptions (--stored) from older orders. --map SUB=ADDRESS-OR-NAME says whose a subscription is, --skip SUB leaves one alone."""
+    mapped = spark.createDataFrame([tuple(x.split("=", 1)) for x in options.map], "sub_id string, wanted string") if options.map else None
+    return imports.order_backfill(_read(spark, options.source), spark.read.parquet(options.stored), options.overwrite, mapped, options.skip).withColumn("action", F.lit("update"))
+
+
+def routes(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Routes of an older dump; with starts=, places= and recorded= their start places and nodes, with candidates= and tracks= what else is known."""
+    rows = sqldump.read(spark, options.source, options.table or "routes", ROUTE_COLUMNS)
+    if options.offset or options.limit is not None:
+        rows = rows.orderBy("URL").offset(options.offset)
+        rows = rows.limit(options.limit) if options.limit is not None else rows
+    starts = given(spark, options, "starts")
+    if starts is None:
+        return imports.routes(rows).withColumn("action", F.lit("insert"))
+    found = imports.imported_routes(rows, starts, needed(spark, options, "places"), needed(spark, options, "recorded"), given(spark, options, "candidates"), given(spark, options, "tracks"))
+    return found.withColumn("action", F.lit("insert"))
+
+
+def newsletter(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Newsletter addresses of an older dump; --with users= finds whose they are."""
+    return imports.newsletters(sqldump.read(spark, options.source, options.table or "Nieuwsbrief_voorkeuren", NEWSLETTER_COLUMNS), given(spark, options, "users"))
+
+
+def places(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Place pages of a --universe of an older dump."""
+    rows = sqldump.read(spark, options.source, options.table or "places", PLACE_COLUMNS)
+    return imports.place_pages(rows, options.universe, options.limit).withColumn("action", F.lit("insert"))
 
 
 def proformas(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
@@ -197,7 +224,9 @@ def surfaces(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
 JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame]] = {
     "users": dump("users", USER_COLUMNS, imports.users, "id"),
     "articles": dump("blogs", ARTICLE_COLUMNS, imports.articles, "id"),
-    "routes": dump("routes", ROUTE_COLUMNS, imports.routes, "URL"),
+    "routes": routes,
+    "newsletter": newsletter,
+    "places": places,
     "points": dump("points", POINT_COLUMNS, imports.points_of_interest, "ID"),
     "prospects": prospects,
     "network": network,
@@ -213,9 +242,9 @@ JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame]] = {
     "surfaces": surfaces,
 }
 #: Actions whose rows are counted only.
-UNWRITTEN = ("delete", "unmatched")
+UNWRITTEN = ("delete", "unmatched", "invalid")
 #: Jobs over people, which write only with --confirm as well.
-CONFIRMED = ("users",)
+CONFIRMED = ("users", "newsletter")
 
 
 def run(spark: SparkSession, arguments: Sequence[str]) -> dict[str, int]:
@@ -239,6 +268,9 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> dict[str, int]:
     parser.add_argument("--no-osm", action="store_true", help="surfaces without map ways")
     parser.add_argument("--origin", default="")
     parser.add_argument("--locale")
+    parser.add_argument("--universe", default="")
+    parser.add_argument("--map", action="append", default=[], metavar="SUB=VALUE")
+    parser.add_argument("--skip", action="append", default=[], metavar="SUB")
     parser.add_argument("--country", choices=("belgie", "nederland"), default="belgie")
     parser.add_argument("--with", dest="more", action="append", default=[], metavar="NAME=PATH", help="a further table that the job needs")
     options = parser.parse_args(arguments)

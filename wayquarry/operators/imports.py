@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from .html import place_page, to_blocks
 from .match import cascade, customers, fuzzy, nearest_tier, subsequence_at, through_links
 from .rows import filled_first, reduced, unique_names
 from .sync import inserted_if_absent, upserted
-from .tracks import merged_starts, normalised_distances
+from .tracks import autofilled, chosen_nodes, merged_starts, normalised_distances
 
 
 def cities(rows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -130,6 +130,56 @@ def placed_routes(rows: DataFrame, starts: DataFrame, places: DataFrame, recorde
     return own.join(lists, "slug", "left").join(known_sequences(own, recorded), "slug", "left")
 
 
+def imported_routes(rows: DataFrame, starts: DataFrame, places: DataFrame, recorded: DataFrame, candidates: DataFrame | None = None, tracks: DataFrame | None = None, flags: Mapping[str, str] | None = None) -> DataFrame:
+    """``placed_routes`` with what else is known of a route.
+
+    candidates: route_id (a slug), place (from 0), candidate_id, lat, lng, route_index, route_metres, expected_gap_km: where no recorded sequence has the
+    route's nodes, one candidate is chosen for each in order. tracks: route_id, title, description, distance_km, minutes, gain, loss of a recorded track, which
+    fill blank texts and replace measures. nodes_from says where the nodes are from.
+    """
+    own = placed_routes(rows, starts, places, recorded, flags)
+    known = F.coalesce(F.size("nodes") > 0, F.lit(False))
+    if candidates is None:
+        found = own.withColumn("nodes_from", F.when(known, "recorded"))
+    else:
+        open_ones = candidates.join(own.where(~known).select(F.col("slug").alias("route_id"), "node_numbers"), "route_id")
+        chosen = chosen_nodes(open_ones.where("place < size(node_numbers)").drop("node_numbers"))
+        # a route needs all of its nodes
+        lists = chosen.groupBy(F.col("route_id").alias("slug")).agg(F.sort_array(F.collect_list(F.struct("place", "lat", "lng"))).alias("_chosen"))
+        joined = own.join(lists, "slug", "left")
+        complete = F.coalesce(F.size("_chosen") == F.size("node_numbers"), F.lit(False))
+        made = F.transform("_chosen", lambda n: F.struct(F.get("node_numbers", n["place"].cast("int")).alias("number"), n["lat"].cast("double").alias("lat"), n["lng"].cast("double").alias("lng")))
+        found = joined.withColumns({"nodes_from": F.when(known, "recorded").when(complete, "chosen"), "nodes": F.when(known, F.col("nodes")).when(complete, made)}).drop("_chosen")
+    if tracks is None:
+        return found
+    more = {c: F.lit(None).cast(k) for c, k in (("description", "string"), ("gain", "double"), ("loss", "double")) if c not in found.columns}
+    return autofilled(found.withColumns(more | {"route_id": F.col("slug"), "minutes": F.col("minutes").cast("double")}), tracks).drop("route_id")
+
+
+def newsletters(rows: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Newsletter addresses of the older site (Email, Inschrijvingsdatum, Uitschrijvingsdatum, Optin, user_controlnumber): one row for each address, the last by ID.
+
+    Status by opt-in and by whether there is a date of leaving. users: id with control_number, or with email; action says insert, or invalid for what isn't an address.
+    """
+    own = rows.select(
+        F.col("ID").try_cast("long").alias("old_id"), F.lower(F.trim("Email")).alias("email"), cleaned("Inschrijvingsdatum").alias("consent_at"), cleaned("Uitschrijvingsdatum").alias("unsubscribed_at"),
+        F.col("Optin").alias("optin"), blank_to_null("user_controlnumber").alias("control_number"),
+    )
+    valid = F.coalesce(F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.lit(False))
+    good = reduced(own.where(valid), ["email"], F.col("old_id"), last=True)
+    gone = (F.coalesce(F.col("optin").try_cast("double"), F.lit(0.0)) == 0) | F.col("unsubscribed_at").isNotNull()
+    found = good.withColumn("status", F.when(gone, "unsubscribed").otherwise("subscribed")).withColumn("source", F.lit("import"))
+    if users is None:
+        found = found.withColumn("user_id", F.lit(None).cast("long"))
+    else:
+        by = "control_number" if "control_number" in users.columns else "email"
+        known = users.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.min("id").alias("user_id"))
+        found = found.join(known, found[by] == known["_by"], "left").drop("_by")
+    wanted = ["email", "status", "source", "consent_at", "unsubscribed_at", "user_id"]
+    kept = found.select(*wanted, F.lit("insert").alias("action"))
+    return kept.unionByName(own.where(~valid).select("email", F.lit("invalid").alias("action")), allowMissingColumns=True)
+
+
 def users(rows: DataFrame) -> DataFrame:
     """Users (id, email, username, password, created, newsletter, unsubscribed): no password leaves but its kind."""
     who = t.sorted_identity(F.lower(blank_to_null("email")), blank_to_null("username"))
@@ -174,8 +224,8 @@ def repaired_alt_texts(points: DataFrame) -> DataFrame:
 
 def place_pages(rows: DataFrame, universe: str, most: int | None = None) -> DataFrame:
     """Place pages of a universe (Universe, Titel, URL, Description): slug, title and the page's parts; ``most`` is what was asked for."""
-    own = rows.where(F.col("Universe") == universe).orderBy("URL")
-    own = own.limit(most) if most is not None else own
+    own = rows.where(F.col("Universe") == universe)
+    own = own.orderBy("URL").limit(most) if most is not None else own
     parts = own.select(blank_to_null("Titel").alias("title"), t.slug("URL").alias("slug"), place_page()(F.coalesce("Description", F.lit(""))).alias("parts"))
     return parts.select("slug", "title", "parts.*").where("slug <> ''")
 
@@ -189,15 +239,25 @@ def point_links(points: DataFrame, links: DataFrame, old_routes: DataFrame, rout
 NOT_LODGINGS = ("advertentie", "andere")
 
 
-def order_backfill(orders: DataFrame, subs: DataFrame, overwrite: bool = False) -> DataFrame:
+def order_backfill(orders: DataFrame, subs: DataFrame, overwrite: bool = False, mapped: DataFrame | None = None, skipped: Sequence[str] = ()) -> DataFrame:
     """Per matched subscription: first and last run and count from its orders, never moving the last run back.
 
+    mapped (sub_id, wanted): an address, else a name, whose customers a subscription has whatever it is called. skipped: sub_ids that are left alone.
+
     orders: name, email, type, status, date, number, reference; subs: sub_id, sub_name, sub_email, start_date, first_run, last_run, run_count.
     """
     real = orders.where(~F.lower(F.coalesce("type", F.lit(""))).isin(*NOT_LODGINGS) & (F.lower(F.coalesce("status", F.lit(""))) != "credit"))
     clean = real.withColumns({"name": t.entities("name"), "email": F.lower(F.trim(F.coalesce("email", F.lit("")))), "date": cleaned_date("date")})
     own = customers(clean).withColumn("customer_id", F.sha2(F.concat_ws("|", "email", "norm_name"), 256))
-    hits = fuzzy(subs, own).where("status = 'matched'").select("sub_id", "customer_id")
+    subs = subs.where(~F.col("sub_id").cast("string").isin(*skipped)) if skipped else subs
+    if mapped is None:
+        hits = fuzzy(subs, own).where("status = 'matched'").select("sub_id", "customer_id")
+    else:
+        asked = mapped.withColumn("sub_id", F.col("sub_id").cast(subs.schema["sub_id"].dataType))
+        by_mail = asked.join(own.where("email <> ''").select("customer_id", "email"), F.lower(F.trim("wanted")) == F.col("email")).select("sub_id", "customer_id")
+        by_name = asked.join(by_mail, "sub_id", "left_anti").join(own.select("customer_id", "norm_name"), t.plain_name("wanted") == F.col("norm_name")).select("sub_id", "customer_id")
+        rest = fuzzy(subs.join(asked.select("sub_id"), "sub_id", "left_anti"), own).where("status = 'matched'").select("sub_id", "customer_id")
+        hits = by_mail.union(by_name).union(rest)
     joined = subs.join(hits, "sub_id").join(own.select("customer_id", F.col("email").alias("c_email"), F.col("norm_name").alias("c_name")), "customer_id")
     runs = clean.withColumn("norm_name", t.plain_name("name")).select(F.col("email").alias("c_email"), F.col("norm_name").alias("c_name"), "date", "number", "reference")
     dated = joined.join(runs, ["c_email", "c_name"]).withColumn("run", F.coalesce(period_start("reference"), anniversary("start_date", "date")))

@@ -14,14 +14,29 @@ from pyspark.sql import types as T
 from ..storage import stored
 
 
+#: Parts of a key whose first rows are found by themselves, so that a key of many rows isn't one task.
+SPLIT = 16
+
+
+def _heats(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df with _heat (a part of the key's rows) and whether a row is the first of its heat."""
+    split = df.withColumn("_heat", F.pmod(F.monotonically_increasing_id(), F.lit(SPLIT)) + 1)
+    return split.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "_heat").orderBy(*order)) == 1)
+
+
 def winner(df: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: str = "keeps") -> DataFrame:
-    """df with a boolean that holds for one row of each key: the first by order. Null keys are a key of their own."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(flag, at == 1)
+    """df with a boolean that holds for one row of each key: the first by order. Null keys are a key of their own.
+
+    The first rows of a key's heats meet in a final; the others stay where they are.
+    """
+    final = _heats(df, keys, order).withColumn("_heat", F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(F.col("_heat")))
+    at = F.row_number().over(Window.partitionBy(*keys, "_heat").orderBy(*order))
+    return final.withColumn(flag, F.col("_first") & (at == 1)).drop("_heat", "_first")
 
 
 def winners(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return winner(df, keys, order, "_keeps").where("_keeps").drop("_keeps")
+    final = _heats(df, keys, order).where("_first").drop("_heat", "_first")
+    return final.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
 
 
 def reduced(df: DataFrame, keys: Sequence[str], best: Column, last: bool = False) -> DataFrame:
@@ -50,10 +65,9 @@ def relaxed(candidates: DataFrame, request: Sequence[str], tiers: Sequence[Colum
 
 def ordinals(df: DataFrame, key: str, order: Sequence[Column], name: str = "unique_key") -> DataFrame:
     """A name that is unique: the key, with _1, _2, ... for those that repeat."""
-    same = Window.partitionBy(key)
-    number = F.row_number().over(same.orderBy(*order))
-    numbered = F.concat(F.col(key), F.lit("_"), number.cast("string"))
-    return df.withColumn(name, F.when(F.count(F.lit(1)).over(same) > 1, numbered).otherwise(F.col(key)))
+    several = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    found = places(df, [key], order, "_place").join(several, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return found.withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(key), F.lit("_"), F.col("_place").cast("string"))).otherwise(F.col(key))).drop("_key", "_n", "_place")
 
 
 def places(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "place", parts: int | None = None) -> DataFrame:
@@ -207,10 +221,11 @@ def preferred_version(df: DataFrame, key: str, locale: str, wanted: str, default
 
 
 def running_quota(df: DataFrame, eligible: Column, order: Sequence[Column], room: int, by: Sequence[str] = ()) -> DataFrame:
-    """accepted: eligible rows, in order, while there is room (for each ``by``)."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    yes = F.coalesce(eligible, F.lit(False))
-    return df.withColumn("accepted", yes & (F.sum(yes.cast("int")).over(so_far) <= room))
+    """accepted: eligible rows, in order, while there is room (for each ``by``). As with ``winner``, heats come before a final of few rows."""
+    split = df.withColumns({"_yes": F.coalesce(eligible, F.lit(False)), "_heat": F.pmod(F.monotonically_increasing_id(), F.lit(SPLIT)) + 1})
+    place = F.row_number().over(Window.partitionBy(*by, "_yes", "_heat").orderBy(*order))
+    heats = split.withColumn("_first", F.col("_yes") & (place <= room)).withColumn("_heat", F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(F.col("_heat")))
+    return heats.withColumn("accepted", F.col("_first") & (place <= room)).drop("_yes", "_heat", "_first")
 
 
 def without_zeros(df: DataFrame, array: str, field: str) -> DataFrame:

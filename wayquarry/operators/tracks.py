@@ -105,7 +105,7 @@ def nodes_along(points: DataFrame, nodes: DataFrame, metres: float = 50.0) -> Da
     probe = points.select(F.struct("track_id", "seq").alias("key"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
     hits = nearest(probe, nodes.select(F.col("id").alias("node_id"), "lat", "lng"), "key", "node_id", metres / 1000)
     flat = hits.select("key.track_id", "key.seq", "node_id", "km")
-    return flat.groupBy("track_id").applyInPandas(kept_matches, flat.schema)
+    return flat.groupBy("track_id").applyInPandas(lambda own: kept_matches(own), flat.schema)
 
 
 def waypoint_nodes(waypoints: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def choose_candidates(rows: pd.DataFrame, near: float = 250.0, back: int = 5) ->
 
 def chosen_nodes(candidates: DataFrame) -> DataFrame:
     """One candidate for each route_id and place, chosen along each route."""
-    return candidates.groupBy("route_id").applyInPandas(choose_candidates, candidates.schema)
+    return candidates.groupBy("route_id").applyInPandas(lambda own: choose_candidates(own), candidates.schema)
 
 
 def nearest_index(path: Column, lat: Column, lng: Column) -> Column:
