@@ -144,6 +144,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     # about SAMPLE rows of at most DIMENSIONS values each, so their size is bounded, and so is what comes back
     learned, _, _ = bounded(own.join(F.broadcast(chosen), "key", "left_semi"), "lang", most)
     rows = learned.mapInArrow(run, "lang string, at binary, x binary").toPandas()
+    rows = rows.sort_values(["lang", "at", "x"])  # machines depend on the order of rows, which depends on how they were dealt
     if rows.empty:
         return Model([], np.zeros((DIMENSIONS + 1, 0)), {}, {})
     x = [(np.frombuffer(at, np.uint16), np.frombuffer(b, np.float32)) for at, b in zip(rows["at"], rows["x"])]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 STEPS = 1_000_000
+#: How far over its size a sample may be: a hash takes about as many as asked for.
+ROOM = 1.25
 
 
 def crc_mod(key: str, modulus: int) -> Column:
@@ -39,11 +41,11 @@ def bounded(rows: DataFrame, label: str, most: int) -> tuple[DataFrame, dict, di
     different = stored(rows.withColumn("t", F.xxhash64("text")).dropDuplicates(["key", "t", label]), "sample")
     sizes = lambda df: {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     there = sizes(different)
-    if all(n <= most for n in there.values()):
+    if all(n <= ROOM * most for n in there.values()):
         return different.drop("t"), there, there
     place = F.pmod(F.xxhash64("key", "t", F.lit(2)), F.lit(STEPS))
     share = F.lit(0)
     for value, n in sorted(there.items(), key=str):
-        share = F.when(F.col(label) == value, F.lit(int(STEPS * min(1.0, most / n)))).otherwise(share)
+        share = F.when(F.col(label) == value, F.lit(int(STEPS * (1.0 if n <= ROOM * most else most / n)))).otherwise(share)
     taken = different.where(place < share).drop("t")
     return taken, there, sizes(taken)
