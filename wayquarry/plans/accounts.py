@@ -107,7 +107,7 @@ def edited_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles of users after edits; some users are new, and what an edit leaves out stays."""
     c, k = table(spark, sf, "customer"), F.col("c_custkey")
     profiles = c.where("c_custkey % 4 > 0").select(k.alias("user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), F.col("c_acctbal").alias("points"))
-    edits = c.where("c_custkey % 3 = 0").select(k.alias("user_id"), F.when(k % 2 == 0, F.concat(F.lit("new "), "c_name")).alias("name"), F.lit("Gent").alias("city"))
+    edits = c.where("c_custkey % 3 = 0 or c_custkey % 4 = 0").select(k.alias("user_id"), F.when(k % 2 == 0, F.concat(F.lit("new "), "c_name")).alias("name"), F.lit("Gent").alias("city"))
     return crm.profiles_upserted(profiles, edits)
 
 
@@ -161,7 +161,7 @@ def prospect_import(spark: SparkSession, sf: str) -> DataFrame:
     """Prospects after an import: what people have entered stays."""
     c, k = table(spark, sf, "customer"), F.col("c_custkey")
     stored = c.where("c_custkey % 3 > 0").select(k.cast("string").alias("source_id"), F.col("c_name").alias("name"), F.lit("old@x.be").alias("email"), F.when(k % 2 == 0, "partner").otherwise("new").alias("stage"), (k % 4).alias("mail_count"))
-    new = imports.prospects(c.where("c_custkey % 2 = 0").select(F.concat(F.lit(" "), "c_name", F.lit("  BV")).alias("n"), F.when(k % 5 > 0, F.concat(F.lit("A"), k, F.lit("@X.be"))).otherwise("no address").alias("e"), k.cast("string").alias("i"), F.lit("51,5").alias("la")))
+    new = imports.prospects(c.where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(F.concat(F.lit(" "), "c_name", F.lit("  BV")).alias("n"), F.when(k % 5 > 0, F.concat(F.lit("A"), k, F.lit("@X.be"))).otherwise("no address").alias("e"), k.cast("string").alias("i"), F.lit("51,5").alias("la")))
     done = imports.prospects_upserted(stored, new)
     return done.select("source_id", "name", "email", "stage", "mail_count", "lat")
 
@@ -229,8 +229,9 @@ f AS (SELECT email, CASE WHEN starts THEN 'pending' WHEN confirms THEN 'subscrib
   CASE WHEN starts THEN DATE '{AS_OF}' + 1 WHEN NOT (confirms OR leaves) THEN expires::DATE END AS expires_on, CASE WHEN event = 'confirm' THEN CASE WHEN confirms THEN 'ok' WHEN token <> sent THEN 'invalid' ELSE 'expired' END WHEN starts OR leaves THEN 'ok' END AS outcome FROM d)
 SELECT * FROM f WHERE status IS NOT NULL""",
     "edited_profiles": """
-SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'new ' || c_name WHEN c_custkey % 4 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'Gent' ELSE c_mktsegment END AS city, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS points
-FROM customer WHERE c_custkey % 4 > 0 OR c_custkey % 3 = 0""",
+WITH c AS (SELECT *, c_custkey % 3 = 0 OR c_custkey % 4 = 0 AS edited FROM customer)
+SELECT c_custkey AS user_id, CASE WHEN edited AND c_custkey % 2 = 0 THEN 'new ' || c_name WHEN c_custkey % 4 > 0 THEN c_name END AS name, CASE WHEN edited THEN 'Gent' ELSE c_mktsegment END AS city, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS points
+FROM c""",
     "deleted_accounts": """
 WITH gone AS (SELECT c_custkey AS u, c_custkey % 40 AS m FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 = 0 AND c_custkey % 3 = 1)
 SELECT event_id FROM events WHERE (user_id IS NULL OR user_id NOT IN (SELECT u FROM gone)) AND (event_id % 3 = 0 OR event_id % 60 NOT IN (SELECT m FROM gone))""",
@@ -251,9 +252,10 @@ WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders)
 SELECT k AS o_orderkey, CASE WHEN k % 4 > 0 THEN d END AS starts, CASE WHEN k % 4 > 0 THEN (d + INTERVAL 12 MONTH)::DATE END AS ends,
   CASE k % 5 WHEN 0 THEN strftime(d, '%Y-%m-%d 00:00') WHEN 2 THEN '2001-02-31' END AS cleaned, CASE WHEN k % 5 = 0 THEN d END AS cleaned_date FROM o""",
     "prospect_import": """
-SELECT c_custkey::VARCHAR AS source_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' BV' ELSE c_name END AS name, CASE WHEN c_custkey % 2 > 0 THEN 'old@x.be' WHEN c_custkey % 5 > 0 THEN 'a' || c_custkey || '@x.be' END AS email,
-  CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'partner' ELSE 'new' END END AS stage, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AS mail_count, CASE WHEN c_custkey % 2 = 0 THEN 51.5::DOUBLE END AS lat
-FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0""",
+WITH c AS (SELECT *, c_custkey % 2 = 0 OR c_custkey % 3 = 0 AS given FROM customer)
+SELECT c_custkey::VARCHAR AS source_id, CASE WHEN given THEN c_name || ' BV' ELSE c_name END AS name, CASE WHEN NOT given THEN 'old@x.be' WHEN c_custkey % 5 > 0 THEN 'a' || c_custkey || '@x.be' END AS email,
+  CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'partner' ELSE 'new' END END AS stage, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AS mail_count, CASE WHEN given THEN 51.5::DOUBLE END AS lat
+FROM c""",
     "search_invoices": """
 SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(c_mktsegment[2:]) || ' ' || upper(left(c_name, 1)) || '.' AS shown FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'mach')""",
 }

@@ -156,8 +156,8 @@ def new_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def upserted_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with newer rows in place of older ones; of several new ones the last counts."""
-    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 700).alias("k"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"))
-    return s.upserted(o.where("version < 500"), o.where("version >= 300"), ["k"], "version")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"))
+    return s.upserted(o.where("version % 5 < 4"), o.where("version % 5 > 2"), ["k"], "version")
 
 
 def preferred_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,8 +258,8 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
 SELECT DISTINCT p_name || '.jpg' AS name, p_type AS folder, p_size::DOUBLE AS kb FROM part a
 WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey % 2 = 0 AND b.p_name = a.p_name AND b.p_type = a.p_type AND b.p_size = a.p_size)""",
     "upserted_orders": """
-WITH o AS (SELECT o_orderkey % 700 AS k, o_orderkey AS version, o_totalprice AS price FROM orders), n AS (SELECT * FROM o WHERE version >= 300 QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC) = 1)
-SELECT * FROM n UNION ALL SELECT * FROM o WHERE version < 500 AND k NOT IN (SELECT k FROM n)""",
+WITH o AS (SELECT o_custkey AS k, o_orderkey AS version, o_totalprice AS price FROM orders), n AS (SELECT * FROM o WHERE version % 5 > 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC) = 1)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE version % 5 < 4 AND k NOT IN (SELECT k FROM n)""",
     "preferred_sources": """
 WITH e AS (SELECT s_suppkey % 300 AS name, 0 AS rank, s_suppkey AS id FROM supplier UNION ALL SELECT p_partkey % 300, 1, p_partkey FROM part WHERE p_partkey % 300 % 2 = 0 UNION ALL SELECT c_custkey % 300, 2, c_custkey FROM customer)
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, id) = 1""",
