@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayquarry.llm import bpe, decontaminate, lines, quality, simhash
 from wayquarry.llm.common import stored, table
 from wayquarry.llm.queries_text import vocabulary_path
+from wayquarry.storage import discard
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -68,7 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, "stage-" + name.replace(" ", "-"))
+            if k:  # what this stage read is spent
+                discard(before)
     return docs
