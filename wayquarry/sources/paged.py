@@ -69,12 +69,6 @@ class PagedReader(DataSourceReader):
         self.kind, self.options = schema, dict(options)
         self.filters = ""
 
-    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
-        known = json.loads(self.options.get("parameters", "{}"))
-        own = {known[f.attribute[0]]: f.value for f in filters if isinstance(f, EqualTo) and f.attribute[0] in known}
-        self.filters = "".join("&" + urllib.parse.urlencode({name: value}) for name, value in own.items())
-        return filters
-
     def answer(self, page: Page) -> object:
         urls = [u.strip().format(limit=page.limit, offset=page.offset, page=page.number, filters=self.filters) for u in self.options["url"].split("|")]
         return fetch(urls, int(self.options.get("attempts", 4)), float(self.options.get("wait", 1.0)))
@@ -90,6 +84,16 @@ class PagedReader(DataSourceReader):
             yield tuple(value_as(f.dataType, x.get(f.name)) for f in self.kind.fields)
 
 
+class FilteredReader(PagedReader):
+    """Pages of a service that filters; needs spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
+        known = json.loads(self.options["parameters"])
+        own = {known[f.attribute[0]]: f.value for f in filters if isinstance(f, EqualTo) and f.attribute[0] in known}
+        self.filters = "".join("&" + urllib.parse.urlencode({name: value}) for name, value in own.items())
+        return filters
+
+
 class PagedJson(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -99,4 +103,4 @@ class PagedJson(DataSource):
         return "value string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return PagedReader(schema, self.options)
+        return (FilteredReader if "parameters" in self.options else PagedReader)(schema, self.options)
