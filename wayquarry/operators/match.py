@@ -31,9 +31,10 @@ def first_of_list(rows: DataFrame, key: str, names: Column, targets: DataFrame,
     """Per row key: the target of the first of its names that has one; preferred targets first among equals."""
     exploded = rows.select(F.col(key), F.posexplode(names).alias("place", "value"))
     rank = F.when(preferred, 0).otherwise(1) if preferred is not None else F.lit(0)
-    there = targets.select(F.col(name).alias("_name"), F.col(target), rank.alias("_rank"))
+    # one target for each name, so that the join gives a row for each name of a row at most
+    there = targets.where(F.col(name).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(name).alias("_name")).agg(F.min_by(target, F.struct(rank, target)).alias(target))
     hits = exploded.join(there, exploded["value"] == there["_name"])
-    return hits.groupBy(key).agg(F.min_by(target, F.struct("place", "_rank", target)).alias(target))
+    return hits.groupBy(key).agg(F.min_by(target, "place").alias(target))
 
 
 def nearest_tier(rows: DataFrame, targets: DataFrame, tiers: Sequence[Sequence[str]], target: str, tier: str = "tier") -> DataFrame:
