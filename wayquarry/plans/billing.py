@@ -82,7 +82,8 @@ def new_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices for every subscription that is due, and for every 50th customer whether it is or not."""
     over = b.overview(subscriptions(spark, sf), invoices(spark, sf), as_of())
     asked = over.where("due or sub_id % 50 = 0").select("sub_id", F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("discount"), F.lit(None).cast("date").alias("period_start"))
-    return b.new_invoices(over, invoices(spark, sf), asked, as_of())
+    # a period is taken by any invoice that names the subscription, in its header or on a line
+    return b.new_invoices(over, b.invoice_lines(invoices(spark, sf)), asked, as_of())
 
 
 def renewals(spark: SparkSession, sf: str) -> DataFrame:
