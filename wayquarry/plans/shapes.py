@@ -47,7 +47,8 @@ def routes_on_network(spark: SparkSession, sf: str) -> DataFrame:
     nodes, _ = built(spark, sf)
     k = F.col("id")
     lat, lng = lambda x: 50 + F.floor(x / SIDE) / 100.0, lambda x: 4 + (x % SIDE) / 64.0
-    point = lambda i, x, off=0.0: F.struct(F.lit("7").alias("number"), F.lit(i).alias("order"), F.lit(i * 1.5).alias("km"), (lat(x) + off).alias("lat"), lng(x).alias("lng"))
+    point = lambda i, x, off=0.0: F.struct(F.lit("7").alias("number"), F.lit(i).alias("order"), F.lit(i * 1.5).alias("km"), lat(x).alias("lat"), (lng(x) + off).alias("lng"))
+    # the grid grows to the north with the table, so what lies off it is to the east
     points = F.array(point(2, k + 1), point(0, k), point(1, k), point(3, k + 2), point(4, k, 5.0))
     routes = nodes.select(k.alias("route_id"), F.lit("fietsen").alias("mode"), F.when(k % 2 == 0, 9.0).alias("start_km"), F.when(k % 3 == 0, points).otherwise(F.slice(points, 1, 4)).alias("points"))
     return graph.route_links(routes, nodes).select("route_id", F.array_join("node_ids", ",").alias("node_ids"), "km")
