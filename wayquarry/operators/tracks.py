@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.coerce import js_round
-from .nearest import nearest
+from .nearest import closest, nearest
 
 MOST_PROFILE_POINTS = 250
 
@@ -111,11 +111,15 @@ def nodes_along(points: DataFrame, nodes: DataFrame, metres: float = 50.0) -> Da
 def waypoint_nodes(waypoints: DataFrame, nodes: DataFrame) -> DataFrame:
     """Waypoints (track_id, seq, name, lat, lng) named like node numbers, at the nearest node of that number, else where they are."""
     named = waypoints.where(F.col("name").rlike(r"^\s*\d+[A-Za-z]?\s*$")).withColumn("number", F.trim("name"))
-    n = nodes.select("number", F.struct("id", "lat", "lng").alias("node"))
-    joined = named.join(n, "number", "left")
-    km = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("node.lat"), F.col("node.lng"))
-    best = joined.groupBy("track_id", "seq", "number", "lat", "lng").agg(F.min_by("node", F.struct(km.alias("km"), "node.id")).alias("node"))
-    return best.select("track_id", "seq", "number", F.col("node.id").alias("node_id"), F.coalesce("node.lat", "lat").alias("lat"), F.coalesce("node.lng", "lng").alias("lng"))
+    at = F.struct("track_id", "seq", "number", "lat", "lng").alias("waypoint")
+    probe = named.select(at, "number", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).distinct()
+    node = nodes.select("number", "lat", "lng", F.struct("id", "lat", "lng").alias("node"))
+    best = closest(probe, node, "waypoint", "node", by=["number"])
+    # a waypoint without a place has no nearest node, it takes the first one of its number
+    first = nodes.groupBy("number").agg(F.min(F.struct("id", "lat", "lng")).alias("_first"))
+    lost = named.where("lat is null or lng is null").select(at, "number").distinct().join(first, "number").select("waypoint", F.col("_first").alias("node"))
+    joined = named.select(at).distinct().join(best.select("waypoint", "node").unionByName(lost), "waypoint", "left")
+    return joined.select("waypoint.track_id", "waypoint.seq", "waypoint.number", F.col("node.id").alias("node_id"), F.coalesce("node.lat", "waypoint.lat").alias("lat"), F.coalesce("node.lng", "waypoint.lng").alias("lng"))
 
 
 def choose_candidates(rows: pd.DataFrame, near: float = 250.0, back: int = 5) -> pd.DataFrame:
