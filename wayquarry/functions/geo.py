@@ -55,8 +55,11 @@ def cells_of_box(south: Column, west: Column, north: Column, east: Column, size:
 def cells_along(a: Column, b: Column, size: float, metres: float) -> Column:
     """The cells in which a point within ``metres`` of the segment from a to b may lie: array of struct(x, y)."""
     d_lat = metres / METRES_A_DEGREE * 1.001
-    farthest = F.least(F.greatest(F.abs(a["lat"]), F.abs(b["lat"])) + d_lat, F.lit(89.9))
-    d_lng = d_lat / F.cos(F.radians(farthest))
+    # the least cosine on the way; distances take the cosine of any latitude, so one beyond a pole is as wide as its mirror
+    low, high = F.least(a["lat"], b["lat"]) - d_lat, F.greatest(a["lat"], b["lat"]) + d_lat
+    over_pole = F.floor((low + 90) / 180) != F.floor((high + 90) / 180)
+    narrow = F.when(over_pole, 0.0).otherwise(F.least(F.abs(F.cos(F.radians(low))), F.abs(F.cos(F.radians(high)))))
+    d_lng = d_lat / F.greatest(narrow, F.cos(F.radians(F.lit(89.9))))
     wide = b["lng"] - a["lng"]
     steep = F.abs(wide) < 1e-12  # in one column from end to end
 
