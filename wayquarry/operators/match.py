@@ -51,6 +51,11 @@ def nearest_tier(rows: DataFrame, targets: DataFrame, tiers: Sequence[Sequence[s
     return found.withColumns({target: F.coalesce(*names), tier: which}).drop(*names)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df for a join by merging. Rows of words and variants are many times the size of their files, by which Spark would send a side to every task, through the driver."""
+    return df.hint("merge")
+
+
 #: Similarity that counts without anything else, and with an equal day.
 STRONG, WEAK = 0.6, 0.3
 
@@ -64,7 +69,7 @@ def _named(rows: DataFrame, name: str, side: str) -> DataFrame:
 
 def _first(names: DataFrame, side: str, items: Column, frequency: DataFrame, length: Column) -> DataFrame:
     """Of each name's items the rarest, as many as length says: (item, side)."""
-    exploded = names.select(side, length.cast("int").alias("_keep"), F.explode(items).alias("item")).join(frequency, "item")
+    exploded = names.select(side, length.cast("int").alias("_keep"), F.explode(items).alias("item")).join(_merged(frequency), "item")
     ranked = exploded.groupBy(side, "_keep").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
     return ranked.select(side, F.explode(F.slice("items", F.lit(1), F.col("_keep"))).alias("x")).select(side, F.col("x.item").alias("item"))
 
@@ -74,7 +79,7 @@ def _sharing(a: DataFrame, b: DataFrame, items: Callable[[Column, Column], Colum
     all_items = a.select(F.explode(items(F.col("a_words"), F.col("a_one"))).alias("item")).union(b.select(F.explode(items(F.col("b_words"), F.col("b_one")))))
     frequency = all_items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     sides = [_first(df, x, items(F.col(f"{x}_words"), F.col(f"{x}_one")), frequency, length(F.col(f"{x}_words"), F.col(f"{x}_one"))) for x, df in (("a", a), ("b", b))]
-    return sides[0].join(sides[1], "item").select("a", "b")
+    return sides[0].join(_merged(sides[1]), "item").select("a", "b")
 
 
 def _counted(items: Column) -> Column:
@@ -131,7 +136,7 @@ def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
 
         return df.select(x, F.explode(made(f"{x}_one")).alias("variant")).select(x, F.xxhash64("variant").alias("variant"))
 
-    return of(a, "a", lengths["b"]).join(of(b, "b", lengths["a"]), "variant").select("a", "b")
+    return of(a, "a", lengths["b"]).join(_merged(of(b, "b", lengths["a"])), "variant").select("a", "b")
 
 
 def _farther(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def _farther(a: DataFrame, b: DataFrame) -> DataFrame:
     pairs = _sharing(some(a, "a", 0), some(b, "b", 1), lambda words, one: bigrams(one), lambda words, one: (F.length(one) - F.greatest(F.ceil(F.length(one) / 3 - 1 - 1e-9), F.lit(1)) + 1))
     # written, since these are asked for by every pair
     parts = lambda df, x: stored(df.select(x, f"{x}_one", _counted(F.split(f"{x}_one", "")).alias(f"{x}_characters"), bigrams(F.col(f"{x}_one")).alias(f"{x}_bigrams")), "names")
-    own = pairs.distinct().join(parts(a, "a"), "a").join(parts(b, "b"), "b")
+    own = pairs.distinct().join(_merged(parts(a, "a")), "a").join(_merged(parts(b, "b")), "b")
     both, shared = F.length("a_one") + F.length("b_one"), lambda x: F.size(F.array_intersect(f"a_{x}", f"b_{x}")) + 1e-9
     in_order = (F.levenshtein("a_one", "b_one") <= 0.2 * both + 1e-9) & (shared("characters") >= 0.4 * both)
     return own.where(in_order | (shared("bigrams") >= 0.4 * (both - 2))).select("a", "b")
@@ -170,7 +175,7 @@ def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name:
 
 
 def _scored(a: DataFrame, b: DataFrame, pairs: DataFrame, *by: str, least: float) -> DataFrame:
-    words = pairs.distinct().join(a.select("a", "a_words"), "a").join(b.select("b", "b_words"), "b")
+    words = pairs.distinct().join(_merged(a.select("a", "a_words")), "a").join(_merged(b.select("b", "b_words")), "b")
     return stored(words.select("a", "b", *by, token_similarity(F.col("a_words"), F.col("b_words")).alias("score")), "name-pairs").where(F.col("score") >= least)
 
 
@@ -181,12 +186,12 @@ def weak_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: st
     """
     a, b = _named(left, left_name, "a"), _named(right, right_name, "b")
     of = lambda df, name, side: df.select(F.col(name).alias(side), F.col(day).alias("day")).where("day is not null").distinct()
-    days_a, days_b = of(left, left_name, "a").join(a, "a"), of(right, right_name, "b").join(b, "b")
+    days_a, days_b = of(left, left_name, "a").join(_merged(a), "a"), of(right, right_name, "b").join(_merged(b), "b")
     word = lambda df, side: df.select(side, "day", F.explode(f"{side}_words").alias("item"))
     inside = lambda df, side: df.where(F.length(f"{side}_one") >= 4).select(side, "day", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(f"{side}_one") - 3), lambda i: F.substr(F.col(f"{side}_one"), i, F.lit(4))))).alias("item"))
     start = lambda df, side: df.where(F.length(f"{side}_one") >= 4).select(side, "day", F.substring(f"{side}_one", 1, 4).alias("item"))
     joins = [(word(days_a, "a"), word(days_b, "b")), (inside(days_a, "a"), start(days_b, "b")), (start(days_a, "a"), inside(days_b, "b"))]
-    pairs = reduce(DataFrame.union, [x.join(y, ["day", "item"]).select("a", "b", "day") for x, y in joins])
+    pairs = reduce(DataFrame.union, [x.join(_merged(y), ["day", "item"]).select("a", "b", "day") for x, y in joins])
     found = _scored(a, b, pairs, "day", least=WEAK).where(F.col("score") < STRONG)
     return found.withColumnsRenamed({"a": left_name, "b": right_name, "day": day})
 
@@ -226,17 +231,17 @@ def fuzzy(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     """
     address = F.lower(F.trim("sub_email"))
     a, b = subscriptions.withColumn("left_tokens", name_tokens("sub_name")), customers.withColumn("right_tokens", name_tokens("label"))
-    mailed = a.join(b.where("email <> ''"), address == F.col("email"))
+    mailed = a.join(_merged(b.where("email <> ''")), address == F.col("email"))
     by_email = stored(_totals(mailed.withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens")))), "mailed")
     settled = by_email.where("total > 1.5").select("sub_id").distinct()
-    left = subscriptions.join(settled, "sub_id", "left_anti")
+    left = subscriptions.join(_merged(settled), "sub_id", "left_anti")
     dated = customers.select("label", F.explode("dates").alias("start_date"))
-    strong = left.join(strong_pairs(left, customers, "sub_name", "label"), "sub_name").join(customers, "label")
-    weak = left.join(weak_pairs(left, dated, "sub_name", "label", "start_date"), ["sub_name", "start_date"]).join(customers, "label")
-    others = by_email.join(settled, "sub_id", "left_anti")
-    good = _totals(strong.unionByName(weak)).union(others).distinct().union(by_email.join(settled, "sub_id", "left_semi"))
+    strong = left.join(_merged(strong_pairs(left, customers, "sub_name", "label")), "sub_name").join(_merged(customers), "label")
+    weak = left.join(_merged(weak_pairs(left, dated, "sub_name", "label", "start_date")), ["sub_name", "start_date"]).join(_merged(customers), "label")
+    others = by_email.join(_merged(settled), "sub_id", "left_anti")
+    good = _totals(strong.unionByName(weak)).union(others).distinct().union(by_email.join(_merged(settled), "sub_id", "left_semi"))
     found = best_with_margin(good, "sub_id", "total", "email", [F.asc("customer_id")])
-    return subscriptions.select("sub_id").join(found.select("sub_id", "customer_id", "score", "total", "status"), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+    return subscriptions.select("sub_id").join(_merged(found.select("sub_id", "customer_id", "score", "total", "status")), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
 
 
 def _totals(pairs: DataFrame) -> DataFrame:
