@@ -104,7 +104,7 @@ def unique_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def stitched_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A line for each customer, cut into ways of two points, some turned, in another order, and stitched: where it begins and ends."""
-    c = table(spark, sf, "customer")
+    c = files.spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     at = lambda i: F.struct((50 + (k % 100) / 128 + i / 1024).alias("lat"), (4 + i * (i + k % 7) / 2048).alias("lng"))
     way = lambda i: F.when((i + k) % 3 == 0, F.array(at(i + 1), at(i))).otherwise(F.array(at(i), at(i + 1)))

@@ -15,6 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to a few tasks for each core, before work that is much for its bytes: Spark splits files by size, and a small file is one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
     """Delimited text with a header; quotes are doubled within quotes, and a quoted value may span lines."""
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("sep", sep)
