@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, geo, text
 from ..operators import graph, network_sync, surface, tracks
 from ..operators import imports as im
-from ..sources.files import table
+from ..sources.files import spread, table
 from . import network
 from .network import NET_SQL, SIDE, built
 
@@ -119,7 +119,7 @@ def name_values(spark: SparkSession, sf: str) -> DataFrame:
 def text_repairs(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with entities, tags, wrong encodings and templates, put right."""
     k, name = F.col("p_partkey"), F.col("p_name")
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
     return p.select(
         "p_partkey", text.entities(F.concat(F.lit("&amp;amp;lt; &#233;&#39; &quot;"), name, F.lit("&#"), k % 26 + 97, F.lit(";"))).alias("decoded"),
         text.excerpt(F.when(k % 2 == 0, "<i> </i>"), F.concat(F.lit("<p>"), name, F.lit("&nbsp;&amp; <b>more</b></p>")), most=12).alias("excerpt"), text.filled(F.lit("{a}-{b}-{c}"), {"a": name, "b": F.when(k % 2 == 0, k)}).alias("filled"),
