@@ -64,6 +64,17 @@ def test_cache_is_bounded():
         assert len(pieces) <= 100
 
 
+def test_words_after_a_space_are_computed_once():
+    computed = []
+    split = bpe.Splitter(lambda x: computed.append(x) or x.encode(), {}, 100)
+    words = ["w" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(150)]
+    for _ in range(2):
+        assert split.ids("x " + " ".join(words)) == ("x " + " ".join(words)).encode()
+    split.ids("x " + " ".join(w + "," for w in words[:40]))
+    assert sorted(computed) == sorted(["x", "\n", ",", *(" " + w for w in words)])
+    assert len(split.fine) + len(split.bare) + len(split.spaced) <= 300
+
+
 def test_query_matches_library(spark, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).collect()}
     found = op1_bpe(spark, str(DATA / "sf0.001")).collect()

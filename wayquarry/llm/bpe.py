@@ -31,15 +31,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # White space as that pattern understands it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-#: Pieces that each of a worker's three caches keeps, the longest piece that is kept, and the documents that
+#: Pieces that a worker's three caches keep on average, the longest piece that is kept, and the documents that
 #: are decoded at once.
 CACHE_ENTRIES = 160_000
 CACHE_CHARS = 48
 SLICE = 1000
 
-SYMBOL_BITS, PLACE_BITS = 24, 32
-PLACES = (1 << PLACE_BITS) - 1
-
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -58,12 +55,13 @@ class Vocabulary:
         byte_of = {c: b for b, c in enumerate(symbols)}
         self.byte_ids = [ids.get(c) for c in symbols]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        #: rank of a pair of symbols, and what the pair of each rank becomes
-        self.ranks: dict[int, int] = {}
+        #: by left symbol, what gives the rank of its pair with a right one; and what the pair of each rank becomes
+        ranks: list[dict[int, int]] = [{} for _ in range(1 + max(ids.values()))]
+        self.rank_of = [x.get for x in ranks]
         self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[ids[left] << SYMBOL_BITS | ids[right]] = rank
+            ranks[ids[left]][ids[right]] = rank
             self.made.append(ids[left + right])
         self.strings = np.full(1 + max([*ids.values(), *self.special.values()]), b"", object)
         for token, i in ids.items():
@@ -74,39 +72,48 @@ class Vocabulary:
     def merged(self, symbols: list[int]) -> list[int]:
         """Applies merges by rank: a priority queue over a doubly linked list of symbols.
 
-        An entry is a rank and a place. A merge leaves entries for the neighbours' old pairs behind; an entry
-        whose place no longer holds the pair of its rank is stale and skipped. A swallowed symbol is -1.
+        An entry is a rank and a place, packed as narrowly as the list allows, for small integers are the fastest. A merge
+        leaves entries for the neighbours' old pairs behind; an entry that its place no longer holds is stale and skipped.
+        A swallowed symbol is -1.
         """
-        n, rank_of, made = len(symbols), self.ranks.get, self.made
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
+        n, rank_of, made = len(symbols), self.rank_of, self.made
+        bits = n.bit_length()
+        places = (1 << bits) - 1
+        held, queue = [-1] * n, []
         left = symbols[0]
         for at in range(n - 1):
             right = symbols[at + 1]
-            if (rank := rank_of(left << SYMBOL_BITS | right)) is not None:
-                queue.append(rank << PLACE_BITS | at)
+            if (rank := rank_of[left](right)) is not None:
+                held[at] = entry = rank << bits | at
+                queue.append(entry)
             left = right
         heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
-            rank, at = entry >> PLACE_BITS, entry & PLACES
-            left, right = symbols[at], after[at]
-            if left < 0 or right == n or rank_of(left << SYMBOL_BITS | symbols[right]) != rank:
+            at = entry & places
+            if held[at] != entry:
                 continue
-            symbols[at] = new = made[rank]
-            symbols[right] = -1
+            right = after[at]
+            symbols[at] = new = made[entry >> bits]
+            symbols[right] = held[right] = held[at] = -1
             beyond = after[at] = after[right]
             if beyond < n:
                 before[beyond] = at
-                if (rank := rank_of(new << SYMBOL_BITS | symbols[beyond])) is not None:
-                    heappush(queue, rank << PLACE_BITS | at)
-            if (at := before[at]) >= 0 and (rank := rank_of(symbols[at] << SYMBOL_BITS | new)) is not None:
-                heappush(queue, rank << PLACE_BITS | at)
+                if (rank := rank_of[new](symbols[beyond])) is not None:
+                    held[at] = entry = rank << bits | at
+                    heappush(queue, entry)
+            if (at := before[at]) >= 0:
+                held[at] = -1
+                if (rank := rank_of[symbols[at]](new)) is not None:
+                    held[at] = entry = rank << bits | at
+                    heappush(queue, entry)
         return [s for s in symbols if s >= 0]
 
     def piece(self, text: str) -> list[int]:
         """The ids of one pre-token."""
-        return self.merged([self.byte_ids[b] for b in text.encode()])
+        byte_ids = self.byte_ids
+        return self.merged([byte_ids[b] for b in text.encode()])
 
     def decode(self, ids: np.ndarray) -> str:
         """Concatenates the strings of the vocabulary."""
@@ -147,16 +154,20 @@ class Splitter:
     LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
     def __init__(self, piece: Callable[[str], bytes], special: dict[str, bytes], entries: int = CACHE_ENTRIES) -> None:
-        self.fine = Pieces(piece, entries)
-        self.bare = Pieces(lambda x: b"".join(map(self.fine.__getitem__, self.FINE.findall(x))), entries)
-        self.spaced = Pieces(self._spaced, entries)
+        # three times the entries in all; most different pieces are words after a space
+        self.piece = piece
+        self.fine = Pieces(piece, entries // 2)
+        self.bare = Pieces(self._cut, entries // 2)
+        self.spaced = Pieces(self._spaced, 2 * entries)
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    def _cut(self, x: str) -> bytes:
+        # a word after a space is kept as such, not among the others, too
+        return b"".join([self.spaced[p[1:]] if p[0] == " " and self.LETTERS(p, 1) else self.fine[p] for p in self.FINE.findall(x)])
+
     def _spaced(self, x: str) -> bytes:
-        if self.LETTERS(x):
-            return self.fine[" " + x]
-        return b"".join(map(self.fine.__getitem__, self.FINE.findall(" " + x)))
+        return self.piece(" " + x) if self.LETTERS(x) else self._cut(" " + x)
 
     def ids(self, text: str) -> bytes:
         if self.cut is not None and any(x in text for x in self.special):
