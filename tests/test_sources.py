@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 from tests.conftest import DATA
@@ -74,6 +75,47 @@ def test_gpx(spark, tmp_path):
     assert gpx.points(gpx.read(spark, str(tmp_path))).count() == 4
 
 
+def gpx_files(rng):
+    """Files of every shape, some cut short or wrongly nested."""
+    for k in range(24):
+        point = lambda tag: rng.choice([f'<{tag} lat="{rng.randrange(3)}.5" lon="4"><ele>{rng.choice(["1", "2", "x", ""])}</ele><time>{rng.choice(["2024-01-01T10:00:00Z", "Jan 2 2024 3:04", "?"])}</time></{tag}>', f'<{tag} lon="{rng.randrange(2)}" lat="1"/>', f"<{tag.upper()} lat='1' lon='2'></{tag.upper()} >\n", f'<{tag} lat="1"></{tag}>'])
+        some = lambda tag, most: "".join(point(tag) for _ in range(rng.randrange(most)))
+        name = lambda: rng.choice(["", "<name></name>", f"<name>é &amp; {rng.random()}</name>", "<name><![CDATA[a > b]]></name><desc>d</desc>"])
+        segments = "".join(f"<trkseg>{some('trkpt', 9)}</trkseg>" for _ in range(rng.randrange(4)))
+        tracks = "".join(f"<trk>{name()}{segments}{name()}</trk>" for _ in range(rng.randrange(3)))
+        routes = "".join(f"<rte>{name()}{some('rtept', 6)}</rte>" for _ in range(rng.randrange(3)))
+        stop = '<wpt lat="5" lon="6"><name>w</name><cmt>c</cmt></wpt>'
+        text = f"<?xml?><gpx><metadata>{name()}</metadata>{stop * rng.randrange(3)}{tracks}{routes}</gpx>"
+        yield {20: text[: len(text) * 2 // 3], 21: text.replace("</trkseg>", "", 1), 22: text + "<trkpt lat='1' lon='2'>", 23: f"<trk>{point('trkpt') * 3}</trk>" + text}.get(k, text)
+
+
+def test_gpx_points_of_cut_files(spark, tmp_path):
+    texts = list(gpx_files(random.Random(3)))
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k:02}.gpx").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert gpx.splits.pieces(spark, str(tmp_path), gpx.CUT).select("file", "start").distinct().count() > 2 * len(texts)
+        for lenient in (False, True):
+            tracks, points, waypoints = gpx.read_points(spark, str(tmp_path), lenient)
+            titles = {r.path[-6:-4]: (r.title, r.description) for r in tracks.collect()}
+            found = {k: [] for k in titles}
+            for r in points.orderBy("start", "seq").collect():
+                found[r.path[-6:-4]].append((r.lat, r.lng, r.ele, r.time))
+            places = {k: [] for k in titles}
+            for r in waypoints.orderBy("start", "seq").collect():
+                places[r.path[-6:-4]].append((r.name, r.description, r.lat, r.lng))
+            wanted = {f"{k:02}": x for k, t in enumerate(texts) if (x := gpx.parse(t, lenient))}
+            assert titles == {k: (x["title"], x["description"]) for k, x in wanted.items()}
+            assert found == {k: [tuple(p.values()) for p in x["points"]] for k, x in wanted.items()}
+            assert places == {k: [tuple(w.values()) for w in x["waypoints"]] for k, x in wanted.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_paged_source(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"page-{k}.json").write_text(json.dumps({"d": {"rows": [{"id": 2 * k + i, "tags": {"a": i}} for i in range(2)]}}))

@@ -75,13 +75,17 @@ def gpx_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as the points of a track for each nation of customers, and back: titles, points in order, heights."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     k = F.col("o_orderkey")
-    point = F.struct("o_orderkey", F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele></trkpt>', (50 + (k % 1000) / 1024).cast("string"), (4 + (k % 500) / 512).cast("string"), (k % 300).cast("string")).alias("x"))
-    tracks = o.groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(point)), lambda p: p["x"]), "").alias("points"))
-    text = F.concat(F.lit("<gpx><trk><name>N &amp; "), F.col("c_nationkey").cast("string"), F.lit("</name><trkseg>"), F.col("points"), F.lit("</trkseg></trk></gpx>"))
+    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele></trkpt>', (50 + (k % 1000) / 1024).cast("string"), (4 + (k % 500) / 512).cast("string"), (k % 300).cast("string"))
+    # a line for each point, so that a file is written as it is sorted
+    nations, no_key = o.select("c_nationkey").distinct(), F.lit(None).cast("long").alias("o_orderkey")
+    head = F.concat(F.lit("<gpx><trk><name>N &amp; "), F.col("c_nationkey").cast("string"), F.lit("</name><trkseg>"))
+    lines = o.select("c_nationkey", F.lit(1).alias("part"), F.col("o_orderkey").cast("long"), point.alias("value"))
+    lines = lines.union(nations.select("c_nationkey", F.lit(0), no_key, head)).union(nations.select("c_nationkey", F.lit(2), no_key, F.lit("</trkseg></trk></gpx>")))
     path = scratch(spark, "gpx")
-    tracks.select("c_nationkey", text.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
-    found = gpx.read(spark, path)
-    return found.select("title", F.size("points").cast("long").alias("n_points"), F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["lat"]), 6).alias("lat_sum"), F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["ele"]), 3).alias("ele_sum"))
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "part", "o_orderkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    tracks, points, _ = gpx.read_points(spark, path)
+    sums = points.groupBy("path").agg(F.count("*").alias("n_points"), F.round(F.sum("lat"), 6).alias("lat_sum"), F.round(F.coalesce(F.sum("ele"), F.lit(0.0)), 3).alias("ele_sum"))
+    return tracks.join(sums, "path").select("title", "n_points", "lat_sum", "ele_sum")
 
 
 def changed_documents(spark: SparkSession, sf: str) -> DataFrame:
