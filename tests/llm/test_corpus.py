@@ -9,7 +9,7 @@ import pytest
 from tests.conftest import DATA, same_as_sql
 from tests.llm import brute
 
-from wayquarry.llm import decontaminate, lines, quality, sharding, simhash
+from wayquarry.llm import common, decontaminate, lines, quality, queries_text, sharding, simhash
 from wayquarry.llm.queries import ORACLE_SQL, QUERIES
 from wayquarry.llm.queries_corpus import op6_lines, op9_simhash
 
@@ -244,6 +244,29 @@ def test_quality_ablation(spark):
         assert r.n_rejected == sum(b & policy.mask != 0 for b in bits)
 
 
+def test_quality_ablation_takes_long_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """A worker sees a few megabytes at once, however long the texts are."""
+    sizes, was = str(tmp_path / "sizes"), spark.conf.get(common.BATCH_BYTES, None)
+    spark.range(200).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 20000) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def noted(own, at, out):
+        def run(batches):
+            for batch in batches:
+                with open(f"{sizes}-{batch.column(0)[0].as_py()}", "w") as f:
+                    f.write(str(batch.num_rows))
+                yield batch
+
+        return measured(own.mapInArrow(run, own.schema), at, out)
+
+    measured = quality._measured
+    monkeypatch.setattr(quality, "_measured", noted)
+    found = queries_text.quality_ablation(spark, str(tmp_path)).collect()
+    assert {r.n_docs for r in found} == {200}
+    rows = [int(f.read_text()) for f in tmp_path.glob("sizes-*")]
+    assert sum(rows) == 200 and max(rows) * 140_000 < 2 * common.PIECE_BYTES
+    assert spark.conf.get(common.BATCH_BYTES, None) == was
+
+
 def bench_case():
     rng = random.Random(11)
     vocabulary = [f"v{i}" for i in range(30)] + ["É", "x1", "東京"]

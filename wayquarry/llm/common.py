@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import scratch, stored
 
-__all__ = ["PIECE_BYTES", "list_array", "numbered", "pieces", "scratch", "stored", "table", "texts"]
+__all__ = ["PIECE_BYTES", "list_array", "numbered", "pieces", "scratch", "small_batches", "stored", "table", "texts"]
 
 #: Bytes of text that a worker takes on at once; a longer text is taken on alone.
 PIECE_BYTES = 4 << 20
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = PIECE_BYTES) -> Iterator[None]:
+    """What is computed meanwhile reaches Python in batches of ``most`` bytes, or one row; Spark's own bound is 64 MB."""
+    was = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, quality, tokenfile
 from .bpe import encode
-from .common import scratch, stored, table
+from .common import scratch, small_batches, stored, table
 
 
 def vocabulary_path() -> str:
@@ -49,7 +49,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy rejects, alone and with others, from the stored ledger."""
-    return quality.ablation(stored(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger"))
+    with small_batches(spark):
+        found = stored(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    return quality.ablation(found)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
