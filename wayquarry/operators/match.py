@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens, token_similarity
+from ..sources.files import spread
 from ..storage import stored
 
 
@@ -56,13 +57,21 @@ def _merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-#: Similarity that counts without anything else, and with an equal day.
-STRONG, WEAK = 0.6, 0.3
+#: Similarity that counts without anything else, and with an equal day; of names as one word, from where on it counts; what is looked for first.
+STRONG, WEAK, ALIKE, CLOSE = 0.6, 0.3, 0.8, 0.9
+#: Another customer within this of the best total makes a match ambiguous.
+MARGIN = 0.2
+#: Names of a day are compared in pairs where these are at most so many for each name.
+DAY_PAIRS = 50
 
 
-def _named(rows: DataFrame, name: str, side: str) -> DataFrame:
-    """The distinct names (``side``) with their words (``side``_words) and the words as one (``side``_one)."""
-    words = rows.select(F.col(name).alias(side)).distinct().withColumn(f"{side}_words", name_tokens(side)).where(F.size(f"{side}_words") > 0)
+def _named(rows: DataFrame, name: str, side: str, tokens: str | None = None) -> DataFrame:
+    """The distinct names (``side``) with their words (``side``_words, taken from a column where there is one) and the words as one (``side``_one)."""
+    if tokens is None:
+        words = rows.select(F.col(name).alias(side)).distinct().withColumn(f"{side}_words", name_tokens(side))
+    else:
+        words = rows.select(F.col(name).alias(side), F.col(tokens).alias(f"{side}_words")).distinct()
+    words = words.where(F.size(f"{side}_words") > 0)
     # written, since all that follows asks for the words, and they are costly
     return stored(words.withColumn(f"{side}_one", F.array_join(f"{side}_words", "")), "names")
 
@@ -97,52 +106,70 @@ def bigrams(x: Column) -> Column:
 REACH = 1000
 
 
-def least_common(a: int, b: int) -> int:
-    """How many of their characters two names of these lengths must have in common, in order, to be alike by 0.8."""
-    return math.ceil(0.4 * (a + b) - 1e-9)
+def least_common(a: int, b: int, alike: float = ALIKE) -> int:
+    """How many of their characters two names of these lengths must have in common, in order, to be so much alike."""
+    return math.ceil(alike / 2 * (a + b) - 1e-9)
 
 
-def within_reach(a: int, b: int) -> bool:
+def within_reach(a: int, b: int, alike: float = ALIKE) -> bool:
     """Whether names of these lengths meet by equal variants; they can't be alike at all where one is too short."""
-    n, m = least_common(a, b), least_common(a - 1, b - 1)
+    n, m = least_common(a, b, alike), least_common(a - 1, b - 1, alike)
     return n <= min(a, b) and math.comb(a, n) + math.comb(b, n) + math.comb(a - 1, m) + math.comb(b - 1, m) <= REACH
 
 
-def too_far(a: int, b: int) -> bool:
-    return least_common(a, b) > min(a, b) and least_common(a - 1, b - 1) > min(a, b) - 1
+def too_far(a: int, b: int, alike: float = ALIKE) -> bool:
+    return least_common(a, b, alike) > min(a, b) and least_common(a - 1, b - 1, alike) > min(a, b) - 1
 
 
-def variants(one: str, lengths: Sequence[int], first: bool) -> set[str]:
+def variants(one: str, lengths: Sequence[int], first: bool, alike: float = ALIKE) -> set[str]:
     """What a name and one of each of these lengths have in common if they are alike: all choices of that many characters or bigrams."""
     n, found = len(one), set()
     pairs = sorted(map("".join, pairwise(one)))
     for m in lengths:
-        if within_reach(n, m):
+        if within_reach(n, m, alike):
             of = f"{n},{m}" if first else f"{m},{n}"
-            found.update(f"c{of}|{''.join(x)}" for x in combinations(one, least_common(n, m)))
-            if n > 1 and m > 1 and (k := least_common(n - 1, m - 1)) <= min(n, m) - 1:
+            found.update(f"c{of}|{''.join(x)}" for x in combinations(one, least_common(n, m, alike)))
+            if n > 1 and m > 1 and (k := least_common(n - 1, m - 1, alike)) <= min(n, m) - 1:
                 found.update(f"g{of}|{''.join(x)}" for x in combinations(pairs, k))
     return found
 
 
-def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of names that are alike as one word by 0.8, and some more."""
-    lengths = {x: sorted(r["n"] for r in df.select(F.length(f"{x}_one").alias("n")).distinct().collect()) for x, df in (("a", a), ("b", b))}  # as many as there are lengths
+def _lengths(names: DataFrame, side: str) -> list[int]:
+    """Those of the names as one word; few, whatever the number of names."""
+    return sorted(r["n"] for r in names.select(F.length(f"{side}_one").alias("n")).distinct().collect())
 
-    def of(df: DataFrame, x: str, others: list[int]) -> DataFrame:
-        @F.pandas_udf("array<string>")
-        def made(one: pd.Series) -> pd.Series:
-            return one.map(lambda y: list(variants(y, others, x == "a")))
 
-        return df.select(x, F.explode(made(f"{x}_one")).alias("variant")).select(x, F.xxhash64("variant").alias("variant"))
+def _variants(names: DataFrame, side: str, others: list[int], alike: float = ALIKE) -> DataFrame:
+    """(side, variant): what names of the other lengths may have in common with each name."""
 
-    return of(a, "a", lengths["b"]).join(_merged(of(b, "b", lengths["a"])), "variant").select("a", "b")
+    @F.pandas_udf("array<string>")
+    def made(one: pd.Series) -> pd.Series:
+        return one.map(lambda y: list(variants(y, others, side == "a", alike)))
+
+    return names.select(side, F.explode(made(f"{side}_one")).alias("variant")).select(side, F.xxhash64("variant").alias("variant"))
+
+
+def _meeting(a: DataFrame, b: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """Pairs of names that are alike as one word by so much, and some more."""
+    return _variants(a, "a", _lengths(b, "b"), alike).join(_merged(_variants(b, "b", _lengths(a, "a"), alike)), "variant").select("a", "b")
+
+
+def _some_alike(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For names of a up to two names of b that share a variant, hence are alike; there may be more.
+
+    Of the names that have a variant two are kept, so this grows with the names, not with the pairs that are alike.
+    """
+    number = F.xxhash64("b")
+    ends = _variants(b, "b", _lengths(a, "a")).groupBy("variant").agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    met = _variants(a, "a", _lengths(b, "b")).join(_merged(ends), "variant").groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    either = met.select("a", F.explode(F.array_distinct(F.array("low", "high"))).alias("number"))
+    return either.join(_merged(b.select("b", number.alias("number"))), "number").select("a", "b")
 
 
 def _farther(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of the lengths that variants don't reach, by one of the rarest bigrams of each."""
-    lengths = {x: [r["n"] for r in df.select(F.length(f"{x}_one").alias("n")).distinct().collect()] for x, df in (("a", a), ("b", b))}
-    beyond = [(n, m) for n in lengths["a"] for m in lengths["b"] if not within_reach(n, m) and not too_far(n, m)]
+    lengths = _lengths(b, "b")
+    beyond = [(n, m) for n in _lengths(a, "a") for m in lengths if not within_reach(n, m) and not too_far(n, m)]
     if not beyond:
         return a.select("a").where("false").join(b.select("b"), F.lit(False))
     some = lambda df, x, k: df.where(F.length(f"{x}_one").isin(sorted({p[k] for p in beyond})))
@@ -164,8 +191,7 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     names choices are too many, but bigrams tell more: there names share 0.2 (a + b) - 1 bigrams at least, so one of the rarest
     a - ceil(a / 3 - 1) of each; common characters, edits and bigrams are counted before such a pair is scored.
     """
-    by_words = _sharing(a, b, lambda words, one: words, lambda words, one: F.size(words) - F.ceil(F.size(words) * STRONG - 1e-9) + 1)
-    return by_words.union(_meeting(a, b)).union(_farther(a, b))
+    return _by_words(a, b, STRONG).union(_meeting(a, b)).union(_farther(a, b))
 
 
 def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
@@ -174,6 +200,16 @@ def strong_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name:
     return _scored(a, b, candidates(a, b), least=STRONG).withColumnsRenamed({"a": left_name, "b": right_name})
 
 
+def _close_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b and score of the names that are alike by CLOSE or more, where variants reach: few choices, and the rarest word of most names."""
+    by_words = _by_words(a, b, CLOSE)
+    return _scored(a, b, by_words.union(_meeting(a, b, CLOSE)), least=CLOSE)
+
+
+def _by_words(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    return _sharing(a, b, lambda words, one: words, lambda words, one: F.size(words) - F.ceil(F.size(words) * least - 1e-9) + 1)
+
+
 def _scored(a: DataFrame, b: DataFrame, pairs: DataFrame, *by: str, least: float) -> DataFrame:
     words = pairs.distinct().join(_merged(a.select("a", "a_words")), "a").join(_merged(b.select("b", "b_words")), "b")
     return stored(words.select("a", "b", *by, token_similarity(F.col("a_words"), F.col("b_words")).alias("score")), "name-pairs").where(F.col("score") >= least)
@@ -196,7 +232,7 @@ def weak_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: st
     return found.withColumnsRenamed({"a": left_name, "b": right_name, "day": day})
 
 
-def best_with_margin(candidates: DataFrame, key: str, total: str, rival_group: str, order: Sequence[Column] = (), margin: float = 0.2) -> DataFrame:
+def best_with_margin(candidates: DataFrame, key: str, total: str, rival_group: str, order: Sequence[Column] = (), margin: float = MARGIN) -> DataFrame:
     """Per key the best candidate by total, with status matched, or ambiguous where another group comes within the margin."""
     by = Window.partitionBy(key).orderBy(F.desc(total), *order)
     ranked = candidates.withColumn("_rank", F.row_number().over(by)).withColumn("_best", F.first(rival_group).over(by))
@@ -226,33 +262,76 @@ def fuzzy(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     A pair counts by an equal address (similarity 0.3 at least), a similarity of 0.6, or 0.3 with an equal date;
     the best total wins unless another customer comes within 0.2.
 
-    Pairs with an equal address are found by it. Without one no total is over 1.3, so a subscription that has one
-    of more than 1.5 is settled, and only the names of the others are looked for among all customers' names.
+    Pairs with an equal address are found by it, pairs with an equal date by it, unless too many names have that date. Other totals
+    are 1 at most, so a subscription whose best one is farther from that than the margin is settled. For the others all names that
+    are alike by CLOSE are looked for: from then on a best one of CLOSE or more stays the best, and is settled by a rival, or
+    if there can't be one any more. A rival is looked for among few names; only what is open after that is looked for among
+    all names that are alike by STRONG. No search leaves anything out for good, so the result is that of comparing all.
+
+    Customers of one address and name are no rivals of each other, so the least of them stands for all, and the least of each day.
     """
     address = F.lower(F.trim("sub_email"))
-    a, b = subscriptions.withColumn("left_tokens", name_tokens("sub_name")), customers.withColumn("right_tokens", name_tokens("label"))
-    mailed = a.join(_merged(b.where("email <> ''")), address == F.col("email"))
-    by_email = stored(_totals(mailed.withColumn("score", token_similarity(F.col("left_tokens"), F.col("right_tokens")))), "mailed")
-    settled = by_email.where("total > 1.5").select("sub_id").distinct()
-    left = subscriptions.join(_merged(settled), "sub_id", "left_anti")
-    dated = customers.select("label", F.explode("dates").alias("start_date"))
-    strong = left.join(_merged(strong_pairs(left, customers, "sub_name", "label")), "sub_name").join(_merged(customers), "label")
-    weak = left.join(_merged(weak_pairs(left, dated, "sub_name", "label", "start_date")), ["sub_name", "start_date"]).join(_merged(customers), "label")
-    others = by_email.join(_merged(settled), "sub_id", "left_anti")
-    good = _totals(strong.unionByName(weak)).union(others).distinct().union(by_email.join(_merged(settled), "sub_id", "left_semi"))
-    found = best_with_margin(good, "sub_id", "total", "email", [F.asc("customer_id")])
-    return subscriptions.select("sub_id").join(_merged(found.select("sub_id", "customer_id", "score", "total", "status")), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
-
-
-def _totals(pairs: DataFrame) -> DataFrame:
-    """sub_id, customer_id, email, score and total of the pairs that count."""
-    scored = pairs.withColumns({
-        "same_date": F.coalesce(F.array_contains("dates", F.col("start_date")), F.lit(False)),
-        "same_email": F.coalesce((F.lower(F.trim("sub_email")) == F.col("email")) & (F.col("email") != ""), F.lit(False)),
-    })
-    good = scored.where("(same_email and score >= 0.3) or score >= 0.6 or (score >= 0.3 and same_date)")
-    total = F.col("score") + F.when(F.col("same_date"), 0.3).otherwise(0) + F.when(F.col("same_email"), 1).otherwise(0)
-    return good.select("sub_id", "customer_id", "email", "score", total.alias("total"))
+    # the words are costly: dealt to all cores, and written
+    subs = stored(spread(subscriptions.select("sub_id", "sub_name", "sub_email", "start_date")).withColumn("left_tokens", name_tokens("sub_name")), "names")
+    every = stored(spread(customers.select("customer_id", "label", "email", "dates")).withColumn("right_tokens", name_tokens("label")), "names")
+    own = stored(every.groupBy("email", "label", "right_tokens").agg(F.min("customer_id").alias("customer_id")), "customers")
+    dated = stored(every.withColumn("start_date", F.explode("dates")).groupBy("start_date", "email", "label", "right_tokens").agg(F.min("customer_id").alias("customer_id")), "dated")
+    ends = _two_addresses(own)
+    score = token_similarity(F.col("left_tokens"), F.col("right_tokens"))
+    same = F.coalesce((address == F.col("email")) & (F.col("email") != ""), F.lit(False))
+    best = lambda found: best_with_margin(found, "sub_id", "total", "email", [F.asc("customer_id")])
+    without = lambda rows, *gone: reduce(lambda df, x: df.join(_merged(x.select("sub_id").distinct()), "sub_id", "left_anti"), gone, rows)
+    by_name = lambda rows, pairs: rows.join(_merged(pairs.withColumnsRenamed({"a": "sub_name", "b": "label"})), "sub_name").join(_merged(ends), "label").select("sub_id", "customer_id", "email", "score", F.col("score").alias("total"))
+
+    mailed = subs.join(_merged(own.where("email <> ''")), address == F.col("email")).withColumn("score", score).where(F.col("score") >= WEAK)
+    in_time = mailed.join(_merged(dated.select("email", "label", "start_date", F.col("customer_id").alias("_dated"))), ["email", "label", "start_date"], "left")
+    known = stored(in_time.select("sub_id", F.coalesce("_dated", "customer_id").alias("customer_id"), "email", "score", _total(F.col("_dated").isNotNull(), F.lit(True))), "mailed")
+    left = stored(without(subs.where(F.size("left_tokens") > 0), known.where(F.col("total") - 1.3 >= MARGIN)), "left")
+
+    count = lambda rows, n: rows.groupBy("start_date").agg(F.count(F.lit(1)).alias(n))
+    days = count(left, "n").join(_merged(count(dated, "m")), "start_date").withColumn("few", F.col("n") * F.col("m") <= DAY_PAIRS * (F.col("n") + F.col("m")))
+    of_day = left.join(_merged(dated.join(_merged(days.where("few").select("start_date")), "start_date")), "start_date").withColumn("score", score).where(F.col("score") >= WEAK)
+    known = known.union(stored(of_day.select("sub_id", "customer_id", "email", "score", _total(F.lit(True), same)), "dated"))
+    crowded = left.join(_merged(days.where("not few").select("start_date")), "start_date", "left_semi")
+
+    names = _named(own, "label", "b", "right_tokens")
+    length, others = F.length(F.array_join("left_tokens", "")), _lengths(names, "b")
+    missed = [r["n"] for r in left.select(length.alias("n")).distinct().collect() if any(not within_reach(r["n"], m, CLOSE) and not too_far(r["n"], m, CLOSE) for m in others)]
+    calm = without(left, crowded)
+    clear = stored(calm.join(_merged(best(known).select("sub_id", "total")), "sub_id").where(F.col("total") - 1 >= MARGIN).select("sub_id"), "settled")
+    near = stored(without(calm.where(~length.isin(missed)), clear), "left")
+    known = known.union(stored(by_name(near, _close_pairs(_named(near, "sub_name", "a", "left_tokens"), names)), "close"))
+
+    first = best(known).selectExpr("sub_id", "email as best_email", "total as best_total", f"status = 'ambiguous' or total - {CLOSE}D >= {MARGIN}D as settled").where(F.col("best_total") >= CLOSE)
+    first = stored(near.join(_merged(first), "sub_id"), "first")
+    doubtful = first.where("not settled")
+    a = _named(doubtful, "sub_name", "a", "left_tokens")
+    rivals = stored(by_name(doubtful, _scored(a, names, _some_alike(a, names), least=STRONG)), "rivals")
+    known = known.union(rivals)
+    beaten = doubtful.select("sub_id", "best_email", "best_total").join(_merged(rivals), "sub_id").where(~F.col("email").eqNullSafe(F.col("best_email")) & (F.col("best_total") - F.col("total") < MARGIN))
+
+    unsettled = stored(without(left, clear, first.where("settled"), beaten), "left")
+    if not unsettled.isEmpty():
+        a = _named(unsettled, "sub_name", "a", "left_tokens")
+        strong = _scored(a, names, candidates(a, names), least=STRONG)
+        late = unsettled.join(_merged(crowded.select("sub_id")), "sub_id", "left_semi").select("sub_id", "sub_name", "sub_email", "start_date")
+        weak = late.join(_merged(weak_pairs(late, dated, "sub_name", "label", "start_date")), ["sub_name", "start_date"])
+        of_day = weak.unionByName(late.join(_merged(strong.withColumnsRenamed({"a": "sub_name", "b": "label"})), "sub_name")).join(_merged(dated.drop("right_tokens")), ["label", "start_date"])
+        known = known.union(by_name(unsettled, strong)).union(of_day.select("sub_id", "customer_id", "email", "score", _total(F.lit(True), same)))
+    return subscriptions.select("sub_id").join(_merged(best(known).select("sub_id", "customer_id", "score", "total", "status")), "sub_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+
+
+def _total(same_date: Column, same_email: Column) -> Column:
+    return (F.col("score") + F.when(same_date, 0.3).otherwise(0) + F.when(same_email, 1).otherwise(0)).alias("total")
+
+
+def _two_addresses(customers: DataFrame) -> DataFrame:
+    """Of the customers of a label the least one, and the least of another address: one of them is the best rival of any address."""
+    own = F.struct("customer_id", "email")
+    first = customers.groupBy("label").agg(F.min(own).alias("_first"))
+    others = customers.join(_merged(first), "label").where(~F.col("email").eqNullSafe(F.col("_first.email")))
+    both = first.union(others.groupBy("label").agg(F.min(own)))
+    return stored(both.select("label", "_first.customer_id", "_first.email"), "customers")
 
 
 def through_links(points: DataFrame, links: DataFrame, routes: DataFrame) -> DataFrame:
