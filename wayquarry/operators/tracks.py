@@ -58,22 +58,31 @@ def durations(points: DataFrame) -> DataFrame:
 
 def sampled(points: DataFrame, most: int = MOST_PROFILE_POINTS) -> DataFrame:
     """Every k-th point of a track, with the least k that leaves about ``most``, and the last point."""
+    return _thinned(points, most).where("_kept").drop("_kept")
+
+
+def _thinned(points: DataFrame, most: int) -> DataFrame:
+    """points with whether they are sampled (_kept)."""
     place, n = F.row_number().over(along()) - 1, F.count(F.lit(1)).over(Window.partitionBy("track_id"))
     numbered = points.withColumns({"_place": place, "_n": n})
     kept = (F.col("_n") <= most) | (F.col("_place") % F.ceil(F.col("_n") / most) == 0) | (F.col("_place") == F.col("_n") - 1)
-    return numbered.where(kept).drop("_place", "_n")
+    return numbered.withColumn("_kept", kept).drop("_place", "_n")
 
 
 def profiles(points: DataFrame) -> DataFrame:
-    """Per track of two points or more: distance_km, minutes, gain, loss, start, end, and the elevation profile."""
+    """Per track of two points or more: distance_km, minutes, gain, loss, start, end, and the elevation profile.
+
+    Points without a track are one too, of unknown gain, loss and minutes. start and end are the first and the last point that have a place.
+    """
     clean = without_repeats(points)
-    measured = with_distance(clean)
-    at = F.struct("lat", "lng")
+    measured = _thinned(with_distance(clean), MOST_PROFILE_POINTS)
+    at, placed = F.struct("lat", "lng"), F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("seq"))
+    curve = F.struct("seq", js_round("km", 2).alias("km"), js_round("ele", 1).alias("elevation"))
     whole = measured.groupBy("track_id").agg(
-        F.count(F.lit(1)).alias("n_points"), js_round(F.max("km"), 2).alias("distance_km"), F.min_by(at, "seq").alias("start"), F.max_by(at, "seq").alias("end")
-    )
-    curve = sampled(measured).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("seq", js_round("km", 2).alias("km"), js_round("ele", 1).alias("elevation")))).alias("profile"))
-    joined = whole.where("n_points >= 2").join(climbs(clean), "track_id", "left").join(durations(clean), "track_id", "left").join(curve, "track_id")
+        F.count(F.lit(1)).alias("n_points"), js_round(F.max("km"), 2).alias("distance_km"), F.min_by(at, placed).alias("start"), F.max_by(at, placed).alias("end"),
+        F.sort_array(F.collect_list(F.when(F.col("_kept"), curve))).alias("profile"),
+    )
+    joined = whole.where("n_points >= 2").join(climbs(clean), "track_id", "left").join(durations(clean), "track_id", "left")
     return joined.withColumn("profile", F.transform("profile", lambda p: F.struct(p["km"].alias("km"), p["elevation"].alias("elevation"))))
 
 

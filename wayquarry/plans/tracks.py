@@ -16,7 +16,9 @@ LAT, LNG = "50 + (event_id % 997) / 10000.0", "4 + (event_id % 1009) / 10000.0"
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return e.select(F.col("user_id").alias("track_id"), F.struct("ts", "event_id").alias("seq"), F.expr(LAT).cast("double").alias("lat"), F.expr(LNG).cast("double").alias("lng"),
+    # in order of time and number, those without one last
+    seq = F.struct(F.col("ts").isNull().alias("no_ts"), "ts", F.col("event_id").isNull().alias("no_id"), "event_id").alias("seq")
+    return e.select(F.col("user_id").alias("track_id"), seq, F.expr(LAT).cast("double").alias("lat"), F.expr(LNG).cast("double").alias("lng"),
                     F.when(F.col("event_type") != "error", F.col("value")).alias("ele"), F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("time"), "event_id", "event_type")
 
 
